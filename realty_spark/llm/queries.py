@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from realty_spark.llm.bpe import encode_decode
 from realty_spark.llm.exact_dedup import exact_dedup
+from realty_spark.llm.langid import languages
 from realty_spark.llm.minhash import near_duplicates
 from realty_spark.llm.packing import pack
 
@@ -40,12 +41,17 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op9_minhash": op9_minhash,
+        "op10_langid": op10_langid,
     }
 
 
