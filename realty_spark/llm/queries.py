@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from realty_spark.llm.bpe import encode_decode
+from realty_spark.llm import crf
+from realty_spark.llm.chunks import substring_dedup
 from realty_spark.llm.exact_dedup import exact_dedup
 from realty_spark.llm.langid import languages
 from realty_spark.llm.minhash import near_duplicates
@@ -25,6 +27,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_bytes", "n_removed", "n_spans")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    field = crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return crf.quality(docs, field).drop("labels")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), VOCABULARY).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -48,6 +60,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_quality_rules": op4_quality_rules,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op9_minhash": op9_minhash,
