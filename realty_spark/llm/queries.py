@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from realty_spark.llm import crf, licenses
 from realty_spark.llm.bpe import encode_decode
-from realty_spark.llm import crf
 from realty_spark.llm.chunks import substring_dedup
 from realty_spark.llm.exact_dedup import exact_dedup
 from realty_spark.llm.langid import languages
@@ -49,6 +49,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A file tree over documents: their source, two levels of directories by id, and a name; a text that begins with a notice is a
+#: licence file, in one of the three levels.  Written for DuckDB; Spark SQL names three things differently.
+FILE_PATH = r"""
+CASE WHEN regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '(?i)(licen[cs]e|copyright|all rights reserved|public domain)')
+THEN concat_ws('/', coalesce(source, 'none'), CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id // 1000 AS VARCHAR) END,
+               CASE WHEN doc_id % 3 > 1 THEN CAST(doc_id // 50 AS VARCHAR) END, concat('LICENSE.', doc_id))
+ELSE concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 50 AS VARCHAR), concat(doc_id, '.txt')) END
+"""
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = FILE_PATH.replace("//", "DIV").replace("regexp_matches", "regexp_like").replace("VARCHAR", "STRING")
+    files = documents(spark, sf_dir).select(F.expr(path).alias("path"), "text")
+    doc_id = F.regexp_extract("path", "([0-9]+)([.]txt)?$", 1).cast("long")
+    return licenses.license_scan(files).withColumn("doc_id", doc_id)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -64,11 +81,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
+        "op8_license_scan": op8_license_scan,
         "op9_minhash": op9_minhash,
         "op10_langid": op10_langid,
     }
 
 
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
+
+
+def license_sql() -> str:
+    idf, other = licenses.inverse_frequencies(licenses.TEMPLATES)
+    folder = "regexp_replace({}, '/?[^/]*$', '')"
+    return rf"""
+WITH idf(term, idf) AS (VALUES {_values(sorted(idf.items()))}),
+vec(term, template, license, weight) AS (VALUES {_values(licenses.weights(licenses.TEMPLATES))}),
+files AS (SELECT doc_id, text, {FILE_PATH} AS path FROM documents),
+lines AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE regexp_matches(text, '{licenses.NOTICE}')),
+notices AS (
+  SELECT DISTINCT path, notice FROM (
+    SELECT path, unnest(ls) AS notice FROM lines
+    UNION ALL SELECT path, text FROM lines WHERE regexp_matches(split_part(path, '/', -1), '{licenses.LICENSE_FILE}'))
+  WHERE regexp_matches(notice, '{licenses.NOTICE}')
+), counted AS (
+  SELECT notice, term, count(*) * any_value(coalesce(idf, {other!r})) AS x
+  FROM (SELECT notice, unnest(string_split_regex(lower(notice), '[^a-z0-9]+')) AS term FROM (SELECT DISTINCT notice FROM notices)) t
+  LEFT JOIN idf USING (term) WHERE term <> '' GROUP BY ALL
+), norms AS (SELECT notice, sqrt(sum(x * x)) AS norm FROM counted GROUP BY ALL),
+dots AS (SELECT notice, template, license, sum(x * weight) AS dot FROM counted JOIN vec USING (term) GROUP BY ALL),
+best AS (
+  SELECT notice, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (notice)
+  QUALIFY row_number() OVER (PARTITION BY notice ORDER BY round(dot / norm, 6) DESC, template) = 1
+), own AS (
+  SELECT path, license AS own_license, score AS own_score FROM notices JOIN best USING (notice) WHERE score >= {licenses.LEAST_SCORE}
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
+), held AS (
+  SELECT {folder.format("path")} AS license_dir, own_license AS from_license FROM own
+  WHERE regexp_matches(split_part(path, '/', -1), '{licenses.LICENSE_FILE}')
+  QUALIFY row_number() OVER (PARTITION BY {folder.format("path")} ORDER BY own_score DESC, own_license) = 1
+), nearest AS (
+  SELECT dir, license_dir, from_license FROM (SELECT DISTINCT {folder.format("path")} AS dir FROM files) d
+  JOIN held ON license_dir = '' OR dir = license_dir OR starts_with(dir, license_dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(license_dir) DESC) = 1
+)
+SELECT f.doc_id, f.path, own_license, own_score, coalesce(own_license, from_license) AS license,
+       CASE WHEN own_license IS NOT NULL THEN 'own' WHEN from_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own_license IS NULL THEN license_dir END AS license_dir
+FROM files f LEFT JOIN own USING (path) LEFT JOIN nearest ON dir = {folder.format("f.path")}
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
 WITH d AS (
@@ -81,4 +144,5 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """,
+    "op8_license_scan": license_sql(),
 }
