@@ -15,6 +15,7 @@ from realty_spark.llm.exact_dedup import exact_dedup
 from realty_spark.llm.langid import languages
 from realty_spark.llm.minhash import near_duplicates
 from realty_spark.llm.packing import pack
+from realty_spark.llm.ppm import score_texts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,6 +28,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return score_texts(documents(spark, sf_dir), held_out)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_bytes", "n_removed", "n_spans")
 
@@ -77,6 +83,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_ppm": op2_ppm,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op6_bpe": op6_bpe,
