@@ -1,14 +1,77 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of ``documents``.  A document is known by its doc_id: rows that repeat one share its fate.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from realty_spark.llm import langid
+from realty_spark.llm.chunks import substring_dedup
 from realty_spark.llm.exact_dedup import exact_dedup
+from realty_spark.llm.minhash import near_duplicates
+from realty_spark.llm.packing import pack
+from realty_spark.llm.queries import VOCABULARY, documents
+from realty_spark.llm.shared import Scratch
+
+
+def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is kept."""
+    ids = decided.filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models reject go: letterless texts, and texts unlike all languages learnt."""
+    model = langid.fit(docs.select("doc_id", "text", "lang").filter(langid.learnable(F.col("doc_id"))))
+    told = docs.withColumn("__told", langid.identified(model, F.col("text"), spark))
+    return told.filter("NOT __told.rejected").select(docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return _only(docs, exact_dedup(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays."""
+    return _only(docs, near_duplicates(docs))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of later documents; documents of which no word is left go."""
+    cut = substring_dedup(docs)
+    cut = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids with the mixture of sources of the whole."""
+    return pack(docs, VOCABULARY).select(
+        "doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
 
-STAGES = []
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("substring_dedup", substrings),
+    ("packing", packing),
+]
+#: SQL expresses neither the language models nor near-duplicate components; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on ``documents``; the rows of the last."""
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return docs
