@@ -2,8 +2,8 @@
 
 Two neighbouring bytes that stand side by side in no token of the vocabulary can never be merged into
 one, so every such place is a certain cut.  Words are cut there, the fragments are encoded each for
-itself and the ids are concatenated; the result is that of encoding the whole.  Fragments repeat
-far more often than words, so each worker keeps a bounded table of those it has met.
+itself, many side by side in numpy, and the ids are concatenated; the result is that of encoding the whole.
+Each worker keeps a bounded table of the words it has met.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries after which a worker's table of words or fragments starts anew.
-MAX_ENTRIES = 250_000
-#: Texts that are turned into Python objects at a time.
-STEP = 256
+from realty_spark.llm.words import slices
+
+#: Entries after which a worker's table of words starts anew: some 120 MB.
+MAX_ENTRIES = 600_000
+#: The rank of pairs that are not merged.
+NONE = np.iinfo(np.int32).max
 
 
 def byte_symbols() -> list[str]:
@@ -30,37 +33,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-class _Fragments(dict):
-    """(fragment, ends its word) -> ids."""
-
-    def __init__(self, bpe: "ForcedBoundaryBpe"):
-        self.bpe = bpe
-
-    def __missing__(self, key: tuple[bytes, bool]) -> list[int]:
-        if len(self) >= MAX_ENTRIES:
-            self.clear()
-        ids = self[key] = self.bpe.merge(*key)
-        return ids
-
-
-class _Words(dict):
-    """Normalised word without white space -> (ids as bytes, decoded text)."""
-
-    def __init__(self, bpe: "ForcedBoundaryBpe"):
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= MAX_ENTRIES:
-            self.clear()
-        ids = self.bpe.encode_word(word)
-        out = self[word] = (b"".join(i.to_bytes(4, "little") for i in ids), self.bpe.decode(ids))
-        return out
-
-
 class ForcedBoundaryBpe:
     """A byte-level BPE with a word-end suffix, read from a tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, decoding: bool = True):
+        self.decoding = decoding
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -68,110 +45,220 @@ class ForcedBoundaryBpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
-        self.words_of = regex.compile(
-            spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
-        )
+        pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.pieces_of = regex.compile(rf"\n|{pieces}")
+        self.odd = regex.compile("[\x1c-\x1f]")
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         symbols = byte_symbols()
-        self.inner = [self.vocab[c] for c in symbols]
-        self.last = [self.vocab[c + self.suffix] for c in symbols]
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank: dict[int, int] = {}
-        self.merged: list[int] = []
-        for r, (a, b) in enumerate(pairs):
-            self.rank[(self.vocab[a] << 32) | self.vocab[b]] = r
-            self.merged.append(self.vocab[a + b])
-        self.none = len(self.merged)
+        self.inner = np.array([self.vocab[c] for c in symbols], np.int32)
+        self.last = np.array([self.vocab[c + self.suffix] for c in symbols], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merged = np.array([self.vocab[a + b] for a, b in pairs], np.int32)
+        self.ranks = _Ranks([(self.vocab[a], self.vocab[b]) for a, b in pairs])
         number = {c: b for b, c in enumerate(symbols)}
-        self.joined: set[tuple[int, int]] = set()
+        self.joined = np.zeros((256, 256), bool)
         for token in self.vocab:
             body = [number[c] for c in (token.removesuffix(self.suffix) if self.suffix else token)]
-            self.joined.update(zip(body, body[1:]))
-        self.fragments, self.words = _Fragments(self), _Words(self)
-
-    def merge(self, fragment: bytes, ends: bool) -> list[int]:
-        """Merge the pair of least rank, leftmost first, until none is left."""
-        ids = [self.inner[b] for b in fragment]
-        if ends:
-            ids[-1] = self.last[fragment[-1]]
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        rank, merged, none = self.rank.get, self.merged, self.none
-        held = [rank((a << 32) | b, none) for a, b in zip(ids, ids[1:])]
-        while held and (least := min(held)) < none:
-            i = held.index(least)
-            ids[i : i + 2] = [new] = [merged[least]]
-            del held[i]
-            if i < len(held):
-                held[i] = rank((new << 32) | ids[i + 1], none)
-            if i:
-                held[i - 1] = rank((ids[i - 1] << 32) | new, none)
-        return ids
-
-    def _merge_long(self, ids: list[int | None]) -> list[int]:
-        """The same with a heap and linked neighbours, for n log n time."""
+            self.joined[body[:-1], body[1:]] = True
+        self.ids: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
+
+    def merge(self, rows: np.ndarray) -> np.ndarray:
+        """Merge in each row of ids (-1: no more) the pair of least rank, leftmost first, until none is left."""
+        n, length = rows.shape
+        ranks = np.full((n, length), NONE, np.int32)
+        ranks[:, :-1] = self.ranks.find(rows[:, :-1], rows[:, 1:])
+        out, live = rows, np.arange(n)
+        cols = np.arange(length)
+        while len(live):
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(live)), at]
+            if not (go := least < NONE).all():
+                out[live[~go]] = rows[~go]
+                live, rows, ranks, at, least = live[go], rows[go], ranks[go], at[go], least[go]
+                if not len(live):
+                    break
+            every = np.arange(len(live))
+            later = np.minimum(cols + (cols > at[:, None]), length - 1)
+            last = rows[:, -1] >= 0
+            rows = np.take_along_axis(rows, later, 1)
+            rows[last, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(cols + (cols >= at[:, None]), length - 1), 1)
+            ranks[:, -1] = NONE
+            rows[every, at] = self.merged[least]
+            after = np.minimum(at + 1, length - 1)
+            ranks[every, at] = np.where(after > at, self.ranks.find(rows[every, at], rows[every, after]), NONE)
+            before = np.flatnonzero(at > 0)
+            ranks[before, at[before] - 1] = self.ranks.find(rows[before, at[before] - 1], rows[before, at[before]])
+        return out
+
+    def merge_long(self, ids: list[int | None]) -> list[int]:
+        """The same for one long fragment with a heap and linked neighbours, for n log n time."""
         n = len(ids)
-        rank, merged, none = self.rank.get, self.merged, self.none
+        rank = lambda i, j: self.ranks.of(ids[i], ids[j])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = lambda i, j: (ids[i] << 32) | ids[j]
-        heap = [(r, i) for i in range(n - 1) if (r := rank(key(i, i + 1), none)) < none]
+        first = self.ranks.find(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
+        heap = [(r, i) for i, r in enumerate(first) if r < NONE]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
-            if ids[i] is None or (j := after[i]) >= n or rank(key(i, j), none) != r:
+            if ids[i] is None or (j := after[i]) >= n or rank(i, j) != r:
                 continue
-            ids[i], ids[j] = merged[r], None
+            ids[i], ids[j] = int(self.merged[r]), None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank(key(i, k), none)) < none:
+                if (r := rank(i, k)) < NONE:
                     heapq.heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := rank(key(h, i), none)) < none:
+            if (h := before[i]) >= 0 and (r := rank(h, i)) < NONE:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x is not None]
 
-    def encode_word(self, word: str) -> list[int]:
-        out: list[int] = []
-        joined = self.joined
-        for piece in self.words_of.findall(word):
-            raw, a = piece.encode(), 0
-            for i, pair in enumerate(zip(raw, raw[1:]), 1):
-                if pair not in joined:
-                    out += self.fragments[raw[a:i], False]
-                    a = i
-            out += self.fragments[raw[a:], bool(self.suffix)]
-        return out
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of normalised words without white space; all their fragments are merged side by side."""
+        pieces = self.pieces_of.findall("\n".join(words))
+        raw = np.frombuffer(("\n".join([p for p in pieces if p != "\n"]) + "\n").encode(), np.uint8)
+        if len(raw) < 2:
+            return [np.empty(0, np.int32)] * len(words)
+        breaks = raw == 10
+        ends_piece = np.append(breaks[1:], False)  # the last byte of each piece
+        keep = ~breaks
+        body, last = raw[keep], ends_piece[keep]
+        ids = np.where(last, self.last[body], self.inner[body])
+        cut = last.copy()
+        cut[:-1] |= ~self.joined[body[:-1], body[1:]]
+        ends = np.flatnonzero(cut) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes = ends - starts
+        counts, blocks = np.ones(len(ends), np.int64), []
+        least = 2
+        for most in (6, 10, 16, 24, 40, 64):
+            which = np.flatnonzero((sizes >= least) & (sizes <= most))
+            least = most + 1
+            for i in range(0, len(which), 8192):
+                some = which[i : i + 8192]
+                rows = starts[some][:, None] + np.arange(most)
+                rows = np.where(np.arange(most) < sizes[some][:, None], ids[np.minimum(rows, len(ids) - 1)], -1).astype(np.int32)
+                rows = self.merge(rows)
+                counts[some] = (rows >= 0).sum(1)
+                blocks.append((some, rows))
+        long = {i: self.merge_long(ids[starts[i] : ends[i]].tolist()) for i in np.flatnonzero(sizes > 64)}
+        for i, got in long.items():
+            counts[i] = len(got)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(at[-1], np.int32)
+        single = np.flatnonzero(sizes == 1)
+        out[at[single]] = ids[starts[single]]
+        for some, rows in blocks:
+            full = rows >= 0
+            out[(at[some][:, None] + np.arange(rows.shape[1]))[full]] = rows[full]
+        for i, got in long.items():
+            out[at[i] : at[i + 1]] = got
+        # fragments -> pieces -> words
+        by_piece = at[np.concatenate([[0], np.flatnonzero(last[ends - 1]) + 1])]
+        n_pieces = np.zeros(len(words), np.int64)
+        is_break = np.fromiter((p == "\n" for p in pieces), bool, len(pieces))
+        np.add.at(n_pieces, np.cumsum(is_break)[~is_break], 1)
+        return np.split(out, by_piece[np.cumsum(n_pieces)[:-1]])
+
+    def learn(self, words: list[list[str]]) -> None:
+        """Put the words that the table lacks into it."""
+        all_ = set().union(*words)
+        new = all_.difference(self.ids)
+        if len(self.ids) + len(new) > MAX_ENTRIES:
+            self.ids.clear()
+            self.shown.clear()
+            new = all_
+        for w in [w for w in new if w[0] == " "]:
+            self.ids[w], self.shown[w] = self.added[w[1:]].to_bytes(4, "little"), w[1:]
+            new.remove(w)
+        new = list(new)
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
+            for w, ids in zip(some, self.encode_words(some)):
+                self.ids[w] = ids.tobytes()
+                if self.decoding:
+                    self.shown[w] = self.decode(ids.tolist())
+
+    def split(self, text: str) -> list[str]:
+        """Normalised words without white space, and added tokens after a space."""
+        out, at = [], 0
+        if "<" in text:
+            for m in self.special.finditer(text):
+                out += self._plain(text[at : m.start()])
+                out.append(" " + m[0])
+                at = m.end()
+        return out + self._plain(text[at:] if at else text)
+
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
+        text = text.lower()
+        if self.odd.search(text):  # white space to str.split only
+            return [w for w in regex.split(r"\p{White_Space}+", text) if w]
+        return text.split()
+
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, and the decoded text."""
+        words = [self.split(t) if t else [] for t in texts]
+        self.learn(words)
+        ids = [b"".join(map(self.ids.__getitem__, ws)) for ws in words]
+        if not self.decoding:
+            return [(x, "") for x in ids]
+        return [(x, " ".join(filter(None, map(self.shown.__getitem__, ws)))) for x, ws in zip(ids, words)]
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
         return " ".join([self.tokens[i] for i in ids])
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        if regex.search("[\x1c-\x1f]", text):  # white space to str.split only
-            return [self.words[w] for w in regex.split(r"\p{White_Space}+", text) if w]
-        return list(map(self.words.__getitem__, text.split()))
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        found: list[tuple[bytes, str]] = []
-        at = 0
-        if "<" in text:
-            for m in self.special.finditer(text):
-                found += self._plain(text[at : m.start()])
-                found.append((self.added[m[0]].to_bytes(4, "little"), m[0]))
-                at = m.end()
-        found += self._plain(text[at:] if at else text)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
 
+class _Ranks:
+    """Pairs of ids -> rank, in an open-addressing table of numpy arrays."""
 
-_LOADED: dict[str, ForcedBoundaryBpe] = {}
+    BITS = 19
 
-
-def _loaded(path: str) -> ForcedBoundaryBpe:
-    if path not in _LOADED:
-        _LOADED[path] = ForcedBoundaryBpe(path)
-    return _LOADED[path]
+    def __init__(self, pairs: list[tuple[int, int]]):
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.values = np.full(1 << self.BITS, NONE, np.int32)
+        for r, (a, b) in enumerate(pairs):
+            k = a << 32 | b
+            i = int(self._slot(np.array([k], np.int64))[0])
+            while self.keys[i] not in (-1, k):
+                i = (i + 1) & ((1 << self.BITS) - 1)
+            if self.keys[i] == -1:
+                self.keys[i], self.values[i] = k, r
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; NONE where there is none or an id is -1."""
+        keys = (a.astype(np.int64) << 32 | b).ravel()
+        keys[((a < 0) | (b < 0)).ravel()] = -1
+        slot = self._slot(keys)
+        out = np.full(len(keys), NONE, np.int32)
+        open_ = np.flatnonzero(keys >= 0)
+        slot = slot[open_]
+        while len(open_):
+            held = self.keys[slot]
+            same = held == keys[open_]
+            out[open_[same]] = self.values[slot[same]]
+            on = ~same & (held >= 0)
+            open_, slot = open_[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
+        return out.reshape(a.shape)
+
+    def of(self, a: int, b: int) -> int:
+        return int(self.find(np.array([a], np.int32), np.array([b], np.int32))[0])
+
+
+_LOADED: dict[tuple[str, bool], ForcedBoundaryBpe] = {}
+
+
+def loaded(path: str, decoding: bool) -> ForcedBoundaryBpe:
+    if (path, decoding) not in _LOADED:
+        _LOADED[path, decoding] = ForcedBoundaryBpe(path, decoding)
+    return _LOADED[path, decoding]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -179,15 +266,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", id_c
 
     ``vocabulary``: path of the tokenizer file, read by every worker.  A null or empty text has no ids and decodes
     to ''.  Null or repeated ids are carried as they are; an empty table gives an empty result; other columns are
-    not read.  No shuffle: each task holds one step of texts and its bounded tables.
+    not read.  No shuffle: each task holds one slice of texts and its bounded table of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(vocabulary)
+        bpe = loaded(vocabulary, True)
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                got = [bpe.encode(t) if t else (b"", "") for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1, 2 << 20):
+                got = bpe.encode_batch(part.column(1).to_pylist())
                 yield pa.record_batch(
                     [
                         part.column(0),
