@@ -1,0 +1 @@
+"""Property-transaction analytics as Spark jobs."""
