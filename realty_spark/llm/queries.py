@@ -16,6 +16,7 @@ from realty_spark.llm.langid import languages
 from realty_spark.llm.minhash import near_duplicates
 from realty_spark.llm.packing import pack
 from realty_spark.llm.ppm import score_texts
+from realty_spark.llm.suffixes import suffix_dedup
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,6 +44,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.quality(docs, field).drop("labels")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), VOCABULARY).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ppm": op2_ppm,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op8_license_scan": op8_license_scan,
