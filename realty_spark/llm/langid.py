@@ -128,7 +128,7 @@ class Identifier:
     def __init__(self, models: dict[str, KneserNey]):
         self.langs = sorted(models)
         self.tables, self.backoff = [], []
-        for order in range(1, ORDER + 1):
+        for order in range(1, ORDER + 1 if models else 1):
             keys = np.unique(np.concatenate([m.grams[order - 1] for m in models.values()]))
             values = np.stack([np.log10(models[x].probabilities(keys, order)) for x in self.langs], 1).astype(np.float32)
             self.tables.append((keys, values))
@@ -186,7 +186,7 @@ class Identifier:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
         if not self.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), characters([t or "" for t in texts])[2] == 0
         entropy, _, n, letters = self.entropies([t or "" for t in texts])
         best = entropy.argmin(1)
         least = entropy[np.arange(len(best)), best]
@@ -230,7 +230,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier:
 def identified(model: Identifier, text: Column, spark) -> Column:
     """A struct of lang_pred, score and rejected for a text column; the model is broadcast, and the fit's bound limits it.
 
-    lang_pred is ``und``, the score 0 and rejected true where the text is null or has no letter, or nothing was learnt.
+    lang_pred is ``und``, the score 0 and rejected true where the text is null or has no letter; where nothing was learnt, other texts are
+    ``und`` with score 0 too, and not rejected.
     """
     shared = spark.sparkContext.broadcast(model)
 
