@@ -14,6 +14,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from realty_spark.llm.shared import Scratch
+
 #: Lines that are looked at.
 NOTICE = r"(?i)(licen[cs]e|copyright|all rights reserved|public domain)"
 #: File names of licences for a directory.
@@ -71,25 +73,26 @@ def directory_of(path: Column) -> Column:
 
 
 def scored(notices: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """notice, license, score of the distinct texts in column notice that reach ``least``."""
+    """digest, license, score of the notices (digest, notice) that reach ``least``; a digest stands for its text from here on."""
     spark = notices.sparkSession
     idf, other = inverse_frequencies(templates)
     by_term = F.broadcast(_values(spark, sorted(idf.items()), "term, idf"))  # as many rows as templates have terms
     vectors = F.broadcast(_values(spark, weights(templates), "term, template, license, weight"))
     counted = (
-        notices.distinct()
-        .select("notice", F.explode(F.split(F.lower("notice"), "[^a-z0-9]+")).alias("term"))
+        notices.groupBy("digest")
+        .agg(F.first("notice").alias("notice"))
+        .select("digest", F.explode(F.split(F.lower("notice"), "[^a-z0-9]+")).alias("term"))
         .filter("term <> ''")
-        .groupBy("notice", "term")
+        .groupBy("digest", "term")
         .agg(F.count("*").alias("n"))
         .join(by_term, "term", "left")
         .withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
     )
-    norms = counted.groupBy("notice").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counted.join(vectors, "term").groupBy("notice", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    norms = counted.groupBy("digest").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = counted.join(vectors, "term").groupBy("digest", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     score = F.round(F.col("dot") / F.col("norm"), 6)
-    best = dots.join(norms, "notice").groupBy("notice").agg(F.max(F.struct(score.alias("score"), (-F.col("template")).alias("t"), "license")).alias("b"))
-    return best.select("notice", "b.license", "b.score").filter(F.col("score") >= least)
+    best = dots.join(norms, "digest").groupBy("digest").agg(F.max(F.struct(score.alias("score"), (-F.col("template")).alias("t"), "license")).alias("b"))
+    return best.select("digest", "b.license", "b.score").filter(F.col("score") >= least)
 
 
 def license_scan(
@@ -109,10 +112,11 @@ def license_scan(
     notices = (
         rows.filter(F.col("text").rlike(NOTICE))
         .select("path", F.explode(F.when(name.rlike(LICENSE_FILE), F.array_append(lines, F.col("text"))).otherwise(lines)).alias("notice"))
-        .distinct()
+        .withColumn("digest", F.sha2("notice", 256))
     )
+    notices = Scratch(files.sparkSession, "licenses").save(notices, "notices")
     own = (
-        notices.join(scored(notices.select("notice"), templates, least), "notice")
+        notices.select("path", "digest").distinct().join(scored(notices, templates, least), "digest")
         .groupBy(F.col("path").alias("p"))
         .agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
         .select("p", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
