@@ -157,8 +157,12 @@ class LineField:
         return out[::-1]
 
     @classmethod
-    def fit(cls, texts: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.2, ridge: float = 1e-3) -> "LineField":
-        """Maximum likelihood over (bins of the lines, label) of texts: forward-backward on all at once, Adam steps."""
+    def fit(cls, texts: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.2, ridge: float = 1e-3, pair_ridge: float = 0.1) -> "LineField":
+        """Maximum likelihood over (bins of the lines, label) of texts: forward-backward on all at once, Adam steps.
+
+        Labels come from whole documents, so no change of label is ever seen; a stronger ridge on the weights between
+        lines keeps one odd line from carrying a text with it.
+        """
         texts = [x for x in texts if len(x[0])]
         field = cls()
         if len({label for _, label in texts}) < 2:
@@ -200,7 +204,7 @@ class LineField:
                 own = labels[at[t] : at[t + 1]]
                 joint[np.arange(k), own, own] -= 1
                 pair += (joint * by_line[:k, None, None]).sum(0) / n
-            gradient = np.concatenate([unary.ravel(), pair.ravel()]) + ridge * params
+            gradient = np.concatenate([unary.ravel(), pair.ravel()]) + np.concatenate([np.full(cut, ridge), np.full(4, pair_ridge)]) * params
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             params = params - rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return cls(params[:cut].reshape(field.unary.shape), params[cut:].reshape(2, 2))
