@@ -250,6 +250,7 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
         schema = None
 
         def solve(part: pd.DataFrame) -> pa.RecordBatch:
+            part = part.drop_duplicates(["gram", "doc_id", "place"], ignore_index=True)  # of rows that repeat a document
             got = repeated_windows(part)
             edge = (got["row"].diff() != 0) | (got["start"].diff() != 1)
             runs = got.groupby(edge.cumsum()).agg(row=("row", "first"), a=("start", "first"), b=("start", "last"))
@@ -355,17 +356,20 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     scratch.free()
 
     mixed = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    firsts = classes.join(mixed, "gram").select("first.*")
-    for_docs = firsts.groupBy("doc_id", mark).agg(F.collect_set(at).alias("positions"))
-    shown = _surroundings(same(held.drop("positions"), for_docs), True)
-    big = mixed.filter(F.col("n") > MOST_CLASSES).select("gram")
-    shown = scratch.save(shown.join(mixed.select("gram"), "gram", "left_semi").dropDuplicates(["gram", "class"]), "shown")
+    firsts = classes.join(mixed, "gram").select("first.*", (F.col("n") > MOST_CLASSES).alias("many"))
+    firsts = scratch.save(firsts.groupBy("doc_id", mark, "many").agg(F.collect_set(at).alias("positions")), "firsts")
+    scratch.drop("twice", "places", "classes")
     scratch.free()
-    sorted_out = _sorted_out(shown.join(big, "gram", "left_anti"))
-    counted_out = _counted_out(shown.join(big, "gram", "left_semi"))
-    ranges = sorted_out.unionByName(counted_out).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+
+    def shown(many: bool) -> DataFrame:
+        return _surroundings(same(held.drop("positions"), firsts.filter(F.col("many") == many).drop("many")), True)
+
+    ranges = _sorted_out(shown(False))
+    if not firsts.filter("many").isEmpty():
+        ranges = ranges.unionByName(_counted_out(shown(True)))
+    ranges = ranges.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     ranges = scratch.save(ranges.unionByName(copies).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
-    scratch.drop("twice", "places", "classes", "copies", "shown")
+    scratch.drop("firsts", "copies")
     scratch.free()
 
     @F.pandas_udf("n_removed long, spans array<struct<lo:int,hi:int>>, kept_sha256 string")
