@@ -25,6 +25,10 @@ BANDS, ROWS = 32, 4
 BLOCK = 2048
 
 
+#: Minima of the long signatures, by which the nodes of a bucket that are not yet in one component are compared.
+LONG = 1024
+
+
 def hash_family(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Multiply-shift functions x -> (a * x + b) mod 2**64 >> 32 with odd a."""
     rng = np.random.default_rng(seed)
@@ -32,9 +36,9 @@ def hash_family(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def signatures(sets: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def signatures(sets: np.ndarray, at: np.ndarray, n: int, seed: int = 20) -> np.ndarray:
     """Minima of ``n`` functions over each set; of empty sets the largest value."""
-    a, b = hash_family(n)
+    a, b = hash_family(n, seed)
     out = np.full((len(at) - 1, n), 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
         for i in range(len(at) - 1):
@@ -88,8 +92,8 @@ def _sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def least_matches(similarity: float, n: int) -> int:
-    """Equal minima that a pair of that similarity has but for 3 in 10 million (five standard deviations)."""
-    return math.floor(n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity)))
+    """Equal minima that a pair of that similarity has but for 3 in a million (4.5 standard deviations)."""
+    return math.floor(n * similarity - 4.5 * math.sqrt(n * similarity * (1 - similarity)))
 
 
 def _alike(pairs: DataFrame, least: int, percent: int) -> DataFrame:
@@ -174,38 +178,58 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         )
 
 
-def _blocks(members: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs u, v of one bucket in different components whose signatures are alike.
+def _long_signatures(texts: DataFrame, k: int) -> DataFrame:
+    """node, long: a byte of each of LONG minima."""
 
-    In each bucket the nodes outside its largest component meet all nodes.  Both sides of a large bucket are cut into
-    blocks, each pair of blocks going to a task of its own.
-    """
-    by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                sig = signatures(*shingle_sets(*utf8_column(batch.column(1)), k), LONG, 21)
+                yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())], ["node", "long"])
+
+    return texts.select("node", "body").mapInArrow(run, "node binary, long binary")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Of key, node, root those of buckets with several components, with the largest of them and the blocks to cut them into."""
     mixed = (
-        by_root.groupBy("key")
+        members.groupBy("key", "root")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
         .agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots"))
         .filter("roots > 1")
         .select("key", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("high"))
     )
-    rows = members.join(mixed, "key")
+    return members.join(mixed, "key")
+
+
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v of one bucket in different components whose long signatures are alike.
+
+    In each bucket the nodes outside its largest component meet all nodes.  Both sides of a large bucket are cut into
+    blocks, each pair of blocks going to a task of its own.  A pair that shares several buckets is told by the first of them only.
+    """
+    least = least_matches(percent / 100, LONG)
     own = rows.filter("root <> top").select(
-        "key", F.pmod(F.xxhash64("node"), "high").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(0).alias("side"), "node", "root", "size", "sig"
+        "key", F.pmod(F.xxhash64("node"), "high").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(0).alias("side"), "node", "root", "size", "long", "keys"
     )
     other = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(F.xxhash64("node"), "wide").cast("int").alias("j"), F.lit(1).alias("side"), "node", "root", "size", "sig"
+        "key", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(F.xxhash64("node"), "wide").cast("int").alias("j"), F.lit(1).alias("side"), "node", "root", "size", "long", "keys"
     )
 
-    def meet(left: list, right: list) -> set[tuple[bytes, bytes]]:
+    def meet(key: tuple | None, left: list, right: list) -> set[tuple[bytes, bytes]]:
         found = set()
         if not left or not right:
             return found
         x, y = (np.frombuffer(b"".join(r[3] for r in side), np.uint8).reshape(len(side), -1) for side in (left, right))
         sizes, roots = np.array([r[2] for r in right]), np.array([r[1] for r in right], dtype=object)
-        for r, sig in zip(left, x):
-            ok = ((y == sig).sum(1) >= least) & (100 * np.minimum(sizes, r[2]) >= percent * np.maximum(sizes, r[2]))
-            for i in np.flatnonzero(ok):
-                if roots[i] != r[1]:
-                    found.add((max(r[0], right[i][0]), min(r[0], right[i][0])))
+        a, b = (np.array([r[4] for r in side], np.int64) for side in (left, right))
+        for r, sig, own in zip(left, x, a):
+            near = np.flatnonzero((100 * np.minimum(sizes, r[2]) >= percent * np.maximum(sizes, r[2])) & (roots != r[1]))
+            near = near[(y[near] == sig).sum(1) >= least]
+            both = b[near] == own
+            for i in near[own[both.argmax(1)] == key[0]] if len(near) else ():  # in the first of the pair's buckets only
+                found.add((max(r[0], right[i][0]), min(r[0], right[i][0])))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +243,15 @@ def _blocks(members: DataFrame, least: int, percent: int) -> DataFrame:
         for b in batches:
             for k, i, j, side, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if (k, i, j) != key:
-                    yield out(meet(left, right))
+                    yield out(meet(key, left, right))
                     key, left, right = (k, i, j), [], []
                 (right if side else left).append(row)
                 if len(right) >= BLOCK:  # the left side of a block comes first
-                    yield out(meet(left, right))
+                    yield out(meet(key, left, right))
                     right = []
-        yield out(meet(left, right))
+        yield out(meet(key, left, right))
 
-    spark = members.sparkSession
+    spark = rows.sparkSession
     return (
         own.unionByName(other)
         .repartition(partitions(spark), "key", "i", "j")
@@ -289,7 +313,9 @@ def near_duplicates(
     first = scratch.save(components(linked, scratch, "first"), "roots-first")
 
     placed = members.select("key", "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _blocks(placed.join(sig, "node"), least, percent)
+    inside = scratch.save(_mixed(placed), "inside")
+    long = scratch.save(_long_signatures(texts.join(inside.select("node").distinct(), "node"), k), "long")
+    rest = _blocks(inside.join(nodes.select("node", "size", "keys"), "node").join(long, "node"), percent)
     done = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     rest = scratch.save(rest.join(done, ["u", "v"], "left_anti"), "rest")
     more = scratch.save(_confirmed(rest, texts, k, percent), "more")
@@ -303,7 +329,7 @@ def near_duplicates(
     )
     least_of = scratch.save(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = scratch.save(named.join(least_of, "root").select("node", "component_id"), "named")
-    scratch.drop("nodes", "members", "star", "texts", "linked", "rest", "more", "least", "roots-first", "roots")
+    scratch.drop("nodes", "members", "star", "texts", "linked", "inside", "long", "rest", "more", "least", "roots-first", "roots")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return sketched.join(named, "node", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
