@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from realty_spark.llm.words import slices
 
-#: Entries after which a worker's table of words starts anew: some 120 MB.
-MAX_ENTRIES = 600_000
+#: Entries after which a worker's table of words starts anew: some 80 MB.
+MAX_ENTRIES = 400_000
 #: The rank of pairs that are not merged.
 NONE = np.iinfo(np.int32).max
 
@@ -180,6 +180,10 @@ class ForcedBoundaryBpe:
                 if self.decoding:
                     self.shown[w] = self.decode(ids.tolist())
 
+    def forget(self) -> None:
+        """Empty the tables: a worker that has ended a task holds no memory that its next one, of any kind, may need."""
+        self.ids, self.shown = {}, {}
+
     def split(self, text: str) -> list[str]:
         """Normalised words without white space, and added tokens after a space."""
         out, at = [], 0
@@ -283,6 +287,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", id_c
                     ],
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        bpe.forget()
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS body")
     kind = rows.schema["doc_id"].dataType.simpleString()

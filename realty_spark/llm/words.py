@@ -125,7 +125,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def slices(batch: pa.RecordBatch, col: int, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, col: int, limit: int = 2 << 20):
     """Runs of rows of a batch whose texts have about ``limit`` bytes together, one row at least."""
     _, offsets = utf8_column(batch.column(col))
     a = 0
