@@ -1,22 +1,24 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-A text is read as `` w1 w2 ... wn \\n``: lower-cased words, a space before each and after the last, then the end.  The context of a byte
-is that of the ORDER bytes before it that reach back to the last space, so what a word costs depends on the word
-alone, and the trie is trained and applied once per distinct word.  Estimation is by method C with symbol exclusion: in a context with
+A text is read byte by byte, A-Z lower-cased and white space as it stands, from START to STOP.  The context of a byte is that of the
+ORDER bytes before it, whatever they are (``across``); without ``across`` a text is `` w1 w2 ... wn \\n`` and contexts reach back
+to the last space only.  Estimation is by method C with symbol exclusion: in a context with
 N occurrences of D different bytes, a byte seen n times has n / (N + D) and the escape to the next shorter context D / (N + D), where
 bytes already offered by the longer context are left out of N and D; last comes a uniform choice among bytes never seen.
 
 The trie is a table of (context, byte) with counts, spread over tasks by the last two bytes of the context, which keeps a
 context and its suffixes down to order 2 together; orders 1 and 0 are at most 256 x 256 numbers and go to all.
-Likewise frequent words and frequent (context, byte) pairs, those with a fixed share of all training tokens or bytes and so
-bounded in number, are looked up in tasks; all others are joined by shuffle.
+Frequent words and frequent (context, byte) pairs, those with a fixed share of all training tokens or bytes and so
+bounded in number, are looked up in tasks.  All other words are joined by shuffle; the other pairs of some texts go in one packed
+row for each bucket of keys to the task that has the costs of that bucket.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from realty_spark.llm.shared import Scratch, partitions
-from realty_spark.llm.words import slices
+from realty_spark.llm.words import mix, slices
 
 ORDER = 6
 #: Words with one in so many training tokens are held by every worker; there are at most so many.
 FREQUENT_WORDS = 250_000
 #: The same for (context, byte) pairs.
 FREQUENT_PAIRS = 100_000
+#: The same for pairs whose contexts reach over words, which are spread more evenly.
+ACROSS_PAIRS = 4_000_000
+#: Bytes that are read at once, and pairs that a task counts before it hands them on.
+PIECE, MOST_PAIRS = 1 << 20, 1 << 20
 END = b""
+#: Of bytes that UTF-8 never has.
+START, STOP = b"\xff" * ORDER, b"\xfe"
 _SPACE, _NEWLINE = 0x20, 0x0A
 
 
@@ -58,14 +66,60 @@ def pair_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], sizes
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def pieces(text: str | None) -> Iterator[bytes]:
+    """The text from START to STOP in pieces, each with the ORDER bytes before it."""
+    whole = START + (text or "").encode().lower() + STOP
+    for a in range(0, len(whole) - ORDER, PIECE):
+        yield whole[a : a + PIECE + ORDER]
+
+
+def running_keys(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of keys of each piece): for each byte after a piece's first ORDER the byte in the lowest 8 bits, above it the
+    ORDER bytes before it."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    keys = raw[ORDER:].astype(np.int64)
+    for j in range(1, ORDER + 1):
+        keys |= raw[ORDER - j : len(raw) - j].astype(np.int64) << (8 * j)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    keep = np.ones(len(raw), bool)
+    keep[((np.cumsum(sizes) - sizes)[:, None] + np.arange(ORDER)).ravel()] = False
+    return keys[keep[ORDER:]], sizes - ORDER
+
+
+def blocks(texts: list[str | None], across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, own, keys): the keys of some texts, where ``first + own`` is the number of each key's text and own < 256.
+    A text may go on in the next block."""
+
+    def read() -> tuple[int, np.ndarray, np.ndarray]:
+        if across:
+            keys, sizes = running_keys(held)
+        else:
+            keys, sizes = pair_keys([w for part in held for w in part])
+            sizes = np.add.reduceat(sizes, np.cumsum([0, *map(len, held[:-1])]))
+        return of[0], np.repeat(np.array(of) - of[0], sizes), keys
+
+    of, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for part in pieces(text) if across else [[*tokens(text), END]]:
+            n = len(part) if across else len(text or "") + 2
+            if of and (size + n > PIECE or i - of[0] > 255):
+                yield read()
+                of, held, size = [], [], 0
+            of.append(i)
+            held.append(part)
+            size += n
+    if of:
+        yield read()
+
+
+def code_lengths(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, across: bool = False) -> np.ndarray:
     """log10 probability of each key's byte in its context.
 
     ``keys`` have with a context all others that share its last two bytes; ``ones[a, b]``: count of byte b after byte a, over all.
     """
     symbol, context = keys & 0xFF, keys >> 8
     length = np.full(len(keys), ORDER)
-    for k in range(1, ORDER):
+    for k in range(1, 1 if across else ORDER):
         length[context >> (8 * (k - 1)) == _SPACE] = k
     zeros = np.zeros(len(keys))
     n, total, kinds, left_out = ({} for _ in range(4))
@@ -124,110 +178,221 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pairs(words: DataFrame) -> DataFrame:
-    """key, n of all (context, byte) pairs of the distinct words, with those that no training text has at 0."""
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of n."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keys, sizes = pair_keys(b.column(0).to_pylist())
-                own, which = np.unique(keys, return_inverse=True)
-                n = np.zeros(len(own), np.int64)
-                np.add.at(n, which, np.repeat(b.column(1).to_numpy(), sizes))
-                yield pa.record_batch([pa.array(own), pa.array(n)], ["key", "n"])
-
-    return words.select("word", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def _pairs(docs: DataFrame, across: bool) -> DataFrame:
+    """key, n of all (context, byte) pairs of (text, held_out), with those that no training text has at 0."""
 
-def _costed(pairs: DataFrame, ones: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
+        got, size = [(none, none)], 0
+
+        def tables() -> Iterator[pa.RecordBatch]:
+            own, n = _added(*map(np.concatenate, zip(*got)))
+            for a in range(0, len(own), 1 << 17):
+                yield pa.record_batch([pa.array(x[a : a + (1 << 17)]) for x in (own, n)], ["key", "n"])
+
+        for b in (part for whole in batches for part in slices(whole, 0)):
+            held = np.array(b.column(1).to_pylist(), bool)
+            for first, own, keys in blocks(b.column(0).to_pylist(), across):
+                learnt = ~held[first + own]
+                others = np.unique(keys[~learnt])
+                got += [np.unique(keys[learnt], return_counts=True), (others, np.zeros(len(others), np.int64))]
+                size += len(got[-2][0]) + len(others)
+                if size > 2 * MOST_PAIRS:
+                    got = [_added(*map(np.concatenate, zip(*got)))]
+                    size = len(got[0][0])
+                    if size > MOST_PAIRS:
+                        yield from tables()
+                        got, size = [(none, none)], 0
+        yield from tables()
+
+    return docs.select("text", "held_out").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _costed(pairs: DataFrame, ones: np.ndarray, across: bool) -> DataFrame:
     """key, n, cost of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
             keys, n = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 1))
-            yield pa.record_batch([pa.array(keys), pa.array(n), pa.array(code_lengths(keys, n, ones))], ["key", "n", "cost"])
+            yield pa.record_batch([pa.array(keys), pa.array(n), pa.array(code_lengths(keys, n, ones, across))], ["key", "n", "cost"])
 
     suffix = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
     return pairs.repartition(partitions(pairs.sparkSession), suffix).mapInArrow(run, "key long, n long, cost double")
 
 
-def _word_costs(words: DataFrame, costs: DataFrame, hot_keys: np.ndarray, hot_costs: np.ndarray) -> DataFrame:
-    """word, n, cost: the sum of its pairs' costs."""
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
-    def part(rest: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                keys, sizes = pair_keys(b.column(0).to_pylist())
-                at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
-                hit = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
-                if rest:
-                    own = np.repeat(np.arange(b.num_rows), sizes)[~hit]
-                    yield pa.record_batch([b.column(0).take(pa.array(own)), pa.array(keys[~hit])], ["word", "key"])
-                else:
-                    cost = np.where(hit, hot_costs[at] if len(hot_keys) else 0.0, 0.0)
-                    cost = np.add.reduceat(cost, np.cumsum(sizes) - sizes)
-                    yield pa.record_batch([b.column(0), b.column(1), pa.array(cost)], ["word", "n", "cost"])
 
-        return run
+def _packed(keys: np.ndarray, own: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """12 rows of bytes: 7 of the keys, one of ``own``, 4 of ``times``; bytes of one place side by side compress well."""
+    planes = np.empty((12, len(keys)), np.uint8)
+    planes[:7] = keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :7].T
+    planes[7] = own
+    planes[8:] = times.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return planes
 
-    own = words.select("word", "n").mapInArrow(part(False), "word binary, n long, cost double")
-    rare = words.select("word", "n").mapInArrow(part(True), "word binary, key long").join(costs.select("key", "cost"), "key")
-    both = own.unionByName(rare.select("word", F.lit(0).cast("long").alias("n"), "cost"))
-    return both.groupBy("word").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
 
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(12, -1)
+    keys, times = np.zeros((planes.shape[1], 8), np.uint8), np.empty((planes.shape[1], 4), np.uint8)
+    keys[:, :7], times[:] = planes[:7].T, planes[8:].T
+    return keys.view("<i8").ravel(), planes[7], times.view("<u4").ravel()
 
-def _read(docs: DataFrame, hot: list[bytes], base: np.ndarray, cost: np.ndarray, known: np.ndarray) -> DataFrame:
-    """Per row of (doc_id, text, held_out): row, doc_id, held_out, n_tokens, the sums over frequent words, and the other
-    words with their counts.  ``row`` numbers the rows of the table that this is written to."""
+
+def _read(docs: DataFrame, words: dict[bytes, int], base: np.ndarray, pairs: np.ndarray, costs: np.ndarray, buckets: int, across: bool) -> DataFrame:
+    """Per row of (doc_id, text, held_out): row, doc_id, held_out, n_tokens, the sums over frequent words and pairs, and the other
+    words with their counts.  ``row`` numbers the rows of the table that this is written to.  Between them rows with a bucket: the
+    other pairs of the 256 rows from ``row`` on that fall into it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"row long, doc_id {kind}, held_out boolean, n_tokens long, base double, score double, known long, words array<binary>, counts array<int>, "
+        "bucket int, pairs binary"
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def sums(texts: list[str | None], row: int) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+        score, rest = np.zeros(len(texts)), []
+        for first, own, keys in blocks(texts, across):
+            both, times = np.unique(keys.astype(np.uint64) << np.uint64(8) | own.astype(np.uint64), return_counts=True)
+            own, keys = (both & np.uint64(0xFF)).astype(np.int64), (both >> np.uint64(8)).astype(np.int64)
+            new = np.append(True, keys[1:] != keys[:-1])
+            which, keys = np.cumsum(new) - 1, keys[new]
+            hit = np.zeros(len(keys), bool)
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+                hit = pairs[at] == keys
+                part = np.bincount(own, np.where(hit, costs[at], 0.0)[which] * times)
+                score[first : first + len(part)] += part
+            rare = np.flatnonzero(~hit[which])
+            bucket = np.where(hit, 0, _bucket(keys, buckets))[which[rare]]
+            order = np.argsort(bucket, kind="stable")
+            keys, own, times = keys[which[rare]], own[rare], times[rare]
+            planes = _packed(keys[order], own[order], times[order])
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+            rest += [(k, row + first, zlib.compress(planes[:, a:b].tobytes(), 1)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        return score, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(hot)}
-        values = np.append(np.stack([base, cost, known], 1), [[0.0, 0.0, 0.0]], 0) if len(hot) else np.zeros((1, 3))
+        value = np.append(base, 0.0)
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, 1):
-                sums, sizes, words, counts, at = [], [], [], [], [0]
-                for text in batch.column(1).to_pylist():
+                bases, sizes, known, others, counts, at = [], [], [], [], [], [0]
+                texts = batch.column(1).to_pylist()
+                for text in texts:
                     own = tokens(text)
                     own.append(END)
-                    which = np.fromiter(map(number.get, own, repeat(-1)), np.int64, len(own))
-                    sums.append(values[which].sum(0))
+                    which = np.fromiter(map(words.get, own, repeat(-1)), np.int64, len(own))
+                    bases.append(value[which].sum())
                     sizes.append(len(own))
                     rest = Counter([own[i] for i in np.flatnonzero(which < 0).tolist()])
-                    words += rest.keys()
+                    known.append(len(own) - rest.total())
+                    others += rest.keys()
                     counts += rest.values()
-                    at.append(len(words))
-                sums = np.array(sums)
+                    at.append(len(others))
+                score, packed = sums(texts, row)
                 offsets = pa.array(at, pa.int32())
+                n = len(texts)
                 yield pa.record_batch(
                     [
-                        pa.array(np.arange(row, row + len(sizes))),
+                        pa.array(np.arange(row, row + n)),
                         batch.column(0),
                         batch.column(2),
                         pa.array(sizes, pa.int64()),
-                        *(pa.array(sums[:, j]) for j in range(3)),
-                        pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary())),
+                        pa.array(bases, pa.float64()),
+                        pa.array(score),
+                        pa.array(known, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(others, pa.binary())),
                         pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
+                        pa.nulls(n, pa.int32()),
+                        pa.nulls(n, pa.binary()),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "base", "score", "known", "words", "counts"],
+                    names,
                 )
-                row += len(sizes)
+                row += n
+                for i in range(0, len(packed), 1024):
+                    buckets_, rows, blobs = zip(*packed[i : i + 1024])
+                    nulls = [pa.nulls(len(rows), t) for t in (batch.column(0).type, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+                    lists = [pa.nulls(len(rows), pa.list_(t)) for t in (pa.binary(), pa.int32())]
+                    yield pa.record_batch([pa.array(rows, pa.int64()), *nulls, *lists, pa.array(buckets_, pa.int32()), pa.array(blobs, pa.binary())], names)
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "held_out").mapInArrow(
-        run,
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, base double, score double, known double, words array<binary>, counts array<int>",
-    )
 
+def _cost_rows(costs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, row (-1), pairs: keys and costs of (key, cost) that fall into the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append([b.column(c).to_numpy() for c in (0, 1)])
+                size += b.num_rows
+            if size > 1 << 20 or b is None and size:
+                keys, cost = map(np.concatenate, zip(*held))
+                bucket = _bucket(keys, buckets)
+                order = np.argsort(bucket, kind="stable")
+                both = np.stack([keys, cost.view(np.int64)])[:, order]
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+                got = [(k, both[:, a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+                yield pa.record_batch([pa.array([k for k, _ in got], pa.int32()), pa.array(np.full(len(got), -1)), pa.array([x for _, x in got], pa.binary())], ["bucket", "row", "pairs"])
+                held, size = [], 0
+
+    return costs.select("key", "cost").mapInArrow(run, "bucket int, row long, pairs binary")
+
+
+def _pair_sums(pairs: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
+    """row, more: the costs of packed pairs, added up for each row in each task."""
 
-def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, table, keys, cost = None, [], None, None
+        rows, sums, size = [], [], 0
+        for b in chain(batches, [None]):
+            for k, first, blob in zip(*(b.column(c).to_pylist() for c in range(3))) if b is not None else ():
+                if k != bucket:
+                    bucket, table, keys = k, [], None
+                if first < 0:
+                    table.append(np.frombuffer(blob, np.int64).reshape(2, -1))
+                    continue
+                if keys is None:
+                    keys, cost = np.concatenate(table, 1)
+                    order = np.argsort(keys)
+                    keys, cost = keys[order], cost[order].view(np.float64)
+                    table = []
+                own_keys, own, times = _unpacked(blob)
+                part = np.bincount(own, cost[np.searchsorted(keys, own_keys)] * times)
+                which = np.flatnonzero(np.bincount(own))
+                rows.append(first + which)
+                sums.append(part[which])
+                size += len(which)
+            if size > 1 << 20 or b is None and size:
+                got, which = np.unique(np.concatenate(rows), return_inverse=True)
+                rows, sums = [got], [np.bincount(which, np.concatenate(sums))]
+                size = len(got)
+                if size > 1 << 19 or b is None:
+                    yield pa.record_batch([pa.array(rows[0]), pa.array(sums[0])], ["row", "more"])
+                    rows, sums, size = [], [], 0
+
+    both = _cost_rows(costs, buckets).unionByName(pairs.select("bucket", "row", "pairs"))
+    return both.repartition(partitions(pairs.sparkSession), "bucket").sortWithinPartitions("bucket", "row").mapInArrow(run, "row long, more double")
+
+
+def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", across: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out``: a condition on the columns of ``docs``; rows for which it is true are scored and not learnt from (null: false).
-    score: log10 probability of the whole text.  base_score: the sum over tokens of log10((c + 1) / (N + V + 1)).  A null
+    score: log10 probability of the whole text; with ``across`` of all its bytes, white space included, by contexts that reach over
+    words, else of its words, each by itself.  base_score: the sum over tokens of log10((c + 1) / (N + V + 1)).  A null
     or empty text is its end alone.  Null and repeated ids are carried and repeated rows count each; with nothing to learn from all
     bytes are equally likely; an empty table gives an empty result; other columns are not read.
     """
@@ -237,38 +402,44 @@ def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_co
     words = scratch.save(_counted(rows), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 
-    pairs = scratch.save(_pairs(words), "pairs")
+    pairs = scratch.save(_pairs(rows, across), "pairs")
     ones = np.zeros((256, 256), np.int64)
     for r in pairs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n").alias("n")).collect():  # 65,536 at most
         ones[r["k"] >> 8, r["k"] & 0xFF] = r["n"]
-    costs = scratch.save(_costed(pairs, ones), "costs")
-    hot = costs.filter(F.col("n") > int(ones.sum()) // FREQUENT_PAIRS).select("key", "cost").toPandas().sort_values("key")
-    by_word = scratch.save(_word_costs(words, costs, hot["key"].to_numpy(np.int64), hot["cost"].to_numpy(np.float64)), "by-word")
-    scratch.drop("words", "pairs", "costs")
+    costs = scratch.save(_costed(pairs, ones, across), "costs")
+    scratch.drop("pairs")
+    scratch.free()
+    often = F.col("n") > int(ones.sum()) // (ACROSS_PAIRS if across else FREQUENT_PAIRS)
+    hot = costs.filter(often).select("key", "cost").toArrow().sort_by("key")
+    buckets = 4 * partitions(spark)
 
     base = F.log10((F.col("n") + 1) / F.lit(float(total + kinds + 1)))
-    frequent = by_word.filter(F.col("n") > total // FREQUENT_WORDS).select("word", base.alias("base"), "cost").toPandas()
+    frequent = words.filter(F.col("n") > total // FREQUENT_WORDS).select("word", base.alias("base")).toPandas()
+    number = {bytes(w): i for i, w in enumerate(frequent["word"])}
     read = scratch.save(
-        _read(rows, [bytes(w) for w in frequent["word"]], frequent["base"].to_numpy(np.float64), frequent["cost"].to_numpy(np.float64), np.ones(len(frequent))),
+        _read(rows, number, frequent["base"].to_numpy(np.float64), hot["key"].to_numpy(), hot["cost"].to_numpy(), buckets, across),
         "read",
     )
-    rare = read.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
-    sums = (
-        rare.join(by_word, "word")
-        .groupBy(F.col("row").alias("r"))
-        .agg(
-            F.sum(F.col("times") * base).alias("more_base"),
-            F.sum(F.col("times") * F.col("cost")).alias("more_score"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        )
-    )
+    texts = read.filter("bucket IS NULL")
     zero = F.lit(0)
-    return read.join(sums, F.col("row") == F.col("r"), "left").select(
+    rare = texts.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
+    of_words = (
+        rare.join(words, "word")
+        .groupBy("row")
+        .agg(F.sum(F.col("times") * base).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
+        .withColumn("more", F.lit(0.0))
+    )
+    of_words = scratch.save(of_words, "word-sums")
+    scratch.free()
+    of_pairs = _pair_sums(read.filter("bucket IS NOT NULL"), costs.filter(~often), buckets)
+    of_pairs = of_pairs.select("row", F.lit(0.0).alias("more_base"), zero.cast("long").alias("more_known"), "more")
+    sums = of_words.unionByName(of_pairs).groupBy(F.col("row").alias("r")).agg(*(F.sum(c).alias(c) for c in ("more_base", "more_known", "more")))
+    return texts.join(sums, F.col("row") == F.col("r"), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known").cast("long") + F.coalesce("more_known", zero)).alias("n_known"),
+        (F.col("known") + F.coalesce("more_known", zero)).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
+        (F.col("score") + F.coalesce("more", zero)).alias("score"),
     )

@@ -132,6 +132,46 @@ def test_ppm(spark, monkeypatch):
             assert r.score == pytest.approx(sum(cost(x, y) for w in ws for x, y in pairs(w)))
 
 
+@pytest.mark.parametrize("frequent, piece", [(4_000_000, 1 << 20), (50, 64)])
+def test_ppm_reads_over_words(spark, monkeypatch, frequent, piece):
+    monkeypatch.setattr(ppm, "ACROSS_PAIRS", frequent)
+    monkeypatch.setattr(ppm, "PIECE", piece)
+    rows = [*corpus(), (300, "the rain on the hill\nfalls on"), (301, "on hill falls rain the\non the"), (302, "the rain on the hill falls on")]
+    held = {i: i % 7 == 2 or i > 300 for i, _ in rows}
+    got = {r.doc_id: r for r in ppm.score_texts(frame(spark, rows), F.expr("doc_id % 7 = 2 OR doc_id > 300"), across=True).collect()}
+    docs = {i: b"\xff" * ppm.ORDER + (t or "").encode().lower() + b"\xfe" for i, t in rows}
+    trie = collections.defaultdict(collections.Counter)
+    for i, s in docs.items():
+        for p in range(ppm.ORDER, 0 if held[i] else len(s)):
+            for k in range(ppm.ORDER + 1):
+                trie[s[p - k : p]][s[p]] += 1
+
+    def cost(ctx, s):
+        out, left_out = 0.0, set()
+        for k in range(len(ctx), -1, -1):
+            own = {x: n for x, n in trie.get(ctx[len(ctx) - k :], {}).items() if x not in left_out}
+            if own and s in own:
+                return out + math.log10(own[s] / (sum(own.values()) + len(own)))
+            if own:
+                out += math.log10(len(own) / (sum(own.values()) + len(own)))
+                left_out |= set(own)
+        return out - math.log10(256 - len(left_out))
+
+    for i, s in docs.items():
+        assert got[i].score == pytest.approx(sum(cost(s[p - ppm.ORDER : p], s[p]) for p in range(ppm.ORDER, len(s))))
+    assert got[300].score > got[301].score + 1 and got[300].score != got[302].score
+    assert got[301].base_score == pytest.approx(got[302].base_score)
+
+
+def test_ppm_query_tells_order(spark, tmp_path):
+    from realty_spark.llm.queries import op2_ppm
+
+    rows = [*corpus(), (200, "a bc\nd ef"), (201, "ef d bc a"), (202, "a bc d ef")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in op2_ppm(spark, str(tmp_path)).collect()}
+    assert len({got[200], got[201], got[202]}) == 3
+
+
 def test_ppm_sums_to_one():
     words_ = [b"the", b"then", b"a", b"", b"on"]
     keys, sizes = ppm.pair_keys(words_)
