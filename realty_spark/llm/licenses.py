@@ -1,6 +1,7 @@
 """Licence scan: TF-IDF cosine of notices to templates, then inheritance from the nearest directory; DataFrame functions only.
 
-A file's notices are its lines that speak of a licence, and for a licence file its whole text.  Equal notices are scored once.
+A file's notices are its lines that speak of a licence, and for a licence file its whole text.  Its paragraphs, first comments and,
+for a licence file, its whole text are held against licence texts and headers as well.  Equal notices are scored once.
 A file without a licence of its own takes that of a licence file in its directory, else in the nearest one above;
 ancestors are joined by path, for each directory once.
 """
@@ -18,6 +19,10 @@ from realty_spark.llm.shared import Scratch
 
 #: Lines that are looked at.
 NOTICE = r"(?i)(licen[cs]e|copyright|all rights reserved|public domain)"
+#: Blocks that are looked at.
+WORDING = r"(?i)(licen[cs]e|public domain|redistribution and use|permission to use|permission is hereby granted)"
+#: What texts of other licences say as well.
+RESERVED = "proprietary"
 #: File names of licences for a directory.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 LEAST_SCORE = 0.7
@@ -40,6 +45,59 @@ TEMPLATES = [
     ("proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 ]
 
+_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in "
+    "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+    "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_CLAUSE = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS "
+    "OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: The same for whole licence texts, their paragraphs and titles, and headers of several lines.
+TEXTS = [
+    ("MIT", _MIT),
+    ("MIT", "MIT License. " + _MIT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
+    ("BSD-2-Clause", _BSD + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD + _CLAUSE + _BSD_WARRANTY),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: Lines of comments; a file's first ones are read as one block.
+COMMENT = r"^\s*(#|//|/?[*]|--|;|%|<!--|\"\"\"|$)"
+
 
 def terms(text: str) -> list[str]:
     return [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
@@ -95,13 +153,39 @@ def scored(notices: DataFrame, templates: list[tuple[str, str]], least: float) -
     return best.select("digest", "b.license", "b.score").filter(F.col("score") >= least)
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """path, digest, notice: paragraphs that speak of a licence or of permission, the first lines of comments, and licence files."""
+    lines = F.split("text", "\n")
+    code = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False)
+    head = F.array_join(F.when(code == 0, lines).otherwise(F.slice(lines, 1, F.greatest(code.cast("int") - 1, F.lit(0)))), "\n")
+    whole = F.when(F.substring_index("path", "/", -1).rlike(LICENSE_FILE), F.col("text"))
+    found = F.array_union(F.split("text", "\n(?:[^A-Za-z0-9\n]*\n)+"), F.array(head, whole))
+    return (
+        rows.filter(F.col("text").rlike(WORDING))
+        .select("path", F.explode(F.filter(found, lambda x: x.rlike(WORDING))).alias("notice"))
+        .withColumn("digest", F.sha2("notice", 256))
+    )
+
+
+def _best(notices: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """p, own_license, own_score: of each path's best notice."""
+    return (
+        notices.select("path", "digest").distinct().join(scored(notices, templates, least), "digest")
+        .groupBy(F.col("path").alias("p"))
+        .agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+        .select("p", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    )
+
+
 def license_scan(
-    files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_SCORE
+    files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_SCORE,
+    texts: list[tuple[str, str]] = TEXTS,
 ) -> DataFrame:
     """One row per row of ``files``: path, own_license, own_score, license, origin (own, inherited, none), license_dir.
 
     A notice has the licence of its best template, ties going to the earlier one; a file that of its best notice, ties going to the
-    first name.  In a directory with several
+    first name.  Blocks (paragraphs, the first lines of comments, a licence file as a whole) are scored against ``texts`` likewise; they
+    count where no line has a licence or only one that reserves all rights, as texts of other licences do too.  In a directory with several
     licence files the highest score counts, then the first name.  A null or empty text has no notice; rows that repeat
     a path are versions of one file with one answer, and so are all null paths, which lie in no directory.  An
     empty table gives an empty result; other columns are not read.
@@ -114,12 +198,15 @@ def license_scan(
         .select("path", F.explode(F.when(name.rlike(LICENSE_FILE), F.array_append(lines, F.col("text"))).otherwise(lines)).alias("notice"))
         .withColumn("digest", F.sha2("notice", 256))
     )
-    notices = Scratch(files.sparkSession, "licenses").save(notices, "notices")
-    own = (
-        notices.select("path", "digest").distinct().join(scored(notices, templates, least), "digest")
-        .groupBy(F.col("path").alias("p"))
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-        .select("p", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    scratch = Scratch(files.sparkSession, "licenses")
+    notices = scratch.save(notices, "notices")
+    by_line = _best(notices, templates, least)
+    by_text = _best(scratch.save(blocks(rows), "blocks"), texts, least).select(F.col("p").alias("q"), F.col("own_license").alias("of_text"), F.col("own_score").alias("text_score"))
+    of_line = F.col("own_license").isNotNull() & ((F.col("own_license") != RESERVED) | F.col("of_text").isNull())
+    own = by_line.join(by_text, F.col("p").eqNullSafe(F.col("q")), "full").select(
+        F.coalesce("p", "q").alias("p"),
+        F.when(of_line, F.col("own_license")).otherwise(F.col("of_text")).alias("own_license"),
+        F.when(of_line, F.col("own_score")).otherwise(F.col("text_score")).alias("own_score"),
     )
     held = (
         own.filter(F.substring_index("p", "/", -1).rlike(LICENSE_FILE))

@@ -328,6 +328,32 @@ def test_licenses(spark):
     }
 
 
+def test_license_texts(spark):
+    L = licenses
+    lines = lambda t, sign="": "\n".join(sign + " ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
+    gpl3 = dict((n, t) for n, t in L.TEXTS if t.startswith("This program") and n == "GPL-3.0")["GPL-3.0"]
+    more = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."
+    mit = "MIT License\n\nCopyright (c) 2021 Jane Example\n\n" + lines(L._MIT) + "\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n" + lines(L._WARRANTY)
+    bsd = "Copyright (c) 2019, Example Org\nAll rights reserved.\n\n"
+    three = L._CLAUSE.replace("the copyright holder", "Example Org")
+    rows = [
+        ("m/LICENSE", mit), ("m/x.py", "code"),
+        ("b/LICENSE", bsd + "\n\n".join(map(lines, (L._BSD, three, L._BSD_WARRANTY)))), ("b/x.py", "code"),
+        ("two/COPYING", bsd + "\n\n".join(map(lines, (L._BSD, L._BSD_WARRANTY)))),
+        ("g/a.c", "/*\n * Copyright (C) 2020 Jane Example\n *\n" + lines(gpl3, " * ") + "\n *\n" + lines(more, " * ") + "\n */\nint main;"),
+        ("h/a.py", "# Copyright 2020 Jane Example\n" + lines(gpl3, "# ") + "\nimport os\n"),
+        ("g/COPYING", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + "The GNU General Public License is a free, copyleft license for software and other kinds of works.\n\n" * 3),
+        ("a/LICENSE", "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n 1. Definitions.\n"), ("a/x", None),
+        ("r/x", "All rights reserved."), ("n/x", "one may not speak of a license here"),
+    ]
+    got = {r.path: (r.license, r.origin) for r in L.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "m/LICENSE": ("MIT", "own"), "m/x.py": ("MIT", "inherited"), "b/LICENSE": ("BSD-3-Clause", "own"), "b/x.py": ("BSD-3-Clause", "inherited"),
+        "two/COPYING": ("BSD-2-Clause", "own"), "g/a.c": ("GPL-3.0", "own"), "h/a.py": ("GPL-3.0", "own"), "g/COPYING": ("GPL-3.0", "own"),
+        "a/LICENSE": ("Apache-2.0", "own"), "a/x": ("Apache-2.0", "inherited"), "r/x": ("proprietary", "own"), "n/x": (None, "none"),
+    }
+
+
 @pytest.mark.parametrize("block", [2048, 2])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
