@@ -163,6 +163,14 @@ def test_ppm_reads_over_words(spark, monkeypatch, frequent, piece):
     assert got[301].base_score == pytest.approx(got[302].base_score)
 
 
+@pytest.mark.parametrize("within", [{}, {"across": True}])
+def test_ppm_long_word(spark, within):
+    r = random.Random(9)
+    text = "".join(r.choice("bcdfghjklmnpqrstvwxyz0123456789") for _ in range(60_000))
+    got = ppm.score_texts(frame(spark, [(1, text)]), F.lit(True), **within).first()
+    assert got.n_tokens == 2 and got.score == pytest.approx(-(60_001 if within else 60_002) * math.log10(256))
+
+
 def test_ppm_query_tells_order(spark, tmp_path):
     from realty_spark.llm.queries import op2_ppm
 
