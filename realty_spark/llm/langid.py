@@ -2,7 +2,8 @@
 
 One model per language, fitted by one task per language on a bounded sample of labelled texts and kept as sorted arrays of
 n-gram keys.  A text gets the language with the least cross-entropy per character; how far it may lie above what texts of
-that language usually have is calibrated on labelled texts outside the counts, and texts beyond are rejected.
+that language usually have is calibrated on labelled texts outside the counts, and texts beyond are rejected.  Texts are read in small
+runs, and of a long text a stretch of characters at a time, so a worker's memory does not grow with them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ MARGIN = 1.5
 UNDETERMINED = "und"
 #: Characters that count for the score at most, so that long texts don't all score 1 to the last digit.
 SCORED = 200
+#: Characters of texts that are read at once, and of them those whose probabilities are held at once.
+READ, STEP = 1 << 17, 1 << 15
 _SPACE = 32
 
 
@@ -157,11 +162,17 @@ class Identifier:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy per character and language, mean square of it, predicted characters, letters) of each text."""
         chars, at, letters = characters(texts)
-        logs = self.logs(gram_keys(chars, ORDER), ORDER)
-        logs[~_predicted(at, len(chars))] = 0
-        n = np.diff(at) - (ORDER - 1)
-        sums = np.add.reduceat(logs, at[:-1], axis=0, dtype=np.float64)
-        squares = np.add.reduceat(logs * logs, at[:-1], axis=0, dtype=np.float64)
+        ok = _predicted(at, len(chars))
+        sums, squares = np.zeros((2, len(texts), len(self.langs)))
+        for a in range(0, len(chars), STEP):
+            b, back = min(a + STEP, len(chars)), min(a, ORDER - 1)
+            logs = self.logs(gram_keys(chars[a - back : b], ORDER)[back:], ORDER)
+            logs[~ok[a:b]] = 0
+            first, last = int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b, "left"))
+            starts = np.maximum(at[first:last], a) - a
+            sums[first:last] += np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
+            squares[first:last] += np.add.reduceat(logs * logs, starts, axis=0, dtype=np.float64)
+        n = np.maximum(np.diff(at) - (ORDER - 1), 1)
         return -sums / n[:, None], squares / n[:, None], n, letters
 
     def excess(self, entropy: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -169,12 +180,15 @@ class Identifier:
         return (entropy - self.mean[lang]) / (self.spread[lang] * (1 / np.sqrt(n) + 0.05))
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
+        """Mean, spread and limit from labelled texts; those that another language fits better are taken for mislabelled and left out."""
         got = []
         for k, lang in enumerate(self.langs):
             if not (own := [t for t in texts.get(lang, []) if t]):
                 continue
             entropy, square, n, letters = self.entropies(own)
             e, q, ok = entropy[:, k], square[:, k], letters > 0
+            if (told := ok & (entropy.argmin(1) == k)).any():
+                ok = told
             if not ok.any():
                 continue
             self.mean[k] = np.average(e[ok], weights=n[ok])
@@ -235,18 +249,17 @@ def identified(model: Identifier, text: Column, spark) -> Column:
     """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            outs, i, rows = [], 0, texts.tolist()
-            while i < len(rows):
-                j, size = i, 0
-                while j < len(rows) and (j == i or size < 1 << 20):
-                    size += len(rows[j] or "")
-                    j += 1
-                outs.append(pd.DataFrame(dict(zip(("lang_pred", "score", "rejected"), shared.value.predict(rows[i:j])))))
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            outs, i = [], 0
+            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False))])
+            while i < len(part):
+                j = max(i + 1, int(np.searchsorted(size, size[i] + READ, "right")) - 1)
+                lang, score, rejected = shared.value.predict(part[i:j].to_pylist())
+                outs.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"]))
                 i = j
-            yield pd.concat(outs) if outs else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
+            yield pa.concat_arrays(outs) if outs else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
 
     return predict(text)
 

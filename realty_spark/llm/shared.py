@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "realty-spark"
+_OPEN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix=f"{_PREFIX}-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,6 +34,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{_PREFIX}/{name}-{uuid.uuid4().hex}"
+        _OPEN.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -47,10 +52,29 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession, *but: Scratch) -> None:
+    """Delete the tables of all operators called so far, whose results have been used, but for those of ``but``."""
+    kept = {s.root for s in but}
+    for root in [r for r in _OPEN if r not in kept]:
+        _delete(spark, root)
+        _OPEN.remove(root)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
