@@ -72,7 +72,7 @@ def test_edges(spark, name):
 
 def test_exact_dedup(spark):
     rows = corpus()
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows), capacity=4, max_depth=6).collect()}
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows), capacity=4).collect()}
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[re.sub(SPACE, "", t or "")].append((-len(t or ""), i))
@@ -83,14 +83,33 @@ def test_exact_dedup(spark):
             assert r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()
 
 
-def test_directory():
-    r = random.Random(2)
-    counts = {i: r.randint(0, 9) for i in range(64)}
-    depth = exact_dedup.directory(counts, 6, 20)
-    for cell, g in enumerate(depth):
-        held = lambda g, c: sum(counts[i] for i in range(64) if i >> (6 - g) == c >> (6 - g))
-        assert held(g, cell) <= 20 or g == 6
-        assert g == 0 or held(g - 1, cell) > 20
+@pytest.mark.parametrize("capacity, small", [(3, 1 << 16), (3, 0), (10**6, 1 << 16)])
+def test_extendible_index(spark, monkeypatch, capacity, small):
+    monkeypatch.setattr(exact_dedup, "SMALL_DIRECTORY", small)
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 20)
+    from realty_spark.llm.shared import Scratch
+
+    rows = [*corpus(), *((500 + i, "hot text") for i in range(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    norm = df.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("points"), exact_dedup.normalized(F.col("text")).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    keys = norm.groupBy("key").agg(F.count("*").alias("n"))
+    index = exact_dedup.build_index(norm, keys, Scratch(spark, "t"), capacity)
+    cells = {r.cell: r.bucket for r in index.directory.collect()}
+    chains = index.chains.collect()
+    prefix = lambda key, g: (key % (1 << 64)) >> (64 - g) if g else 0
+    held = collections.Counter(r.bucket for r in chains)
+    assert (index.depth == 0) == (capacity > 100) and set(cells.values()) == set(held) and max(held.values()) <= capacity
+    for r in chains:
+        g = r.bucket.bit_length() - 1
+        assert cells[prefix(r.key, index.depth)] == r.bucket == (1 << g) + prefix(r.key, g)  # owners hold ranges of keys
+        if g:  # one split less and it was overfull
+            assert sum(prefix(x.key, g - 1) == prefix(r.key, g - 1) for x in chains) > capacity
+    assert sum(x["group_size"] for r in chains for x in r.chain) == len(rows)
+    assert [r.key for r in chains if r.hot] == [r.key for r in norm.filter("norm = 'hottext'").limit(1).collect()]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(df, capacity=capacity).collect()}
+    assert got == {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(df).collect()} and len(got) == len(rows)
+    files = index.chains.select(F.input_file_name().alias("f"), "bucket").distinct().groupBy("bucket").count()
+    assert files.agg(F.max("count")).first()[0] == 1  # a bucket lies in one file
 
 
 def test_ppm(spark, monkeypatch):
@@ -449,6 +468,20 @@ def test_pipeline(spark):
             docs = spark.createDataFrame(out.collect(), docs.schema)
     language, exact, near, cut = kept
     texts = dict(rows)
+    odd = frame(spark, EDGES).withColumnsRenamed({"row": "kept_id", "kept": "__told", "n": "text_key", "word": "kept_key", "base": "told", "key": "text_sha256"})
+    for name, stage in P.STAGES:
+        got = stage(spark, odd, "").collect()
+        assert stage(spark, odd.limit(0), "").collect() == []
+        ids = [r.doc_id for r in got]
+        assert name == "packing" or set(got[0].asDict()) == set(odd.columns)
+        if name == "language_id":
+            assert len(got) == 6 and all(re.search("[^\\W\\d_]", r.text) for r in got)
+        elif name == "exact_dedup":  # of the repeated text the row without id stays, and of the empty ones too
+            assert sorted(ids, key=lambda i: (i is not None, i)) == [None, None, 1, 3, 4]
+        elif name == "near_dedup":  # all rows of one id and text
+            assert sorted(ids, key=lambda i: (i is not None, i)) == [None, 1, 1, 1, 2, 3, 4]
+        elif name == "substring_dedup":
+            assert len(got) == len(EDGES)
     assert language.keys() == {i for i, t in rows if re.search("[^\\W\\d_]", t or "")}
     groups = collections.defaultdict(list)
     for i in language:
