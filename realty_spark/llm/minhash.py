@@ -264,7 +264,7 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text, which tells rows of one id apart).
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct ``k``-word
     shingles; component_id is the least id that can be reached by links, the document's own included, and kept says
@@ -286,7 +286,7 @@ def near_duplicates(
         sketched.filter("node IS NOT NULL")
         .groupBy("node")
         .agg(
-            F.min(F.struct("doc_id", "text_key")).alias("first"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"),
             F.first("n_shingles").alias("size"),
             F.first("keys").alias("keys"),
             F.first("sig").alias("sig"),
@@ -304,7 +304,7 @@ def near_duplicates(
     )
     star = scratch.save(_alike(star, least, percent), "star")
 
-    held = members.select("node").distinct().join(nodes.select("node", "first.*"), "node")
+    held = members.select("node").distinct().join(nodes.select("node", "first.doc_id", "first.text_key"), "node")
     texts = scratch.save(
         source.join(held.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (source.text_key == held.text_key)).select("node", "body"),
         "texts",
@@ -332,5 +332,5 @@ def near_duplicates(
     scratch.drop("nodes", "members", "star", "texts", "linked", "inside", "long", "rest", "more", "least", "roots-first", "roots")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return sketched.join(named, "node", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key"
     )
