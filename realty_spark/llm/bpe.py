@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from realty_spark.llm.shared import tune
 from realty_spark.llm.words import slices
 
 #: Entries after which a worker's table of words starts anew: some 80 MB.
@@ -289,6 +290,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", id_c
                 )
         bpe.forget()
 
+    tune(docs.sparkSession)
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS body")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")

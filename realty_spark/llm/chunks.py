@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from realty_spark.llm.shared import tune
 from realty_spark.llm.words import slices
 
 LEAST, BITS, MOST = 16, 5, 1024
@@ -113,6 +114,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Chunk rows are combined before the shuffle by digest, so a passage that fills a third of all documents is a few rows
     for its owner; the lookup of a frequent chunk is split by adaptive skew-join handling.
     """
+    tune(docs.sparkSession)
     added = ["n_bytes", "n_removed", "n_spans", "spans"]
     names = [c for c in docs.columns if c not in added]
     mark = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 31)).alias("mark")

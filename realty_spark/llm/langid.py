@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from realty_spark.llm.shared import tune
+
 ORDER = 4
 #: Expected number of labelled texts of a language that are learnt from; the only bound of the fit.
 PER_LANGUAGE = 500
@@ -216,6 +218,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier:
     About ``per_language`` rows of each language are taken, by a hash of their id; four in five of them are counted and one
     calibrates.  Each language is fitted in a task of its own; the driver gets its arrays, whose size the bound limits.
     """
+    tune(labelled.sparkSession)
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / (1 << 20)

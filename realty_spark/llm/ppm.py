@@ -408,7 +408,6 @@ def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_co
         ones[r["k"] >> 8, r["k"] & 0xFF] = r["n"]
     costs = scratch.save(_costed(pairs, ones, across), "costs")
     scratch.drop("pairs")
-    scratch.free()
     often = F.col("n") > int(ones.sum()) // (ACROSS_PAIRS if across else FREQUENT_PAIRS)
     hot = costs.filter(often).select("key", "cost").toArrow().sort_by("key")
     buckets = 4 * partitions(spark)
@@ -430,7 +429,6 @@ def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_co
         .withColumn("more", F.lit(0.0))
     )
     of_words = scratch.save(of_words, "word-sums")
-    scratch.free()
     of_pairs = _pair_sums(read.filter("bucket IS NOT NULL"), costs.filter(~often), buckets)
     of_pairs = of_pairs.select("row", F.lit(0.0).alias("more_base"), zero.cast("long").alias("more_known"), "more")
     sums = of_words.unionByName(of_pairs).groupBy(F.col("row").alias("r")).agg(*(F.sum(c).alias(c) for c in ("more_base", "more_known", "more")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "realty-spark"
 _OPEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _DEFAULT_BATCH, _TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,6 +25,12 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows where the session has Spark's default: rows hold whole texts, and each task and worker holds a batch."""
+    if spark.conf.get(_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH, _TEXTS)
+
+
 class Scratch:
     """Intermediate Parquet tables of one operator call.
 
@@ -32,6 +39,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        tune(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{_PREFIX}/{name}-{uuid.uuid4().hex}"
         _OPEN.append(self.root)
@@ -40,17 +48,17 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with_cleanup = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")  # the table is whole once it is written: its shuffle files can go
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEANUP, with_cleanup)
         return self.load(name, df.schema)
 
     def load(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def free(self) -> None:
-        """Let go of shuffle files that no live table needs, rather than when the driver happens to collect its garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, self.path(name))

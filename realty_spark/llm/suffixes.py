@@ -332,34 +332,28 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(body), F.lit(1 << 31)).alias("mark"), body.alias("body"))
     found = _anchored(rows)
     twice = scratch.save(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "twice")
-    scratch.free()
     mark, at = F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     places = found.join(twice, "gram").groupBy("doc_id", mark).agg(F.collect_set(at).alias("positions"))
     places = scratch.save(places, "places")
-    scratch.free()
 
     def same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
         other = b.withColumnsRenamed({"doc_id": "__doc", "mark": "__mark"})
         return a.join(other, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")), how).drop("__doc", "__mark")
 
     held = scratch.save(same(rows, places), "held")
-    scratch.free()
     around = _surroundings(held, False)
     here = F.struct("doc_id", "place")
     classes = scratch.save(around.groupBy("gram", "class").agg(F.min(here).alias("first"), F.max(here).alias("last")), "classes")
-    scratch.free()
     more = classes.filter("NOT (first <=> last)").select("gram", "class", "first")
     copies = around.join(more, ["gram", "class"]).filter(~here.eqNullSafe(F.col("first")))
     position = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     copies = copies.select("doc_id", mark, F.greatest(position - _REACH, F.lit(0)).alias("lo"), (position + LENGTH).alias("hi"))
     copies = scratch.save(copies.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "copies")
-    scratch.free()
 
     mixed = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     firsts = classes.join(mixed, "gram").select("first.*", (F.col("n") > MOST_CLASSES).alias("many"))
     firsts = scratch.save(firsts.groupBy("doc_id", mark, "many").agg(F.collect_set(at).alias("positions")), "firsts")
     scratch.drop("twice", "places", "classes")
-    scratch.free()
 
     def shown(many: bool) -> DataFrame:
         return _surroundings(same(held.drop("positions"), firsts.filter(F.col("many") == many).drop("many")), True)
@@ -370,7 +364,6 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     ranges = ranges.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     ranges = scratch.save(ranges.unionByName(copies).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
     scratch.drop("firsts", "copies")
-    scratch.free()
 
     @F.pandas_udf("n_removed long, spans array<struct<lo:int,hi:int>>, kept_sha256 string")
     def cut(texts: pd.Series, all_ranges: pd.Series) -> pd.DataFrame:
