@@ -2,12 +2,15 @@
 
 1. Anchors: in every window of ``LENGTH`` bytes the 32-byte gram of least hash is chosen, so equal windows have equal grams
    at the same place.  Only grams that occur twice are followed up.
-2. Around an anchor lies all that a window with it can hold: 68 bytes before it and 100 from it on.  Anchors with the same
-   surroundings are one class; all but its first occurrence are repeats throughout.
-3. Where a gram has several classes, their first occurrences are sorted: the surroundings are cut into 16-byte blocks counted from the anchor,
-   and the suffix array of the block texts is built by linear grouping (below).  Windows that share five full blocks are neighbours in
-   it; an exact comparison of their whole bytes follows, and all but the earliest are repeats.
-   A gram with very many classes goes another, equally exact way: its windows are counted by digest in a shuffle.
+2. Around an anchor lies all that a window with it can hold: 68 bytes before it and 100 from it on.  Anchors with the same surroundings
+   (by 128 bits of digests) are combined before they are shuffled; all but the first are repeats throughout.
+3. Where a gram has different surroundings, their first occurrences are compared byte by byte.  A window that reaches over the anchor by l bytes to the left
+   holds one of two strings of 66 bytes, for l <= 34 or l >= 34, so only surroundings that share one of these go on, in a group each.  In a group what lies to the right and what
+   lies to the left, read backwards, are texts of blocks; all texts of a task are one text whose suffix array is built by linear grouping (below).
+   In its order neighbours of a group are compared byte by byte, which tells for every length which of the group agree so far to the right, and likewise
+   to the left: a window is a repeat if an earlier member of its group agrees on both sides.
+4. A gram with over ``MOST`` different surroundings is split: its windows are dealt by narrower ranges of l, each with a longer string that its windows
+   share, and go through steps 2 and 3 by that string.
 
 Linear grouping (Baier 2016): suffixes are grouped by a prefix, first their first symbol.  Groups are taken in descending order.  For each suffix
 of the group the nearest suffix to its left in a lower group, its previous-smaller pointer, has its prefix followed by that of the group; such suffixes
@@ -28,12 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from realty_spark.llm.shared import Scratch, partitions
-from realty_spark.llm.words import U, mix, slices, word_hashes
+from realty_spark.llm.words import U, mix, slices, utf8_column, word_hashes
 
-LENGTH, GRAM, BLOCK, FULL = 100, 32, 16, 5
+LENGTH, GRAM = 100, 32
 _REACH = LENGTH - GRAM
-#: Symbols of a text that is sorted at a time, and classes of a gram from which on windows are counted by shuffle.
-BATCH, MOST_CLASSES = 200_000, 20_000
+#: Ranges (least, most) of the number of bytes that a window has to the left of its anchor: all, the two that are told apart
+#: within a task, and those that very frequent grams are split by.
+WHOLE = [(0, _REACH)]
+HALVES = [(0, _REACH // 2), (_REACH // 2, _REACH)]
+NARROW = [(a, min(a + 4, _REACH)) for a in range(0, _REACH + 1, 5)]
+#: Bytes of a symbol of the text that is sorted.
+SYMBOL = 17
+#: Surroundings that are read before a text of theirs is sorted, and different ones of a gram from which on it is split.
+BATCH, MOST = 24_000, 20_000
+#: Bytes of texts in which anchors are looked for at a time.
+PIECE = 1 << 18
 
 
 def linear_grouping(text: list[int]) -> list[int]:
@@ -119,194 +131,222 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
         return mix(h)
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the grams that are least, ties included, in some window of LENGTH bytes."""
+def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the grams that are least, ties included, in some window of LENGTH bytes of one of the texts."""
     if len(raw) < LENGTH:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = gram_hashes(raw)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(raw))  # bytes from here to the text's end
+    h = np.full(len(raw), np.iinfo(np.uint64).max)
+    found = gram_hashes(raw)
+    h[: len(found)] = np.where(left[: len(found)] >= GRAM, found, h[0])
     least = _least(h, _REACH + 1)
+    least[left[: len(least)] < LENGTH] = 0
     pad = np.zeros(_REACH, np.uint64)
     most = ~_least(~np.concatenate([pad, least, pad]), _REACH + 1)
-    at = np.flatnonzero(most == h)
+    at = np.flatnonzero((most == h) & (left >= GRAM))
     return h[at], at
 
 
-def _bytes(texts: list) -> Iterator[np.ndarray]:
-    return (np.frombuffer((t or "").encode(), np.uint8) for t in texts)
+def all_anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any number of bytes, which are read in pieces; those of long texts overlap."""
+    grams, places, first = [], [], 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        a, b = int(offsets[first]), int(offsets[last])
+        if last > first + 1 or b - a <= PIECE:
+            h, at = anchors(raw[a:b], offsets[first : last + 1] - a)
+            grams.append(h)
+            places.append(at + a)
+        else:
+            for x in range(a, b, PIECE):
+                lo, hi = max(a, x - LENGTH), min(b, x + PIECE + LENGTH)
+                h, at = anchors(raw[lo:hi], np.array([0, hi - lo]))
+                own = (at + lo >= x) & (at + lo < x + PIECE)
+                grams.append(h[own])
+                places.append(at[own] + lo)
+        first = last
+    return (np.concatenate(grams), np.concatenate(places)) if grams else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def _keys(raw: np.ndarray, offsets: np.ndarray, which: np.ndarray, at: np.ndarray, least: int, most: int) -> tuple[np.ndarray, ...]:
+    """(which of the anchors have a window with ``least`` to ``most`` bytes before them, digest of what these windows share, digest of all they hold)."""
+    begin, end = offsets[which], offsets[which + 1]
+    lo, hi = np.maximum(at - most, begin), np.minimum(at + LENGTH - least, end)
+    ok = np.flatnonzero((hi - lo >= LENGTH) & (at - least >= begin) & (at + LENGTH - most <= end))
+    at, lo, hi = at[ok], lo[ok], hi[ok]
+    with np.errstate(over="ignore"):
+        kind = mix(word_hashes(raw, lo, hi) + (at - lo).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        key = mix(word_hashes(raw, at - least, at + LENGTH - most) + U(least))
+    return ok, key, kind
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """gram, doc_id, place (mark and position) of the anchors of (doc_id, mark, body)."""
+    """key, class, doc_id, mark, place of the anchors of (doc_id, mark, body): digests of the gram and of its surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 2):
-                grams, places, which = [], [], []
-                for i, (mark, raw) in enumerate(zip(b.column(1).to_pylist(), _bytes(b.column(2).to_pylist()))):
-                    h, at = anchors(raw)
-                    grams.append(h)
-                    places.append(at + (mark << 32))
-                    which.append(np.full(len(at), i))
-                yield pa.record_batch([pa.array(np.concatenate(grams).view(np.int64)), b.column(0).take(pa.array(np.concatenate(which).astype(np.int64))), pa.array(np.concatenate(places))], ["gram", "doc_id", "place"])
+        for b in (part for whole in batches for part in slices(whole, 2, 1 << 20)):
+            raw, offsets = utf8_column(b.column(2))
+            at = all_anchors(raw, offsets)[1]
+            which = np.searchsorted(offsets, at, "right") - 1
+            ok, key, kind = _keys(raw, offsets, which, at, *WHOLE[0])
+            yield _placed(b, which[ok], at[ok] - offsets[which[ok]], [key, kind], {})
+
+    return docs.select("doc_id", "mark", "body").mapInArrow(run, f"key long, class long, {_place(docs)}")
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "mark", "body").mapInArrow(run, f"gram long, doc_id {kind}, place long")
+def _place(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, place int"
 
 
-def _surroundings(held: DataFrame, with_bytes: bool) -> DataFrame:
-    """gram, class, doc_id, place of each position of (doc_id, mark, body, positions); with_bytes: the bytes before and from the anchor on."""
+def _placed(b: pa.RecordBatch, which: np.ndarray, place: np.ndarray, digests: list[np.ndarray], more: dict) -> pa.RecordBatch:
+    of = pa.array(which.astype(np.int64))
+    columns = [*(pa.array(d.view(np.int64)) for d in digests), b.column(0).take(of), b.column(1).take(of), pa.array(place.astype(np.int32)), *more.values()]
+    return pa.record_batch(columns, [*["key", "class"][: len(digests)], "doc_id", "mark", "place", *more])
+
+
+def _split(held: DataFrame) -> DataFrame:
+    """key, class, doc_id, mark, place, side for each of the NARROW ranges at the positions of (doc_id, mark, body, positions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 2):
-                out: list[list] = [[] for _ in range(5)]
-                before, after = [], []
-                for i, (mark, raw, positions) in enumerate(zip(b.column(1).to_pylist(), _bytes(b.column(2).to_pylist()), b.column(3).to_pylist())):
-                    at = np.sort(np.array(positions, np.int64))
-                    lo, hi = np.maximum(at - _REACH, 0), np.minimum(at + LENGTH, len(raw))
-                    ok = hi - lo >= LENGTH
-                    at, lo, hi = at[ok], lo[ok], hi[ok]
-                    with np.errstate(over="ignore"):
-                        kind = mix(word_hashes(raw, lo, hi) + (at - lo).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-                        gram = mix(word_hashes(raw, at, at + GRAM))
-                    out[0].append(gram.view(np.int64))
-                    out[1].append(kind.view(np.int64))
-                    out[2].append(np.full(len(at), i))
-                    out[3].append(at + (mark << 32))
-                    if with_bytes:
-                        before += [raw[x:y].tobytes() for x, y in zip(lo.tolist(), at.tolist())]
-                        after += [raw[x:y].tobytes() for x, y in zip(at.tolist(), hi.tolist())]
-                gram, kind, which, place = (np.concatenate(c) for c in out[:4])
-                columns = [pa.array(gram), pa.array(kind), b.column(0).take(pa.array(which.astype(np.int64))), pa.array(place)]
-                if with_bytes:
-                    columns += [pa.array(before, pa.binary()), pa.array(after, pa.binary())]
-                yield pa.record_batch(columns, ["gram", "class", "doc_id", "place", "before", "after"][: len(columns)])
-
-    kind = held.schema["doc_id"].dataType.simpleString()
-    more = ", before binary, after binary" if with_bytes else ""
-    return held.select("doc_id", "mark", "body", "positions").mapInArrow(run, f"gram long, class long, doc_id {kind}, place long{more}")
-
-
-def _windows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start from the anchor, hash) of all windows in surroundings."""
-    left, right = rows["before"].map(len).to_numpy(np.int64), rows["after"].map(len).to_numpy(np.int64)
-    raw = np.frombuffer(b"".join(x for pair in zip(rows["before"], rows["after"]) for x in pair), np.uint8)
-    anchor = np.cumsum(left + right) - right
-    count = np.minimum(0, right - LENGTH) + left + 1
-    row = np.repeat(np.arange(len(rows)), count)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) - left[row]
-    return row, start, word_hashes(raw, anchor[row] + start, anchor[row] + start + LENGTH)
-
-
-def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of surroundings (gram, doc_id, place, before, after) the windows that are not the earliest of their kind: row, start from the anchor.
-
-    One text of block numbers, a surrounding after the other, is sorted by linear grouping.
-    """
-    left = rows["before"].map(lambda x: len(x) // BLOCK).to_numpy(np.int64)
-    blocks = [x[len(x) % BLOCK :] + y[: len(y) // BLOCK * BLOCK] for x, y in zip(rows["before"], rows["after"])]
-    n_blocks = np.array([len(x) // BLOCK for x in blocks])
-    number = _numbers(b"".join(blocks))
-    offset = np.cumsum(n_blocks + 1) - n_blocks - 1
-    text = np.ones(int((n_blocks + 1).sum()), np.int64)  # 1 parts surroundings
-    inside = np.ones(len(text), bool)
-    inside[offset + n_blocks] = False
-    text[inside] = number + 2
-    order = np.array(linear_grouping(text.tolist()))[1:]
-    padded = np.concatenate([text, np.zeros(FULL, np.int64)])
-    new = np.zeros(len(order), bool)
-    for k in range(FULL):
-        new[1:] |= padded[order[1:] + k] != padded[order[:-1] + k]
-    shared = np.empty(len(text), np.int64)  # equal where suffixes share their first blocks
-    shared[order] = np.cumsum(new)
-
-    row, start, digest = _windows(rows)
-    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    first_block = left[row] - (-start // BLOCK)
-    with np.errstate(over="ignore"):
-        key = mix(digest ^ mix(gram[row] + U(1)) ^ mix(shared[offset[row] + first_block].astype(np.uint64) * U(3) + (start + LENGTH).astype(np.uint64) * U(0x9E3779B97F4A7C15)))
-    doc = rows["doc_id"].rank(method="dense", na_option="top").to_numpy(np.int64)[row]
-    rank = np.lexsort((rows["place"].to_numpy(np.int64)[row] + start, doc, key))
-    again = np.zeros(len(row), bool)
-    again[rank[1:]] = key[rank[1:]] == key[rank[:-1]]
-    return pd.DataFrame({"row": row[again], "start": start[again]})
+        for b in (part for whole in batches for part in slices(whole, 2, 1 << 18)):
+            raw, offsets, which, at = _positions(b)
+            for side, (least, most) in enumerate(NARROW):
+                ok, key, kind = _keys(raw, offsets, which, at, least, most)
+                yield _placed(b, which[ok], at[ok] - offsets[which[ok]], [key, kind], {"side": pa.array(np.full(len(ok), side, np.int32))})
+
+    return held.select("doc_id", "mark", "body", "positions").mapInArrow(run, f"key long, class long, {_place(held)}, side int")
 
 
-def _numbers(raw: bytes) -> np.ndarray:
-    """The number of each block of 16 bytes, equal for equal blocks."""
-    halves = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    _, a = np.unique(halves[:, 0], return_inverse=True)
-    _, b = np.unique(halves[:, 1], return_inverse=True)
-    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+def _positions(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(bytes, offsets, text and place of each position) of a batch whose column 3 has positions in the text of column 2."""
+    raw, offsets = utf8_column(b.column(2))
+    lists = [np.sort(np.array(x, np.int64)) for x in b.column(3).to_pylist()]
+    which = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return raw, offsets, which, np.concatenate([np.empty(0, np.int64), *lists]) + offsets[which]
 
 
-def _sorted_out(rows: DataFrame) -> DataFrame:
-    """doc_id, place, lo, hi: byte ranges of repeated windows among surroundings; a task sorts its grams batch by batch."""
-    names = ["gram", "doc_id", "place", "before", "after"]
+def _shown(held: DataFrame, side: int) -> DataFrame:
+    """key, doc_id, mark, place, around of the positions: the bytes around each, one more than their value, and 0 beyond the text."""
+    least, most = NARROW[side] if side >= 0 else WHOLE[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
-        symbols = 0
-        schema = None
-
-        def solve(part: pd.DataFrame) -> pa.RecordBatch:
-            part = part.drop_duplicates(["gram", "doc_id", "place"], ignore_index=True)  # of rows that repeat a document
-            got = repeated_windows(part)
-            edge = (got["row"].diff() != 0) | (got["start"].diff() != 1)
-            runs = got.groupby(edge.cumsum()).agg(row=("row", "first"), a=("start", "first"), b=("start", "last"))
-            at = part["place"].to_numpy(np.int64)[runs["row"]] & 0xFFFFFFFF
-            docs = pa.array(part["doc_id"].to_numpy()[runs["row"]], schema.field("doc_id").type, from_pandas=True)
-            return pa.record_batch(
-                [docs, pa.array(part["place"].to_numpy(np.int64)[runs["row"]] >> 32), pa.array((at + runs["a"]).to_numpy(np.int64)), pa.array((at + runs["b"] + LENGTH).to_numpy(np.int64))],
-                ["doc_id", "mark", "lo", "hi"],
-            )
+        for b in (part for whole in batches for part in slices(whole, 2, 1 << 20)):
+            raw, offsets, which, at = _positions(b)
+            ok, key, _ = _keys(raw, offsets, which, at, least, most)
+            for i in range(0, len(ok), 1 << 13):
+                own = ok[i : i + (1 << 13)]
+                of = which[own]
+                index = at[own][:, None] + np.arange(-_REACH, LENGTH)
+                beyond = (index < offsets[of][:, None]) | (index >= offsets[of + 1][:, None])
+                around = raw[np.where(beyond, 0, index)] + np.uint8(1)
+                around[beyond] = 0
+                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_REACH + LENGTH), len(own), [None, pa.py_buffer(around.tobytes())])
+                yield _placed(b, of, at[own] - offsets[of], [key[i : i + (1 << 13)]], {"around": blob.cast(pa.binary())})
+
+    return held.select("doc_id", "mark", "body", "positions").mapInArrow(run, f"key long, {_place(held)}, around binary")
+
+
+def _agreeing(order: np.ndarray, group: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows, bytes in which each agrees with the one before it; -1 for the first of a group)."""
+    here, before = order[1:], order[:-1]
+    differ = (sides[here] != sides[before]) | (sides[here] == 0)
+    same = np.where(differ.any(1), differ.argmax(1), sides.shape[1])
+    same[group[here] != group[before]] = -1
+    return order, np.concatenate([[-1], same])
+
+
+def repeated(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) j for which an earlier row of the same group agrees with a row in j bytes of ``left`` and w - j of ``right``; (w + 1, -1) for none.
+
+    Rows are in order of time; both sides have w bytes a row, read from the group's string outwards, 0 beyond the text.
+    """
+    n, w = left.shape
+    width = -(-w // SYMBOL)
+    blocks = np.zeros((2, n, width * SYMBOL), np.uint8)
+    blocks[0, :, :w], blocks[1, :, :w] = right, left
+    ranks = np.unique(blocks.reshape(-1, SYMBOL).view(f"S{SYMBOL}").ravel(), return_inverse=True)[1].reshape(2, n, width)
+    kinds = int(group.max(initial=-1)) + 1
+    text = np.empty((n, 2, width + 1), np.int64)
+    text[:, 0, 0], text[:, 1, 0] = group + 1, group + 1 + kinds
+    text[:, :, 1:] = ranks.transpose(1, 0, 2) + 2 * kinds + 1
+    order = np.array(linear_grouping(text.ravel().tolist()))[1:]
+    step = 2 * (width + 1)
+    heads = [order[order % step == k] // step for k in (0, width + 1)]
+    (to_right, agree_right), (to_left, agree_left) = (_agreeing(o, group, x) for o, x in zip(heads, (right, left)))
+    low, high = np.full(n, w + 1), np.full(n, -1)
+    by_right, by_left = np.empty((2, n), np.int64)
+    for j in range(w + 1):
+        by_right[to_right] = np.cumsum(agree_right < w - j)
+        by_left[to_left] = np.cumsum(agree_left < j)
+        again = np.ones(n, bool)
+        again[np.unique(by_left * (n + 1) + by_right, return_index=True)[1]] = False
+        low[again], high[again] = np.minimum(low[again], j), j
+    return low, high
+
+
+def ranges_of(around: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi) from the anchor on, of repeated windows among surroundings in order of time."""
+    rows, groups, lefts, rights, leasts, first = [], [], [], [], [], 0
+    w = spans[0][1] - spans[0][0]
+    for least, most in spans:
+        whole = np.flatnonzero((around[:, _REACH - least] > 0) & (around[:, _REACH + LENGTH - most - 1] > 0))
+        shared = np.ascontiguousarray(around[whole, _REACH - least : _REACH + LENGTH - most])
+        _, group, count = np.unique(shared.view(f"S{shared.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+        more = np.flatnonzero(count[group] > 1)
+        own = whole[more]
+        edge = _REACH + LENGTH - most
+        pad = np.zeros((len(own), w - (most - least)), np.uint8)
+        rows.append(own)
+        groups.append(np.unique(group[more], return_inverse=True)[1] + first)
+        first += len(np.unique(group[more]))
+        lefts.append(np.hstack([around[own, _REACH - most : _REACH - least][:, ::-1], pad]))
+        rights.append(np.hstack([around[own, edge : edge + most - least], pad]))
+        leasts.append(np.full(len(own), least))
+    row, least = np.concatenate(rows), np.concatenate(leasts)
+    low, high = repeated(np.concatenate(groups), np.concatenate(lefts), np.concatenate(rights))
+    hit = high >= 0
+    # windows with low to high bytes more than least to the left; they overlap, as high - low < LENGTH
+    return row[hit], -(least + high)[hit], LENGTH - (least + low)[hit]
+
+
+def _sorted_out(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, mark, lo, hi: byte ranges of repeated windows among (key, doc_id, mark, place, around); a task sorts its keys batch by batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(part: pa.Table) -> pa.RecordBatch:
+            columns = part.combine_chunks()
+            frame = columns.select(["key", "doc_id", "mark", "place"]).to_pandas()
+            frame["doc"] = frame["doc_id"].rank(method="dense", na_option="top")
+            first = frame.drop_duplicates(["key", "doc", "mark", "place"]).sort_values(["doc", "mark", "place"], kind="stable").index.to_numpy()
+            around, _ = utf8_column(columns["around"])
+            row, lo, hi = ranges_of(around.reshape(-1, _REACH + LENGTH)[first], spans)
+            row = first[row]
+            at, of = frame["place"].to_numpy(np.int64)[row], pa.array(row)
+            return pa.record_batch([columns[c].take(of).combine_chunks() for c in ("doc_id", "mark")] + [pa.array(at + lo), pa.array(at + hi)], ["doc_id", "mark", "lo", "hi"])
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            schema = b.schema
-            held.append(b.to_pandas())
-            symbols += 12 * b.num_rows
-            if symbols >= BATCH:
-                part = pd.concat(held, ignore_index=True)
-                cut = int(part["gram"].ne(part["gram"].iloc[-1]).sum())  # the last gram may go on
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= BATCH:
+                key = np.concatenate([x.column(0).to_numpy() for x in held])
+                cut = int((key != key[-1]).sum())  # the last key may go on
                 if cut:
-                    yield solve(part.iloc[:cut].reset_index(drop=True))
-                held, symbols = [part.iloc[cut:]], 12 * (len(part) - cut)
-        if held and sum(map(len, held)):
-            yield solve(pd.concat(held, ignore_index=True))
+                    part = pa.Table.from_batches(held)
+                    yield solve(part.slice(0, cut))
+                    held = part.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return (
-        rows.select(*names)
-        .repartition(partitions(rows.sparkSession), "gram")
-        .sortWithinPartitions("gram")
+        rows.select("key", "doc_id", "mark", "place", "around")
+        .repartition(partitions(rows.sparkSession), "key")
+        .sortWithinPartitions("key")
         .mapInArrow(run, f"doc_id {kind}, mark long, lo long, hi long")
     )
 
 
-def _counted_out(rows: DataFrame) -> DataFrame:
-    """The same for grams with very many classes: windows by digest, their first found by a shuffle that combines them before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                frame = part.to_pandas()
-                row, start, digest = _windows(frame)
-                place = frame["place"].to_numpy(np.int64)[row] + start
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(row)), pa.array(start), pa.array(digest.view(np.int64)), part.column(1).take(pa.array(row)), pa.array(place)],
-                    ["gram", "start", "digest", "doc_id", "place"],
-                )
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    windows = rows.select("gram", "doc_id", "place", "before", "after").mapInArrow(run, f"gram long, start long, digest long, doc_id {kind}, place long")
-    key = ["gram", "start", "digest"]
-    first = windows.groupBy(*key).agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    again = windows.join(first, key).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    lo = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    return again.select("doc_id", F.shiftright("place", 32).alias("mark"), lo.alias("lo"), (lo + LENGTH).alias("hi"))
-
-
 def without(text: str, ranges: list) -> tuple[bytes, list[tuple[int, int]]]:
     """The bytes outside of the ranges, and the ranges' maximal runs."""
     raw, runs = text.encode(), []
@@ -318,6 +358,28 @@ def without(text: str, ranges: list) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(raw[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)])), runs
 
 
+def _same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    other = b.withColumnsRenamed({"doc_id": "__doc", "mark": "__mark"})
+    return a.join(other, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")), how).drop("__doc", "__mark")
+
+
+_HERE = ("doc_id", "mark", "place")
+
+
+def _first_and_again(around: DataFrame, least: F.Column, most: F.Column, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of key, class, doc_id, mark, place, side: the first places of each class with the number of classes of its key, and the byte ranges of the others."""
+    here = F.struct(*_HERE)
+    classes = around.groupBy("key", "class", "side").agg(F.min(here).alias("first"), (F.min(here) != F.max(here)).alias("more"))
+    classes = scratch.save(classes, f"{name}-classes")
+    again = around.join(classes.filter("more").select("key", "class", "first"), ["key", "class"]).filter(~here.eqNullSafe(F.col("first")))
+    again = again.select("doc_id", "mark", F.greatest(F.col("place") - most, F.lit(0)).cast("long").alias("lo"), (F.col("place") + LENGTH - least).cast("long").alias("hi"))
+    again = scratch.save(again.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), f"{name}-again")
+    mixed = classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    firsts = scratch.save(classes.join(mixed, "key").select("first.*", "side", "n"), f"{name}-firsts")
+    scratch.drop(f"{name}-classes")
+    return firsts, again
+
+
 def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, spans (lo, hi), kept_sha256.
 
@@ -330,57 +392,50 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     scratch = Scratch(spark, "suffixes")
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(body), F.lit(1 << 31)).alias("mark"), body.alias("body"))
-    found = _anchored(rows)
-    twice = scratch.save(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "twice")
-    mark, at = F.shiftright("place", 32).alias("mark"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    places = found.join(twice, "gram").groupBy("doc_id", mark).agg(F.collect_set(at).alias("positions"))
-    places = scratch.save(places, "places")
-
-    def same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-        other = b.withColumnsRenamed({"doc_id": "__doc", "mark": "__mark"})
-        return a.join(other, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")), how).drop("__doc", "__mark")
-
-    held = scratch.save(same(rows, places), "held")
-    around = _surroundings(held, False)
-    here = F.struct("doc_id", "place")
-    classes = scratch.save(around.groupBy("gram", "class").agg(F.min(here).alias("first"), F.max(here).alias("last")), "classes")
-    more = classes.filter("NOT (first <=> last)").select("gram", "class", "first")
-    copies = around.join(more, ["gram", "class"]).filter(~here.eqNullSafe(F.col("first")))
-    position = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    copies = copies.select("doc_id", mark, F.greatest(position - _REACH, F.lit(0)).alias("lo"), (position + LENGTH).alias("hi"))
-    copies = scratch.save(copies.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "copies")
-
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    firsts = classes.join(mixed, "gram").select("first.*", (F.col("n") > MOST_CLASSES).alias("many"))
-    firsts = scratch.save(firsts.groupBy("doc_id", mark, "many").agg(F.collect_set(at).alias("positions")), "firsts")
-    scratch.drop("twice", "places", "classes")
-
-    def shown(many: bool) -> DataFrame:
-        return _surroundings(same(held.drop("positions"), firsts.filter(F.col("many") == many).drop("many")), True)
-
-    ranges = _sorted_out(shown(False))
-    if not firsts.filter("many").isEmpty():
-        ranges = ranges.unionByName(_counted_out(shown(True)))
-    ranges = ranges.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    ranges = scratch.save(ranges.unionByName(copies).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
-    scratch.drop("firsts", "copies")
+    found = scratch.save(_anchored(rows), "found")
+    twice = scratch.save(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
+    around = scratch.save(found.join(twice, "key"), "around")
+    scratch.drop("found", "twice")
+    firsts, again = _first_and_again(around.withColumn("side", F.lit(-1)), F.lit(0), F.lit(_REACH), scratch, "whole")
+
+    def with_text(places: DataFrame) -> DataFrame:
+        return _same(rows, places.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("positions")))
+
+    ranges = [again, _gathered(_sorted_out(_shown(with_text(firsts.filter(F.col("n") <= MOST)), -1), HALVES))]
+    if not firsts.filter(F.col("n") > MOST).isEmpty():
+        split = scratch.save(_split(with_text(firsts.filter(F.col("n") > MOST))), "split")
+        sides = F.array(*(F.lit(a) for a, _ in NARROW)), F.array(*(F.lit(b) for _, b in NARROW))
+        narrow, again = _first_and_again(split, *(F.element_at(x, F.col("side") + 1) for x in sides), scratch, "narrow")
+        ranges.append(again)
+        for side, span in enumerate(NARROW):
+            ranges.append(_gathered(_sorted_out(_shown(with_text(narrow.filter(F.col("side") == side)), side), [span])))
+    every = ranges[0]
+    for more in ranges[1:]:
+        every = every.unionByName(more)
+    ranges = scratch.save(every.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    scratch.drop("around", "split", "whole-firsts", "whole-again", "narrow-firsts", "narrow-again")
 
     @F.pandas_udf("n_removed long, spans array<struct<lo:int,hi:int>>, kept_sha256 string")
     def cut(texts: pd.Series, all_ranges: pd.Series) -> pd.DataFrame:
         out = []
         for t, r in zip(texts, all_ranges):
+            if t is None:
+                out.append((0, [], None))
+                continue
             size = len(t.encode())
             kept, runs = without(t, [{"lo": x["lo"], "hi": min(x["hi"], size)} for x in r])
             out.append((size - len(kept), [{"lo": a, "hi": b} for a, b in runs], hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=["n_removed", "spans", "kept_sha256"])
 
-    done = same(held.drop("positions"), ranges).select("doc_id", "mark", cut("body", "ranges").alias("r")).dropDuplicates(["doc_id", "mark"])
-    whole = rows.select("doc_id", "mark", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"))
-    return same(whole, done, "left").select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce("r.n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.size("r.spans"), F.lit(0)).cast("long").alias("n_spans"),
-        F.col("r.spans").alias("spans"),
+    joined = _same(rows, ranges, "left")
+    return joined.select(
+        "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.when(F.col("ranges").isNull(), F.sha2("body", 256)).alias("sha"),
+        cut(F.when(F.col("ranges").isNotNull(), F.col("body")), "ranges").alias("r"),
+    ).select(
+        "doc_id", "n_bytes", F.col("r.n_removed").alias("n_removed"), F.size("r.spans").cast("long").alias("n_spans"), F.col("r.spans").alias("spans"),
         F.coalesce("r.kept_sha256", "sha").alias("kept_sha256"),
     )
+
+
+def _gathered(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))

@@ -272,10 +272,30 @@ def test_viterbi_and_fit():
     assert learnt.viterbi(learnt.scores(good)) == [1, 1] and learnt.viterbi(learnt.scores(bad)) == [0, 0]
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_suffix_dedup(spark, monkeypatch, most):
-    monkeypatch.setattr(suffixes, "MOST_CLASSES", most)
-    rows = corpus()
+def repeating(seed=12):
+    """A corpus whose passages come back in other surroundings, changed here and there, and overlap."""
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdeé ") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    passages = ["".join(r.choice(vocab) for _ in range(r.randint(20, 70))) for _ in range(6)]
+    texts = []
+    for _ in range(40):
+        text = ""
+        for _ in range(r.randint(1, 4)):
+            p = r.choice(passages)
+            a, b = sorted((r.randrange(len(p)), r.randrange(len(p))))
+            part = list(p[a : b + 1])
+            for _ in range(r.randint(0, 2)):
+                part[r.randrange(len(part))] = r.choice("xyz")
+            text += "".join(part) + r.choice(["", r.choice(vocab), "q"])
+        texts.append(text)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("most, make", [(20_000, corpus), (1, corpus), (20_000, repeating), (1, repeating)])
+def test_suffix_dedup(spark, monkeypatch, most, make):
+    monkeypatch.setattr(suffixes, "MOST", most)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    rows = make()
     got = {r.doc_id: r for r in suffixes.suffix_dedup(frame(spark, rows)).collect()}
     seen = set()
     for i, t in sorted(rows):
@@ -290,6 +310,40 @@ def test_suffix_dedup(spark, monkeypatch, most):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), sum(covered), spans, hashlib.sha256(kept).hexdigest())
 
 
+def windows_again(rows):
+    """By brute force: of 168 bytes around anchors, in order of time, the bytes covered by windows over the anchor that an earlier row has at the same place."""
+    out = []
+    for i, x in enumerate(rows):
+        hit = [j for j in range(suffixes._REACH + 1) if 0 not in x[68 - j : 168 - j] and any((x[68 - j : 168 - j] == y[68 - j : 168 - j]).all() for y in rows[:i])]
+        out.append({k for j in hit for k in range(-j, 100 - j)})
+    return out
+
+
+def test_suffix_order_decides(monkeypatch):
+    r = np.random.default_rng(3)
+    rows = np.repeat(r.integers(98, 101, (6, 168)).astype(np.uint8), 12, 0)
+    rows[:, 68:100] = 120
+    for x in rows:
+        x[r.integers(0, 68)] = r.integers(98, 101)
+        x[r.integers(100, 168)] = r.integers(98, 101)
+        if r.random() < 0.3:
+            x[r.integers(140, 168) :] = 0
+    r.shuffle(rows)
+
+    def found(spans):
+        got = [set() for _ in rows]
+        for i, lo, hi in zip(*suffixes.ranges_of(rows, spans)):
+            got[i].update(range(lo, hi))
+        return got
+
+    want = windows_again(rows)
+    assert found(suffixes.HALVES) == want and sum(map(len, want)) > 1000
+    narrow = [set().union(*x) for x in zip(*(found([span]) for span in suffixes.NARROW))]
+    assert narrow == want
+    monkeypatch.setattr(suffixes, "linear_grouping", lambda text: [len(text), *range(len(text))])
+    assert found(suffixes.HALVES) != want
+
+
 def test_linear_grouping():
     r = random.Random(4)
     for _ in range(500):
