@@ -23,8 +23,8 @@ from realty_spark.llm.shared import Scratch, partitions
 
 #: The six bytes that are deleted before texts are compared.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
-#: Distinct keys of a bucket.
-CAPACITY = 1024
+#: Distinct keys of a bucket at least, and buckets for each shuffle partition at most; with more keys a bucket holds more.
+CAPACITY, BUCKETS = 128, 16
 #: A key with over one in so many rows, and over LEAST_HOT, is hot; there are at most so many.
 HOT_SHARE, LEAST_HOT = 100_000, 16
 #: Shares that a hot key is dealt in.
@@ -75,9 +75,9 @@ def bucketed(rows: DataFrame, cells: DataFrame, depth: int, n_cells: int) -> Dat
     return rows.withColumn("cell", cell_of(F.col("key"), depth)).join(cells, "cell").drop("cell")
 
 
-def build_index(rows: DataFrame, keys: DataFrame, scratch: Scratch, capacity: int) -> Index:
+def build_index(rows: DataFrame, keys: DataFrame, scratch: Scratch, capacity: int | None) -> Index:
     """The index of rows of (doc_id, points, key, norm); ``keys``: their keys with n, the number of rows."""
-    depth, cells = directory(keys, capacity)
+    depth, cells = directory(keys, capacity or max(CAPACITY, keys.count() // (BUCKETS * partitions(rows.sparkSession))))
     cells = scratch.save(cells, "directory")
     n_cells = cells.count()
     limit = max(LEAST_HOT, keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_SHARE)
@@ -109,7 +109,7 @@ def build_index(rows: DataFrame, keys: DataFrame, scratch: Scratch, capacity: in
     return Index(depth, cells, n_cells, chains)
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket.
 
     Texts are equal when their bytes are, after every space, tab, line feed, vertical tab, form feed and
@@ -117,7 +117,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     the one with the smallest id; a null id comes before all others.  A null text counts as empty, and all
     empty texts form one group.  Rows that repeat an id are members of their own: each counts in
     group_size and all rows of the winning id and text are kept.  An empty table gives an empty result; other columns
-    of the input are not read.
+    of the input are not read.  ``capacity``: distinct keys of a bucket.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     rows = docs.select(
