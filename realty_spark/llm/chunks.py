@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from realty_spark.llm.shared import tune
+from realty_spark.llm.shared import Scratch, tune
 from realty_spark.llm.words import slices
 
 LEAST, BITS, MOST = 16, 5, 1024
 #: Bytes of neighbouring repeated chunks from which on they are cut out.
 LEAST_RUN = 96
+#: A digest with over one in so many repeated chunks, and over LEAST_HOT, is frequent; there are at most so many.
+HOT_SHARE, LEAST_HOT = 100_000, 64
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -112,7 +114,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     the text.  An empty table gives an empty result; all other columns are carried, and those named like the added ones are replaced.
 
     Chunk rows are combined before the shuffle by digest, so a passage that fills a third of all documents is a few rows
-    for its owner; the lookup of a frequent chunk is split by adaptive skew-join handling.
+    for its owner.  Digests with a fixed share of all chunks, of which there are few, are looked up by broadcast; the others by a join, in
+    which rows of frequent ones are dealt out by their own places.
     """
     tune(docs.sparkSession)
     added = ["n_bytes", "n_removed", "n_spans", "spans"]
@@ -120,15 +123,18 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     mark = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 31)).alias("mark")
     rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("doc_id"), mark, F.col(text_col).alias("body"))
     chunks = chunked(rows)
-    owners = (
-        chunks.groupBy("hi", "lo")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"))
-        .filter("NOT (first <=> last)")
-        .select("hi", "lo", "first")
-    )
+    scratch = Scratch(docs.sparkSession, "chunks")
+    owners = chunks.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"), F.count("*").alias("n"))
+    owners = scratch.save(owners.filter("NOT (first <=> last)").select("hi", "lo", "first", "n"), "owners")
+    limit = max(LEAST_HOT, owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_SHARE)
+    hot = owners.filter(F.col("n") > limit).select("hi", "lo", F.col("first").alias("hot_first"))
+    cold = owners.filter(F.col("n") <= limit).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first")
+    seen = chunks.join(F.broadcast(hot), ["hi", "lo"], "left")
+    own = F.when(F.col("hot_first").isNull(), F.col("hi")).otherwise(F.xxhash64("doc_id", "place"))
+    seen = seen.withColumn("own", own).join(cold, (F.col("own") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
+    first = F.coalesce("hot_first", "first")
     repeated = (
-        chunks.join(owners, ["hi", "lo"])
-        .filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
+        seen.filter(first.isNotNull() & ~F.struct("doc_id", "place").eqNullSafe(first))
         .groupBy(F.col("doc_id").alias("id"), F.shiftright("place", 32).alias("its"))
         .agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("numbers"))
     )

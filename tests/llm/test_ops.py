@@ -213,7 +213,9 @@ def test_ppm_sums_to_one():
     assert (10 ** costs[every >> 8 == context]).sum() == pytest.approx(1)
 
 
-def test_chunks(spark):
+@pytest.mark.parametrize("least_hot", [64, 1])
+def test_chunks(spark, monkeypatch, least_hot):
+    monkeypatch.setattr(chunks, "LEAST_HOT", least_hot)
     rows = corpus()
     rows[15] = (15, (rows[15][1] or "") + " . " + " ".join(f"w{i}x" for i in range(80)) + " . more")
     rows[25] = (25, "before that " + " ".join(f"w{i}x" for i in range(80)) + " . " + (rows[25][1] or ""))
