@@ -136,6 +136,15 @@ def _lookup(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+# Words that tell a type in the text of a listing, and those by which a text is taken to name one.
+TYPE_WORDS = [("appartement", "apartment"), ("maison", "house"), ("terrain", "land"), ("commercial", "commercial")]
+NAMING_WORDS = ["appartement", "maison", "terrain", "local", "commercial"]
+
+
+def names_type(text: Column) -> Column:
+    return F.lower(text).rlike("|".join(NAMING_WORDS))
+
+
 def property_type(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(_lookup(PROPERTY_TYPES), F.trim(F.lower(F.coalesce(raw, F.lit(""))))), F.lit("other"))
 
@@ -155,6 +164,12 @@ def insee(raw: Column) -> Column:
     return F.when(code.rlike("^(\\d{5}|2[AB]\\d{3})$"), code)
 
 
+def department_of(given: Column, insee_code: Column, postal_code: Column) -> Column:
+    """The given department, else that of the municipality code, else that of the postcode; '' counts as none."""
+    own = [F.nullif(c, F.lit("")) for c in (given, insee_code, postal_code)]
+    return F.coalesce(own[0], department(own[1]), department(own[2]))
+
+
 def department(insee_code: Column) -> Column:
     return F.when(insee_code.startswith("97"), F.substr(insee_code, F.lit(1), F.lit(3))).otherwise(F.substr(insee_code, F.lit(1), F.lit(2)))
 

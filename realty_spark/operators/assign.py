@@ -60,9 +60,18 @@ def eligible(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: C
 
 
 def with_weight(rows: DataFrame) -> DataFrame:
-    """Linear weights: of a client's n rows the oldest has n and the newest 1."""
-    w = Window.partitionBy("client_id")
-    return rows.withColumn("weight", F.count("*").over(w) - F.row_number().over(w.orderBy("sale_date", "address_id")) + 1)
+    """Linear weights: of a client's n rows the oldest has n and the newest 1.
+
+    Days are counted first and summed up from the newest; a row's weight is that sum less its place within its day, so a
+    client's rows are sorted by day and not as a whole.
+    """
+    days = rows.groupBy("client_id", "sale_date").agg(F.count("*").alias("__k"))
+    newest = Window.partitionBy("client_id").orderBy(F.desc("sale_date")).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select(F.col("client_id").alias("__c"), F.col("sale_date").alias("__d"), F.sum("__k").over(newest).alias("__upto"))
+    place = F.row_number().over(Window.partitionBy("client_id", "sale_date").orderBy("address_id"))
+    placed = rows.withColumn("__place", place)
+    joined = placed.join(days, (F.col("client_id") == F.col("__c")) & F.col("sale_date").eqNullSafe(F.col("__d")))
+    return joined.withColumn("weight", F.col("__upto") - F.col("__place") + 1).drop("__c", "__d", "__upto", "__place")
 
 
 def weighted_sample(rows: DataFrame, seed: int, most: int) -> DataFrame:

@@ -37,6 +37,12 @@ def from_codes(rows: DataFrame) -> DataFrame:
     return out.join(codes, "name", "full").withColumn("department", T.department(F.col("insee_code")))
 
 
+def with_new(cities: DataFrame, found: DataFrame) -> DataFrame:
+    """Known cities and those newly found by ``from_codes`` under names that are not known in any case; new ones have no city_id."""
+    new = found.join(cities.select(F.upper("name").alias("__known")).distinct(), F.upper("name") == F.col("__known"), "left_anti")
+    return cities.unionByName(new, allowMissingColumns=True)
+
+
 def upsert(cities: DataFrame, fresh: DataFrame, key: str = "insee_code") -> DataFrame:
     """Cities with fresh values by key; a null fresh value leaves the old one.  ``action`` tells what happened."""
     old, new = cities.alias("o"), fresh.alias("n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The columns by which sales are equal.
 ATTRIBUTES = ["address_raw", "city_name", "price", "surface", "rooms", "sale_date"]
 
 

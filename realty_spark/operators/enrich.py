@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -25,8 +26,12 @@ def geocode(sales: DataFrame, answers: DataFrame) -> DataFrame:
     return out.withColumns({"address_normalized": F.coalesce("address_normalized", F.lit("Non disponible")), "geocoding_score": F.coalesce("geocoding_score", F.lit(0.0))})
 
 
-def geocoded(sales: DataFrame, least_score: float = 0.1, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Sales with coordinates and a score that is null or high enough; ``box``: min_lat, min_lon, max_lat, max_lon, off by default."""
+def geocoded(sales: DataFrame, least_score: float = 0.1, box: tuple[float, float, float, float] | None = None, distance_km: float = 0.0) -> DataFrame:
+    """Sales with coordinates and a score that is null or high enough; ``box``: min_lat, min_lon, max_lat, max_lon, off by default, widened
+    by ``distance_km`` on each side."""
+    if box:
+        up, along = G.lat_degrees(distance_km), distance_km / (math.cos(math.radians((box[0] + box[2]) / 2)) * G.KM_PER_LON)
+        box = (box[0] - up, box[1] - along, box[2] + up, box[3] + along)
     out = sales.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (F.col("geocoding_score").isNull() | (F.col("geocoding_score") >= least_score)))
     return out.filter(F.col("latitude").between(box[0], box[2]) & F.col("longitude").between(box[1], box[3])) if box else out
 
@@ -37,7 +42,10 @@ def location_key(insee: Column, postal: Column, city: Column) -> Column:
 
 
 def conformed(feed: DataFrame, priority: int) -> DataFrame:
-    """A certificate feed under the names of the certificate table; ``priority`` orders feeds."""
+    """A certificate feed under the names of the certificate table; ``priority`` orders feeds.
+
+    An address is the first of the address columns, else put together from its parts.  certificate_id is made of what identifies a certificate.
+    """
     # Names that feeds use for one column.
     names = {
         "dpe_number": ["dpe_number", "N°DPE", "numero_dpe"],
@@ -48,13 +56,26 @@ def conformed(feed: DataFrame, priority: int) -> DataFrame:
         "annee_construction": ["annee_construction", "Année_construction"],
         "periode_construction": ["periode_construction"],
         "date_reception": ["date_reception", "Date_réception_DPE", "date_reception_dpe"],
+        "date_etablissement": ["date_etablissement", "Date_établissement_DPE", "date_etablissement_dpe"],
         "code_insee": ["code_insee", "code_insee_ban"],
         "code_postal": ["code_postal", "code_postal_ban"],
         "commune": ["commune", "nom_commune_ban"],
     }
+    parts = ["numero_voie_ban", "nom_rue_ban", "code_postal_ban", "nom_commune_ban"]
     null = F.lit(None).cast("string")
-    columns = [F.coalesce(*(F.col(f"`{n}`").cast("string") for n in own if n in feed.columns), null).alias(c) for c, own in names.items()]
-    return feed.select(*columns, F.lit(priority).alias("feed_priority"))
+    text = lambda n: F.nullif(F.col(f"`{n}`").cast("string"), F.lit(""))
+    columns = {c: F.coalesce(*(text(n) for n in own if n in feed.columns), null) for c, own in names.items()}
+    columns["adresse"] = F.coalesce(columns["adresse"], F.nullif(F.concat_ws(" ", *(text(n) for n in parts if n in feed.columns)), F.lit("")))
+    out = feed.select(*(c.alias(n) for n, c in columns.items()), F.lit(priority).alias("feed_priority"))
+    key = N.stable_id(*(F.col(c) for c in ("feed_priority", "dpe_number", "adresse", "geopoint", "code_insee", "code_postal", "commune")))
+    return out.withColumn("certificate_id", key)
+
+
+def cached(certificates: DataFrame, now: Column, days: int = 30, fetched: str = "fetched_at") -> tuple[DataFrame, DataFrame]:
+    """(certificates fetched within ``days``, locations whose certificates are to be fetched again); one old or undated row makes a location old."""
+    old = F.coalesce(now.cast("timestamp").cast("long") - F.col(fetched).cast("timestamp").cast("long") > days * 86400, F.lit(True))
+    outdated = certificates.groupBy("code_insee").agg(F.max(old).alias("old")).filter("old").select("code_insee")
+    return certificates.join(outdated, "code_insee", "left_anti"), outdated
 
 
 def certificate_pool(feeds: DataFrame, order: str = "certificate_id", cap: int | None = None, stop_after: int | None = None) -> DataFrame:
@@ -77,6 +98,14 @@ def construction_year(cert: DataFrame) -> Column:
     return F.coalesce(F.col("annee_construction").try_cast("int"), F.nullif(F.regexp_extract("periode_construction", "(\\d{4})", 1), F.lit("")).try_cast("int"))
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the ratio cannot exceed: twice the letters that both texts have, each as often as it occurs in both, by the lengths' sum."""
+    letters = F.array_distinct(F.split(a, ""))
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    both = F.aggregate(letters, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2 * both / (F.length(a) + F.length(b)))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity."""
 
@@ -90,33 +119,77 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def link_certificates(sales: DataFrame, certificates: DataFrame, similarity: str = "ratio", metres: float = 20.0, least: float = 0.7) -> DataFrame:
+def similar(pairs: DataFrame, a: str, b: str, measure: str, least: float) -> DataFrame:
+    """``pairs`` with ``similarity`` of the texts in columns ``a`` and ``b``; those under ``least`` go.
+
+    The ratio needs Python: it is reckoned once for each two texts, and only where lengths and letters allow ``least``.
+    """
+    if measure != "ratio":
+        return pairs.withColumn("similarity", F.round(levenshtein_similarity(F.col(a), F.col(b)), 6)).filter(F.col("similarity") >= least)
+    x, y = F.length(a), F.length(b)
+    able = pairs.filter((2 * F.least(x, y) >= (least - 1e-6) * (x + y)) & (ratio_bound(F.col(a), F.col(b)) >= least - 1e-6))
+    scored = able.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+    scored = scored.withColumn("similarity", F.round(ratio(F.col("__a"), F.col("__b")), 6)).filter(F.col("similarity") >= least)
+    return able.join(scored, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b"))).drop("__a", "__b")
+
+
+def _optional(df: DataFrame, *names: str, kind: str = "string") -> Column:
+    """The first of the columns that there are and that is not null."""
+    return F.coalesce(*(F.col(n).cast("string") for n in names if n in df.columns), F.lit(None).cast("string")).try_cast(kind)
+
+
+def _locations(insee: Column, postal: Column, city: Column, fallback: bool) -> Column:
+    """The keys of a place: its code, and with ``fallback`` its postcode, and its name with the postcode."""
+    if not fallback:
+        return F.array(insee)
+    blank = F.lit("")
+    postal = F.nullif(postal, blank)
+    keys = F.array(F.concat(F.lit("insee "), F.nullif(insee, blank)), F.concat(F.lit("post "), postal), F.concat(F.lit("city "), F.upper(F.nullif(city, blank)), F.lit(" "), postal))
+    return F.array_compact(keys)
+
+
+def link_certificates(
+    sales: DataFrame, certificates: DataFrame, similarity: str = "ratio", metres: float = 20.0, least: float = 0.7, fallback: bool = False, strict: bool = True, least_loose: float = 0.85
+) -> DataFrame:
     """The nearest certificate of each sale at its location: street numbers at most 2 apart, at most ``metres`` away, addresses alike.
 
     Sales: address_id, insee_code, address_raw, latitude, longitude.  The number window makes an equal join on (location, number); distance
     goes before text, which only a few pairs reach.  Equal distances go to the least number, then the least certificate id.
+    ``fallback``: postcodes, and city names with postcodes, are locations as well.  Without ``strict`` pairs of which one has no
+    number count too, from ``least_loose`` on; they meet by location and rows of latitude as high as ``metres``.
     """
+    none = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     s_addr, c_addr = T.parse_address(F.col("address_raw")), T.parse_address(F.col("adresse"))
     left = sales.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(
-        "address_id", F.col("insee_code").alias("loc"), s_addr["number"].alias("s_number"), T.match_form(F.col("address_raw")).alias("s_text"), "latitude", "longitude"
+        "address_id", _locations(F.col("insee_code"), none(sales, "postal_code"), none(sales, "city_name"), fallback).alias("locs"), s_addr["number"].alias("s_number"),
+        T.match_form(F.col("address_raw")).alias("s_text"), "latitude", "longitude",
     )
-    left = left.withColumn("num", T.street_digits(F.col("s_number"))).filter("num IS NOT NULL")
+    left = left.withColumn("num", T.street_digits(F.col("s_number"))).withColumn("loc", F.explode("locs")).drop("locs")
     point = T.geopoint(F.col("geopoint"))
     right = certificates.select(
-        F.col("certificate_id"), "dpe_number", F.col("code_insee").alias("loc"), c_addr["number"].alias("c_number"), T.match_form(F.col("adresse")).alias("c_text"),
-        point["lat"].alias("c_lat"), point["lon"].alias("c_lon"), F.col("etiquette_dpe").alias("dpe_energy_class"), construction_year(certificates).alias("construction_year"),
+        F.col("certificate_id"), "dpe_number", _locations(F.col("code_insee"), none(certificates, "code_postal"), none(certificates, "commune"), fallback).alias("locs"),
+        c_addr["number"].alias("c_number"), T.match_form(F.col("adresse")).alias("c_text"), point["lat"].alias("c_lat"), point["lon"].alias("c_lon"), F.col("etiquette_dpe").alias("dpe_energy_class"),
+        _optional(certificates, "etiquette_ges").alias("dpe_ges_class"), _optional(certificates, "date_reception", "date_etablissement", kind="date").alias("dpe_date"), construction_year(certificates).alias("construction_year"),
     )
-    right = right.withColumn("c_num", T.street_digits(F.col("c_number"))).filter("c_num IS NOT NULL AND c_lat IS NOT NULL AND c_lon IS NOT NULL")
-    right = right.withColumn("num", F.explode(F.sequence(F.col("c_num") - 2, F.col("c_num") + 2)))
+    right = right.filter("c_lat IS NOT NULL AND c_lon IS NOT NULL").withColumn("c_num", T.street_digits(F.col("c_number"))).withColumn("loc", F.explode("locs")).drop("locs")
+    numbered = right.filter("c_num IS NOT NULL").withColumn("num", F.explode(F.sequence(F.col("c_num") - 2, F.col("c_num") + 2)))
     reach = metres / 1000 / G.KM_PER_LAT * 1.1
-    pairs = left.join(right, ["loc", "num"]).filter(F.abs(F.col("latitude") - F.col("c_lat")) <= reach)
+    columns = ["address_id", "s_number", "s_text", "latitude", "longitude", *(c for c in right.columns if c not in ("loc", "c_num"))]
+    pairs = left.filter("num IS NOT NULL").join(numbered, ["loc", "num"]).select(columns)
+    if not strict:
+        row = lambda c: F.floor(F.col(c) / reach)
+        near = left.withColumn("row", F.explode(F.sequence(row("latitude") - 1, row("latitude") + 1)))
+        pairs = pairs.unionByName(near.join(right.withColumn("row", row("c_lat")), ["loc", "row"]).filter("num IS NULL OR c_num IS NULL").select(columns))
+    pairs = pairs.filter(F.abs(F.col("latitude") - F.col("c_lat")) <= reach)
     pairs = pairs.withColumn("distance_m", F.round(G.haversine_km(F.col("latitude"), F.col("longitude"), F.col("c_lat"), F.col("c_lon")) * 1000, 6)).filter(F.col("distance_m") <= metres)
-    alike = ratio(F.col("s_text"), F.col("c_text")) if similarity == "ratio" else levenshtein_similarity(F.col("s_text"), F.col("c_text"))
-    pairs = pairs.withColumn("similarity", F.round(alike, 6)).filter(F.col("similarity") >= least)
+    pairs = similar(pairs, "s_text", "c_text", similarity, least)
+    if not strict:
+        pairs = pairs.filter((F.col("s_number").isNotNull() & F.col("c_number").isNotNull()) | (F.col("similarity") >= least_loose))
     best = first_by(pairs, ["address_id"], ["distance_m", F.asc_nulls_last("dpe_number"), "certificate_id"])
-    points = N.match_score(F.col("similarity"), F.col("distance_m"), F.col("s_number"), F.col("c_number"), F.lit(True))
+    points = N.match_score(F.col("similarity"), F.col("distance_m"), F.col("s_number"), F.col("c_number"), T.numbers_agree(F.col("s_number"), F.col("c_number")))
     return best.select(
-        "address_id", "certificate_id", "dpe_number", "dpe_energy_class", "construction_year", "distance_m", "similarity", points.alias("match_points"), F.least(points, F.lit(100)).alias("match_confidence")
+        "address_id", "certificate_id", "dpe_number", "dpe_date", "dpe_energy_class", "dpe_ges_class", "construction_year", "distance_m", "similarity",
+        points.alias("match_points"), F.least(points, F.lit(100)).alias("match_confidence"),
     )
 
 

@@ -44,7 +44,7 @@ def new_jobs(clients: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def with_clients(jobs: DataFrame, clients: DataFrame) -> DataFrame:
-    named = clients.select("client_id", F.struct("first_name", "email").alias("client"))
+    named = clients.select("client_id", F.struct("first_name", "last_name", "email").alias("client"))
     return jobs.join(named, "client_id", "left")
 
 

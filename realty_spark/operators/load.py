@@ -29,7 +29,7 @@ def load_addresses(sales: DataFrame, existing: DataFrame) -> DataFrame:
         {
             "action": action,
             "address_key": F.when(valid, F.coalesce("__known", own)),
-            "department": T.department(F.col("insee_code")),
+            "department": T.department_of(*(F.col(c) if c in sales.columns else F.lit(None).cast("string") for c in ("department", "insee_code", "postal_code"))),
             "geoposition": G.geojson_point(F.col("latitude"), F.col("longitude")),
         }
     ).drop("__known")
@@ -54,8 +54,14 @@ def load_certificates(loaded: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def with_first_certificate(addresses: DataFrame, certificates: DataFrame, key: str = "address_key", order: str = "dpe_key") -> DataFrame:
+    """Addresses with the first of their certificates as a struct ``certificate``; null where there is none."""
+    first = first_by(certificates, [key], [order])
+    return addresses.join(first.select(F.col(key).alias("__key"), F.struct(*(c for c in certificates.columns if c != key)).alias("certificate")), F.col(key) == F.col("__key"), "left").drop("__key")
+
+
 def load_report(loaded: DataFrame) -> DataFrame:
-    """address_id, address_raw, city_id, success, error, skipped, reason for each row of ``load_addresses``."""
+    """address_id, address_raw, city_id, success, error, skipped, reason for each row of ``load_addresses``; an error is that of no row, as all are loaded as one table."""
     skipped = F.col("action") == "skipped"
     missing = F.concat_ws(", ", *(F.when(F.col(c).isNull(), c) for c in REQUIRED))
     return loaded.select(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from realty_spark.functions import numbers as N
 
-EMAIL = "^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}$"
-PHONE = "^([+]33|0)[1-9][0-9]{8}$"
-# The domains of coded columns.
+# The pattern of an e-mail address, that of a French telephone number, and the domains of coded columns.
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+PHONE = r"^(\+33|0)[1-9][0-9]{8}$"
 SUBSCRIPTIONS = ["decouverte", "pro", "entreprise"]
 STATUSES = ["active", "inactive", "suspended", "pending"]
 TYPES = ["house", "apartment", "land", "commercial", "other"]
@@ -48,7 +48,7 @@ def _judged(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
     return df.withColumns({"first_error": first, "is_valid": first.isNull()})
 
 
-def check_clients(clients: DataFrame, required: tuple[str, ...] = ("first_name", "email")) -> DataFrame:
+def check_clients(clients: DataFrame, required: tuple[str, ...] = ("first_name", "last_name", "email")) -> DataFrame:
     day, wanted = F.col("send_day").cast("string").try_cast("int"), F.col("addresses_per_report").cast("string").try_cast("int")
     given = lambda c: ~_blank(c)
     return _judged(
@@ -65,7 +65,7 @@ def check_clients(clients: DataFrame, required: tuple[str, ...] = ("first_name",
     )
 
 
-def check_sales(raw: DataFrame, required: tuple[str, ...] = ("address", "city", "property_type", "sale_date", "price")) -> DataFrame:
+def check_sales(raw: DataFrame, required: tuple[str, ...] = ("address", "city", "postal_code", "property_type", "sale_date", "price")) -> DataFrame:
     """Raw sales: required fields, a date as DD/MM/YYYY, a known type, numbers that are not negative."""
     number = lambda c: F.col(c).try_cast("double")
     wrong = lambda c: F.col(c).isNotNull() & (number(c).isNull() | (number(c) < 0))
@@ -73,7 +73,7 @@ def check_sales(raw: DataFrame, required: tuple[str, ...] = ("address", "city",
         raw,
         [
             *((_blank(c), f"missing {c}") for c in required),
-            *([(~is_postcode(F.col("postal_code")), "postal_code")] if "postal_code" in raw.columns else []),
+            (~is_postcode(F.col("postal_code")), "postal_code"),
             (~is_date(F.col("sale_date")), "sale_date"),
             (~F.col("property_type").isin(TYPES), "property_type"),
             *((wrong(c), c) for c in ("price", "surface", "rooms")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from realty_spark.functions import geo as G
+from realty_spark.operators.dedup import first_by
 
 # Bounds of the default price bands, and French month names.
 BOUNDS = [0, 80000, 120000, 150000, 180000, 220000, 260000, 300000, 350000, 400000, 500000, 600000, 750000, 1000000, 25000000]
@@ -51,11 +52,12 @@ def cell_members(points: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     return near.join(cells, [key, "i", "j"]).filter(inside).drop("lat0", "lon0", "lat1", "lon1", "gx", "gy")
 
 
-def month_slices(cells: DataFrame, first: str, last: str) -> DataFrame:
-    """Each cell with each month from first to last (YYYY-MM-01): period MM/YYYY and label."""
+def month_slices(cells: DataFrame, first: str, last: str, types: list[str] | None = None) -> DataFrame:
+    """Each cell with each month from first to last (YYYY-MM-01) and each of the types, if given: period MM/YYYY, label and property_type."""
     months = cells.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr("INTERVAL 1 MONTH"))).alias("month"))
     label = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, MONTHS)), F.month("month")), F.year("month").cast("string"))
-    return cells.crossJoin(F.broadcast(months.select("month", F.date_format("month", "MM/yyyy").alias("period"), label.alias("label"))))  # the months given
+    out = cells.crossJoin(F.broadcast(months.select("month", F.date_format("month", "MM/yyyy").alias("period"), label.alias("label"))))  # the months given
+    return out.withColumn("property_type", F.explode(F.array(*map(F.lit, types)))) if types else out
 
 
 def equal_bands(df: DataFrame, low: str, high: str, n: int) -> DataFrame:
@@ -73,11 +75,16 @@ def default_band(price: Column) -> Column:
 
 
 def positional_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """For each share p the value at place floor(p * n) of a group's sorted values, from 0, and n."""
+    """For each share p the value at place floor(p * n) of a group's sorted values, from 0, and n.
+
+    Rows are first summed to one per (keys, value), so a group is as large as its different values are many; running sums give the places.
+    """
+    counted = df.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("__k"))
     w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value) > 0).withColumn("__n", F.count("*").over(w)).withColumn("__at", F.row_number().over(w.orderBy(value)) - 1)
-    picks = [F.max(F.when(F.col("__at") == F.floor(F.lit(p) * F.col("__n")), F.col(value))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *picks)
+    upto = counted.withColumn("__n", F.sum("__k").over(w)).withColumn("__upto", F.sum("__k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    held = lambda p: (F.floor(F.lit(p) * F.col("__n")) < F.col("__upto")) & (F.floor(F.lit(p) * F.col("__n")) >= F.col("__upto") - F.col("__k"))
+    picks = [F.max(F.when(held(p), F.col(value))).alias(name) for name, p in shares.items()]
+    return upto.groupBy(*keys).agg(F.sum("__k").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *picks)
 
 
 def data_bands(df: DataFrame, key: str, value: str = "price", parts: int = 6) -> DataFrame:
@@ -134,3 +141,25 @@ def capped_slices(rows: DataFrame, keys: list[str], cap: int = CAP) -> DataFrame
     big = F.col("n") >= cap // 2
     placed = placed.withColumn("slice", F.when(big, F.concat(F.lit("p"), F.col("price").cast("string"))).otherwise(F.concat_ws("-", group.cast("string"), F.sum(big.cast("int")).over(w).cast("string"))))
     return placed.groupBy(*keys, "slice").agg(F.min("price").alias("band_min"), (F.max("price") + 1).alias("band_max"), F.sum("n").alias("n")).drop("slice")
+
+
+# The groups of types that a slice over the cap is split into before prices are.
+TYPE_GROUPS = {"apartment": "apartments", "house": "houses"}
+
+
+def capped_by_type(rows: DataFrame, keys: list[str], cap: int = CAP) -> DataFrame:
+    """Slices (keys, type_group, band_min, band_max, n): keys under the cap are one slice ``all``, others are split by type group and, where that is still too large, by price."""
+    group = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in TYPE_GROUPS.items() for x in pair)), F.col("property_type")), F.lit("others"))
+    counted = rows.groupBy(*keys, group.alias("type_group")).agg(F.count("*").alias("__n"))
+    small = counted.groupBy(*keys).agg((F.sum("__n") < cap).alias("__small"))
+    marked = rows.withColumn("type_group", group).join(small, keys)
+    marked = marked.withColumn("type_group", F.when(F.col("__small"), F.lit("all")).otherwise(F.col("type_group")))
+    whole = marked.groupBy(*keys, "type_group").agg((F.floor(F.min("price"))).alias("band_min"), (F.floor(F.max("price")) + 1).alias("band_max"), F.count("*").alias("n"))
+    over = whole.filter(F.col("n") >= cap).select(*keys, "type_group")
+    return whole.filter(F.col("n") < cap).unionByName(capped_slices(marked.join(over, [*keys, "type_group"], "left_semi"), [*keys, "type_group"], cap))
+
+
+def with_subdivisions(parents: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """The rows collected for slices and those for their subdivisions, each once; ``origin`` tells parent before part."""
+    both = parents.withColumn("origin", F.lit("parent")).unionByName(parts.withColumn("origin", F.lit("part")))
+    return first_by(both, [key], ["origin"])

@@ -33,16 +33,30 @@ class Inputs:
 STAGES = ["normalize", "resolve", "geocode", "certificates", "refresh", "estimate", "load"]
 
 
-def run_enrichment(spark: SparkSession, start_df: DataFrame, inputs: Inputs, as_of: Column, start: int = 1, end: int = 7, keep: str | None = None) -> DataFrame:
+@dataclass
+class Outcome:
+    """rows: the last stage's; cities: brought up to date by stage 5; certificates, report: of stage 7; stats: stage, n_in, n_out, n_rejected."""
+
+    rows: DataFrame
+    cities: DataFrame
+    certificates: DataFrame | None = None
+    report: DataFrame | None = None
+    stats: DataFrame | None = None
+
+
+def enrich(
+    spark: SparkSession, start_df: DataFrame, inputs: Inputs, as_of: Column, start: int = 1, end: int = 7, keep: str | None = None, similarity: str = "ratio", days: int = 365
+) -> Outcome:
     """Stages ``start`` to ``end`` (1 to 7) on the output of the stage before; ``keep``: a folder for each stage's output.
 
-    Wrong bounds are an error, and so is a geocoding stage that nothing survives.
+    Wrong bounds are an error, and so is a geocoding stage that nothing survives.  Stage 5 brings the cities of the sales up to date that
+    were not collected within ``days``; no such city is fine.
     """
     if not 1 <= start <= end <= len(STAGES):
         raise ValueError(f"stages must be within 1 and {len(STAGES)}, got {start} to {end}")
-    df = start_df
+    df, out, sizes = start_df, Outcome(start_df, inputs.cities), []
     for k in range(start, end + 1):
-        name = STAGES[k - 1]
+        name, before = STAGES[k - 1], df
         if name == "normalize":
             df = N.normalize(df)
             df = D.new_only(df, inputs.loaded) if inputs.loaded is not None else df
@@ -50,12 +64,17 @@ def run_enrichment(spark: SparkSession, start_df: DataFrame, inputs: Inputs, as_
             df = C.resolve(df, inputs.cities.select("city_id", "name", "postal_code", "insee_code"))
         elif name == "geocode":
             df = E.geocoded(E.geocode(df, inputs.answers) if inputs.answers is not None else df)
-            if df.isEmpty():
-                raise ValueError("no sale could be geocoded")
         elif name == "certificates" and inputs.certificates is not None:
             df = df if "address_id" in df.columns else df.withColumn("address_id", F.xxhash64("address_raw", "city_id", "sale_date", "source_url"))
-            links = E.link_certificates(df, inputs.certificates).select("address_id", "dpe_number", F.col("dpe_energy_class").alias("__class"), "construction_year", F.col("match_confidence").alias("dpe_match_confidence"))
-            df = df.join(links, "address_id", "left").withColumn("dpe_energy_class", F.coalesce("__class", *(["dpe_energy_class"] if "dpe_energy_class" in df.columns else []))).drop("__class")
+            found = ["dpe_number", "dpe_date", "dpe_energy_class", "dpe_ges_class", "construction_year"]
+            links = E.link_certificates(df, inputs.certificates, similarity).select("address_id", F.col("match_confidence").alias("dpe_match_confidence"), *(F.col(c).alias(f"__{c}") for c in found))
+            df = df.join(links, "address_id", "left")
+            df = df.withColumns({c: F.coalesce(f"__{c}", *([c] if c in df.columns else [])) for c in found}).drop(*(f"__{c}" for c in found))
+        elif name == "refresh" and inputs.market is not None:
+            sold = df.select(F.col("city_id").alias("__city")).distinct()
+            known = inputs.cities.join(sold, F.col("city_id") == F.col("__city"), "left_semi")
+            fresh = inputs.market.join(C.stale(known, as_of, days, need_insee=False).select("insee_code"), "insee_code", "left_semi")
+            out.cities = C.upsert(inputs.cities, fresh)
         elif name == "estimate":
             df = df if "dpe_energy_class" in df.columns else df.withColumn("dpe_energy_class", F.lit(None).cast("string"))
             df = E.estimate(df, as_of, inputs.growth)
@@ -66,7 +85,26 @@ def run_enrichment(spark: SparkSession, start_df: DataFrame, inputs: Inputs, as_
             path = f"{keep}/{k}_{name}"
             df.write.mode("overwrite").parquet(path)
             df = spark.read.parquet(path)
-    return df
+        if name == "geocode" and df.isEmpty():
+            raise ValueError("no sale could be geocoded")
+        sizes.append((name, before, df))
+        if name == "load":
+            kinds = {"dpe_number": "string", "dpe_energy_class": "string", "dpe_ges_class": "string", "dpe_date": "date", "construction_year": "int"}
+            whole = df.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in df.columns})
+            whole = whole if "address_id" in df.columns else whole.withColumn("address_id", F.col("address_key"))
+            out.certificates, out.report = L.load_certificates(whole, as_of), L.load_report(whole)
+    count = lambda df, c: df.agg(F.count("*").alias(c))
+    for name, before, after in sizes:
+        one = count(before, "n_in").crossJoin(count(after, "n_out"))  # one row each
+        one = one.select(F.lit(name).alias("stage"), "n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_rejected"))
+        out.stats = one if out.stats is None else out.stats.unionByName(one)
+    out.rows = df
+    return out
+
+
+def run_enrichment(spark: SparkSession, start_df: DataFrame, inputs: Inputs, as_of: Column, start: int = 1, end: int = 7, keep: str | None = None, similarity: str = "ratio") -> DataFrame:
+    """The rows of ``enrich``."""
+    return enrich(spark, start_df, inputs, as_of, start, end, keep, similarity).rows
 
 
 def refresh_cities(cities: DataFrame, market: DataFrame, as_of: Column, days: int = 365) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -27,7 +28,7 @@ from realty_spark.schemas import RAW_SALE
 from realty_spark.sources import pages as PG
 from realty_spark.sources.departments import departments, rows as department_rows
 from realty_spark.streaming import incremental
-from realty_spark.views import AS_OF, duck, view
+from realty_spark.views import AS_OF, duck, pages, view
 
 SEED = 7
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,7 +164,7 @@ def _first_error(rules: list[tuple[str, str]]) -> str:
 
 _CLIENT_ERROR = _first_error(
     [
-        ("coalesce(first_name, '') = ''", "missing first_name"), ("coalesce(email, '') = ''", "missing email"),
+        ("coalesce(first_name, '') = ''", "missing first_name"), ("coalesce(last_name, '') = ''", "missing last_name"), ("coalesce(email, '') = ''", "missing email"),
         (f"NOT regexp_matches(email, '{Q.EMAIL}')", "email"),
         (f"coalesce(telephone, '') <> '' AND NOT regexp_matches(regexp_replace(telephone, '[^0-9+]', '', 'g'), '{Q.PHONE}')", "telephone"),
         ("coalesce(subscription_type, '') <> '' AND subscription_type NOT IN ('decouverte', 'pro', 'entreprise')", "subscription_type"),
@@ -178,16 +179,17 @@ def quality_clients(spark, d):
     return Q.check_clients(view(spark, d, "clients")).select("client_id", "first_error", "is_valid")
 
 
+_POSTAL = "CASE WHEN row_id % 61 = 0 THEN NULL WHEN row_id % 67 = 0 THEN '5900' WHEN row_id % 71 = 0 THEN '59O00' ELSE '59000' END"
 _SALE_ERROR = _first_error(
-    [(f"coalesce({c}, '') = ''", f"missing {c}") for c in ("address", "city", "property_type", "sale_date", "price")]
-    + [(f"({_DATE}) IS NULL", "sale_date"), ("property_type NOT IN ('house', 'apartment', 'land', 'commercial', 'other')", "property_type")]
+    [(f"coalesce({c}, '') = ''", f"missing {c}") for c in ("address", "city", "postal_code", "property_type", "sale_date", "price")]
+    + [("NOT regexp_matches(postal_code, '^[0-9]{5}$')", "postal_code"), (f"({_DATE}) IS NULL", "sale_date"), ("property_type NOT IN ('house', 'apartment', 'land', 'commercial', 'other')", "property_type")]
     + [(f"{c} IS NOT NULL AND (TRY_CAST({c} AS DOUBLE) IS NULL OR TRY_CAST({c} AS DOUBLE) < 0)", c) for c in ("price", "surface", "rooms")]
 )
 
 
-@query(f"SELECT row_id, e AS first_error, e IS NULL AS is_valid FROM (SELECT row_id, {_SALE_ERROR} AS e FROM (SELECT * REPLACE ({_TYPE} AS property_type) FROM {duck('raw_sales')}))")
+@query(f"SELECT row_id, e AS first_error, e IS NULL AS is_valid FROM (SELECT row_id, {_SALE_ERROR} AS e FROM (SELECT * REPLACE ({_TYPE} AS property_type), {_POSTAL} AS postal_code FROM {duck('raw_sales')}))")
 def quality_sales(spark, d):
-    raw = view(spark, d, "raw_sales").withColumn("property_type", T.property_type(F.col("property_type")))
+    raw = view(spark, d, "raw_sales").withColumns({"property_type": T.property_type(F.col("property_type")), "postal_code": F.expr(_POSTAL)})
     return Q.check_sales(raw).select("row_id", "first_error", "is_valid")
 
 
@@ -202,6 +204,49 @@ def key_problems(spark, d):
     return Q.key_problems(certs, "dpe_number", child, "dpe_number")
 
 
+_CODES = "SELECT address_id, CASE address_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '5900' WHEN 2 THEN '590000' WHEN 3 THEN '59a00' ELSE postal_code END AS postal, CASE address_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2a004' WHEN 2 THEN '2A004' WHEN 3 THEN '123456' ELSE insee_code END AS insee, CASE WHEN address_id % 4 = 0 THEN NULL ELSE CAST(address_id % 130 AS INT) - 10 END AS confidence FROM {sales}"
+
+
+@query(
+    f"""SELECT address_id, coalesce(regexp_full_match(postal, '[0-9]{{5}}'), false) AS postal_ok, coalesce(regexp_full_match(insee, '[0-9A-Z]{{5}}'), false) AS insee_ok, coalesce(confidence BETWEEN 0 AND 100, false) AS confidence_ok
+    FROM ({_CODES.format(sales=duck('sales'))})"""
+)
+def quality_codes(spark, d):
+    rows = spark.sql(_CODES, sales=view(spark, d, "sales"))
+    return rows.select("address_id", Q.is_postcode(F.col("postal")).alias("postal_ok"), Q.is_insee(F.col("insee")).alias("insee_ok"), Q.is_confidence(F.col("confidence")).alias("confidence_ok"))
+
+
+_NUMBERS = "SELECT row_id, CASE row_id % 7 WHEN 0 THEN NULL ELSE concat(CAST(row_id % 50 + row_id % 6 - 2 AS STRING), CASE WHEN row_id % 3 = 0 THEN ' B' ELSE '' END) END AS other, CASE WHEN row_id % 11 = 0 THEN NULL ELSE CAST(row_id % 50 AS STRING) END AS number FROM {raw}"
+
+
+@query(f"SELECT row_id, coalesce(abs(TRY_CAST(regexp_replace(number, '[^0-9]', '', 'g') AS INT) - TRY_CAST(regexp_replace(other, '[^0-9]', '', 'g') AS INT)) <= 2, false) AS agree FROM ({_NUMBERS.format(raw=duck('raw_sales'))})")
+def numbers_agree(spark, d):
+    return spark.sql(_NUMBERS, raw=view(spark, d, "raw_sales")).select("row_id", T.numbers_agree(F.col("number"), F.col("other")).alias("agree"))
+
+
+_PLACES = """SELECT city_id, name, insee_code, region, CASE WHEN city_id % 3 = 0 THEN NULL ELSE '59' END AS given, CASE WHEN city_id % 4 = 0 THEN '' ELSE '2A004' END AS code, '13001' AS postal,
+concat('(', postal_code, ') tel 03') AS loose, concat(region, ' , ', name, ', France') AS context, 48 + city_id * 0.5e0 AS lat, 2 + city_id * 0.25e0 AS lon FROM {cities}"""
+_SLUG = r"trim(regexp_replace({x}, '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(
+    f"""SELECT city_id, CASE WHEN given IS NOT NULL THEN given WHEN code <> '' THEN '2A' ELSE '13' END AS department, substr(regexp_replace(loose, '[^0-9]', '', 'g'), 1, 5) AS digits, trim(split_part(context, ',', 1)) AS region,
+    concat('https://example.com/', {_SLUG.format(x=_fold('lower(region)'))}, '-32/', coalesce(nullif({_SLUG.format(x="lower('Nord')")}, ''), '59'), '-59/', {_SLUG.format(x=_fold('lower(name)'))}, '-', insee_code, '/') AS market_url,
+    concat('https://example.com/s?center=', url_encode(concat(CAST(lon AS DECIMAL(10, 2)), ';', CAST(lat AS DECIMAL(10, 1)))), '&zoom=12&propertytypes=', url_encode('house,apartment'), '&minmonthyear=', url_encode('01/2023'), '&maxmonthyear=', url_encode('01/2023')) AS search_url,
+    CASE WHEN city_id % 2 = 0 THEN 1 ELSE round(lat - 1 / 110.574, 9) END AS min_lat, CASE WHEN city_id % 2 = 0 THEN 4 ELSE round(lon + 1 / (cos(radians(lat)) * 111.32), 9) END AS max_lon FROM ({_PLACES.format(cities=duck('cities'))})"""
+)
+def place_functions(spark, d):
+    p = spark.sql(_PLACES, cities=view(spark, d, "cities"))
+    box = F.when(F.col("city_id") % 2 == 0, F.struct(*(F.lit(float(x)).alias(n) for x, n in zip((1, 2, 3, 4), ("min_lat", "min_lon", "max_lat", "max_lon")))))
+    around = G.box_around(F.col("lat"), F.col("lon"), box)
+    search = T.search_url("https://example.com/s", F.col("lat").cast("decimal(10,1)"), F.col("lon").cast("decimal(10,2)"), F.lit(12), F.lit("house,apartment"), F.lit("01/2023"))
+    market = T.market_url("https://example.com", F.col("region"), F.lit("32"), F.lit("Nord"), F.lit("59"), F.col("name"), F.col("insee_code"))
+    return p.select(
+        "city_id", T.department_of(F.col("given"), F.col("code"), F.col("postal")).alias("department"), T.first_five_digits(F.col("loose")).alias("digits"), T.region_of(F.col("context")).alias("region"),
+        market.alias("market_url"), search.alias("search_url"), F.round(around["min_lat"], 9).alias("min_lat"), F.round(around["max_lon"], 9).alias("max_lon"),
+    )
+
+
 # ---- duplicates and new rows
 
 
@@ -263,6 +308,16 @@ def missing_cities(spark, d):
     return C.missing(view(spark, d, "sales"), view(spark, d, "cities").filter("city_id % 5 > 0"))
 
 
+@query(
+    f"""SELECT name, any_value(insee_code) AS insee_code, max(CASE WHEN city_id % 5 > 0 THEN 1 ELSE 0 END) = 1 AS known FROM {duck('cities')} GROUP BY name"""
+)
+def known_and_new_cities(spark, d):
+    cities, sales = view(spark, d, "cities"), view(spark, d, "sales")
+    known = cities.filter("city_id % 5 > 0").select("city_id", "name", "postal_code", "insee_code")
+    found = C.from_codes(sales.select(F.col("city_name").alias("name"), "postal_code", "insee_code"))
+    return C.with_new(known, found).select("name", "insee_code", F.col("city_id").isNotNull().alias("known"))
+
+
 _UPSERT = """SELECT coalesce(o.city_id, n.city_id) AS city_id, coalesce(n.name, o.name) AS name, o.region, coalesce(n.insee_code, o.insee_code) AS insee_code, o.postal_code,
 coalesce(n.house_price_avg, o.house_price_avg) AS house_price_avg, o.last_scraped, CASE WHEN o.insee_code IS NULL THEN 'inserted' WHEN n.insee_code IS NULL THEN 'kept' ELSE 'updated' END AS action
 FROM {cities} o FULL JOIN {market} n ON o.insee_code = n.insee_code"""
@@ -339,6 +394,14 @@ def geocode_valid(spark, d):
     return E.geocoded(view(spark, d, "sales"), box=(45, 3, 45.15, 4)).select("address_id")
 
 
+@query(
+    f"""SELECT address_id FROM {duck('sales')} WHERE latitude IS NOT NULL AND (geocoding_score IS NULL OR geocoding_score >= 0.1) AND latitude BETWEEN 45 - 5 / 110.574 AND 45.15 + 5 / 110.574
+    AND longitude BETWEEN 3 - 5 / (cos(radians(45.075)) * 111.32) AND 4 + 5 / (cos(radians(45.075)) * 111.32)"""
+)
+def geocode_near(spark, d):
+    return E.geocoded(view(spark, d, "sales"), box=(45, 3, 45.15, 4), distance_km=5).select("address_id")
+
+
 @query(f"""SELECT address_id, round(2 * 6371 * atan2(sqrt(a), sqrt(1 - a)), 6) AS km FROM (SELECT address_id, pow(sin(radians(48.8566 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(48.8566)) * pow(sin(radians(2.3522 - longitude) / 2), 2) AS a FROM {duck('sales')})""")
 def haversine_to_paris(spark, d):
     km = G.haversine_km(F.col("latitude"), F.col("longitude"), F.lit(48.8566), F.lit(2.3522))
@@ -369,22 +432,98 @@ def certificate_caps(spark, d):
     return E.certificate_pool(view(spark, d, "certificates"), cap=30, stop_after=20).select("certificate_id")
 
 
-_LINK_SQL = rf"""WITH s AS (SELECT address_id, insee_code AS loc, {_NUMBER.format(x="(" + _fold("upper(address_raw)") + ")")} AS n, {_match('address_raw')} AS t, latitude, longitude FROM {duck('sales')} WHERE latitude IS NOT NULL),
-c AS (SELECT certificate_id, dpe_number, code_insee AS loc, {_NUMBER.format(x="(" + _fold("upper(adresse)") + ")")} AS cn, {_match('adresse')} AS ct, TRY_CAST(split_part(geopoint, ',', 1) AS DOUBLE) AS la, TRY_CAST(split_part(geopoint, ',', 2) AS DOUBLE) AS lo,
-  etiquette_dpe AS dpe_energy_class, coalesce(TRY_CAST(annee_construction AS INT), TRY_CAST(nullif(regexp_extract(periode_construction, '(\d{{4}})', 1), '') AS INT)) AS construction_year FROM {_POOL}),
-p AS (SELECT *, pow(sin(radians(la - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(la)) * pow(sin(radians(lo - longitude) / 2), 2) AS a FROM s JOIN c USING (loc)
-  WHERE abs(CAST(regexp_replace(n, '[^0-9]', '', 'g') AS INT) - CAST(regexp_replace(cn, '[^0-9]', '', 'g') AS INT)) <= 2),
+def _link_sql(
+    sales: str, certificates: str = _POOL, cid: str = "certificate_id", adresse: str = "adresse", where: str = "loc = cloc AND abs({n} - {c}) <= 2", least: str = "similarity >= 0.7", bare: bool = False
+) -> str:
+    digits = lambda x: f"TRY_CAST(regexp_replace({x}, '[^0-9]', '', 'g') AS INT)"
+    where = where.replace("{n}", digits("n")).replace("{c}", digits("cn"))
+    year = r"coalesce(TRY_CAST(annee_construction AS INT), TRY_CAST(nullif(regexp_extract(periode_construction, '(\d{4})', 1), '') AS INT))"
+    body = rf"""s AS (SELECT address_id, insee_code AS loc, postal_code AS post, upper(city_name) AS town, {_NUMBER.format(x="(" + _fold("upper(address_raw)") + ")")} AS n, {_match('address_raw')} AS t, latitude, longitude FROM {sales} WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+c AS (SELECT {cid} AS certificate_id, dpe_number, code_insee AS cloc, code_postal AS cpost, upper(commune) AS ctown, {_NUMBER.format(x="(" + _fold(f"upper({adresse})") + ")")} AS cn, {_match(adresse)} AS ct, TRY_CAST(split_part(geopoint, ',', 1) AS DOUBLE) AS la,
+  TRY_CAST(split_part(geopoint, ',', 2) AS DOUBLE) AS lo, etiquette_dpe AS dpe_energy_class, etiquette_ges AS dpe_ges_class, coalesce(CAST(date_reception AS DATE), CAST(date_etablissement AS DATE)) AS dpe_date, {year} AS construction_year FROM {certificates}),
+p AS (SELECT *, pow(sin(radians(la - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(la)) * pow(sin(radians(lo - longitude) / 2), 2) AS a FROM s JOIN c ON {where}),
 q AS (SELECT *, round(2 * 6371 * atan2(sqrt(a), sqrt(1 - a)) * 1000, 6) AS distance_m, round(1 - levenshtein(t, ct) / greatest(length(t), length(ct), 1), 6) AS similarity FROM p),
-b AS (SELECT * FROM q WHERE distance_m <= 20 AND similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY distance_m, dpe_number NULLS LAST, certificate_id) = 1),
-z AS (SELECT *, 70 + least(CAST(floor(similarity * 25) AS INT), 25) + CASE WHEN distance_m < 5 THEN 40 WHEN distance_m < 10 THEN 35 WHEN distance_m < 15 THEN 25 WHEN distance_m < 20 THEN 15 ELSE 0 END + CASE WHEN n = cn THEN 25 ELSE 15 END AS match_points FROM b)
-SELECT address_id, certificate_id, dpe_number, dpe_energy_class, construction_year, distance_m, similarity, match_points, least(match_points, 100) AS match_confidence FROM z"""
+b AS (SELECT * FROM q WHERE distance_m <= 20 AND {least} QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY distance_m, dpe_number NULLS LAST, certificate_id) = 1),
+z AS (SELECT *, 70 + least(CAST(floor(similarity * 25) AS INT), 25) + CASE WHEN distance_m < 5 THEN 40 WHEN distance_m < 10 THEN 35 WHEN distance_m < 15 THEN 25 WHEN distance_m < 20 THEN 15 ELSE 0 END
+  + CASE WHEN n = cn THEN 25 WHEN abs({digits("n")} - {digits("cn")}) <= 2 THEN 15 ELSE 0 END AS match_points FROM b)"""
+    return body if bare else "WITH " + body + " SELECT " + _LINK_COLUMNS + ", least(match_points, 100) AS match_confidence FROM z"
 
 
-@query(_LINK_SQL)
+_LINK_COLUMNS = "address_id, certificate_id, dpe_number, dpe_date, dpe_energy_class, dpe_ges_class, construction_year, distance_m, similarity, match_points"
+
+
+@query(_link_sql(duck("sales")))
 def link_certificates_lev(spark, d):
     return E.link_certificates(view(spark, d, "sales"), E.certificate_pool(view(spark, d, "certificates")), similarity="levenshtein")
 
 
+#: Certificates by other keys than a sale's code: some have none, and some the code of another place.
+_MOVED = "SELECT * REPLACE (CASE certificate_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '59999' ELSE code_insee END AS code_insee, CASE WHEN certificate_id % 7 = 0 THEN '' ELSE code_postal END AS code_postal) FROM "
+
+
+@query(_link_sql(duck("sales"), f"({_MOVED}{_POOL})", where="(loc = cloc OR post = nullif(cpost, '') OR (town = ctown AND post = nullif(cpost, ''))) AND abs({n} - {c}) <= 2"))
+def link_certificates_fallback(spark, d):
+    pool = E.certificate_pool(view(spark, d, "certificates"))
+    pool = pool.withColumns({"code_insee": F.expr("CASE certificate_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '59999' ELSE code_insee END"), "code_postal": F.expr("CASE WHEN certificate_id % 7 = 0 THEN '' ELSE code_postal END")})
+    return E.link_certificates(view(spark, d, "sales"), pool, similarity="levenshtein", fallback=True)
+
+
+_BARE = "CASE WHEN {k} % {m} = 0 THEN regexp_replace({a}, '^[0-9]+ ', '') ELSE {a} END"
+
+
+@query(
+    _link_sql(
+        f"(SELECT * REPLACE ({_BARE.format(k='address_id', m=3, a='address_raw')} AS address_raw) FROM {duck('sales')})", f"(SELECT * REPLACE ({_BARE.format(k='certificate_id', m=2, a='adresse')} AS adresse) FROM {_POOL})",
+        where="loc = cloc AND (n IS NULL OR cn IS NULL OR abs({n} - {c}) <= 2)", least="similarity >= CASE WHEN n IS NULL OR cn IS NULL THEN 0.85 ELSE 0.7 END",
+    )
+)
+def link_certificates_loose(spark, d):
+    sales = view(spark, d, "sales").withColumn("address_raw", F.expr(_BARE.format(k="address_id", m=3, a="address_raw")))
+    pool = E.certificate_pool(view(spark, d, "certificates")).withColumn("adresse", F.expr(_BARE.format(k="certificate_id", m=2, a="adresse")))
+    return E.link_certificates(sales, pool, similarity="levenshtein", strict=False)
+
+
+_FEEDS = {
+    1: """SELECT dpe_number AS `N°DPE`, adresse AS `Adresse_brute`, geopoint AS `_geopoint`, etiquette_dpe AS `Etiquette_DPE`, etiquette_ges AS `Etiquette_GES`, annee_construction AS `Année_construction`, periode_construction,
+        date_reception AS `Date_réception_DPE`, code_insee AS code_insee_ban, code_postal AS code_postal_ban, commune AS nom_commune_ban FROM {c} WHERE certificate_id % 3 = 0""",
+    2: """SELECT dpe_number AS numero_dpe, substring_index(adresse, ' ', 1) AS numero_voie_ban, substr(adresse, length(substring_index(adresse, ' ', 1)) + 2) AS nom_rue_ban, geopoint AS coordonnees_ban, etiquette_dpe AS classe_consommation_energie,
+        date_etablissement, code_insee, code_postal AS code_postal_ban, commune AS nom_commune_ban FROM {c} WHERE certificate_id % 3 = 1""",
+    3: "SELECT dpe_number, '' AS adresse, geopoint AS geo_point, etiquette_dpe, code_insee, code_postal, commune FROM {c} WHERE certificate_id % 3 = 2",
+}
+_FEED_SQL = f"""(WITH f AS (SELECT dpe_number, adresse, geopoint, etiquette_dpe, etiquette_ges, annee_construction, periode_construction, date_reception, NULL AS date_etablissement, code_insee, code_postal, commune, 1 AS feed_priority FROM {duck('certificates')} WHERE certificate_id % 3 = 0
+UNION ALL SELECT dpe_number, concat_ws(' ', adresse, code_postal, commune), geopoint, etiquette_dpe, NULL, NULL, NULL, NULL, date_etablissement, code_insee, code_postal, commune, 2 FROM {duck('certificates')} WHERE certificate_id % 3 = 1
+UNION ALL SELECT dpe_number, NULL, geopoint, etiquette_dpe, NULL, NULL, NULL, NULL, NULL, code_insee, code_postal, commune, 3 FROM {duck('certificates')} WHERE certificate_id % 3 = 2),
+i AS (SELECT *, md5(concat_ws('|', feed_priority, dpe_number, adresse, geopoint, code_insee, code_postal, commune)) AS certificate_id FROM f)
+SELECT * FROM i QUALIFY dpe_number IS NULL OR row_number() OVER (PARTITION BY dpe_number ORDER BY feed_priority, certificate_id) = 1)"""
+
+
+def _feeds(spark, d):
+    out = None
+    for priority, sql in _FEEDS.items():
+        one = E.conformed(spark.sql(sql, c=view(spark, d, "certificates")), priority)
+        out = one if out is None else out.unionByName(one)
+    return E.certificate_pool(out)
+
+
+@query(f"SELECT certificate_id, dpe_number, adresse, geopoint, etiquette_dpe, etiquette_ges, annee_construction, periode_construction, date_reception, date_etablissement, code_insee, code_postal, commune, feed_priority FROM {_FEED_SQL}")
+def certificate_feeds(spark, d):
+    return _feeds(spark, d)
+
+
+@query(_link_sql(duck("sales"), _FEED_SQL, adresse="coalesce(adresse, '')"))
+def link_feeds(spark, d):
+    return E.link_certificates(view(spark, d, "sales"), _feeds(spark, d), similarity="levenshtein")
+
+
+_FETCHED = "CASE WHEN certificate_id % 97 = 0 THEN NULL ELSE CAST(DATE '2002-12-31' AS TIMESTAMP) - INTERVAL 1 DAY * CAST(CAST(substr(code_insee, 4) AS INT) * 2 + certificate_id % 2 AS INT) END"
+
+
+@query(f"WITH c AS (SELECT *, coalesce(date_diff('second', {_FETCHED}, TIMESTAMP '{AS_OF} 00:00:00') > 2592000, true) AS old FROM {duck('certificates')}) SELECT certificate_id FROM c WHERE code_insee NOT IN (SELECT code_insee FROM c WHERE old)")
+def cached_certificates(spark, d):
+    certificates = view(spark, d, "certificates").withColumn("fetched_at", F.expr(_FETCHED))
+    return E.cached(certificates, _as_of())[0].select("certificate_id")
+
+
 @query()
 def link_certificates_ratio(spark, d):
     return E.link_certificates(view(spark, d, "sales"), E.certificate_pool(view(spark, d, "certificates")))
@@ -395,13 +534,14 @@ def certificate_sample(spark, d):
     return E.sampled(view(spark, d, "certificates"), SEED)
 
 
-def _price_sql(select: str) -> str:
+def _price_sql(select: str, source: str | None = None, keep: str = "") -> str:
+    source = source or duck("sales")
     factor = "CASE dpe_energy_class " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in NF.ENERGY_FACTORS.items()) + " ELSE 0e0 END"
     grown = "(pow(1 + {r}, y) - 1)"
     total = f"least(greatest({grown.format(r='r')}, {grown.format(r='(-0.1e0)')}), {grown.format(r='0.1e0')})"
     score = "0.8e0 - least(y * 0.05e0, 0.6e0) + CASE WHEN f <> 0 THEN 0.05e0 ELSE 0 END + CASE WHEN geocoding_score > 0.8 THEN 0.05e0 ELSE 0 END + CASE WHEN property_type IS NOT NULL THEN 0.05e0 ELSE 0 END"
-    return f"""WITH a AS (SELECT s.*, coalesce(rate, 0.03e0) AS r, date_diff('day', sale_date, DATE '{AS_OF}') / 365.25e0 AS y, {factor} AS f FROM {duck('sales')} s LEFT JOIN {duck('growth')} g USING (city_id, property_type)),
-    e AS (SELECT address_id, CASE WHEN y < 0.5 THEN price ELSE CAST(round_even(price * (1 + {total}) * (1 + f) / 1000, 0) * 1000 AS BIGINT) END AS estimated_price,
+    return f"""WITH a AS (SELECT s.*, coalesce(rate, 0.03e0) AS r, date_diff('day', sale_date, DATE '{AS_OF}') / 365.25e0 AS y, {factor} AS f FROM {source} s LEFT JOIN {duck('growth')} g USING (city_id, property_type)),
+    e AS (SELECT address_id{keep}, CASE WHEN y < 0.5 THEN price ELSE CAST(round_even(price * (1 + {total}) * (1 + f) / 1000, 0) * 1000 AS BIGINT) END AS estimated_price,
     CASE WHEN y < 0.5 THEN 0 ELSE {total} END AS rate, CASE WHEN y < 0.5 THEN 1 ELSE greatest(0, least(1, {score})) END AS confidence FROM a) {select}"""
 
 
@@ -452,6 +592,17 @@ def load_certificates(spark, d):
     return L.load_certificates(_loaded(spark, d), _as_of())
 
 
+_OWNED = "SELECT certificate_id AS dpe_key, certificate_id % 700 + 1 AS address_id, dpe_number FROM {c}"
+
+
+@query(
+    f"""SELECT s.address_id, c.dpe_key, c.dpe_number FROM {duck('sales')} s LEFT JOIN (SELECT * FROM ({_OWNED.format(c=duck('certificates'))}) QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY dpe_key) = 1) c USING (address_id)"""
+)
+def first_certificate(spark, d):
+    owned = spark.sql(_OWNED, c=view(spark, d, "certificates"))
+    return L.with_first_certificate(view(spark, d, "sales"), owned, "address_id").select("address_id", "certificate.dpe_key", "certificate.dpe_number")
+
+
 @query(
     f"""SELECT address_id, address_raw, city_id, action <> 'skipped' AS success, CAST(NULL AS VARCHAR) AS error, action = 'skipped' AS skipped,
     CASE WHEN action = 'skipped' THEN concat('missing: ', concat_ws(', ', CASE WHEN property_type IS NULL THEN 'property_type' END, CASE WHEN price IS NULL THEN 'price' END)) END AS reason FROM {_LOADED}"""
@@ -504,17 +655,30 @@ def assign_preview(spark, d):
     return A.assign(view(spark, d, "sales"), view(spark, d, "clients"), view(spark, d, "assignments"), _as_of(), SEED, count=3).select("client_id", "address_id")
 
 
-@query(f"SELECT client_id, addresses_per_report AS wanted, coalesce(n, 0) AS n_assigned FROM {duck('clients')} LEFT JOIN (SELECT client_id, count(*) AS n FROM {_ASSIGNED} GROUP BY client_id) USING (client_id) WHERE coalesce(n, 0) < addresses_per_report")
+_ASKED = "CASE client_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 40 ELSE addresses_per_report END"
+
+
+@query(f"SELECT client_id, coalesce({_ASKED}, 10) AS wanted, coalesce(n, 0) AS n_assigned FROM {duck('clients')} LEFT JOIN (SELECT client_id, count(*) AS n FROM {_ASSIGNED} GROUP BY client_id) USING (client_id) WHERE coalesce(n, 0) < coalesce({_ASKED}, 10)")
 def insufficient(spark, d):
-    return A.insufficient(view(spark, d, "clients"), assigned_sales(spark, d))
+    return A.insufficient(view(spark, d, "clients").withColumn("addresses_per_report", F.expr(_ASKED)), assigned_sales(spark, d))
 
 
-@query(f"SELECT address_id, round(price / nullif(surface, 0), 6) AS price_per_m2 FROM {duck('sales')} WHERE city_name ILIKE '%an%' AND property_type IN ('house', 'apartment') AND sale_date BETWEEN DATE '1996-03-01' AND DATE '1997-02-28'")
+@query(f"SELECT address_id, round(price / nullif(surface, 0), 6) AS price_per_m2 FROM {duck('sales')} WHERE city_name ILIKE '%ION_1%' AND property_type IN ('house', 'apartment') AND sale_date BETWEEN DATE '1996-03-01' AND DATE '1997-02-28'")
 def search_sales(spark, d):
-    got = A.search(view(spark, d, "sales"), city="AN", types=["house", "apartment"], first="03/1996", last="02/1997")
+    got = A.search(view(spark, d, "sales"), city="ion_1", types=["house", "apartment"], first="03/1996", last="02/1997")
     return got.select("address_id", F.round(NF.price_per_m2(F.col("price"), F.col("surface")), 6).alias("price_per_m2"))
 
 
+@query(f"SELECT address_id, city_name FROM {duck('sales')} WHERE postal_code = '59021' AND sale_date >= DATE '1995-02-01'")
+def search_by_postcode(spark, d):
+    return A.search(view(spark, d, "sales"), postal="59021", first="02/1995").select("address_id", "city_name")
+
+
+@query(f"SELECT address_id FROM {duck('sales')} WHERE city_id IN (1, 2, 3) AND property_type IN ('house', 'land')")
+def preference_types(spark, d):
+    return A.by_preference(view(spark, d, "sales"), ["house", "land"], [1, 2, 3]).select("address_id")
+
+
 @query(f"SELECT address_id FROM {duck('sales')} WHERE city_id IN (1, 2, 3)")
 def preference_filter(spark, d):
     return A.by_preference(view(spark, d, "sales"), [], [1, 2, 3]).select("address_id")
@@ -623,9 +787,9 @@ def recent_jobs(spark, d):
     return C.ranked(view(spark, d, "jobs"), "client_id", [F.desc("created_at"), F.col("job_id")], 5).select("client_id", "job_id", "rn")
 
 
-@query(f"SELECT j.job_id, c.first_name, c.email, {_PERMANENT} AS permanent FROM {duck('jobs')} j LEFT JOIN {duck('clients')} c USING (client_id)")
+@query(f"SELECT j.job_id, c.first_name, c.last_name, c.email, {_PERMANENT} AS permanent FROM {duck('jobs')} j LEFT JOIN {duck('clients')} c USING (client_id)")
 def jobs_with_clients(spark, d):
-    return J.with_clients(view(spark, d, "jobs"), view(spark, d, "clients")).select("job_id", "client.first_name", "client.email", J.is_permanent(F.col("error_message")).alias("permanent"))
+    return J.with_clients(view(spark, d, "jobs"), view(spark, d, "clients")).select("job_id", "client.first_name", "client.last_name", "client.email", J.is_permanent(F.col("error_message")).alias("permanent"))
 
 
 @query(f"SELECT client_id, 'pending' AS status, 1 AS attempt_count, {_NOW} + INTERVAL 1 HOUR AS next_attempt FROM {duck('clients')} WHERE client_id NOT IN (SELECT client_id FROM {duck('jobs')} WHERE status IN ('pending', 'processing') AND job_id % 50 = 1)")
@@ -677,9 +841,9 @@ def cell_membership(spark, d):
 _MONTH = "CASE month(m) " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(S.MONTHS, 1)) + " END"
 
 
-@query(f"SELECT city_id, i, j, strftime(m, '%m/%Y') AS period, concat({_MONTH}, ' ', year(m)) AS label FROM {_GRID}, (SELECT unnest(generate_series(DATE '2014-01-01', DATE '2014-12-01', INTERVAL 1 MONTH)) AS m)")
+@query(f"SELECT city_id, i, j, strftime(m, '%m/%Y') AS period, concat({_MONTH}, ' ', year(m)) AS label, t AS property_type FROM {_GRID}, (SELECT unnest(generate_series(DATE '2014-01-01', DATE '2014-12-01', INTERVAL 1 MONTH)) AS m), (SELECT unnest(['house', 'apartment']) AS t)")
 def month_slices(spark, d):
-    return S.month_slices(S.grid_cells(_boxes(spark, d)), "2014-01-01", "2014-12-01").select("city_id", "i", "j", "period", "label")
+    return S.month_slices(S.grid_cells(_boxes(spark, d)), "2014-01-01", "2014-12-01", ["house", "apartment"]).select("city_id", "i", "j", "period", "label", "property_type")
 
 
 @query(f"""SELECT city_id, b AS band, lo + b * (hi - lo) / 8 AS band_min, lo + (b + 1) * (hi - lo) / 8 AS band_max FROM (SELECT city_id, min(price) AS lo, max(price) AS hi FROM {duck('sales')} GROUP BY city_id), (SELECT unnest(range(8)) AS b)""")
@@ -746,6 +910,33 @@ def capped_slices(spark, d):
     return S.capped_slices(view(spark, d, "sales"), ["city_id"])
 
 
+_GROUP = "CASE property_type WHEN 'apartment' THEN 'apartments' WHEN 'house' THEN 'houses' ELSE 'others' END"
+
+
+@query(
+    f"""WITH r AS (SELECT city_id, substr(CAST(sale_date AS STRING), 1, 7) AS month, price, {_GROUP} AS g FROM {duck('sales')}), m AS (SELECT city_id, month, price, CASE WHEN count(*) OVER (PARTITION BY city_id, month) < 19 THEN 'all' ELSE g END AS type_group FROM r),
+    k AS (SELECT *, count(*) OVER (PARTITION BY city_id, month, type_group) AS total FROM m), p AS (SELECT city_id, month, type_group, price, count(*) AS n FROM k WHERE total >= 19 GROUP BY ALL),
+    u AS (SELECT *, sum(n) OVER w AS upto, sum(CASE WHEN n >= 9 THEN 1 ELSE 0 END) OVER w AS bigs FROM p WINDOW w AS (PARTITION BY city_id, month, type_group ORDER BY price)),
+    s AS (SELECT *, CASE WHEN n >= 9 THEN concat('p', price) ELSE concat(CAST(floor((upto - n) / 9) AS BIGINT), '-', bigs) END AS sl FROM u)
+    SELECT city_id, month, type_group, min(price) AS band_min, max(price) + 1 AS band_max, count(*) AS n FROM k WHERE total < 19 GROUP BY ALL
+    UNION ALL SELECT city_id, month, type_group, min(price), max(price) + 1, CAST(sum(n) AS BIGINT) FROM s GROUP BY city_id, month, type_group, sl"""
+)
+def capped_by_type(spark, d):
+    sales = view(spark, d, "sales").withColumn("month", F.substr(F.col("sale_date").cast("string"), F.lit(1), F.lit(7)))
+    return S.capped_by_type(sales, ["city_id", "month"], 19)
+
+
+@query(
+    f"""WITH p AS (SELECT address_id, 'parent' AS origin FROM {duck('sales')} QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY address_id) <= 99),
+    t AS (SELECT address_id, 'part' AS origin FROM {duck('sales')} WHERE property_type IN ('house', 'apartment')) SELECT * FROM p UNION ALL SELECT * FROM t WHERE address_id NOT IN (SELECT address_id FROM p)"""
+)
+def with_subdivisions(spark, d):
+    sales = view(spark, d, "sales")
+    parents = C.ranked(sales, "city_id", [F.col("address_id")], 99).drop("rn")
+    parts = [sales.filter(F.col("property_type") == t) for t in ("house", "apartment")]
+    return S.with_subdivisions(parents, parts[0].unionByName(parts[1]), "address_id").select("address_id", "origin")
+
+
 @query(f"SELECT address_id, CASE WHEN surface * 40 < 1000 THEN price + 1000 WHEN surface * 40 < 5000 THEN price + 2500 ELSE price + surface * 20 END AS split_at FROM {duck('sales')}")
 def band_split(spark, d):
     low = F.col("price").cast("double")
@@ -754,53 +945,155 @@ def band_split(spark, d):
 
 # ---- pages, pipelines, streaming
 
+_SHAPE = {"container": "list", "card": "card"}
+_LISTINGS = f"""(SELECT page_id, place, address_raw AS address, city_name AS city, CASE WHEN address_id % 2 = 0 THEN insee_code ELSE '' END AS postal_code, CASE WHEN address_id % 19 = 4 THEN 0 ELSE price END AS price, surface + 0.5e0 AS surface, rooms,
+CASE WHEN address_id % 23 <> 6 THEN sale_date END AS sale_date, CASE WHEN address_id % 5 = 4 THEN 'other' ELSE property_type END AS property_type, CASE WHEN address_id % 29 = 0 THEN '' ELSE concat('https://example.com/sale/', address_id - address_id % 2) END AS property_url
+FROM (SELECT *, address_id // 64 AS page_id, CAST(row_number() OVER (PARTITION BY address_id // 64 ORDER BY address_id) - 1 AS INT) AS place FROM {duck('sales')})
+WHERE address_id % 13 <> 5 AND address_id % 11 <> 3 AND address_id % 17 <> 2 AND page_id % 10 NOT IN (4, 5))"""
+
+
+@query(f"SELECT * FROM {_LISTINGS}")
+def extract_listings(spark, d):
+    return PG.listings(pages(spark, d, "listing_pages"), **_SHAPE)
+
 
 @query()
 def extract_pages(spark, d):
+    """The crawled pages, read by their own shape."""
     return PG.listings(_table(spark, d, "pages"))
 
 
-@query()
+@query(f"""SELECT city_id AS page_id, CASE WHEN city_id % 9 <> 8 AND city_id % 4 <> 1 THEN house_price_avg END AS house_price_avg, CASE WHEN city_id % 9 <> 8 AND city_id % 5 <> 2 THEN CAST(1000 + city_id * 13 AS INT) END AS apartment_price_avg FROM {duck('cities')}""")
 def market_prices(spark, d):
-    return PG.market_prices(_table(spark, d, "pages"))
+    return PG.market_prices(pages(spark, d, "market_pages"))
 
 
-@query()
+@query(
+    f"""WITH u AS (SELECT * FROM {_LISTINGS} QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(property_url, ''), concat('#', page_id, '-', place)) ORDER BY page_id, place) = 1)
+    SELECT page_id, place, address AS address_raw, city AS city_name, price, surface, rooms, sale_date, property_type, nullif(property_url, '') AS source_url FROM u
+    QUALIFY row_number() OVER (PARTITION BY address, city, price, surface, rooms, sale_date ORDER BY page_id, place) = 1"""
+)
 def ingest_pages(spark, d):
-    return P.ingest_pages(_table(spark, d, "pages"))
+    got = P.ingest_pages(pages(spark, d, "listing_pages"), **_SHAPE)
+    return got.select("page_id", "place", "address_raw", "city_name", "price", "surface", "rooms", "sale_date", "property_type", "source_url")
+
+
+#: A geocoder's answers to the full addresses of sales: near the certificates of the street, some with low scores.
+_ANSWERS = """SELECT q, 45 + (CAST(coalesce(nullif(regexp_extract(q, '^([0-9]+)', 1), ''), '1') AS INT) - 1) * 0.001e0
+  + CASE WHEN q LIKE '%RUE DE%' THEN 0 WHEN q LIKE '%AVENUE%' THEN 1 WHEN q LIKE '%ALLEE%' THEN 2 ELSE 3 END * 0.06e0 AS latitude,
+  3 + CAST(substr(code, 3) AS INT) * 0.1e0 AS longitude, CAST(coalesce(nullif(regexp_extract(q, '^([0-9]+)', 1), ''), '7') AS INT) % 21 / 20e0 AS score FROM {named}"""
+_NAMED = f"""(SELECT n.* EXCLUDE (row_id), row_id AS address_id, row_id, city_id, postal_code, insee_code, concat_ws(', ', address_raw, city_name, postal_code) AS q FROM {_NORMAL} n JOIN {duck('cities')} c ON city_name = concat('SAINT E', c.name)
+WHERE source_url IS NULL OR source_url NOT IN (SELECT source_url FROM {duck('sales')} WHERE address_id % 3 = 0))"""
+_ANSWERED = "(SELECT DISTINCT q, insee_code AS code FROM " + _NAMED + ")"
+_PLACED = f"(SELECT n.*, latitude, longitude, score AS geocoding_score FROM {_NAMED} n JOIN ({_ANSWERS.format(named=_ANSWERED)}) USING (q) WHERE score >= 0.1)"
+_ENRICHED = f"""WITH placed AS (SELECT * FROM {_PLACED}), {_link_sql('placed', bare=True)},
+joined AS (SELECT placed.*, z.dpe_number, z.dpe_date, z.dpe_energy_class, z.dpe_ges_class, z.construction_year FROM placed LEFT JOIN z USING (address_id)), """ + _price_sql(
+    ", done AS (SELECT * EXCLUDE (confidence), round(confidence, 6) AS estimation_confidence, md5(coalesce(source_url, concat_ws('|', address_raw, city_id, sale_date))) AS address_key FROM e)",
+    "joined", ", row_id, city_id, address_raw, source_url, sale_date, dpe_number, dpe_date, dpe_energy_class, dpe_ges_class, construction_year",
+).removeprefix("WITH ")
+
+
+def _enrich(spark, d):
+    cities = view(spark, d, "cities").withColumn("name", F.concat(F.lit("SAINT E"), F.col("name")))
+    raw = view(spark, d, "raw_sales").withColumn("address_id", F.col("row_id"))
+    loaded = view(spark, d, "sales").filter("address_id % 3 = 0").select("source_url", F.col("address_id").cast("string").alias("address_key"))
+    named = C.resolve(D.new_only(N.normalize(raw), loaded), cities.select("city_id", "name", "postal_code", "insee_code"))
+    asked = named.select(T.query_key(F.col("address_raw"), F.col("city_name"), F.col("postal_code")).alias("q"), F.col("insee_code").alias("code")).distinct()
+    inputs = P.Inputs(cities, E.certificate_pool(view(spark, d, "certificates")), spark.sql(_ANSWERS, named=asked), view(spark, d, "growth"), view(spark, d, "market"), loaded)
+    return P.enrich(spark, raw, inputs, _as_of(), similarity="levenshtein")
 
 
-@query()
+@query(_ENRICHED + " SELECT row_id, city_id, dpe_number, dpe_energy_class, estimated_price, estimation_confidence, address_key, 'inserted' AS action FROM done")
 def enrichment(spark, d):
+    return _enrich(spark, d).rows.select("row_id", "city_id", "dpe_number", "dpe_energy_class", "estimated_price", F.round("estimation_confidence", 6).alias("estimation_confidence"), "address_key", "action")
+
+
+@query(
+    _ENRICHED
+    + f""" SELECT address_key, n AS dpe_number, coalesce(dpe_energy_class, 'N') AS dpe_energy_class, coalesce(dpe_ges_class, 'N') AS dpe_ges_class, coalesce(dpe_date, DATE '{AS_OF}') AS dpe_date, CASE WHEN construction_year BETWEEN 1800 AND 2003 THEN construction_year END AS construction_year
+    FROM (SELECT *, coalesce(dpe_number, concat('AUTO-', substr(address_key, 1, 8))) AS n FROM done WHERE dpe_number IS NOT NULL OR dpe_energy_class IS NOT NULL)"""
+)
+def enrichment_certificates(spark, d):
+    return _enrich(spark, d).certificates.drop("dpe_key")
+
+
+@query(
+    f"""WITH a AS (SELECT count(*) AS n FROM {duck('raw_sales')}), b AS (SELECT count(*) AS n FROM {_NORMAL} WHERE source_url IS NULL OR source_url NOT IN (SELECT source_url FROM {duck('sales')} WHERE address_id % 3 = 0)),
+    c AS (SELECT count(*) AS n FROM {_NAMED}), e AS (SELECT count(*) AS n FROM {_PLACED}), x AS (SELECT unnest(['normalize', 'resolve', 'geocode', 'certificates', 'refresh', 'estimate', 'load']) AS stage,
+    unnest([a.n, b.n, c.n, e.n, e.n, e.n, e.n]) AS n_in, unnest([b.n, c.n, e.n, e.n, e.n, e.n, e.n]) AS n_out FROM a, b, c, e) SELECT *, n_in - n_out AS n_rejected FROM x"""
+)
+def enrichment_stats(spark, d):
+    return _enrich(spark, d).stats
+
+
+@query(
+    _UPSERT.format(cities=duck("cities"), market=f"(SELECT m.* FROM {duck('market')} m JOIN {duck('cities')} c USING (insee_code) WHERE {_STALE} AND c.city_id IN (SELECT city_id FROM {_PLACED}))")
+    .replace("coalesce(n.name, o.name) AS name", "coalesce(n.name, concat('SAINT E', o.name)) AS name")
+)
+def enrichment_cities(spark, d):
+    return _enrich(spark, d).cities
+
+
+@query()
+def enrichment_ratio(spark, d):
     cities = view(spark, d, "cities").withColumn("name", F.concat(F.lit("SAINT E"), F.col("name")))
-    raw = view(spark, d, "raw_sales")
-    clean = N.normalize(raw)
-    named = C.resolve(clean, cities.select("city_id", "name", "postal_code", "insee_code"))
-    key = T.query_key(F.col("address_raw"), F.col("city_name"), F.col("postal_code"))
-    h = F.pmod(F.xxhash64("q"), F.lit(1000))
-    answers = named.select(key.alias("q")).distinct().select("q", (45 + h / 1000).alias("latitude"), (3 + h / 1000).alias("longitude"), (h / 1000).alias("score"))
-    inputs = P.Inputs(cities, E.certificate_pool(view(spark, d, "certificates")), answers, view(spark, d, "growth"), None, view(spark, d, "sales").select("source_url", F.col("address_id").cast("string").alias("address_key")).filter("address_key % 3 = 0"))
-    return P.run_enrichment(spark, raw, inputs, _as_of()).select("row_id", "city_id", "estimated_price", "estimation_confidence", "address_key", "action")
+    raw = view(spark, d, "raw_sales").withColumn("address_id", F.col("row_id"))
+    named = C.resolve(N.normalize(raw), cities.select("city_id", "name", "postal_code", "insee_code"))
+    asked = named.select(T.query_key(F.col("address_raw"), F.col("city_name"), F.col("postal_code")).alias("q"), F.col("insee_code").alias("code")).distinct()
+    inputs = P.Inputs(cities, E.certificate_pool(view(spark, d, "certificates")), spark.sql(_ANSWERS, named=asked), view(spark, d, "growth"))
+    return P.run_enrichment(spark, raw, inputs, _as_of()).select("row_id", "city_id", "dpe_number", "estimated_price", "address_key", "action")
+
 
+_DUE = f"(SELECT client_id, addresses_per_report FROM {duck('clients')} WHERE status = 'active' AND send_day = 1)"
 
-@query(f"SELECT client_id, address_id FROM (SELECT a.* FROM {_ASSIGNED} a JOIN (SELECT client_id FROM {duck('clients')} WHERE status = 'active' AND send_day = 1) USING (client_id))")
+
+def _daily(spark, d):
+    return P.daily_run(view(spark, d, "sales"), view(spark, d, "clients"), view(spark, d, "assignments"), _jobs(spark, d), F.to_date(F.lit(AS_OF)), SEED)
+
+
+@query(f"SELECT client_id, address_id FROM (SELECT a.* FROM {_ASSIGNED} a JOIN {_DUE} USING (client_id))")
 def daily_run(spark, d):
-    jobs = _jobs(spark, d)
-    return P.daily_run(view(spark, d, "sales"), view(spark, d, "clients"), view(spark, d, "assignments"), jobs, _as_of(), SEED)[0].select("client_id", "address_id")
+    return _daily(spark, d)[0].select("client_id", "address_id")
+
+
+@query(f"SELECT client_id, addresses_per_report * 30 AS wanted, coalesce(n, 0) AS n_assigned FROM {_DUE} LEFT JOIN (SELECT client_id, count(*) AS n FROM {_ELIGIBLE} GROUP BY client_id) USING (client_id) WHERE coalesce(n, 0) < addresses_per_report * 30")
+def daily_alerts(spark, d):
+    clients = view(spark, d, "clients").withColumn("addresses_per_report", F.col("addresses_per_report") * 30)
+    return P.daily_run(view(spark, d, "sales"), clients, view(spark, d, "assignments"), _jobs(spark, d), _as_of(), SEED)[1]
+
+
+_LATE = "TIMESTAMP '2024-06-01 00:00:00'"
+
+
+@query(
+    f"""WITH s AS (SELECT *, CASE WHEN job_id % 7 = 0 THEN 'completed' WHEN {_PERMANENT} OR attempt_count >= 3 THEN 'failed_permanent' ELSE 'pending' END AS st FROM {duck('jobs')} WHERE status = 'pending' AND created_at + INTERVAL 1 HOUR < {_LATE})
+    SELECT job_id, st AS status, CASE WHEN st = 'pending' THEN attempt_count + 1 ELSE attempt_count END AS attempt_count FROM s"""
+)
+def daily_jobs(spark, d):
+    late = F.to_date(F.lit("2024-06-01"))
+    return P.daily_run(view(spark, d, "sales"), view(spark, d, "clients"), view(spark, d, "assignments"), _jobs(spark, d), late, SEED)[2].select("job_id", "status", "attempt_count")
+
+
+def _shared(spark) -> str:
+    """A folder for a stream: that of spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='realty-')}/realty-stream-{uuid.uuid4().hex}"
 
 
 @query(
-    f"""WITH u AS (SELECT * FROM {_NORMAL} QUALIFY source_url IS NULL OR row_number() OVER (PARTITION BY source_url ORDER BY row_id) = 1)
-    SELECT count(DISTINCT source_url) AS n_urls FROM u"""
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY row_id) AS k FROM {_NORMAL})
+    SELECT source_url, count(*) AS n_rows, sum(CASE WHEN source_url IS NULL THEN hash_price END)::BIGINT AS null_prices FROM (SELECT source_url, price AS hash_price FROM n WHERE source_url IS NOT NULL AND k = 1
+    UNION ALL SELECT NULL, price FROM (SELECT DISTINCT address_raw, city_name, price, surface, rooms, sale_date FROM {_NORMAL} WHERE source_url IS NULL)) GROUP BY source_url"""
 )
 def incremental_ingest(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='realty-')}"
-    root = f"{base}/realty-stream-{uuid.uuid4().hex}"
+    root = _shared(spark)
     raw = view(spark, d, "raw_sales").select([f.name for f in RAW_SALE])
     raw.filter("rooms < 4").write.parquet(f"{root}/in/a")
     raw.filter("rooms >= 4").write.parquet(f"{root}/in/b")
     loaded = incremental.ingest(spark, f"{root}/in/*", RAW_SALE, f"{root}/out", f"{root}/state")
-    return loaded.agg(F.count_distinct("source_url").alias("n_urls"))
+    return loaded.groupBy("source_url").agg(F.count("*").alias("n_rows"), F.sum(F.when(F.col("source_url").isNull(), F.col("price"))).alias("null_prices"))
 
 
 def queries() -> dict[str, Query]:

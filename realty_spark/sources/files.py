@@ -13,12 +13,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def city_files(spark: SparkSession, path: str, schema: T.StructType, cities: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Rows of files whose names hold a city's name or postcode, with city_id; smaller files are skipped."""
-    rows = spark.read.schema(schema).option("header", True).csv(path).select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("file_size"))
-    rows = rows.filter(F.col("file_size") >= least_bytes)
-    names = rows.select("file_name").distinct()  # few: one row a file
-    named = names.join(F.broadcast(cities.select("city_id", "name", "postal_code")), F.lower("file_name").contains(F.lower("name")) | F.col("file_name").contains(F.col("postal_code")))
-    owner = named.groupBy("file_name").agg(F.min("city_id").alias("city_id"))
-    return rows.join(owner, "file_name").drop("file_size")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).filter(F.col("length") >= least_bytes)
+    names = listed.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))  # a listing: no file is read
+    # words of file names and of cities meet by their first: "lille_59000.csv" is of "Lille" and of 59000
+    words = F.filter(F.split(F.lower("file_name"), "[^a-z0-9]+"), lambda w: w != "")
+    called = cities.select("city_id", F.explode(F.array(F.array_join(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != ""), "_"), F.lower("postal_code"))).alias("called")).filter("called <> ''")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda a: F.transform(F.sequence(F.lit(1), F.size(words) - a + 1), lambda n: F.array_join(F.slice(words, a, n), "_"))))
+    owner = names.filter(F.size(words) > 0).select("file_name", F.explode(F.array_distinct(runs)).alias("called")).join(called, "called").groupBy("file_name").agg(F.min("city_id").alias("city_id"))
+    rows = spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+    return rows.join(F.broadcast(owner), "file_name")  # a row a file of the listing
 
 
 def write_stage(df: DataFrame, path: str, form: str = "parquet") -> None:
@@ -35,9 +38,11 @@ def not_empty(columns: list[str]) -> Column:
 
 def export(df: DataFrame, path: str, run: str, city: str = "city_name", main: list[str] | None = None) -> None:
     """CSV files by city and run; rows without a value in the main columns are left out; no row still writes a header."""
+    # The main columns.
     main = main or [c for c in ("address_raw", "city_name", "price", "surface", "rooms", "sale_date") if c in df.columns]
     out = df.filter(not_empty(main)).withColumns({"run": F.lit(run), "city": F.col(city)})
-    if out.isEmpty():
-        out.drop("run", "city").coalesce(1).write.mode("append").option("header", True).csv(f"{path}/run={run}")
-    else:
-        out.write.mode("append").partitionBy("city", "run").option("header", True).csv(path)
+    out.write.mode("append").partitionBy("city", "run").option("header", True).csv(path)
+    spark = df.sparkSession
+    made = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/city=*/run={run}")
+    if not made.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(made):  # no row was written: a header alone
+        df.limit(0).coalesce(1).write.mode("append").option("header", True).csv(f"{path}/run={run}")

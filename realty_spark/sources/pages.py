@@ -29,7 +29,8 @@ class _Cards(HTMLParser):
     def __init__(self, container: str, card: str, fields: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
         self.container, self.card, self.fields = container, card, fields
-        self.open: list[tuple[str, set[str]]] = []
+        self.open: list[tuple[str, set[str], int | None]] = []
+        self.spans: list[int] = []
         self.count: Counter[str] = Counter()
         self.tags: Counter[str] = Counter()
         self.before: Counter[str] = Counter()
@@ -45,14 +46,22 @@ class _Cards(HTMLParser):
         own = dict(attrs)
         names = set((own.get("class") or "").split()) | {tag}
         if self.here is None and self.count[self.container] and self.card in names:
-            self.here, self.depth = {"classes": names, "texts": {}, "all": [], "attrs": {}}, len(self.open)
-            self.before = Counter({f: self.count[f] for f in self.fields})
+            self.here, self.depth = {"classes": names, "texts": {}, "all": [], "attrs": {}, "spans": [], "typed": None, "plain": []}, len(self.open)
+            self.spans = []
+            self.before = Counter({f: self.count[f] for f in (*self.fields, "type")})
         if self.here is not None:
             self.here["classes"] = self.here["classes"] | ({"skeleton"} & names)
             for k in ("href", "data-date"):
                 if own.get(k):
                     self.here["attrs"].setdefault(k, own[k])
-        self.open.append((tag, names))
+        span = None
+        if self.here is not None and tag == "span":
+            span = len(self.here["spans"])
+            self.here["spans"].append([])
+            self.spans.append(span)
+            if self.here["typed"] is None and self._in("type"):
+                self.here["typed"] = span
+        self.open.append((tag, names, span))
         self.tags[tag] += 1
         self.count.update(names)
 
@@ -60,7 +69,9 @@ class _Cards(HTMLParser):
         if not self.tags[tag]:
             return
         while True:
-            name, names = self.open.pop()
+            name, names, span = self.open.pop()
+            if span is not None and self.spans and self.spans[-1] == span:
+                self.spans.pop()
             self.tags[name] -= 1
             self.count.subtract(names)
             if name == tag:
@@ -69,28 +80,37 @@ class _Cards(HTMLParser):
             self.cards.append(self.here)
             self.here = None
 
+    def _in(self, field: str) -> bool:
+        return self.count[field] > self.before[field]
+
     def handle_data(self, data):
         text = data.strip()
         if self.here is None or not text or self.tags["script"] or self.tags["style"]:
             return
         self.here["all"].append(text)
+        for s in self.spans:
+            self.here["spans"][s].append(text)
+        if self._in("type") and not self.tags["svg"]:
+            self.here["plain"] += text.split()
         for f in self.fields:
-            if self.count[f] > self.before[f]:
+            if self._in(f):
                 self.here["texts"].setdefault(f, []).append(text)
 
 
-FIELDS = ("address", "price", "surface", "rooms", "type")
+FIELDS = ("address", "price", "surface", "rooms", "type", "alt")
 
 
 def cards(pages: DataFrame, container: str = "article", card: str = "p", fields: tuple[str, ...] = FIELDS, least_text: int = 20) -> DataFrame:
-    """page_id, place, one text per field, all text, href and date of each card; skeletons, hidden and short cards are left out.
+    """page_id, place, one text per field, all text, href, date, spans, type_span and type_word of each card; skeletons, hidden and short cards are left out.
+
+    spans: the texts of span elements.  type_span, type_word: the first span in the element ``type``, and its last word outside of pictures.
 
     ``container``, ``card`` and ``fields`` are classes or tags.  Null and malformed pages give what can be read of them, maybe nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5 + len(fields))]
+            out: list[list] = [[] for _ in range(len(fields) + 7)]
             which = []
             for i, html in enumerate(batch.column(1).to_pylist()):
                 parser = _Cards(container, card, fields)
@@ -103,21 +123,24 @@ def cards(pages: DataFrame, container: str = "article", card: str = "p", fields:
                         continue
                     which.append(i)
                     values = [place, *(" ".join(c["texts"][f]) if f in c["texts"] else None for f in fields), text, c["attrs"].get("href"), c["attrs"].get("data-date")]
+                    spans = [" ".join(s) for s in c["spans"]]
+                    values += [spans, spans[c["typed"]] if c["typed"] is not None else None, c["plain"][-1] if c["plain"] else None]
                     for column, v in zip(out, values):
                         column.append(v)
-            arrays = [pa.array(out[0], pa.int32()), *(pa.array(c, pa.string()) for c in out[1 : 4 + len(fields)])]
-            yield pa.record_batch([batch.column(0).take(pa.array(which, pa.int64())), *arrays], ["page_id", "place", *fields, "all_text", "href", "millis"])
+            kinds = [pa.int32(), *[pa.string()] * (len(fields) + 3), pa.list_(pa.string()), pa.string(), pa.string()]
+            arrays = [pa.array(c, k) for c, k in zip(out, kinds)]
+            yield pa.record_batch([batch.column(0).take(pa.array(which, pa.int64())), *arrays], ["page_id", "place", *fields, "all_text", "href", "millis", "spans", "type_span", "type_word"])
 
     names = ", ".join(f"{f} string" for f in fields)
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id long, place int, {names}, all_text string, href string, millis string")
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id long, place int, {names}, all_text string, href string, millis string, spans array<string>, type_span string, type_word string")
 
 
-def kind_of(*candidates: Column) -> Column:
-    """The property type named by the first candidate text that holds a keyword."""
-    # Keywords of types, in order.
-    words = [("appartement", "apartment"), ("maison", "house"), ("terrain", "land"), ("local", "commercial")]
-    out = [F.when(F.lower(c).contains(w), t) for c in candidates for w, t in words]
-    return F.coalesce(*out, F.lit("other"))
+def kind_of(type_span: Column, type_word: Column, spans: Column, all_text: Column, other: Column) -> Column:
+    """The property type: of the type element's span or last word, else of a span that names one, else of a word in all text, else of another element."""
+    named = F.filter(spans, lambda s: T.names_type(s))
+    told = lambda c: F.when(F.trim(c) != "", T.property_type(c))
+    words = [F.when(F.lower(all_text).contains(w), t) for w, t in T.TYPE_WORDS]
+    return F.coalesce(told(type_span), told(type_word), told(F.get(named, F.lit(0))), *words, told(F.when(T.names_type(other), other)), F.lit("other"))
 
 
 def listings(pages: DataFrame, base: str = "https://example.com", **shape) -> DataFrame:
@@ -127,12 +150,13 @@ def listings(pages: DataFrame, base: str = "https://example.com", **shape) -> Da
     return c.select(
         "page_id", "place", parts["address"].alias("address"), parts["city"].alias("city"), parts["postal_code"].alias("postal_code"),
         T.listing_price(F.col("price")).alias("price"), T.listing_surface(F.col("surface")).alias("surface"), T.listing_rooms(F.col("rooms")).alias("rooms"),
-        N.epoch_date(F.col("millis")).alias("sale_date"), kind_of(F.col("type"), F.col("all_text")).alias("property_type"), T.absolute_url(F.col("href"), base).alias("property_url"),
+        N.epoch_date(F.col("millis")).alias("sale_date"), kind_of(*(F.col(x) for x in ("type_span", "type_word", "spans", "all_text", "alt"))).alias("property_type"), T.absolute_url(F.col("href"), base).alias("property_url"),
     )
 
 
 def market_prices(pages: DataFrame) -> DataFrame:
     """page_id with the house and apartment price per square metre that follow their headings."""
     text = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style).*?</\\1>", " "), "<[^>]*>", " ")
-    price = lambda word: F.regexp_replace(F.regexp_extract(text, f"(?is){word}[^0-9]{{0,200}}([0-9][0-9   .]*)", 1), "[^0-9]", "").try_cast("int")
-    return pages.select("page_id", price("maison").alias("house_price_avg"), price("appartement").alias("apartment_price_avg"))
+    # a figure belongs to a heading if no other heading stands between
+    price = lambda word, other: F.regexp_replace(F.regexp_extract(text, f"(?is){word}(?:(?!{other})[^0-9]){{0,200}}([0-9][0-9 \u00a0\u202f.]*)", 1), "[^0-9]", "").try_cast("int")
+    return pages.select("page_id", price("maison", "appartement").alias("house_price_avg"), price("appartement", "maison").alias("apartment_price_avg"))

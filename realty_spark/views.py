@@ -32,7 +32,7 @@ FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_
     "sales": f"""
 SELECT o_orderkey AS address_id, c_nationkey AS city_id, n_name AS city_name, concat('59', lpad(CAST(c_nationkey AS STRING), 3, '0')) AS insee_code,
   concat({_NUMBER.format(k="o_orderkey")}, ' ', {_STREET.format(k="o_custkey")}) AS address_raw,
-  CAST(o_orderdate AS DATE) AS sale_date,
+  CAST(o_orderdate AS DATE) AS sale_date, concat('59', lpad(CAST(c_nationkey * 7 % 1000 AS STRING), 3, '0')) AS postal_code,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'house' WHEN '2' THEN 'apartment' WHEN '3' THEN 'land' WHEN '4' THEN 'commercial' ELSE 'other' END AS property_type,
   CAST(CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE 20 + o_orderkey % 180 END AS INT) AS surface, CAST(1 + o_orderkey % 7 AS INT) AS rooms,
   CAST(floor(o_totalprice) AS INT) AS price,
@@ -50,7 +50,7 @@ SELECT n_nationkey AS city_id, n_name AS name, r_name AS region, concat('59', lp
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 """,
     "clients": """
-SELECT s_suppkey AS client_id, s_name AS first_name, concat('client', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 9 = 0 THEN ' at ' ELSE '@' END, 'example.com') AS email,
+SELECT s_suppkey AS client_id, s_name AS first_name, CASE WHEN s_suppkey % 8 = 5 THEN '' WHEN s_suppkey % 8 <> 6 THEN concat('Martin ', CAST(s_suppkey AS STRING)) END AS last_name, concat('client', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 9 = 0 THEN ' at ' ELSE '@' END, 'example.com') AS email,
   CASE s_suppkey % 4 WHEN 0 THEN '06 12 34 56 78' WHEN 1 THEN '+33612345678' WHEN 2 THEN '12345' END AS telephone,
   CASE s_suppkey % 5 WHEN 0 THEN 'decouverte' WHEN 1 THEN 'pro' WHEN 2 THEN 'entreprise' WHEN 3 THEN 'gold' END AS subscription_type,
   CASE WHEN s_suppkey % 10 = 0 THEN 'inactive' ELSE 'active' END AS status, CAST(s_suppkey % 33 AS INT) AS send_day,
@@ -71,6 +71,8 @@ SELECT p_partkey AS certificate_id, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE
   concat(CAST(CAST(45000000 + (p_size - 1) * 1000 + (p_partkey % 4) * 60000 + (p_partkey % 3) * 30 AS DOUBLE) / 1000000 AS STRING), ',',
          CAST(CAST(3000000 + (p_partkey % 25) * 100000 + (p_partkey % 2) * 40 AS DOUBLE) / 1000000 AS STRING)) AS geopoint,
   CASE p_partkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'E' WHEN 5 THEN 'F' WHEN 6 THEN 'G' END AS etiquette_dpe,
+  concat('59', lpad(CAST(p_partkey % 25 * 7 % 1000 AS STRING), 3, '0')) AS code_postal, concat('NATION_', CAST(p_partkey % 25 AS STRING)) AS commune,
+  CASE p_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS etiquette_ges, CASE WHEN p_partkey % 4 > 0 THEN '2001-06-15' END AS date_reception, '2000-01-02' AS date_etablissement,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(1700 + p_partkey % 330 AS STRING) END AS annee_construction,
   CASE WHEN p_partkey % 2 = 0 THEN '1948-1974' ELSE 'avant 1948' END AS periode_construction
 FROM {{part}}
@@ -92,6 +94,26 @@ SELECT n_nationkey AS city_id, 'house' AS property_type, CAST(n_nationkey - 12 A
 UNION ALL SELECT n_nationkey, 'apartment', 0.02e0 FROM {nation}
 """,
 }
+#: Pages of listings and of market prices, rendered out of other views for Spark to read back: page_id, html.
+_WORD = "CASE property_type WHEN 'house' THEN 'Maison' WHEN 'apartment' THEN 'Appartement' WHEN 'land' THEN 'Terrain' WHEN 'commercial' THEN 'Local commercial' ELSE 'Autre' END"
+_CARD = f"""concat('<div class="card', CASE WHEN address_id % 13 = 5 THEN ' hidden' ELSE '' END, '">', CASE WHEN address_id % 11 = 3 THEN '<div class="skeleton">..............................</div>' ELSE '' END,
+  CASE WHEN address_id % 17 = 2 THEN 'kurz' ELSE concat('<p class="address">', address_raw, ' - ', city_name, CASE WHEN address_id % 2 = 0 THEN concat(' ', insee_code) ELSE '' END, '</p>',
+    CASE WHEN address_id % 19 = 4 THEN '' ELSE concat('<p class="price"><span>', CAST(price AS STRING), ' €</span></p>') END, '<p class="surface">', CAST(surface AS STRING), ',5 m²</p><p class="rooms"> ', CAST(rooms AS STRING), '</p>',
+    CASE address_id % 5 WHEN 0 THEN concat('<p class="type"><svg>icone</svg><span>', {_WORD}, '</span></p>') WHEN 1 THEN concat('<p class="type"><svg>icone</svg> bien ', {_WORD}, '</p>')
+      WHEN 2 THEN concat('<span>', {_WORD}, '</span>') WHEN 3 THEN concat('<p>vente: ', {_WORD}, '</p>') ELSE '<p class="alt">Local</p>' END,
+    CASE WHEN address_id % 23 = 6 THEN '' ELSE concat('<time data-date="', CAST(CAST(unix_date(sale_date) AS BIGINT) * 86400000 + 43200000 AS STRING), '"></time>') END,
+    CASE WHEN address_id % 29 = 0 THEN '' ELSE concat('<a href="/sale/', CAST(address_id - address_id % 2 AS STRING), '">voir</a>') END) END, '</div>')"""
+PAGES = {
+    "listing_pages": f"""
+SELECT page_id, CASE WHEN page_id % 10 = 4 THEN NULL ELSE concat('<html><body><div class="', CASE WHEN page_id % 10 = 5 THEN 'other' ELSE 'list' END, '">', array_join(transform(array_sort(collect_list(struct(address_id, card))), x -> x.card), ''),
+  CASE WHEN page_id % 7 = 3 THEN '<div class="card"><p class=' ELSE '</div></body></html>' END) END AS html
+FROM (SELECT address_id, address_id DIV 64 AS page_id, {_CARD} AS card FROM {{sales}}) GROUP BY page_id
+""",
+    "market_pages": """
+SELECT city_id AS page_id, CASE WHEN city_id % 9 = 8 THEN NULL ELSE concat('<html><script>var maison = 999;</script><div><p>Maisons - Prix</p>', CASE WHEN city_id % 4 = 1 THEN '' ELSE concat('<p><span>', replace(format_number(house_price_avg, 0), ',', ' '), ' €/m²</span></p>') END,
+  '</div><div><p>Appartements - Prix</p>', CASE WHEN city_id % 5 = 2 THEN '' ELSE concat('<p><span>', CAST(1000 + city_id * 13 AS STRING), '\u00a0€</span></p>') END, '</div></html>') END AS html FROM {cities}
+""",
+}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -103,3 +125,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(name: str) -> str:
     """The view as a DuckDB subquery."""
     return "(" + VIEWS[name].replace("{array}", "list_value").format(**{t: t for t in TABLES}) + ")"
+
+
+def pages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    used = {t: view(spark, sf_dir, t) for t in ("sales", "cities") if f"{{{t}}}" in PAGES[name]}
+    return spark.sql(PAGES[name], **used)

@@ -12,7 +12,7 @@ from realty_spark.functions import text as T
 from realty_spark.operators import assign, dedup, enrich, normalize, slices
 from realty_spark.plans import pipeline
 from realty_spark.schemas import RAW_SALE
-from realty_spark.sources import pages
+from realty_spark.sources import files, pages
 from realty_spark.streaming import incremental
 
 RAW = [
@@ -130,6 +130,93 @@ def test_pages(spark):
     assert r.sale_date == dt.date(2023, 1, 15)
 
 
+def test_type_falls_back(spark):
+    shapes = [
+        ('<p class="type"><svg>appartement</svg><span> Maisons </span></p>', "house"), ('<p class="type"><svg>maison</svg>un beau Terrain</p>', "land"), ('<span>de</span><span>Locaux Commerciaux maison</span>', "other"),
+        ('<span>maison</span>', "house"), ('<p>vente: grande maison et appartement</p>', "apartment"), ('<p class="alt">Local</p>', "other"), ('<p>rien du tout ici</p>', "other"), ('<p class="type"><span>Autre</span></p><p>maison</p>', "other"),
+    ]
+    html = "".join(f'<div class="card"><p class="address">{i} rue longue - Ville</p>{x}</div>' for i, (x, _) in enumerate(shapes))
+    got = pages.listings(spark.createDataFrame([(1, f'<div class="list">{html}</div>')], "page_id long, html string"), container="list", card="card").orderBy("place").collect()
+    assert [r.property_type for r in got] == [t for _, t in shapes]
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame(RAW, RAW_SALE)
+    files.write_stage(df, f"{tmp_path}/stage", "csv")
+    plain = lambda rows: sorted(str([(x or "").strip() for x in r]) for r in rows)  # noqa: E731  blanks are written as nothing
+    back = files.read_csv(spark, f"{tmp_path}/stage", RAW_SALE)
+    assert plain(back.collect()) == plain(RAW) and back.schema == RAW_SALE
+    files.write_stage(df, f"{tmp_path}/stage")
+    assert spark.read.parquet(f"{tmp_path}/stage").count() == len(RAW)
+
+    lines = "address,city,price,surface,rooms,sale_date,property_type,property_url\n" + "1 rue A,Lille,1,2,3,01/01/2023,maison,u\n" * 40
+    for name, text in {"Lille_2023.csv": lines, "export-59100.csv": lines, "Saint-Omer_a.csv": lines, "lillers_1.csv": lines, "lille_small.csv": lines[:90], "lille.txt": lines}.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    cities = spark.createDataFrame([(1, "Lille", "59000"), (2, "Roubaix", "59100"), (3, "Saint Omer", "62500"), (4, None, None)], "city_id long, name string, postal_code string")
+    got = files.city_files(spark, f"{tmp_path}/in", RAW_SALE, cities).groupBy("file_name", "city_id").count().collect()
+    assert {(r.file_name, r.city_id, r["count"]) for r in got} == {("Lille_2023.csv", 1, 40), ("export-59100.csv", 2, 40), ("Saint-Omer_a.csv", 3, 40)}
+
+    sales = spark.createDataFrame([("A", "Lille", 1, 0), ("", "Roubaix", 5, 2), (None, None, 0, 0), ("", "", 0, None)], "address_raw string, city_name string, price int, rooms int")
+    files.export(sales, f"{tmp_path}/out", "r1")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/out")
+    assert {(r.city_name, r.price, r.city, r.run) for r in back.collect()} == {("Lille", "1", "Lille", "r1"), ("Roubaix", "5", "Roubaix", "r1")}
+    files.export(sales.filter("price = 0"), f"{tmp_path}/none", "r2")
+    empty = spark.read.option("header", True).csv(f"{tmp_path}/none/run=r2")
+    assert empty.count() == 0 and empty.columns == sales.columns
+    assert sales.filter(files.not_empty(["address_raw", "city_name", "price", "rooms"])).count() == 2
+
+
+def test_ratio_bound(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [("".join(r.choice("AB C") for _ in range(r.randint(0, 9))), "".join(r.choice("AB D") for _ in range(r.randint(0, 9)))) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", enrich.ratio_bound(F.col("a"), F.col("b")).alias("most")).collect()
+    assert all(SequenceMatcher(None, x.a, x.b).ratio() <= x.most + 1e-9 for x in got) and any(x.most < 0.7 for x in got)
+    kept = enrich.similar(spark.createDataFrame(rows, "a string, b string"), "a", "b", "ratio", 0.7).collect()
+    assert sorted((x.a, x.b) for x in kept) == sorted((a, b) for a, b in rows if round(SequenceMatcher(None, a, b).ratio(), 6) >= 0.7)
+
+
+def test_names_of_departments(spark):
+    from realty_spark.sources.departments import rows
+
+    names = {r[0]: (r[1], r[2]) for r in rows()}
+    assert len(names) == 101 and names["974"] == ("La Réunion", "La Réunion") and names["90"][0] == "Territoire de Belfort"
+    assert names["2A"] == ("Corse-du-Sud", "Corse") and names["59"] == ("Nord", "Hauts-de-France")
+
+
+def test_cache_is_refreshed_by_location(spark):
+    rows = [(1, "A", "2002-12-20 00:00:00"), (2, "A", "2002-12-01 23:59:59"), (3, "B", "2002-12-02 00:00:00"), (4, "C", None)]
+    df = spark.createDataFrame(rows, "certificate_id long, code_insee string, fetched_at string")
+    fresh, old = enrich.cached(df, F.to_date(F.lit("2003-01-01")))
+    assert [r.certificate_id for r in fresh.collect()] == [3] and {r.code_insee for r in old.collect()} == {"A", "C"}
+
+
+def test_feeds_reach_the_linkage(spark):
+    feed = spark.createDataFrame([("D1", "12", "Rue A", "59000", "Lille", "45.0,3.0", "C", "59350")], "numero_dpe string, numero_voie_ban string, nom_rue_ban string, code_postal_ban string, nom_commune_ban string, geo_point string, Etiquette_DPE string, code_insee_ban string")
+    pool = enrich.certificate_pool(enrich.conformed(feed, 1))
+    sales = spark.createDataFrame([(7, "59350", "12 rue A 59000 Lille", 45.0, 3.0001)], "address_id long, insee_code string, address_raw string, latitude double, longitude double")
+    r = enrich.link_certificates(sales, pool).first()
+    assert (r.address_id, r.dpe_number, r.dpe_energy_class, r.dpe_date) == (7, "D1", "C", None)
+    assert pool.first().adresse == "12 Rue A 59000 Lille"
+
+
+def test_enrichment_keeps_stages_and_fails_without_places(spark, tmp_path):
+    cities = spark.createDataFrame([("c1", "LILLE", "59000", "59350", None, None)], "city_id string, name string, postal_code string, insee_code string, last_scraped string, house_price_avg int")
+    market = spark.createDataFrame([("c1", "59350", 2500)], "city_id string, insee_code string, house_price_avg int")
+    raw = spark.createDataFrame(RAW, RAW_SALE)
+    answers = spark.createDataFrame([("123 RUE DE LA REPUBLIQUE, LILLE, 59000", 50.6, 3.0, 0.9)], "q string, latitude double, longitude double, score double")
+    as_of = F.to_date(F.lit("2024-01-01"))
+    out = pipeline.enrich(spark, raw, pipeline.Inputs(cities, None, answers, None, market), as_of, keep=str(tmp_path))
+    r = out.rows.first()
+    assert (r.city_id, r.action, r.department, out.cities.first().house_price_avg, out.certificates.count(), out.report.first().success) == ("c1", "inserted", "59", 2500, 0, True)
+    assert {(x.stage, x.n_in, x.n_out) for x in out.stats.collect()} >= {("normalize", 5, 1), ("resolve", 1, 1), ("geocode", 1, 1), ("load", 1, 1)}
+    assert sorted(p.name for p in tmp_path.iterdir())[0] == "1_normalize" and len(list(tmp_path.iterdir())) == 7
+    with pytest.raises(ValueError, match="geocoded"):
+        pipeline.run_enrichment(spark, raw, pipeline.Inputs(cities, None, answers.limit(0)), as_of)
+
+
 def test_stage_bounds(spark):
     df = spark.createDataFrame(RAW, RAW_SALE)
     with pytest.raises(ValueError):
