@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,7 +15,7 @@ from realty_spark.llm.chunks import substring_dedup
 from realty_spark.llm.exact_dedup import exact_dedup
 from realty_spark.llm.langid import languages
 from realty_spark.llm.minhash import near_duplicates
-from realty_spark.llm.packing import pack
+from realty_spark.llm.packing import mixture, pack
 from realty_spark.llm.ppm import score_texts
 from realty_spark.llm.suffixes import suffix_dedup
 
@@ -60,12 +61,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: A file tree over documents: their source, two levels of directories by id, and a name; a text that begins with a notice is a
-#: licence file, in one of the three levels.  Written for DuckDB; Spark SQL names three things differently.
+def packing_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each source in each window of 64 sequences, packed to weights that differ from the sources' sizes: 1 to 4 by the name's hash."""
+    return mixture(pack(documents(spark, sf_dir), VOCABULARY, targets=lambda source: 1 + zlib.crc32((source or "").encode()) % 4))
+
+
+#: A file tree over documents: their source, two levels of directories by id, and a name; of the texts that end with a notice those of
+#: even ids are licence files, in one of the three levels.  Written for DuckDB; Spark SQL names three things differently.
 FILE_PATH = r"""
-CASE WHEN regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '(?i)(licen[cs]e|copyright|all rights reserved|public domain)')
-THEN concat_ws('/', coalesce(source, 'none'), CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id // 1000 AS VARCHAR) END,
-               CASE WHEN doc_id % 3 > 1 THEN CAST(doc_id // 50 AS VARCHAR) END, concat('LICENSE.', doc_id))
+CASE WHEN doc_id % 2 = 0 AND regexp_matches(split_part(coalesce(text, ''), chr(10), -1), '(?i)(licen[cs]e|copyright|all rights reserved|public domain)')
+THEN concat_ws('/', coalesce(source, 'none'), CASE WHEN doc_id // 2 % 3 > 0 THEN CAST(doc_id // 1000 AS VARCHAR) END,
+               CASE WHEN doc_id // 2 % 3 > 1 THEN CAST(doc_id // 50 AS VARCHAR) END, concat('LICENSE.', doc_id))
 ELSE concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 50 AS VARCHAR), concat(doc_id, '.txt')) END
 """
 
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
+        "packing_mixture": packing_mixture,
         "op8_license_scan": op8_license_scan,
         "op9_minhash": op9_minhash,
         "op10_langid": op10_langid,
@@ -104,34 +111,48 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
 
 
-def license_sql() -> str:
-    idf, other = licenses.inverse_frequencies(licenses.TEMPLATES)
-    folder = "regexp_replace({}, '/?[^/]*$', '')"
+def _scored_sql(of: str, notices: str, templates: list[tuple[str, str]]) -> str:
+    """CTEs from ``notices`` (path, notice) to best_{of}: path, license, score of each path's best notice."""
+    idf, other = licenses.inverse_frequencies(templates)
     return rf"""
-WITH idf(term, idf) AS (VALUES {_values(sorted(idf.items()))}),
-vec(term, template, license, weight) AS (VALUES {_values(licenses.weights(licenses.TEMPLATES))}),
-files AS (SELECT doc_id, text, {FILE_PATH} AS path FROM documents),
-lines AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE regexp_matches(text, '{licenses.NOTICE}')),
-notices AS (
-  SELECT DISTINCT path, notice FROM (
-    SELECT path, unnest(ls) AS notice FROM lines
-    UNION ALL SELECT path, text FROM lines WHERE regexp_matches(split_part(path, '/', -1), '{licenses.LICENSE_FILE}'))
-  WHERE regexp_matches(notice, '{licenses.NOTICE}')
-), counted AS (
+idf_{of}(term, idf) AS (VALUES {_values(sorted(idf.items()))}),
+vec_{of}(term, template, license, weight) AS (VALUES {_values(licenses.weights(templates))}),
+notices_{of} AS (SELECT DISTINCT path, notice FROM ({notices})),
+counted_{of} AS (
   SELECT notice, term, count(*) * any_value(coalesce(idf, {other!r})) AS x
-  FROM (SELECT notice, unnest(string_split_regex(lower(notice), '[^a-z0-9]+')) AS term FROM (SELECT DISTINCT notice FROM notices)) t
-  LEFT JOIN idf USING (term) WHERE term <> '' GROUP BY ALL
-), norms AS (SELECT notice, sqrt(sum(x * x)) AS norm FROM counted GROUP BY ALL),
-dots AS (SELECT notice, template, license, sum(x * weight) AS dot FROM counted JOIN vec USING (term) GROUP BY ALL),
-best AS (
-  SELECT notice, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (notice)
+  FROM (SELECT notice, unnest(string_split_regex(lower(notice), '[^a-z0-9]+')) AS term FROM (SELECT DISTINCT notice FROM notices_{of})) t
+  LEFT JOIN idf_{of} USING (term) WHERE term <> '' GROUP BY ALL
+), norms_{of} AS (SELECT notice, sqrt(sum(x * x)) AS norm FROM counted_{of} GROUP BY ALL),
+dots_{of} AS (SELECT notice, template, license, sum(x * weight) AS dot FROM counted_{of} JOIN vec_{of} USING (term) GROUP BY ALL),
+scored_{of} AS (
+  SELECT notice, license, round(dot / norm, 6) AS score FROM dots_{of} JOIN norms_{of} USING (notice)
   QUALIFY row_number() OVER (PARTITION BY notice ORDER BY round(dot / norm, 6) DESC, template) = 1
-), own AS (
-  SELECT path, license AS own_license, score AS own_score FROM notices JOIN best USING (notice) WHERE score >= {licenses.LEAST_SCORE}
+), best_{of} AS (
+  SELECT path, license, score FROM notices_{of} JOIN scored_{of} USING (notice) WHERE score >= {licenses.LEAST_SCORE}
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
+)"""
+
+
+def license_sql() -> str:
+    folder = "regexp_replace({}, '/?[^/]*$', '')"
+    licence_file = f"regexp_matches(split_part(path, '/', -1), '{licenses.LICENSE_FILE}')"
+    lines = f"""SELECT path, notice FROM (SELECT path, unnest(ls) AS notice FROM lines UNION ALL SELECT path, text FROM lines WHERE {licence_file}) WHERE regexp_matches(notice, '{licenses.NOTICE}')"""
+    code = f"coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '{licenses.COMMENT}')), false), 0)"
+    blocks = rf"""SELECT path, notice FROM (SELECT path, unnest(string_split_regex(text, '\n(?:[^A-Za-z0-9\n]*\n)+')) AS notice FROM worded
+      UNION ALL SELECT path, array_to_string(CASE WHEN {code} = 0 THEN ls ELSE ls[1:{code} - 1] END, chr(10)) FROM worded
+      UNION ALL SELECT path, text FROM worded WHERE {licence_file}) WHERE regexp_matches(notice, '{licenses.WORDING}')"""
+    return rf"""
+WITH files AS (SELECT doc_id, text, {FILE_PATH} AS path FROM documents),
+lines AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE regexp_matches(text, '{licenses.NOTICE}')),
+worded AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE regexp_matches(text, '{licenses.WORDING}')),
+{_scored_sql("line", lines, licenses.TEMPLATES)},
+{_scored_sql("text", blocks, licenses.TEXTS)},
+own AS (
+  SELECT path, CASE WHEN l.license <> '{licenses.RESERVED}' OR (l.license IS NOT NULL AND t.license IS NULL) THEN l.license ELSE t.license END AS own_license,
+         CASE WHEN l.license <> '{licenses.RESERVED}' OR (l.license IS NOT NULL AND t.license IS NULL) THEN l.score ELSE t.score END AS own_score
+  FROM best_line l FULL JOIN best_text t USING (path)
 ), held AS (
-  SELECT {folder.format("path")} AS license_dir, own_license AS from_license FROM own
-  WHERE regexp_matches(split_part(path, '/', -1), '{licenses.LICENSE_FILE}')
+  SELECT {folder.format("path")} AS license_dir, own_license AS from_license FROM own WHERE {licence_file}
   QUALIFY row_number() OVER (PARTITION BY {folder.format("path")} ORDER BY own_score DESC, own_license) = 1
 ), nearest AS (
   SELECT dir, license_dir, from_license FROM (SELECT DISTINCT {folder.format("path")} AS dir FROM files) d

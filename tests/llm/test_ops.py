@@ -393,6 +393,23 @@ def test_packing(spark):
         assert all(x == 64 or x & (x - 1) == 0 for x in sizes) and sizes.count(64) == sum(map(len, ids.values())) // 64
 
 
+def test_packing_holds_targets(spark, monkeypatch):
+    """Windows have the target proportions while all sources last, whatever their sizes; sources share queues beyond the bound."""
+    rows = [(i, "word " * 50, "abc"[min(i % 7, 2)]) for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(df, VOCABULARY, targets={"a": 3, "b": 2, "c": 1}, length=64, window=256)
+    tokens = {(r.window, r.source): r.tokens for r in packing.mixture(got, 64, 256).collect()}
+    for w in range(7):
+        assert sum(tokens[w, s] for s in "abc") == 256
+        assert all(abs(sum(tokens[v, s] for v in range(w + 1)) - (w + 1) * 256 * share / 6) <= 1 for s, share in (("a", 3), ("b", 2), ("c", 1)))
+    schedule = packing.Schedule([1020, 1020, 5100], [3, 2, 1], 256, 64)
+    assert all(abs(d) < 1 for w in range(7) for d in schedule.deficits(w)) and any(schedule.deficits(1))
+    monkeypatch.setattr(packing, "MAX_SOURCES", 2)
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    merged = packing.pack(df, VOCABULARY, length=64, window=256).collect()
+    assert sum(r.length for r in merged) == 140 * 51 and {r.source for r in merged} == set("abc")
+
+
 def test_windows_hold_the_mixture():
     s = packing.Schedule([5000, 3000, 2000], [5000, 3000, 2000], window=100, length=20)
     for w in range(100):
@@ -411,6 +428,42 @@ def test_licenses(spark):
     }
 
 
+def test_license_edges(spark):
+    """Null paths are one file in no directory; ties go to the first name; of a directory's licence files the better score counts."""
+    rows = [
+        (None, "Released under the MIT License."), (None, None), ("LICENSE", "Licensed under CC BY-SA 4.0."), ("x", ""), ("a/LICENSE", "Released under the MIT License."), ("a/COPYING", "x\nLicensed under CC BY-NC 4.0.\nsome more"),
+        ("t/NOTICE", "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), ("t/LICENSE", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), ("t/x", "y"), ("a/b/c/d.py", None), ("a/x", "one"), ("a/x", "All rights reserved."),
+    ]
+    got = collections.defaultdict(list)
+    for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect():
+        got[r.path].append((r.license, r.origin, r.license_dir))
+    assert got == {
+        None: [("MIT", "own", None)] * 2, "LICENSE": [("CC-BY-SA-4.0", "own", None)], "x": [("CC-BY-SA-4.0", "inherited", "")], "a/LICENSE": [("MIT", "own", None)], "a/COPYING": [("CC-BY-NC-4.0", "own", None)],
+        "t/NOTICE": [("CC-BY-NC-4.0", "own", None)], "t/LICENSE": [("CC-BY-NC-4.0", "own", None)], "t/x": [("CC-BY-NC-4.0", "inherited", "t")], "a/b/c/d.py": [("CC-BY-NC-4.0", "inherited", "a")],
+        "a/x": [("proprietary", "own", None)] * 2,
+    }
+
+
+def test_license_query_inherits(spark, tmp_path):
+    """The query against its SQL on files with whole licence texts; licences are inherited from several depths."""
+    import duckdb
+
+    from realty_spark.llm.queries import license_sql, op8_license_scan
+
+    mit, gpl = licenses._MIT + "\n\n" + licenses._WARRANTY, next(t for n, t in licenses.TEXTS if n == "GPL-3.0")
+    texts = {0: "words\nReleased under the MIT License.", 8: "\n".join(["# Copyright 2020 Jane", *("# " + x for x in re.findall(".{1,60}(?: |$)", gpl))]) + "\nimport os", 60: mit + "\nAll rights reserved.", 64: "a\nLicensed under CC BY-NC 4.0.", 122: "b\nLicensed under the Apache License, Version 2.0.", 7: None, 9: ""}
+    rows = [(i, texts.get(i, f"text {i}"), "s") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_license_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(license_sql()).df()[got.columns]
+    assert sorted(map(str, want.astype(object).where(want.notna(), None).itertuples(index=False, name=None))) == sorted(str(tuple(r)) for r in got.collect())
+    seen = {(r.origin, r.license_dir) for r in got.collect()}
+    assert {d.count("/") for o, d in seen if o == "inherited"} >= {1, 2} and next(r for r in got.collect() if r.doc_id == 60).license == "MIT"
+    assert next(r for r in got.collect() if r.doc_id == 8).license == "GPL-3.0"
+
+
 def test_license_texts(spark):
     L = licenses
     lines = lambda t, sign="": "\n".join(sign + " ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
