@@ -209,7 +209,7 @@ def _split(held: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, 2, 1 << 18)):
-            raw, offsets, which, at = _positions(b)
+            raw, offsets, which, at, _ = _positions(b)
             for side, (least, most) in enumerate(NARROW):
                 ok, key, kind = _keys(raw, offsets, which, at, least, most)
                 yield _placed(b, which[ok], at[ok] - offsets[which[ok]], [key, kind], {"side": pa.array(np.full(len(ok), side, np.int32))})
@@ -218,32 +218,37 @@ def _split(held: DataFrame) -> DataFrame:
 
 
 def _positions(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(bytes, offsets, text and place of each position) of a batch whose column 3 has positions in the text of column 2."""
+    """(bytes, offsets; text, place and side of each position) of a batch whose column 3 has positions (side, place) in the text of column 2."""
     raw, offsets = utf8_column(b.column(2))
-    lists = [np.sort(np.array(x, np.int64)) for x in b.column(3).to_pylist()]
-    which = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return raw, offsets, which, np.concatenate([np.empty(0, np.int64), *lists]) + offsets[which]
+    which = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+    side, place = (x.to_numpy(zero_copy_only=False) for x in b.column(3).flatten().flatten())
+    at = place + offsets[which]
+    order = np.argsort(at, kind="stable")
+    return raw, offsets, which[order], at[order], side[order]
 
 
-def _shown(held: DataFrame, side: int) -> DataFrame:
-    """key, doc_id, mark, place, around of the positions: the bytes around each, one more than their value, and 0 beyond the text."""
-    least, most = NARROW[side] if side >= 0 else WHOLE[0]
+def _shown(held: DataFrame) -> DataFrame:
+    """key, doc_id, mark, place, side, around of the positions: the bytes around each, one more than their value, and 0 beyond the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, 2, 1 << 20)):
-            raw, offsets, which, at = _positions(b)
-            ok, key, _ = _keys(raw, offsets, which, at, least, most)
-            for i in range(0, len(ok), 1 << 13):
-                own = ok[i : i + (1 << 13)]
-                of = which[own]
-                index = at[own][:, None] + np.arange(-_REACH, LENGTH)
-                beyond = (index < offsets[of][:, None]) | (index >= offsets[of + 1][:, None])
-                around = raw[np.where(beyond, 0, index)] + np.uint8(1)
-                around[beyond] = 0
-                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_REACH + LENGTH), len(own), [None, pa.py_buffer(around.tobytes())])
-                yield _placed(b, of, at[own] - offsets[of], [key[i : i + (1 << 13)]], {"around": blob.cast(pa.binary())})
-
-    return held.select("doc_id", "mark", "body", "positions").mapInArrow(run, f"key long, {_place(held)}, around binary")
+            raw, offsets, which, at, sides = _positions(b)
+            for side in np.unique(sides).tolist():
+                of_side = np.flatnonzero(sides == side)
+                ok, key, _ = _keys(raw, offsets, which[of_side], at[of_side], *(NARROW[side] if side >= 0 else WHOLE[0]))
+                ok = of_side[ok]
+                for i in range(0, len(ok), 1 << 13):
+                    own = ok[i : i + (1 << 13)]
+                    of = which[own]
+                    index = at[own][:, None] + np.arange(-_REACH, LENGTH)
+                    beyond = (index < offsets[of][:, None]) | (index >= offsets[of + 1][:, None])
+                    around = raw[np.where(beyond, 0, index)] + np.uint8(1)
+                    around[beyond] = 0
+                    blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_REACH + LENGTH), len(own), [None, pa.py_buffer(around.tobytes())])
+                    more = {"side": pa.array(np.full(len(own), side, np.int32)), "around": blob.cast(pa.binary())}
+                    yield _placed(b, of, at[own] - offsets[of], [key[i : i + (1 << 13)]], more)
+
+    return held.select("doc_id", "mark", "body", "positions").mapInArrow(run, f"key long, {_place(held)}, side int, around binary")
 
 
 def _agreeing(order: np.ndarray, group: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,18 +314,23 @@ def ranges_of(around: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndar
     return row[hit], -(least + high)[hit], LENGTH - (least + low)[hit]
 
 
-def _sorted_out(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, mark, lo, hi: byte ranges of repeated windows among (key, doc_id, mark, place, around); a task sorts its keys batch by batch."""
+def _sorted_out(rows: DataFrame) -> DataFrame:
+    """doc_id, mark, lo, hi: byte ranges of repeated windows among (key, doc_id, mark, place, side, around); a task sorts its keys batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(part: pa.Table) -> pa.RecordBatch:
             columns = part.combine_chunks()
-            frame = columns.select(["key", "doc_id", "mark", "place"]).to_pandas()
+            frame = columns.select(["key", "doc_id", "mark", "place", "side"]).to_pandas()
             frame["doc"] = frame["doc_id"].rank(method="dense", na_option="top")
             first = frame.drop_duplicates(["key", "doc", "mark", "place"]).sort_values(["doc", "mark", "place"], kind="stable").index.to_numpy()
             around, _ = utf8_column(columns["around"])
-            row, lo, hi = ranges_of(around.reshape(-1, _REACH + LENGTH)[first], spans)
-            row = first[row]
+            around, found = around.reshape(-1, _REACH + LENGTH), []
+            sides = frame["side"].to_numpy()[first]
+            for side in np.unique(sides).tolist():
+                own = first[sides == side]
+                row, lo, hi = ranges_of(around[own], [NARROW[side]] if side >= 0 else HALVES)
+                found.append((own[row], lo, hi))
+            row, lo, hi = (np.concatenate(x) for x in zip(*found))
             at, of = frame["place"].to_numpy(np.int64)[row], pa.array(row)
             return pa.record_batch([columns[c].take(of).combine_chunks() for c in ("doc_id", "mark")] + [pa.array(at + lo), pa.array(at + hi)], ["doc_id", "mark", "lo", "hi"])
 
@@ -340,7 +350,7 @@ def _sorted_out(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return (
-        rows.select("key", "doc_id", "mark", "place", "around")
+        rows.select("key", "doc_id", "mark", "place", "side", "around")
         .repartition(partitions(rows.sparkSession), "key")
         .sortWithinPartitions("key")
         .mapInArrow(run, f"doc_id {kind}, mark long, lo long, hi long")
@@ -399,18 +409,17 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     firsts, again = _first_and_again(around.withColumn("side", F.lit(-1)), F.lit(0), F.lit(_REACH), scratch, "whole")
 
     def with_text(places: DataFrame) -> DataFrame:
-        return _same(rows, places.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("positions")))
+        return _same(rows, places.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("side", "place")).alias("positions")))
 
-    ranges = [again, _gathered(_sorted_out(_shown(with_text(firsts.filter(F.col("n") <= MOST)), -1), HALVES))]
+    ranges, compared = [again], firsts.filter(F.col("n") <= MOST).drop("n")
     if not firsts.filter(F.col("n") > MOST).isEmpty():
         split = scratch.save(_split(with_text(firsts.filter(F.col("n") > MOST))), "split")
         sides = F.array(*(F.lit(a) for a, _ in NARROW)), F.array(*(F.lit(b) for _, b in NARROW))
         narrow, again = _first_and_again(split, *(F.element_at(x, F.col("side") + 1) for x in sides), scratch, "narrow")
         ranges.append(again)
-        for side, span in enumerate(NARROW):
-            ranges.append(_gathered(_sorted_out(_shown(with_text(narrow.filter(F.col("side") == side)), side), [span])))
-    every = ranges[0]
-    for more in ranges[1:]:
+        compared = compared.unionByName(narrow.drop("n"))
+    every = _gathered(_sorted_out(_shown(with_text(compared))))
+    for more in ranges:
         every = every.unionByName(more)
     ranges = scratch.save(every.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
     scratch.drop("around", "split", "whole-firsts", "whole-again", "narrow-firsts", "narrow-again")
