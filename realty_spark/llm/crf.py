@@ -168,46 +168,66 @@ class LineField:
         if len({label for _, label in texts}) < 2:
             field.unary[0, :, CONTENT] = 1  # nothing to tell apart: all is content
             return field
-        texts.sort(key=lambda x: -len(x[0]))
-        n, length = len(texts), len(texts[0][0])
-        alive = np.array([sum(len(b) > t for b, _ in texts) for t in range(length)])  # the first so many have a line t
-        at = np.concatenate([[0], np.cumsum(alive)])
-        bins = np.concatenate([np.stack([texts[i][0][t] for i in range(alive[t])]) for t in range(length)])
-        labels = np.concatenate([[texts[i][1] for i in range(alive[t])] for t in range(length)])
-        weight = {c: n / (2 * sum(x[1] == c for x in texts)) for c in (0, 1)}
-        by_line = np.array([weight[x[1]] / len(x[0]) for x in texts])  # texts count alike, whatever their length
-        line_weight = np.concatenate([by_line[: alive[t]] for t in range(length)])[:, None]
+        sample = _Sample(texts)
         params, m, v = np.concatenate([field.unary.ravel(), field.pair.ravel()]), 0.0, 0.0
-        cut = field.unary.size
-        logsum = lambda x: np.logaddexp(x[..., 0], x[..., 1])
+        ridges = np.concatenate([np.full(field.unary.size, ridge), np.full(4, pair_ridge)])
         for step in range(1, rounds + 1):
-            field = cls(params[:cut].reshape(field.unary.shape), params[cut:].reshape(2, 2))
-            score = field.scores(bins)
-            ahead, behind = score.copy(), np.zeros_like(score)
-            for t in range(1, length):
-                k = alive[t]
-                before = ahead[at[t - 1] : at[t - 1] + k]
-                ahead[at[t] : at[t + 1]] += logsum((before[:, :, None] + field.pair).swapaxes(1, 2))
-            for t in range(length - 2, -1, -1):
-                k = alive[t + 1]
-                after = behind[at[t + 1] : at[t + 2]] + score[at[t + 1] : at[t + 2]]
-                behind[at[t] : at[t] + k] = logsum(after[:, None, :] + field.pair)
-            marginal = ahead + behind
-            marginal = np.exp(marginal - logsum(marginal)[:, None])
-            gap = (marginal - (labels[:, None] == np.arange(2))) * line_weight / n
-            unary = np.stack([np.stack([np.bincount(bins[:, f], gap[:, c], BINS) for c in (0, 1)], 1) for f in range(len(FEATURES))])
-            pair = np.zeros((2, 2))
-            for t in range(1, length):
-                k = alive[t]
-                joint = ahead[at[t - 1] : at[t - 1] + k][:, :, None] + field.pair + (score + behind)[at[t] : at[t + 1]][:, None, :]
-                joint = np.exp(joint - np.logaddexp.reduce(joint.reshape(k, 4), 1)[:, None, None])
-                own = labels[at[t] : at[t + 1]]
-                joint[np.arange(k), own, own] -= 1
-                pair += (joint * by_line[:k, None, None]).sum(0) / n
-            gradient = np.concatenate([unary.ravel(), pair.ravel()]) + np.concatenate([np.full(cut, ridge), np.full(4, pair_ridge)]) * params
+            gradient = sample.objective(cls.of(params))[1] + ridges * params
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             params = params - rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        return cls(params[:cut].reshape(field.unary.shape), params[cut:].reshape(2, 2))
+        return cls.of(params)
+
+    @classmethod
+    def of(cls, params: np.ndarray) -> "LineField":
+        cut = len(FEATURES) * BINS * 2
+        return cls(params[:cut].reshape(len(FEATURES), BINS, 2), params[cut:].reshape(2, 2))
+
+
+def _logsum(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(x[..., 0], x[..., 1])
+
+
+class _Sample:
+    """Labelled texts line by line: first the first lines of all texts, the longest text first, then their second lines, and so on."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, int]]):
+        texts = sorted(texts, key=lambda x: -len(x[0]))
+        self.n, self.length = n, length = len(texts), len(texts[0][0])
+        self.alive = alive = np.array([sum(len(b) > t for b, _ in texts) for t in range(length)])  # the first so many have a line t
+        self.at = np.concatenate([[0], np.cumsum(alive)])
+        self.bins = np.concatenate([np.stack([texts[i][0][t] for i in range(alive[t])]) for t in range(length)])
+        self.labels = np.concatenate([[texts[i][1] for i in range(alive[t])] for t in range(length)])
+        weight = {c: n / (2 * max(1, sum(x[1] == c for x in texts))) for c in (0, 1)}
+        self.by_text = np.array([weight[x[1]] / len(x[0]) for x in texts])  # texts count alike, whatever their length
+        self.by_line = np.concatenate([self.by_text[: alive[t]] for t in range(length)])
+
+    def objective(self, field: LineField) -> tuple[float, np.ndarray]:
+        """(mean negative log likelihood, its gradient) by forward-backward."""
+        at, alive, length = self.at, self.alive, self.length
+        score = field.scores(self.bins)
+        ahead, behind = score.copy(), np.zeros_like(score)
+        for t in range(1, length):
+            before = ahead[at[t - 1] : at[t - 1] + alive[t]]
+            ahead[at[t] : at[t + 1]] += _logsum((before[:, :, None] + field.pair).swapaxes(1, 2))
+        for t in range(length - 2, -1, -1):
+            after = behind[at[t + 1] : at[t + 2]] + score[at[t + 1] : at[t + 2]]
+            behind[at[t] : at[t] + alive[t + 1]] = _logsum(after[:, None, :] + field.pair)
+        whole = _logsum(ahead + behind)  # of each line, that of its text
+        marginal = np.exp(ahead + behind - whole[:, None])
+        lines = np.arange(len(self.labels))
+        loss = (whole[: self.n] * self.by_text).sum() - (score[lines, self.labels] * self.by_line).sum()
+        gap = (marginal - (self.labels[:, None] == np.arange(2))) * self.by_line[:, None] / self.n
+        unary = np.stack([np.stack([np.bincount(self.bins[:, f], gap[:, c], BINS) for c in (0, 1)], 1) for f in range(len(FEATURES))])
+        pair = np.zeros((2, 2))
+        for t in range(1, length):
+            k = alive[t]
+            joint = ahead[at[t - 1] : at[t - 1] + k][:, :, None] + field.pair + (score + behind)[at[t] : at[t + 1]][:, None, :]
+            joint = np.exp(joint - np.logaddexp.reduce(joint.reshape(k, 4), 1)[:, None, None])
+            own = self.labels[at[t] : at[t + 1]]
+            joint[np.arange(k), own, own] -= 1
+            pair += (joint * self.by_text[:k, None, None]).sum(0) / self.n
+            loss -= (field.pair[own, own] * self.by_text[:k]).sum()
+        return loss / self.n, np.concatenate([unary.ravel(), pair.ravel()])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:

@@ -61,11 +61,33 @@ ALL = {
 }
 
 
+SAME, OTHER, NULL, EMPTY, WIDE, LONG = "same words here again and again", "other", None, "", EDGES[6][1], EDGES[7][1]
+#: What each operator tells of EDGES: rows as (doc_id, ...) in any order.
+TOLD = {
+    "exact": (["doc_id", "keep_id", "group_size", "kept"], [(1, None, 3, False)] * 2 + [(1, 1, 1, True), (None, None, 3, True), (None, None, 2, True), (2, None, 2, False), (3, 3, 1, True), (4, 4, 1, True)]),
+    "ppm": (["doc_id", "held_out", "n_tokens", "n_known"], [(1, False, 7, 7)] * 2 + [(1, False, 2, 2), (None, False, 7, 7), (None, False, 1, 1), (2, True, 1, 1), (3, False, 121, 121), (4, False, 2, 2)]),
+    "chunks": (["doc_id", "n_bytes", "text"], [(1, 31, SAME)] * 2 + [(1, 5, OTHER), (None, 31, SAME), (None, 0, None), (2, 0, ""), (3, 880, None), (4, 9000, None)]),
+    "crf": (["doc_id", "n_words", "base_failed", "kept"], [(1, 6, True, False)] * 2 + [(1, 1, True, False), (None, 6, True, False), (None, 0, True, False), (2, 0, True, False), (3, 120, True, False), (4, 1, True, False)]),
+    "suffixes": (["doc_id", "n_bytes", "n_removed", "n_spans"], [(1, 31, 0, 0)] * 2 + [(1, 5, 0, 0), (None, 31, 0, 0), (None, 0, 0, 0), (2, 0, 0, 0), (3, 880, 858, 1), (4, 9000, 8999, 1)]),
+    "bpe": (["doc_id", "decoded"], [(1, SAME.replace(" ", "</w> ") + "</w>")] * 2 + [(1, "other</w>"), (None, SAME.replace(" ", "</w> ") + "</w>"), (None, ""), (2, ""), (3, None), (4, None)]),
+    "licenses": (["path", "license", "origin"], [("s", None, "none")] * 8),
+    "minhash": (["doc_id", "n_shingles", "component_id", "kept"], [(1, 2, 1, True)] * 2 + [(1, 1, 1, True), (None, 2, 1, False), (None, 0, None, True), (2, 0, 2, True), (3, 3, 3, True), (4, 1, 4, True)]),
+    "langid": (["doc_id", "held_out", "lang_pred"], [(1, False, "en")] * 3 + [(None, False, "en"), (None, False, "und"), (2, False, "und"), (3, False, "en"), (4, False, "en")]),
+}
+
+
 @pytest.mark.parametrize("name", ALL)
 def test_edges(spark, name):
-    got = ALL[name](frame(spark, EDGES)).collect()
-    if name != "pack":
-        assert len(got) == len(EDGES)
+    rows = ALL[name](frame(spark, EDGES)).collect()
+    if name == "pack":  # every row is packed whole, with its end
+        by = collections.Counter()
+        for r in rows:
+            by[r.doc_id] += r.length
+        assert by[None] == 7 + 1 and by[2] == 1 and by[1] == 7 + 7 + 2
+    else:
+        columns, want = TOLD[name]
+        text = lambda r: tuple(None if c in ("text", "decoded") and r.doc_id in (3, 4) else r[c] for c in columns)
+        assert sorted(map(str, map(text, rows))) == sorted(map(str, want))
     assert ALL[name](frame(spark, EDGES).limit(0)).collect() == []
     assert len(ALL[name](frame(spark, [(7, None)])).collect()) == 1
 
@@ -346,6 +368,29 @@ def test_suffix_order_decides(monkeypatch):
     assert found(suffixes.HALVES) != want
 
 
+def test_field_gradient():
+    """Likelihood by all labellings of short texts, and the gradient by finite differences."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    texts = [(rng.integers(0, crf.BINS, (n, len(crf.FEATURES))).astype(np.uint8), int(y)) for n, y in ((1, 0), (4, 1), (3, 0), (2, 1), (4, 0))]
+    sample = crf._Sample(texts)
+    params = rng.normal(size=len(crf.FEATURES) * crf.BINS * 2 + 4) * 0.5
+    loss, gradient = sample.objective(crf.LineField.of(params))
+    field, want = crf.LineField.of(params), 0.0
+    for bins, y in texts:
+        s = field.scores(bins)
+        score = lambda z: sum(s[i, z[i]] for i in range(len(s))) + sum(field.pair[a, b] for a, b in zip(z, z[1:]))
+        every = math.log(sum(math.exp(score(z)) for z in itertools.product((0, 1), repeat=len(s))))
+        want += (every - score([y] * len(s))) * (5 / (2 * sum(x[1] == y for x in texts))) / len(s) / 5
+    assert loss == pytest.approx(want)
+    for k in [*rng.integers(0, len(params) - 4, 12), *range(len(params) - 4, len(params))]:
+        step = np.zeros(len(params))
+        step[k] = 1e-5
+        slope = (sample.objective(crf.LineField.of(params + step))[0] - sample.objective(crf.LineField.of(params - step))[0]) / 2e-5
+        assert gradient[k] == pytest.approx(slope, abs=1e-7)
+
+
 def test_linear_grouping():
     r = random.Random(4)
     for _ in range(500):
@@ -551,6 +596,59 @@ def test_language_models(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
 
 
+def kneser_ney(texts):
+    """Interpolated Kneser-Ney by dictionaries of strings; returns the probability of a character after the three before it."""
+    plain = lambda t: "   " + (" ".join(re.findall(r"[^\W\d_]+", t.lower())) + " ").lstrip()
+    counts = {4: collections.Counter(s[i - 3 : i + 1] for s in map(plain, texts) for i in range(3, len(s)))}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k):
+        once, twice = (sum(n == x for n in counts[k].values()) for x in (1, 2))
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    def probability(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 65536
+        after = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return probability(gram[1:])
+        d, total = discount(k), sum(after.values())
+        return max(counts[k][gram] - d, 0) / total + d * len(after) / total * probability(gram[1:])
+
+    return plain, probability
+
+
+def test_kneser_ney_is_brute_force():
+    learnt = {"xx": ["Abra kadabra, abra!", "barbar abra 12 kad"], "yy": ["über den Bach", "den den Über-bach"]}
+    model = langid.Identifier({k: langid.KneserNey.fit(t) for k, t in learnt.items()})
+    texts = ["abra den!! 3 Bach", "zzz", "kadabra " * 20, "a", "!?"]
+    for step in (langid.STEP, 5):
+        langid.STEP, kept = step, langid.STEP
+        entropy, square, n, letters = model.entropies(texts)
+        langid.STEP = kept
+        for j, lang in enumerate(sorted(learnt)):
+            plain, probability = kneser_ney(learnt[lang])
+            for i, t in enumerate(texts[:4]):
+                s = plain(t)
+                logs = [math.log10(probability(s[p - 3 : p + 1])) for p in range(3, len(s))]
+                assert n[i] == len(logs) and entropy[i, j] == pytest.approx(-sum(logs) / len(logs), rel=1e-5)
+                assert square[i, j] == pytest.approx(sum(x * x for x in logs) / len(logs), rel=1e-5)
+    assert letters.tolist() == [11, 3, 140, 1, 0]
+
+
+def test_mislabelled_texts_do_not_calibrate():
+    r = random.Random(3)
+    make = {"xx": lambda: " ".join("".join(r.choice(["ka", "mo", "ti"]) for _ in range(3)) for _ in range(20)), "yy": lambda: " ".join("".join(r.choice(["sch", "en", "ge"]) for _ in range(3)) for _ in range(20))}
+    models = {k: langid.KneserNey.fit([f() for _ in range(40)]) for k, f in make.items()}
+    clean, dirty = langid.Identifier(models), langid.Identifier(models)
+    checked = {k: [f() for _ in range(20)] for k, f in make.items()}
+    clean.calibrate(checked)
+    dirty.calibrate(checked | {"xx": [*checked["xx"], make["yy"]()]})
+    assert dirty.limit == clean.limit and dirty.predict(["lorem ipsum dolor sit amet " * 5])[2][0]
+
+
 def test_kneser_ney_sums_to_one():
     m = langid.KneserNey.fit(["abra kadabra", "barbar abra"])
     chars = np.arange(1, 1 << 16, dtype=np.uint64)
