@@ -7,7 +7,8 @@ N occurrences of D different bytes, a byte seen n times has n / (N + D) and the
 bytes already offered by the longer context are left out of N and D; last comes a uniform choice among bytes never seen.
 
 The trie is a table of (context, byte) with counts, spread over tasks by the last two bytes of the context, which keeps a
-context and its suffixes down to order 2 together; orders 1 and 0 are at most 256 x 256 numbers and go to all.
+context and its suffixes down to order 2 together; orders 1 and 0 are at most 256 x 256 numbers and go to all.  A suffix with a fixed share of
+the table is opened: it is spread by one byte more, again and again, and its own counts, at most 256, go to all.
 Frequent words and frequent (context, byte) pairs, those with a fixed share of all training tokens or bytes and so
 bounded in number, are looked up in tasks.  All other words are joined by shuffle; the other pairs of some texts go in one packed
 row for each bucket of keys to the task that has the costs of that bucket.
@@ -36,6 +37,8 @@ FREQUENT_WORDS = 250_000
 FREQUENT_PAIRS = 100_000
 #: The same for pairs whose contexts reach over words, which are spread more evenly.
 ACROSS_PAIRS = 4_000_000
+#: Suffixes of contexts that are opened have one in so many pairs, or in four for each partition if these are fewer, and LEAST_OPEN at least.
+MOST_OPEN, LEAST_OPEN = 4096, 1000
 #: Bytes that are read at once, and pairs that a task counts before it hands them on.
 PIECE, MOST_PAIRS = 1 << 20, 1 << 20
 END = b""
@@ -112,10 +115,40 @@ def blocks(texts: list[str | None], across: bool) -> Iterator[tuple[int, np.ndar
         yield read()
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, across: bool = False) -> np.ndarray:
+class Opened:
+    """Counts of the contexts that are spread over several tasks: by order, sorted (context, byte) keys with counts, and sorted contexts."""
+
+    def __init__(self, ones: np.ndarray):
+        self.ones = ones
+        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.contexts: dict[int, np.ndarray] = {}
+        self.sums: dict[int, np.ndarray] = {}  # by order: columns of totals, kinds, and counts that the order below leaves out
+
+    def add(self, order: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        sort = np.argsort(keys)
+        keys, counts = keys[sort], counts[sort]
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        below = self.counts(order - 1, keys & ((1 << 8 * order) - 1))
+        self.pairs[order], self.contexts[order] = (keys, counts), contexts
+        self.sums[order] = np.stack([np.bincount(of, x, len(contexts)) for x in (counts, counts > 0, np.where(counts > 0, below, 0))])
+
+    def counts(self, order: int, keys: np.ndarray) -> np.ndarray:
+        if order == 1:
+            return self.ones[keys >> 8, keys & 0xFF]
+        own, counts = self.pairs[order]
+        return counts[np.searchsorted(own, keys)]
+
+    def holds(self, order: int, contexts: np.ndarray) -> np.ndarray:
+        own = self.contexts.get(order, np.empty(0, np.int64))
+        at = np.minimum(np.searchsorted(own, contexts), max(len(own) - 1, 0))
+        return own[at] == contexts if len(own) else np.zeros(len(contexts), bool)
+
+
+def code_lengths(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, across: bool = False, opened: Opened | None = None) -> np.ndarray:
     """log10 probability of each key's byte in its context.
 
-    ``keys`` have with a context all others that share its last two bytes; ``ones[a, b]``: count of byte b after byte a, over all.
+    ``keys`` have with a context all others that share its last two bytes, or, where ``opened`` holds these, one byte more, and so on;
+    ``ones[a, b]``: count of byte b after byte a, over all.
     """
     symbol, context = keys & 0xFF, keys >> 8
     length = np.full(len(keys), ORDER)
@@ -131,6 +164,14 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, across:
     for k in range(2, ORDER + 1):
         n[k], total[k], kinds[k], left_out[k] = (zeros.copy() for _ in range(4))
         rows = np.flatnonzero(length >= k)
+        if opened and len(rows):
+            own = keys[rows] & ((1 << 8 * (k + 1)) - 1)
+            known = opened.holds(k, own >> 8)
+            if known.any():
+                own, told = own[known], rows[known]
+                n[k][told] = opened.counts(k, own)
+                total[k][told], kinds[k][told], left_out[k][told] = opened.sums[k][:, np.searchsorted(opened.contexts[k], own >> 8)]
+                rows = rows[~known]
         if not len(rows):
             continue
         own = keys[rows] & ((1 << 8 * (k + 1)) - 1)
@@ -180,7 +221,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of n."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     return keys[first], np.add.reduceat(n[order], first) if len(first) else n
@@ -216,16 +257,42 @@ def _pairs(docs: DataFrame, across: bool) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _costed(pairs: DataFrame, ones: np.ndarray, across: bool) -> DataFrame:
+def _opened(pairs: DataFrame, across: bool, scratch: Scratch) -> Opened:
+    """Orders 1 and 0, and the suffixes that are opened: the longer a suffix, the fewer pairs are looked at."""
+    low = lambda n: F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))
+    summed = lambda df, n: df.groupBy(low(n).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    by_two = scratch.save(summed(pairs, 3), "suffixes-2")  # 2 ** 24 rows at most
+    ones = np.zeros((256, 256), np.int64)
+    for r in by_two.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n").alias("n")).collect():  # 65,536 at most
+        ones[r["k"] >> 8, r["k"] & 0xFF] = r["n"]
+    out, tables = Opened(ones), by_two
+    limit = max(LEAST_OPEN, (by_two.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]) // min(4 * partitions(pairs.sparkSession), MOST_OPEN))
+    for order in range(2, ORDER if across else 2):
+        suffix = F.shiftright("k", 8)
+        hot = [r["s"] for r in tables.groupBy(suffix.alias("s")).agg(F.sum("rows").alias("rows")).filter(F.col("rows") > limit).select("s").collect()]  # 4096 at most
+        if not hot:
+            break
+        got = tables.filter(suffix.isin(hot)).select("k", "n").toPandas()  # 256 for each at most
+        out.add(order, got["k"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+        tables = scratch.save(summed(pairs.filter(F.shiftright(low(order + 1), 8).isin(hot)), order + 2), f"suffixes-{order + 1}")
+    scratch.drop(*(f"suffixes-{order}" for order in range(2, ORDER + 1)))
+    return out
+
+
+def _costed(pairs: DataFrame, opened: Opened, across: bool) -> DataFrame:
     """key, n, cost of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
             keys, n = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 1))
-            yield pa.record_batch([pa.array(keys), pa.array(n), pa.array(code_lengths(keys, n, ones, across))], ["key", "n", "cost"])
+            yield pa.record_batch([pa.array(keys), pa.array(n), pa.array(code_lengths(keys, n, opened.ones, across, opened))], ["key", "n", "cost"])
 
-    suffix = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    context = F.shiftright("key", 8)
+    last = lambda k: context.bitwiseAND(F.lit((1 << 8 * k) - 1))
+    suffix = last(2)
+    for order, held in sorted(opened.contexts.items()):
+        suffix = F.when(last(order).isin(held.tolist()), last(order + 1) + F.lit(order << 56)).otherwise(suffix)
     return pairs.repartition(partitions(pairs.sparkSession), suffix).mapInArrow(run, "key long, n long, cost double")
 
 
@@ -403,10 +470,9 @@ def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_co
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 
     pairs = scratch.save(_pairs(rows, across), "pairs")
-    ones = np.zeros((256, 256), np.int64)
-    for r in pairs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n").alias("n")).collect():  # 65,536 at most
-        ones[r["k"] >> 8, r["k"] & 0xFF] = r["n"]
-    costs = scratch.save(_costed(pairs, ones, across), "costs")
+    opened = _opened(pairs, across, scratch)
+    ones = opened.ones
+    costs = scratch.save(_costed(pairs, opened, across), "costs")
     scratch.drop("pairs")
     often = F.col("n") > int(ones.sum()) // (ACROSS_PAIRS if across else FREQUENT_PAIRS)
     hot = costs.filter(often).select("key", "cost").toArrow().sort_by("key")

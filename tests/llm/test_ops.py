@@ -173,8 +173,11 @@ def test_ppm(spark, monkeypatch):
             assert r.score == pytest.approx(sum(cost(x, y) for w in ws for x, y in pairs(w)))
 
 
-@pytest.mark.parametrize("frequent, piece", [(4_000_000, 1 << 20), (50, 64)])
-def test_ppm_reads_over_words(spark, monkeypatch, frequent, piece):
+@pytest.mark.parametrize("frequent, piece, least_open", [(4_000_000, 1 << 20, 1000), (50, 64, 20)])
+def test_ppm_reads_over_words(spark, monkeypatch, frequent, piece, least_open):
+    monkeypatch.setattr(ppm, "LEAST_OPEN", least_open)
+    monkeypatch.setattr(ppm, "MOST_OPEN", 4096 if least_open > 20 else 400)
+    monkeypatch.setattr(ppm, "partitions", lambda spark: 100)
     monkeypatch.setattr(ppm, "ACROSS_PAIRS", frequent)
     monkeypatch.setattr(ppm, "PIECE", piece)
     rows = [*corpus(), (300, "the rain on the hill\nfalls on"), (301, "on hill falls rain the\non the"), (302, "the rain on the hill falls on")]
