@@ -959,8 +959,8 @@ def extract_listings(spark, d):
 
 @query()
 def extract_pages(spark, d):
-    """The crawled pages, read by their own shape."""
-    return PG.listings(_table(spark, d, "pages"))
+    """Crawled pages, read by their own shape: an article's paragraphs as cards, with their bold words."""
+    return PG.cards(_table(spark, d, "pages"), "article", "p", ("b",)).select("page_id", "place", "b", "all_text")
 
 
 @query(f"""SELECT city_id AS page_id, CASE WHEN city_id % 9 <> 8 AND city_id % 4 <> 1 THEN house_price_avg END AS house_price_avg, CASE WHEN city_id % 9 <> 8 AND city_id % 5 <> 2 THEN CAST(1000 + city_id * 13 AS INT) END AS apartment_price_avg FROM {duck('cities')}""")
@@ -993,14 +993,14 @@ joined AS (SELECT placed.*, z.dpe_number, z.dpe_date, z.dpe_energy_class, z.dpe_
 ).removeprefix("WITH ")
 
 
-def _enrich(spark, d):
+def _enrich(spark, d, similarity="levenshtein"):
     cities = view(spark, d, "cities").withColumn("name", F.concat(F.lit("SAINT E"), F.col("name")))
     raw = view(spark, d, "raw_sales").withColumn("address_id", F.col("row_id"))
     loaded = view(spark, d, "sales").filter("address_id % 3 = 0").select("source_url", F.col("address_id").cast("string").alias("address_key"))
     named = C.resolve(D.new_only(N.normalize(raw), loaded), cities.select("city_id", "name", "postal_code", "insee_code"))
     asked = named.select(T.query_key(F.col("address_raw"), F.col("city_name"), F.col("postal_code")).alias("q"), F.col("insee_code").alias("code")).distinct()
     inputs = P.Inputs(cities, E.certificate_pool(view(spark, d, "certificates")), spark.sql(_ANSWERS, named=asked), view(spark, d, "growth"), view(spark, d, "market"), loaded)
-    return P.enrich(spark, raw, inputs, _as_of(), similarity="levenshtein")
+    return P.enrich(spark, raw, inputs, _as_of(), similarity=similarity)
 
 
 @query(_ENRICHED + " SELECT row_id, city_id, dpe_number, dpe_energy_class, estimated_price, estimation_confidence, address_key, 'inserted' AS action FROM done")
@@ -1036,12 +1036,7 @@ def enrichment_cities(spark, d):
 
 @query()
 def enrichment_ratio(spark, d):
-    cities = view(spark, d, "cities").withColumn("name", F.concat(F.lit("SAINT E"), F.col("name")))
-    raw = view(spark, d, "raw_sales").withColumn("address_id", F.col("row_id"))
-    named = C.resolve(N.normalize(raw), cities.select("city_id", "name", "postal_code", "insee_code"))
-    asked = named.select(T.query_key(F.col("address_raw"), F.col("city_name"), F.col("postal_code")).alias("q"), F.col("insee_code").alias("code")).distinct()
-    inputs = P.Inputs(cities, E.certificate_pool(view(spark, d, "certificates")), spark.sql(_ANSWERS, named=asked), view(spark, d, "growth"))
-    return P.run_enrichment(spark, raw, inputs, _as_of()).select("row_id", "city_id", "dpe_number", "estimated_price", "address_key", "action")
+    return _enrich(spark, d, "ratio").rows.select("row_id", "city_id", "dpe_number", "estimated_price", "address_key", "action")
 
 
 _DUE = f"(SELECT client_id, addresses_per_report FROM {duck('clients')} WHERE status = 'active' AND send_day = 1)"

@@ -1,27 +1,7 @@
-"""Schemas of the engine's tables; codes are strings, never inferred."""
+"""The schema of raw sales: text throughout, codes and numbers included; nothing is inferred."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType([T.StructField(*_field(x)) for x in text.replace("\n", " ").split(",")])
-
-
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampType()}
-
-
-def _field(text: str) -> tuple[str, T.DataType]:
-    name, kind = text.split()
-    return name, _TYPES[kind]
-
-
-RAW_SALE = _schema("address string, city string, price string, surface string, rooms string, sale_date string, property_type string, property_url string")
-NORM_SALE = _schema("address_raw string, city_name string, price int, surface int, rooms int, sale_date date, property_type string, source_url string")
-RESOLVED = T.StructType([*NORM_SALE, *_schema("city_id string, postal_code string, insee_code string, department string")])
-GEOCODED = T.StructType([*RESOLVED, *_schema("latitude double, longitude double, address_normalized string, geocoding_score double")])
-DPE_ENRICHED = T.StructType([*GEOCODED, *_schema("dpe_number string, dpe_date date, dpe_energy_class string, dpe_ges_class string, construction_year int, dpe_match_confidence int")])
-ESTIMATED = T.StructType([*DPE_ENRICHED, *_schema("estimated_price long, price_evolution_rate double, estimation_confidence double")])
-CITY = _schema("city_id string, name string, postal_code string, insee_code string, department string, region string, last_scraped timestamp, last_property_scraped timestamp, house_price_avg int, apartment_price_avg int")
-JOB = _schema("job_id string, client_id string, status string, attempt_count int, last_attempt timestamp, next_attempt timestamp, error_message string, created_at timestamp, updated_at timestamp")
+RAW_SALE = T.StructType([T.StructField(c, T.StringType()) for c in ("address", "city", "price", "surface", "rooms", "sale_date", "property_type", "property_url")])
