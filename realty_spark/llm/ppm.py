@@ -2,8 +2,8 @@
 
 A text is read byte by byte, A-Z lower-cased and white space as it stands, from START to STOP.  The context of a byte is that of the
 ORDER bytes before it, whatever they are (``across``); without ``across`` a text is `` w1 w2 ... wn \\n`` and contexts reach back
-to the last space only.  Estimation is by method C with symbol exclusion: in a context with
-N occurrences of D different bytes, a byte seen n times has n / (N + D) and the escape to the next shorter context D / (N + D), where
+to the last space only.  Estimation is by method D with symbol exclusion: in a context with
+N occurrences of D different bytes, a byte seen n times has (2 n - 1) / 2 N and the escape to the next shorter context D / 2 N, where
 bytes already offered by the longer context are left out of N and D; last comes a uniform choice among bytes never seen.
 
 The trie is a table of (context, byte) with counts, spread over tasks by the last two bytes of the context, which keeps a
@@ -16,13 +16,13 @@ row for each bucket of keys to the task that has the costs of that bucket.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ ACROSS_PAIRS = 4_000_000
 #: Suffixes of contexts that are opened have one in so many pairs, or in four for each partition if these are fewer, and LEAST_OPEN at least.
 MOST_OPEN, LEAST_OPEN = 4096, 1000
 #: Bytes that are read at once, and pairs that a task counts before it hands them on.
-PIECE, MOST_PAIRS = 1 << 20, 1 << 20
+PIECE, MOST_PAIRS = 1 << 20, 5 << 19
 END = b""
 #: Of bytes that UTF-8 never has.
 START, STOP = b"\xff" * ORDER, b"\xfe"
@@ -187,10 +187,10 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, across:
     for k in range(ORDER, -1, -1):
         rest, new = total[k] - offered, kinds[k] - offered_kinds
         hit = open_ & (n[k] > 0)
-        out[hit] += np.log10(n[k][hit] / (rest + new)[hit])
+        out[hit] += np.log10((2 * n[k][hit] - 1) / (2 * rest[hit]))
         open_ &= ~hit
         escape = open_ & (rest > 0)
-        out[escape] += np.log10(new[escape] / (rest + new)[escape])
+        out[escape] += np.log10(new[escape] / (2 * rest[escape]))
         offered, offered_kinds = left_out[k], kinds[k]
     out[open_] -= np.log10(256 - kinds[0][open_])
     return out
@@ -310,7 +310,7 @@ def _packed(keys: np.ndarray, own: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(12, -1)
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(12, -1)
     keys, times = np.zeros((planes.shape[1], 8), np.uint8), np.empty((planes.shape[1], 4), np.uint8)
     keys[:, :7], times[:] = planes[:7].T, planes[8:].T
     return keys.view("<i8").ravel(), planes[7], times.view("<u4").ravel()
@@ -327,7 +327,7 @@ def _read(docs: DataFrame, words: dict[bytes, int], base: np.ndarray, pairs: np.
     )
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def sums(texts: list[str | None], row: int) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+    def sums(texts: list[str | None], row: int, squeeze: zstandard.ZstdCompressor) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
         score, rest = np.zeros(len(texts)), []
         for first, own, keys in blocks(texts, across):
             both, times = np.unique(keys.astype(np.uint64) << np.uint64(8) | own.astype(np.uint64), return_counts=True)
@@ -346,10 +346,11 @@ def _read(docs: DataFrame, words: dict[bytes, int], base: np.ndarray, pairs: np.
             keys, own, times = keys[which[rare]], own[rare], times[rare]
             planes = _packed(keys[order], own[order], times[order])
             ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
-            rest += [(k, row + first, zlib.compress(planes[:, a:b].tobytes(), 1)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+            rest += [(k, row + first, squeeze.compress(planes[:, a:b].tobytes())) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
         return score, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         value = np.append(base, 0.0)
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
@@ -367,7 +368,7 @@ def _read(docs: DataFrame, words: dict[bytes, int], base: np.ndarray, pairs: np.
                     others += rest.keys()
                     counts += rest.values()
                     at.append(len(others))
-                score, packed = sums(texts, row)
+                score, packed = sums(texts, row, squeeze)
                 offsets = pa.array(at, pa.int32())
                 n = len(texts)
                 yield pa.record_batch(
@@ -489,7 +490,7 @@ def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_co
     zero = F.lit(0)
     rare = texts.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
     of_words = (
-        rare.join(words, "word")
+        rare.join(words.hint("shuffle_hash"), "word")  # a task holds its share of the words, each once, rather than sorting their occurrences
         .groupBy("row")
         .agg(F.sum(F.col("times") * base).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
         .withColumn("more", F.lit(0.0))

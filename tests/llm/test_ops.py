@@ -160,9 +160,9 @@ def test_ppm(spark, monkeypatch):
             for k in range(len(ctx), -1, -1):
                 own = {x: n for x, n in trie.get(ctx[len(ctx) - k :], {}).items() if x not in left_out}
                 if own and s in own:
-                    return out + math.log10(own[s] / (sum(own.values()) + len(own)))
+                    return out + math.log10((2 * own[s] - 1) / (2 * sum(own.values())))
                 if own:
-                    out += math.log10(len(own) / (sum(own.values()) + len(own)))
+                    out += math.log10(len(own) / (2 * sum(own.values())))
                     left_out |= set(own)
             return out - math.log10(256 - len(left_out))
 
@@ -195,9 +195,9 @@ def test_ppm_reads_over_words(spark, monkeypatch, frequent, piece, least_open):
         for k in range(len(ctx), -1, -1):
             own = {x: n for x, n in trie.get(ctx[len(ctx) - k :], {}).items() if x not in left_out}
             if own and s in own:
-                return out + math.log10(own[s] / (sum(own.values()) + len(own)))
+                return out + math.log10((2 * own[s] - 1) / (2 * sum(own.values())))
             if own:
-                out += math.log10(len(own) / (sum(own.values()) + len(own)))
+                out += math.log10(len(own) / (2 * sum(own.values())))
                 left_out |= set(own)
         return out - math.log10(256 - len(left_out))
 
