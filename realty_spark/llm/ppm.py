@@ -40,7 +40,9 @@ ACROSS_PAIRS = 4_000_000
 #: Suffixes of contexts that are opened have one in so many pairs, or in four for each partition if these are fewer, and LEAST_OPEN at least.
 MOST_OPEN, LEAST_OPEN = 4096, 1000
 #: Bytes that are read at once, and pairs that a task counts before it hands them on.
-PIECE, MOST_PAIRS = 1 << 20, 5 << 19
+PIECE, MOST_PAIRS = 1 << 20, 3 << 19
+#: Blocks of 256 texts whose sums a task holds.
+MOST_BLOCKS = 4096
 END = b""
 #: Of bytes that UTF-8 never has.
 START, STOP = b"\xff" * ORDER, b"\xfe"
@@ -224,34 +226,35 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+    return keys[first], np.add.reduceat(n[order], first).astype(np.int32) if len(first) else n
 
 
 def _pairs(docs: DataFrame, across: bool) -> DataFrame:
     """key, n of all (context, byte) pairs of (text, held_out), with those that no training text has at 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.int64)
-        got, size = [(none, none)], 0
+        none = np.empty(0, np.int64), np.empty(0, np.int32)
+        got, size = [none], 0
 
         def tables() -> Iterator[pa.RecordBatch]:
             own, n = _added(*map(np.concatenate, zip(*got)))
             for a in range(0, len(own), 1 << 17):
-                yield pa.record_batch([pa.array(x[a : a + (1 << 17)]) for x in (own, n)], ["key", "n"])
+                yield pa.record_batch([pa.array(x[a : a + (1 << 17)].astype(np.int64)) for x in (own, n)], ["key", "n"])
 
         for b in (part for whole in batches for part in slices(whole, 0)):
             held = np.array(b.column(1).to_pylist(), bool)
             for first, own, keys in blocks(b.column(0).to_pylist(), across):
                 learnt = ~held[first + own]
                 others = np.unique(keys[~learnt])
-                got += [np.unique(keys[learnt], return_counts=True), (others, np.zeros(len(others), np.int64))]
+                own, n = np.unique(keys[learnt], return_counts=True)
+                got += [(own, n.astype(np.int32)), (others, np.zeros(len(others), np.int32))]
                 size += len(got[-2][0]) + len(others)
                 if size > 2 * MOST_PAIRS:
                     got = [_added(*map(np.concatenate, zip(*got)))]
                     size = len(got[0][0])
                     if size > MOST_PAIRS:
                         yield from tables()
-                        got, size = [(none, none)], 0
+                        got, size = [none], 0
         yield from tables()
 
     return docs.select("text", "held_out").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -420,13 +423,22 @@ def _cost_rows(costs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _pair_sums(pairs: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
-    """row, more: the costs of packed pairs, added up for each row in each task."""
+    """row, more: the costs of packed pairs, added up for each row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task adds up those of its buckets and hands them on as one row for each block of 256 texts, with the sums of the texts that it has seen.
+    """
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, table, keys, cost = None, [], None, None
-        rows, sums, size = [], [], 0
-        for b in chain(batches, [None]):
-            for k, first, blob in zip(*(b.column(c).to_pylist() for c in range(3))) if b is not None else ():
+        sums: dict[int, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            seen = [np.flatnonzero(x) for x in sums.values()]
+            blobs = [at.astype(np.uint8).tobytes() + x[at].tobytes() for at, x in zip(seen, sums.values())]
+            return pa.record_batch([pa.array(list(sums), pa.int64()), pa.array(blobs, pa.binary())], ["first", "sums"])
+
+        for b in batches:
+            for k, first, blob in zip(*(b.column(c).to_pylist() for c in range(3))):
                 if k != bucket:
                     bucket, table, keys = k, [], None
                 if first < 0:
@@ -438,21 +450,35 @@ def _pair_sums(pairs: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
                     keys, cost = keys[order], cost[order].view(np.float64)
                     table = []
                 own_keys, own, times = _unpacked(blob)
-                part = np.bincount(own, cost[np.searchsorted(keys, own_keys)] * times)
-                which = np.flatnonzero(np.bincount(own))
-                rows.append(first + which)
-                sums.append(part[which])
-                size += len(which)
-            if size > 1 << 20 or b is None and size:
-                got, which = np.unique(np.concatenate(rows), return_inverse=True)
-                rows, sums = [got], [np.bincount(which, np.concatenate(sums))]
-                size = len(got)
-                if size > 1 << 19 or b is None:
-                    yield pa.record_batch([pa.array(rows[0]), pa.array(sums[0])], ["row", "more"])
-                    rows, sums, size = [], [], 0
-
+                if first not in sums and len(sums) >= MOST_BLOCKS:
+                    yield told()
+                    sums.clear()
+                held = sums.setdefault(first, np.zeros(256))
+                held += np.bincount(own, cost[np.searchsorted(keys, own_keys)] * times, 256)
+        yield told()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(256)
+
+        def told() -> pa.RecordBatch:
+            at = np.flatnonzero(held)
+            return pa.record_batch([pa.array(last + at), pa.array(held[at])], ["row", "more"])
+
+        for b in batches:
+            for first, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if first != last:
+                    if last is not None:
+                        yield told()
+                    last, held = first, np.zeros(256)
+                n = len(blob) // 9
+                held[np.frombuffer(blob, np.uint8, n)] += np.frombuffer(blob, np.float64, n, n)
+        if last is not None:
+            yield told()
+
+    spark = pairs.sparkSession
     both = _cost_rows(costs, buckets).unionByName(pairs.select("bucket", "row", "pairs"))
-    return both.repartition(partitions(pairs.sparkSession), "bucket").sortWithinPartitions("bucket", "row").mapInArrow(run, "row long, more double")
+    found = both.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "row").mapInArrow(look_up, "first long, sums binary")
+    return found.repartition(partitions(spark), "first").sortWithinPartitions("first").mapInArrow(add_up, "row long, more double")
 
 
 def score_texts(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", across: bool = False) -> DataFrame:
