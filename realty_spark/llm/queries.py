@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from realty_spark.llm import crf, licenses
+from realty_spark.llm import crf, licenses, manifest, oracles, urls
 from realty_spark.llm.bpe import encode_decode
 from realty_spark.llm.chunks import substring_dedup
 from realty_spark.llm.exact_dedup import exact_dedup
@@ -17,6 +17,7 @@ from realty_spark.llm.langid import languages
 from realty_spark.llm.minhash import near_duplicates
 from realty_spark.llm.packing import mixture, pack
 from realty_spark.llm.ppm import score_texts
+from realty_spark.llm.spelling import spelling_variants
 from realty_spark.llm.suffixes import suffix_dedup
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -91,6 +92,39 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars"]
+    leaf = lambda text: manifest.leaf_digest(*map(F.col, fields), text)
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(altered & F.contains("text", F.lit("\n")), leaf(F.replace("text", F.lit("\n"), F.lit("")))).alias("tampered")
+    made = manifest.manifest(docs, leaf(F.col("text")), F.col("source"), F.col("doc_id"), [F.col("doc_id"), tampered])
+    root = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    made = made.select("doc_id", "leaf", "subroot", "root", manifest.hashed(manifest.siblings(F.col("proof"))).alias("proof_sha256"), root.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: What is blocked and allowed by host and path, and by the patterns of filter lists: hosts of advertisements and counters, pages that repeat
+#: others or hold no text, files that are no pages, sessions; with exceptions.
+URL_RULES = [
+    *(urls.place_rule(name, verdict) for name, verdict in [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]),
+    *map(
+        urls.pattern_rule,
+        [
+            "||ads-track.", "||ads.", "||adserver.", "||doubleclick.", "||stats.", "||tracker.", "||counter.", "||pixel.", "/wp-login.php", "/wp-admin/", "/cgi-bin/", "/cart/", "/checkout/", "/login^", "/signup^",
+            "/print/", "/feed/", ".zip|", ".exe|", ".jpg|", ".png|", ".pdf|", "^sessionid=", "^phpsessid=", "^replytocom=", "^utm_source=feed^", "^ref=x^", "||m.*^utm_medium=", "@@||blog.*/en/", "@@/robots.txt|",
+        ],
+    ),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -104,6 +138,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_minhash": op9_minhash,
         "op10_langid": op10_langid,
+        "op11_manifest": op11_manifest,
+        "op12_url_filter": op12_url_filter,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -179,4 +216,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (norm)
 """,
     "op8_license_scan": license_sql(),
+    "op11_manifest": oracles.manifest_sql(),
+    "op12_url_filter": oracles.url_sql(URL_RULES),
+    "op13_spelling": oracles.spelling_sql(),
 }

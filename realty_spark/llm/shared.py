@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "realty-spark"
-_OPEN: list[str] = []
+#: The list that calls within ``opened`` add their tables to.
+_OPENED: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("opened", default=None)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, _DEFAULT_BATCH, _TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
@@ -42,7 +46,9 @@ class Scratch:
         tune(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{_PREFIX}/{name}-{uuid.uuid4().hex}"
-        _OPEN.append(self.root)
+        opened = _OPENED.get()
+        if opened is not None:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -63,18 +69,28 @@ class Scratch:
         for name in names:
             _delete(self.spark, self.path(name))
 
+    def close(self) -> None:
+        """Remove all its tables."""
+        _delete(self.spark, self.root)
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def clean(spark: SparkSession, *but: Scratch) -> None:
-    """Delete the tables of all operators called so far, whose results have been used, but for those of ``but``."""
-    kept = {s.root for s in but}
-    for root in [r for r in _OPEN if r not in kept]:
-        _delete(spark, root)
-        _OPEN.remove(root)
+@contextlib.contextmanager
+def opened() -> Iterator[list[Scratch]]:
+    """The tables that operators called in this block make, for whoever calls them to close once their results have been used.
+
+    Blocks nest, and each lists its own calls alone; tables of other calls stay, as their results read them.
+    """
+    mine: list[Scratch] = []
+    token = _OPENED.set(mine)
+    try:
+        yield mine
+    finally:
+        _OPENED.reset(token)
 
 
 def fresh(name: str, columns: list[str]) -> str:
