@@ -15,7 +15,7 @@ from realty_spark.llm.exact_dedup import exact_dedup, normalized
 from realty_spark.llm.minhash import near_duplicates
 from realty_spark.llm.packing import pack
 from realty_spark.llm.queries import VOCABULARY, documents
-from realty_spark.llm.shared import Scratch, clean, fresh
+from realty_spark.llm.shared import Scratch, fresh, opened
 
 
 def _only(docs: DataFrame, decided: DataFrame, key: Column, name: str) -> tuple[DataFrame, list[str]]:
@@ -92,8 +92,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with opened() as tables:
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         if k:
             scratch.drop(STAGES[k - 1][0])
-        clean(spark, scratch)
+        for table in tables:
+            table.close()
     return docs
