@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from realty_spark.functions import geo as G
 from realty_spark.functions import numbers as N
 from realty_spark.functions import text as T
+from realty_spark.functions.ratio import ratio
 from realty_spark.operators.dedup import first_by
+from realty_spark.operators.skew import HOT_ROWS, skew_join
+
+#: Degrees of a cell in which sales and certificates meet, about 300 m of latitude: a whole number of them goes around the globe.
+CELL = 360 / 2**17
 
 
 def geocode(sales: DataFrame, answers: DataFrame) -> DataFrame:
@@ -106,15 +109,6 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2 * both / (F.length(a) + F.length(b)))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity."""
-
-    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(xs, ys)], dtype="float64")
-
-    return F.pandas_udf(run, "double")(a, b)
-
-
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
@@ -122,7 +116,7 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 def similar(pairs: DataFrame, a: str, b: str, measure: str, least: float) -> DataFrame:
     """``pairs`` with ``similarity`` of the texts in columns ``a`` and ``b``; those under ``least`` go.
 
-    The ratio needs Python: it is reckoned once for each two texts, and only where lengths and letters allow ``least``.
+    The ratio is reckoned once for each two texts, and only where lengths and letters allow ``least``.
     """
     if measure != "ratio":
         return pairs.withColumn("similarity", F.round(levenshtein_similarity(F.col(a), F.col(b)), 6)).filter(F.col("similarity") >= least)
@@ -148,49 +142,80 @@ def _locations(insee: Column, postal: Column, city: Column, fallback: bool) -> C
     return F.array_compact(keys)
 
 
+def _cells(lat: Column, lon: Column, metres: float) -> Column:
+    """Array of (cy, cx): the cells within ``metres`` of a point; columns go around the globe and are one near the poles."""
+    up = metres / 1000 / G.KM_PER_LAT * 1.1
+    wide = up * G.KM_PER_LAT / (G.KM_PER_LON * F.greatest(F.cos(F.radians(lat)), F.lit(0.01)))
+    at = lambda x: F.floor(x / CELL)
+    rows, columns = F.sequence(at(lat - up), at(lat + up)), F.sequence(at(lon - wide), at(lon + wide))
+    columns = F.when(F.abs(lat) > 89 + up, F.array(F.lit(-1).cast("long"))).when(F.abs(lat) > 89 - up, F.array_append(_around(columns), F.lit(-1).cast("long"))).otherwise(_around(columns))
+    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
+
+
+def _around(columns: Column) -> Column:
+    return F.transform(columns, lambda x: F.pmod(x, F.lit(2**17)))
+
+
 def link_certificates(
-    sales: DataFrame, certificates: DataFrame, similarity: str = "ratio", metres: float = 20.0, least: float = 0.7, fallback: bool = False, strict: bool = True, least_loose: float = 0.85
+    sales: DataFrame, certificates: DataFrame, similarity: str = "ratio", metres: float = 20.0, least: float = 0.7, fallback: bool = False, strict: bool = True, least_loose: float = 0.85,
+    most: int = HOT_ROWS,
 ) -> DataFrame:
     """The nearest certificate of each sale at its location: street numbers at most 2 apart, at most ``metres`` away, addresses alike.
 
-    Sales: address_id, insee_code, address_raw, latitude, longitude.  The number window makes an equal join on (location, number); distance
-    goes before text, which only a few pairs reach.  Equal distances go to the least number, then the least certificate id.
-    ``fallback``: postcodes, and city names with postcodes, are locations as well.  Without ``strict`` pairs of which one has no
-    number count too, from ``least_loose`` on; they meet by location and rows of latitude as high as ``metres``.
+    Sales: address_id, insee_code, address_raw, latitude, longitude.  Sales of one place (locations, number, text, point) are linked once, and
+    certificates alike in all but their ids count once, as the first by number and id.  Places meet certificates by an equal join on (location,
+    number, cell of the grid), a large city being as many keys as it has cells; keys with over ``most`` certificates are dealt in shares.
+    Distance goes before text, which only a few pairs reach.  Equal distances go to the least number, then the least certificate id.
+    ``fallback``: postcodes, and city names with postcodes, are locations as well.  Without
+    ``strict`` pairs of which one has no number count too, from ``least_loose`` on.
     """
     none = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     s_addr, c_addr = T.parse_address(F.col("address_raw")), T.parse_address(F.col("adresse"))
+    known = ["s_locs", "s_number", "s_text", "latitude", "longitude"]
     left = sales.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(
-        "address_id", _locations(F.col("insee_code"), none(sales, "postal_code"), none(sales, "city_name"), fallback).alias("locs"), s_addr["number"].alias("s_number"),
+        "address_id", _locations(F.col("insee_code"), none(sales, "postal_code"), none(sales, "city_name"), fallback).alias("s_locs"), s_addr["number"].alias("s_number"),
         T.match_form(F.col("address_raw")).alias("s_text"), "latitude", "longitude",
     )
-    left = left.withColumn("num", T.street_digits(F.col("s_number"))).withColumn("loc", F.explode("locs")).drop("locs")
+    left = left.withColumn("place", F.md5(F.to_json(F.struct(*known))))
+    places = left.groupBy("place", *known).agg(F.count("*").alias("__n")).drop("__n").withColumn("num", T.street_digits(F.col("s_number")))
     point = T.geopoint(F.col("geopoint"))
     right = certificates.select(
-        F.col("certificate_id"), "dpe_number", _locations(F.col("code_insee"), none(certificates, "code_postal"), none(certificates, "commune"), fallback).alias("locs"),
+        F.col("certificate_id"), "dpe_number", _locations(F.col("code_insee"), none(certificates, "code_postal"), none(certificates, "commune"), fallback).alias("c_locs"),
         c_addr["number"].alias("c_number"), T.match_form(F.col("adresse")).alias("c_text"), point["lat"].alias("c_lat"), point["lon"].alias("c_lon"), F.col("etiquette_dpe").alias("dpe_energy_class"),
         _optional(certificates, "etiquette_ges").alias("dpe_ges_class"), _optional(certificates, "date_reception", "date_etablissement", kind="date").alias("dpe_date"), construction_year(certificates).alias("construction_year"),
-    )
-    right = right.filter("c_lat IS NOT NULL AND c_lon IS NOT NULL").withColumn("c_num", T.street_digits(F.col("c_number"))).withColumn("loc", F.explode("locs")).drop("locs")
-    numbered = right.filter("c_num IS NOT NULL").withColumn("num", F.explode(F.sequence(F.col("c_num") - 2, F.col("c_num") + 2)))
-    reach = metres / 1000 / G.KM_PER_LAT * 1.1
-    columns = ["address_id", "s_number", "s_text", "latitude", "longitude", *(c for c in right.columns if c not in ("loc", "c_num"))]
-    pairs = left.filter("num IS NOT NULL").join(numbered, ["loc", "num"]).select(columns)
+    ).filter("c_lat IS NOT NULL AND c_lon IS NOT NULL")
+    alike = ["c_locs", "c_number", "c_text", "c_lat", "c_lon"]
+    own = [c for c in right.columns if c not in alike]
+    order = [F.col("dpe_number").isNull().alias("__last"), "dpe_number", "certificate_id"]
+    right = right.groupBy(*alike).agg(F.min(F.struct(*order, *(c for c in own if c not in ("dpe_number", "certificate_id")))).alias("__c"))
+    right = right.select(*alike, *(F.col(f"__c.{c}").alias(c) for c in own)).withColumn("c_num", T.street_digits(F.col("c_number")))
+    at = lambda df, locs: df.withColumn("loc", F.explode(locs)).filter("loc IS NOT NULL")
+    here = at(places, "s_locs").withColumns({"cy": F.floor(F.col("latitude") / CELL), "cx": F.when(F.abs("latitude") > 89, -1).otherwise(F.pmod(F.floor(F.col("longitude") / CELL), F.lit(2**17)))})
+    near = at(right, "c_locs").withColumn("__cell", F.explode(_cells(F.col("c_lat"), F.col("c_lon"), metres))).withColumns({"cy": F.col("__cell.cy"), "cx": F.col("__cell.cx")}).drop("__cell")
+
+    def met(few: DataFrame, many: DataFrame, keys: list[str]) -> DataFrame:
+        got = skew_join(many, few, keys, F.xxhash64("certificate_id"), most=most)
+        return got.select("place", "num", *known, *(c for c in right.columns))
+
+    numbered = near.filter("c_num IS NOT NULL").withColumn("num", F.explode(F.sequence(F.col("c_num") - 2, F.col("c_num") + 2)))
+    pairs = met(here.filter("num IS NOT NULL"), numbered, ["loc", "num", "cy", "cx"])
     if not strict:
-        row = lambda c: F.floor(F.col(c) / reach)
-        near = left.withColumn("row", F.explode(F.sequence(row("latitude") - 1, row("latitude") + 1)))
-        pairs = pairs.unionByName(near.join(right.withColumn("row", row("c_lat")), ["loc", "row"]).filter("num IS NULL OR c_num IS NULL").select(columns))
-    pairs = pairs.filter(F.abs(F.col("latitude") - F.col("c_lat")) <= reach)
+        pairs = pairs.unionByName(met(here.filter("num IS NULL"), near, ["loc", "cy", "cx"]))
+        pairs = pairs.unionByName(met(here.filter("num IS NOT NULL"), near.filter("c_num IS NULL"), ["loc", "cy", "cx"]))
     pairs = pairs.withColumn("distance_m", F.round(G.haversine_km(F.col("latitude"), F.col("longitude"), F.col("c_lat"), F.col("c_lon")) * 1000, 6)).filter(F.col("distance_m") <= metres)
+    if fallback:
+        pairs = pairs.dropDuplicates(["place", "certificate_id", *alike])  # after the distance: a pair that meets at several locations is one
     pairs = similar(pairs, "s_text", "c_text", similarity, least)
     if not strict:
         pairs = pairs.filter((F.col("s_number").isNotNull() & F.col("c_number").isNotNull()) | (F.col("similarity") >= least_loose))
-    best = first_by(pairs, ["address_id"], ["distance_m", F.asc_nulls_last("dpe_number"), "certificate_id"])
+    best = first_by(pairs, ["place"], ["distance_m", F.asc_nulls_last("dpe_number"), "certificate_id"])
     points = N.match_score(F.col("similarity"), F.col("distance_m"), F.col("s_number"), F.col("c_number"), T.numbers_agree(F.col("s_number"), F.col("c_number")))
-    return best.select(
-        "address_id", "certificate_id", "dpe_number", "dpe_date", "dpe_energy_class", "dpe_ges_class", "construction_year", "distance_m", "similarity",
+    best = best.select(
+        "place", "certificate_id", "dpe_number", "dpe_date", "dpe_energy_class", "dpe_ges_class", "construction_year", "distance_m", "similarity",
         points.alias("match_points"), F.least(points, F.lit(100)).alias("match_confidence"),
     )
+    linked = skew_join(left.select("place", "address_id"), best, ["place"], F.xxhash64("address_id"), most=most)
+    return linked.select("address_id", *(c for c in best.columns if c != "place"))
 
 
 def estimate(sales: DataFrame, as_of: Column, growth: DataFrame | None = None) -> DataFrame:

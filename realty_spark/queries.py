@@ -432,8 +432,22 @@ def certificate_caps(spark, d):
     return E.certificate_pool(view(spark, d, "certificates"), cap=30, stop_after=20).select("certificate_id")
 
 
+#: The longest part from each place of x that y holds; the first of the longest is the block that splits both.
+_RUNS = "list_transform(range(1, length(x) + 1), lambda i: len(list_filter(range(1, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))))"
+_SIMILAR = {
+    "levenshtein": "q AS (SELECT *, round(1 - levenshtein(t, ct) / greatest(length(t), length(ct), 1), 6) AS similarity FROM o)",
+    "ratio": f"""texts AS (SELECT DISTINCT t AS ta, ct AS tb FROM o WHERE distance_m <= 20),
+seg(ta, tb, x, y) AS (SELECT ta, tb, ta, tb FROM texts UNION ALL SELECT ta, tb, pair.x, pair.y FROM (
+  SELECT ta, tb, unnest([{{'x': substr(x, 1, i - 1), 'y': substr(y, 1, j - 1)}}, {{'x': substr(x, i + k), 'y': substr(y, j + k)}}]) AS pair FROM (
+  SELECT *, strpos(y, substr(x, i, k)) AS j FROM (SELECT *, list_position(ks, k) AS i FROM (SELECT *, list_max(ks) AS k FROM (SELECT *, {_RUNS} AS ks FROM seg WHERE x <> '' AND y <> '')))) WHERE k > 0)),
+sims AS (SELECT ta, tb, round(CASE WHEN ta = '' AND tb = '' THEN 1 ELSE 2 * sum(coalesce(list_max({_RUNS}), 0)) / (length(ta) + length(tb)) END, 6) AS similarity FROM seg GROUP BY ta, tb),
+q AS (SELECT o.*, similarity FROM o JOIN sims ON t = ta AND ct = tb)""",
+}
+
+
 def _link_sql(
-    sales: str, certificates: str = _POOL, cid: str = "certificate_id", adresse: str = "adresse", where: str = "loc = cloc AND abs({n} - {c}) <= 2", least: str = "similarity >= 0.7", bare: bool = False
+    sales: str, certificates: str = _POOL, cid: str = "certificate_id", adresse: str = "adresse", where: str = "loc = cloc AND abs({n} - {c}) <= 2", least: str = "similarity >= 0.7", bare: bool = False,
+    measure: str = "levenshtein",
 ) -> str:
     digits = lambda x: f"TRY_CAST(regexp_replace({x}, '[^0-9]', '', 'g') AS INT)"
     where = where.replace("{n}", digits("n")).replace("{c}", digits("cn"))
@@ -442,11 +456,11 @@ def _link_sql(
 c AS (SELECT {cid} AS certificate_id, dpe_number, code_insee AS cloc, code_postal AS cpost, upper(commune) AS ctown, {_NUMBER.format(x="(" + _fold(f"upper({adresse})") + ")")} AS cn, {_match(adresse)} AS ct, TRY_CAST(split_part(geopoint, ',', 1) AS DOUBLE) AS la,
   TRY_CAST(split_part(geopoint, ',', 2) AS DOUBLE) AS lo, etiquette_dpe AS dpe_energy_class, etiquette_ges AS dpe_ges_class, coalesce(CAST(date_reception AS DATE), CAST(date_etablissement AS DATE)) AS dpe_date, {year} AS construction_year FROM {certificates}),
 p AS (SELECT *, pow(sin(radians(la - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(la)) * pow(sin(radians(lo - longitude) / 2), 2) AS a FROM s JOIN c ON {where}),
-q AS (SELECT *, round(2 * 6371 * atan2(sqrt(a), sqrt(1 - a)) * 1000, 6) AS distance_m, round(1 - levenshtein(t, ct) / greatest(length(t), length(ct), 1), 6) AS similarity FROM p),
+o AS (SELECT *, round(2 * 6371 * atan2(sqrt(a), sqrt(1 - a)) * 1000, 6) AS distance_m FROM p), {_SIMILAR[measure]},
 b AS (SELECT * FROM q WHERE distance_m <= 20 AND {least} QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY distance_m, dpe_number NULLS LAST, certificate_id) = 1),
 z AS (SELECT *, 70 + least(CAST(floor(similarity * 25) AS INT), 25) + CASE WHEN distance_m < 5 THEN 40 WHEN distance_m < 10 THEN 35 WHEN distance_m < 15 THEN 25 WHEN distance_m < 20 THEN 15 ELSE 0 END
   + CASE WHEN n = cn THEN 25 WHEN abs({digits("n")} - {digits("cn")}) <= 2 THEN 15 ELSE 0 END AS match_points FROM b)"""
-    return body if bare else "WITH " + body + " SELECT " + _LINK_COLUMNS + ", least(match_points, 100) AS match_confidence FROM z"
+    return body if bare else "WITH RECURSIVE " + body + " SELECT " + _LINK_COLUMNS + ", least(match_points, 100) AS match_confidence FROM z"
 
 
 _LINK_COLUMNS = "address_id, certificate_id, dpe_number, dpe_date, dpe_energy_class, dpe_ges_class, construction_year, distance_m, similarity, match_points"
@@ -524,7 +538,7 @@ def cached_certificates(spark, d):
     return E.cached(certificates, _as_of())[0].select("certificate_id")
 
 
-@query()
+@query(_link_sql(duck("sales"), measure="ratio"))
 def link_certificates_ratio(spark, d):
     return E.link_certificates(view(spark, d, "sales"), E.certificate_pool(view(spark, d, "certificates")))
 
@@ -986,11 +1000,17 @@ _NAMED = f"""(SELECT n.* EXCLUDE (row_id), row_id AS address_id, row_id, city_id
 WHERE source_url IS NULL OR source_url NOT IN (SELECT source_url FROM {duck('sales')} WHERE address_id % 3 = 0))"""
 _ANSWERED = "(SELECT DISTINCT q, insee_code AS code FROM " + _NAMED + ")"
 _PLACED = f"(SELECT n.*, latitude, longitude, score AS geocoding_score FROM {_NAMED} n JOIN ({_ANSWERS.format(named=_ANSWERED)}) USING (q) WHERE score >= 0.1)"
-_ENRICHED = f"""WITH placed AS (SELECT * FROM {_PLACED}), {_link_sql('placed', bare=True)},
+
+
+def _enriched(measure: str = "levenshtein") -> str:
+    return f"""WITH RECURSIVE placed AS (SELECT * FROM {_PLACED}), {_link_sql('placed', bare=True, measure=measure)},
 joined AS (SELECT placed.*, z.dpe_number, z.dpe_date, z.dpe_energy_class, z.dpe_ges_class, z.construction_year FROM placed LEFT JOIN z USING (address_id)), """ + _price_sql(
-    ", done AS (SELECT * EXCLUDE (confidence), round(confidence, 6) AS estimation_confidence, md5(coalesce(source_url, concat_ws('|', address_raw, city_id, sale_date))) AS address_key FROM e)",
-    "joined", ", row_id, city_id, address_raw, source_url, sale_date, dpe_number, dpe_date, dpe_energy_class, dpe_ges_class, construction_year",
-).removeprefix("WITH ")
+        ", done AS (SELECT * EXCLUDE (confidence), round(confidence, 6) AS estimation_confidence, md5(coalesce(source_url, concat_ws('|', address_raw, city_id, sale_date))) AS address_key FROM e)",
+        "joined", ", row_id, city_id, address_raw, source_url, sale_date, dpe_number, dpe_date, dpe_energy_class, dpe_ges_class, construction_year",
+    ).removeprefix("WITH ")
+
+
+_ENRICHED = _enriched()
 
 
 def _enrich(spark, d, similarity="levenshtein"):
@@ -1034,7 +1054,7 @@ def enrichment_cities(spark, d):
     return _enrich(spark, d).cities
 
 
-@query()
+@query(_enriched("ratio") + " SELECT row_id, city_id, dpe_number, estimated_price, address_key, 'inserted' AS action FROM done")
 def enrichment_ratio(spark, d):
     return _enrich(spark, d, "ratio").rows.select("row_id", "city_id", "dpe_number", "estimated_price", "address_key", "action")
 
