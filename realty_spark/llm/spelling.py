@@ -29,8 +29,10 @@ from realty_spark.llm.shared import Scratch, partitions
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_LETTERS, LEAST_TIMES, FACTOR = 7, 2, 10
-#: Words that the cells are fitted on, words of a cell at about, cells of a length at most, words of a share.
+#: Words that the cells are fitted on at about, words of a cell at about, cells of a length at most, words of a share.
 SAMPLE, CELL, CELLS, SHARE = 100_000, 16_384, 1024, 65_536
+#: Hashes that words are dealt by.
+DEALS = 1 << 30
 #: Letter counts in a leaf of a task's tree.
 LEAF = 24
 #: Letters by their code in Latin-1, which holds them all: a-z, then A-Z as far as the range has them, then the rest.
@@ -287,11 +289,12 @@ def search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_cells(words: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> dict[int, Cells]:
-    """Cells for the lengths of many words, from at most ``sample`` words with the least hashes; other lengths are one cell."""
+    """Cells for the lengths of many words, from about ``sample`` words with the least hashes; other lengths are one cell."""
     sizes = {r.length: r.n for r in words.groupBy("length").agg(F.count("*").alias("n")).filter(F.col("n") > cell).collect()}
     if not sizes:
         return {}
-    drawn = words.filter(F.col("length").isin(list(sizes))).orderBy(F.xxhash64("word")).limit(sample).select("word", "length").collect()
+    least = math.ceil(DEALS * min(1, sample / sum(sizes.values())))
+    drawn = words.filter(F.col("length").isin(list(sizes)) & (F.col("deal") < least)).select("word", "length").collect()
     out = {}
     for length, n in sizes.items():
         own = [r.word.encode("latin-1") for r in drawn if r.length == length]
@@ -345,7 +348,7 @@ def _all_shares(row: np.ndarray, cell: np.ndarray, shares: np.ndarray) -> Iterat
 def near_words(words: DataFrame, scratch: Scratch, sample: int = SAMPLE, cell: int = CELL, share: int = SHARE) -> DataFrame:
     """(word, n_near, near_n, near) for the words (word, n) that have near words; near: the most frequent one."""
     spark = words.sparkSession
-    words = words.withColumns({"length": F.char_length("word"), "deal": F.pmod(F.xxhash64("word"), F.lit(1 << 30))})
+    words = words.withColumns({"length": F.char_length("word"), "deal": F.pmod(F.xxhash64("word"), F.lit(DEALS))})
     cells = fit_cells(words, sample, cell)
     homes = routed(words, cells, {}).filter("kind = 0").groupBy("length", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > share)
     shares = {(r.length, r.cell): math.ceil(r.n / share) for r in homes.collect()}  # one in at least ``share`` words
