@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,26 +23,38 @@ SHORT_STREETS = {"AVENUE": "AV", "BOULEVARD": "BD", "PLACE": "PL", "ALLEE": "AL"
 # Words left out when addresses are compared.
 STREET_WORDS = ["RUE", "AVENUE", "AV", "BOULEVARD", "BD", "PLACE", "PL", "ALLEE", "IMPASSE", "IMP"]
 
-_ASCII = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0x80, 0x180)}
+#: The ASCII forms of all characters that have one: what is left of their compatibility decomposition without marks.  Generated.
+_ASCII = {chr(c): a for c in range(0x80, sys.maxunicode + 1) if (a := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode())}
 _ONE = {c: a for c, a in _ASCII.items() if len(a) == 1}
 _MORE = {c: a for c, a in _ASCII.items() if len(a) > 1}
+#: Those in Latin text, which are looked for one by one.
+_LATIN = {c: a for c, a in _MORE.items() if c < "\u0180"}
+_OTHER = {c: a for c, a in _MORE.items() if c >= "\u0180"}
 
 
-def fold(text: Column) -> Column:
-    """Without accents; letters that have no ASCII form vanish.  Equal to NFKD and dropping non-ASCII up to U+017F."""
-    out = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
-    for c, a in _MORE.items():
-        out = F.replace(out, F.lit(c), F.lit(a))
-    return F.regexp_replace(out, "[^\\x00-\\x7F]", "")
-
+def _spans(letters: list[str]) -> str:
+    """A character class of ``letters``, in ascending order."""
+    spans: list[list[int]] = []
+    for c in map(ord, letters):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in spans) + "]"
 
-def fold_any(text: Column) -> Column:
-    """``fold`` for all of Unicode."""
 
-    def run(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
-
-    return F.pandas_udf(run, "string")(text)
+def fold(text: Column) -> Column:
+    """Without accents; letters that have no ASCII form vanish.  Equal to NFKD and dropping non-ASCII for all of Unicode.
+
+    Text that is ASCII already goes through untouched, and only text with a letter of several outside Latin is taken apart.
+    """
+    forms = F.create_map(*(F.lit(x) for pair in _OTHER.items() for x in pair))
+    apart = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    out = F.when(text.rlike(_spans(list(_OTHER))), apart(text)).otherwise(text)
+    out = F.translate(out, "".join(_ONE), "".join(_ONE.values()))
+    for c, a in _LATIN.items():
+        out = F.replace(out, F.lit(c), F.lit(a))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(out, "[^\\x00-\\x7F]", "")).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:

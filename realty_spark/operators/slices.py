@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from realty_spark.functions import geo as G
 from realty_spark.operators.dedup import first_by
+from realty_spark.operators.prefix import sums_before, values_at
 
 # Bounds of the default price bands, and French month names.
 BOUNDS = [0, 80000, 120000, 150000, 180000, 220000, 260000, 300000, 350000, 400000, 500000, 600000, 750000, 1000000, 25000000]
@@ -75,16 +76,14 @@ def default_band(price: Column) -> Column:
 
 
 def positional_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """For each share p the value at place floor(p * n) of a group's sorted values, from 0, and n.
+    """For each share p the value at place floor(p * n) of a group's sorted values, from 0, and n, the least and the most.
 
-    Rows are first summed to one per (keys, value), so a group is as large as its different values are many; running sums give the places.
+    Rows are first summed to one per (keys, value); places are then looked for by prefixes of the values, so no task sorts a group.
     """
-    counted = df.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("__k"))
-    w = Window.partitionBy(*keys)
-    upto = counted.withColumn("__n", F.sum("__k").over(w)).withColumn("__upto", F.sum("__k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    held = lambda p: (F.floor(F.lit(p) * F.col("__n")) < F.col("__upto")) & (F.floor(F.lit(p) * F.col("__n")) >= F.col("__upto") - F.col("__k"))
-    picks = [F.max(F.when(held(p), F.col(value))).alias(name) for name, p in shares.items()]
-    return upto.groupBy(*keys).agg(F.sum("__k").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *picks)
+    counted = df.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    picked = values_at(counted, keys, value, "n", {name: F.floor(F.lit(p) * F.col("n")) for name, p in shares.items()})
+    ends = counted.groupBy(F.struct(*keys).alias("__g")).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    return picked.withColumn("__g", F.struct(*keys)).join(ends, "__g").select(*keys, "n", "least", "most", *shares)
 
 
 def data_bands(df: DataFrame, key: str, value: str = "price", parts: int = 6) -> DataFrame:
@@ -131,15 +130,14 @@ def slice_sizes(rows: DataFrame, keys: list[str], cap: int = CAP) -> DataFrame:
 def capped_slices(rows: DataFrame, keys: list[str], cap: int = CAP) -> DataFrame:
     """Slices (keys, band_min, band_max, n) with fewer than ``cap`` rows, half-open by price; a slice whose prices cannot be told apart stays.
 
-    Rows are first summed to one per (keys, price).  Running sums then give each price its slice in one pass: rows are dealt by halves of the cap, so
+    Rows are first summed to one per (keys, price).  Sums over the lower prices then give each price its slice: rows are dealt by halves of the cap, so
     that a slice, with the price on which it ends, stays under the cap; a price with half a cap of rows is a slice of its own.
     """
-    prices = rows.groupBy(*keys, F.floor("price").alias("price")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = prices.withColumn("upto", F.sum("n").over(w))
-    group = F.floor((F.col("upto") - F.col("n")) / F.lit(max(cap // 2, 1)))
-    big = F.col("n") >= cap // 2
-    placed = placed.withColumn("slice", F.when(big, F.concat(F.lit("p"), F.col("price").cast("string"))).otherwise(F.concat_ws("-", group.cast("string"), F.sum(big.cast("int")).over(w).cast("string"))))
+    prices = rows.groupBy(*keys, F.floor("price").alias("price")).agg(F.count("*").alias("n")).withColumn("__big", (F.col("n") >= cap // 2).cast("long"))
+    placed = sums_before(prices, keys, "price", ["n", "__big"])
+    group, bigs = F.floor(F.col("n_before") / F.lit(max(cap // 2, 1))), F.col("__big_before") + F.col("__big")
+    own = F.concat(F.lit("p"), F.coalesce(F.col("price").cast("string"), F.lit("")))
+    placed = placed.withColumn("slice", F.when(F.col("__big") == 1, own).otherwise(F.concat_ws("-", group.cast("string"), bigs.cast("string"))))
     return placed.groupBy(*keys, "slice").agg(F.min("price").alias("band_min"), (F.max("price") + 1).alias("band_max"), F.sum("n").alias("n")).drop("slice")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from realty_spark.operators import assign as A
@@ -16,6 +16,7 @@ from realty_spark.operators import load as L
 from realty_spark.operators import normalize as N
 from realty_spark.operators import reports as R
 from realty_spark.sources import pages as P
+from realty_spark.sources.files import shared_folder
 
 
 @dataclass
@@ -44,19 +45,43 @@ class Outcome:
     stats: DataFrame | None = None
 
 
+class _Counted:
+    """Row counts of stages, taken while a later table is written: no stage runs for its count."""
+
+    def __init__(self):
+        self.waiting: list[tuple[str, DataFrame, Observation]] = []
+        self.found: dict[str, int] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        seen = Observation(f"rows of {name}")
+        self.waiting.append((name, df, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("n"))
+
+    def settle(self, written: DataFrame) -> None:
+        """Read the counts that the writing of ``written`` took.  A table without rows may come of a plan that Spark saw to be empty and never ran; then stages are counted."""
+        ran = not written.isEmpty()
+        for name, df, seen in self.waiting:
+            self.found[name] = seen.get["n"] if ran else df.count()
+        self.waiting = []
+
+
 def enrich(
     spark: SparkSession, start_df: DataFrame, inputs: Inputs, as_of: Column, start: int = 1, end: int = 7, keep: str | None = None, similarity: str = "ratio", days: int = 365
 ) -> Outcome:
     """Stages ``start`` to ``end`` (1 to 7) on the output of the stage before; ``keep``: a folder for each stage's output.
 
+    Rows are written when they are geocoded and at the end (with ``keep`` after each stage), and read back: each input is scanned once, and
+    counts are taken on the way.  Without ``keep`` they lie in a new folder beside the checkpoints.
     Wrong bounds are an error, and so is a geocoding stage that nothing survives.  Stage 5 brings the cities of the sales up to date that
     were not collected within ``days``; no such city is fine.
     """
     if not 1 <= start <= end <= len(STAGES):
         raise ValueError(f"stages must be within 1 and {len(STAGES)}, got {start} to {end}")
-    df, out, sizes = start_df, Outcome(start_df, inputs.cities), []
+    folder, counted, out = keep or shared_folder(spark, "enrichment"), _Counted(), Outcome(start_df, inputs.cities)
+    df = counted.watch("input", start_df)
+    placed = start_df
     for k in range(start, end + 1):
-        name, before = STAGES[k - 1], df
+        name = STAGES[k - 1]
         if name == "normalize":
             df = N.normalize(df)
             df = D.new_only(df, inputs.loaded) if inputs.loaded is not None else df
@@ -71,7 +96,7 @@ def enrich(
             df = df.join(links, "address_id", "left")
             df = df.withColumns({c: F.coalesce(f"__{c}", *([c] if c in df.columns else [])) for c in found}).drop(*(f"__{c}" for c in found))
         elif name == "refresh" and inputs.market is not None:
-            sold = df.select(F.col("city_id").alias("__city")).distinct()
+            sold = placed.select(F.col("city_id").alias("__city")).distinct()  # later stages keep the sales, and so their cities
             known = inputs.cities.join(sold, F.col("city_id") == F.col("__city"), "left_semi")
             fresh = inputs.market.join(C.stale(known, as_of, days, need_insee=False).select("insee_code"), "insee_code", "left_semi")
             out.cities = C.upsert(inputs.cities, fresh)
@@ -81,23 +106,23 @@ def enrich(
         elif name == "load":
             empty = df.select("source_url", F.lit("").alias("address_key")).limit(0)
             df = L.load_addresses(df, inputs.loaded if inputs.loaded is not None else empty)
-        if keep:
-            path = f"{keep}/{k}_{name}"
+        df = counted.watch(name, df)
+        if keep or name == "geocode" or k == end:
+            path = f"{folder}/{k}_{name}"
             df.write.mode("overwrite").parquet(path)
             df = spark.read.parquet(path)
-        if name == "geocode" and df.isEmpty():
+            counted.settle(df)
+            placed = df if k <= STAGES.index("geocode") + 1 or placed is start_df else placed
+        if name == "geocode" and not counted.found[name]:
             raise ValueError("no sale could be geocoded")
-        sizes.append((name, before, df))
         if name == "load":
             kinds = {"dpe_number": "string", "dpe_energy_class": "string", "dpe_ges_class": "string", "dpe_date": "date", "construction_year": "int"}
             whole = df.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in df.columns})
             whole = whole if "address_id" in df.columns else whole.withColumn("address_id", F.col("address_key"))
             out.certificates, out.report = L.load_certificates(whole, as_of), L.load_report(whole)
-    count = lambda df, c: df.agg(F.count("*").alias(c))
-    for name, before, after in sizes:
-        one = count(before, "n_in").crossJoin(count(after, "n_out"))  # one row each
-        one = one.select(F.lit(name).alias("stage"), "n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_rejected"))
-        out.stats = one if out.stats is None else out.stats.unionByName(one)
+    names = STAGES[start - 1 : end]
+    sizes = [counted.found["input"], *(counted.found[n] for n in names)]
+    out.stats = spark.createDataFrame([(n, a, b, a - b) for n, a, b in zip(names, sizes, sizes[1:])], "stage string, n_in long, n_out long, n_rejected long")  # a row a stage
     out.rows = df
     return out
 

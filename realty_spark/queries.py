@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +23,9 @@ from realty_spark.operators import slices as S
 from realty_spark.plans import pipeline as P
 from realty_spark.schemas import RAW_SALE
 from realty_spark.sources import pages as PG
+from realty_spark.sources.files import shared_folder
 from realty_spark.sources.departments import departments, rows as department_rows
+from realty_spark.sources.tables import RangeTable
 from realty_spark.streaming import incremental
 from realty_spark.views import AS_OF, duck, pages, view
 
@@ -630,6 +629,35 @@ def load_success_rate(spark, d):
     return L.success_rate(L.load_report(_loaded(spark, d)))
 
 
+_CHANGED = "CASE WHEN address_id % 3 = 0 THEN NULL ELSE price + 1000 END"
+_NEW = f"""SELECT address_id, {_CHANGED} AS price, 'land' AS property_type FROM {{s}} WHERE address_id BETWEEN 1000 AND 1999
+UNION ALL SELECT -address_id, price, property_type FROM {{s}} WHERE address_id % 50 = 0"""
+
+
+def _stored(spark, d) -> RangeTable:
+    """The sales as a table by ranges of their id."""
+    sales = view(spark, d, "sales").select("address_id", "city_id", "price", "property_type")
+    return RangeTable.create(sales, shared_folder(spark, "table"), "address_id", 16)
+
+
+@query(
+    f"""WITH s AS (SELECT address_id, city_id, price, property_type FROM {duck('sales')}), n AS ({_NEW.format(s='s')})
+    SELECT coalesce(n.address_id, s.address_id) AS address_id, city_id, coalesce(n.price, s.price) AS price, coalesce(n.property_type, s.property_type) AS property_type FROM s FULL JOIN n ON s.address_id = n.address_id"""
+)
+def upsert_ranges(spark, d):
+    table = _stored(spark, d)
+    table.upsert(spark.sql(_NEW, s=view(spark, d, "sales")))
+    return table.read()
+
+
+@query(f"SELECT address_id, city_id, price, property_type FROM {duck('sales')} WHERE address_id NOT IN (SELECT address_id FROM {duck('assignments')} WHERE client_id % 2 = 0) AND address_id > 5000")
+def delete_ranges(spark, d):
+    table = _stored(spark, d)
+    table.delete(view(spark, d, "assignments").filter("client_id % 2 = 0").select("address_id"))
+    table.delete(view(spark, d, "sales").filter("address_id <= 5000").select("address_id"))
+    return table.read()
+
+
 # ---- assignment and reports
 
 _WINDOW = f"sale_date BETWEEN DATE '{AS_OF}' - 2920 AND DATE '{AS_OF}' - 2190"
@@ -1089,21 +1117,13 @@ def daily_jobs(spark, d):
     return P.daily_run(view(spark, d, "sales"), view(spark, d, "clients"), view(spark, d, "assignments"), _jobs(spark, d), late, SEED)[2].select("job_id", "status", "attempt_count")
 
 
-def _shared(spark) -> str:
-    """A folder for a stream: that of spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='realty-')}/realty-stream-{uuid.uuid4().hex}"
-
-
 @query(
     f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY row_id) AS k FROM {_NORMAL})
     SELECT source_url, count(*) AS n_rows, sum(CASE WHEN source_url IS NULL THEN hash_price END)::BIGINT AS null_prices FROM (SELECT source_url, price AS hash_price FROM n WHERE source_url IS NOT NULL AND k = 1
     UNION ALL SELECT NULL, price FROM (SELECT DISTINCT address_raw, city_name, price, surface, rooms, sale_date FROM {_NORMAL} WHERE source_url IS NULL)) GROUP BY source_url"""
 )
 def incremental_ingest(spark, d):
-    root = _shared(spark)
+    root = shared_folder(spark, "stream")
     raw = view(spark, d, "raw_sales").select([f.name for f in RAW_SALE])
     raw.filter("rooms < 4").write.parquet(f"{root}/in/a")
     raw.filter("rooms >= 4").write.parquet(f"{root}/in/b")

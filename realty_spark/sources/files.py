@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under that of spark.checkpoint.dir; where this is unset, a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='realty-')}/realty-{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Remove the files and folders whose paths fit a pattern, if there are any."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = fs_path(pattern).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(fs_path(pattern)) or []:
+        files.delete(found.getPath(), True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -37,12 +57,17 @@ def not_empty(columns: list[str]) -> Column:
 
 
 def export(df: DataFrame, path: str, run: str, city: str = "city_name", main: list[str] | None = None) -> None:
-    """CSV files by city and run; rows without a value in the main columns are left out; no row still writes a header."""
+    """CSV files by city and run; rows without a value in the main columns are left out; no row still writes a header.
+
+    A run that is exported again replaces what it had written, in all cities; other runs stay.  An export that fails is to be run again.
+    """
     # The main columns.
     main = main or [c for c in ("address_raw", "city_name", "price", "surface", "rooms", "sale_date") if c in df.columns]
     out = df.filter(not_empty(main)).withColumns({"run": F.lit(run), "city": F.col(city)})
-    out.write.mode("append").partitionBy("city", "run").option("header", True).csv(path)
     spark = df.sparkSession
+    for old in (f"{path}/city=*/run={run}", f"{path}/run={run}"):
+        remove(spark, old)
+    out.write.mode("append").partitionBy("city", "run").option("header", True).csv(path)
     made = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/city=*/run={run}")
     if not made.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(made):  # no row was written: a header alone
-        df.limit(0).coalesce(1).write.mode("append").option("header", True).csv(f"{path}/run={run}")
+        df.limit(0).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/run={run}")

@@ -1,6 +1,7 @@
 """Operators on rows worked out by hand, and invariants."""
 
 import datetime as dt
+import sys
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -39,10 +40,13 @@ def test_normalize(spark):
 
 
 def test_fold_is_nfkd(spark):
-    text = "".join(map(chr, range(0x20, 0x180)))
-    want = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-    assert one(spark, text, T.fold) == want
-    assert one(spark, text + "ﬁ", T.fold_any) == want + "fi"
+    """Every assigned code point alone, and long texts of many at once."""
+    want = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+    letters = [chr(c) for c in range(1, sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = letters + ["".join(letters[k : k + 500]) for k in range(0, len(letters), 500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", T.fold(F.col("x")).alias("y")).collect()
+    assert len(rows) > 100_000 and [r.i for r in rows if r.y != want(texts[r.i])] == []
+    assert one(spark, None, T.fold) is None and one(spark, "ﬁ Ⅷ ẞ ９ Việt ﷺ", T.fold) == want("ﬁ Ⅷ ẞ ９ Việt ﷺ")
 
 
 def test_text(spark):
