@@ -9,6 +9,7 @@ from realty_spark.functions import geo as G
 from realty_spark.functions import numbers as N
 from realty_spark.functions import text as T
 from realty_spark.operators.dedup import first_by
+from realty_spark.sources.tables import RangeTable
 
 REQUIRED = ["address_raw", "city_id", "sale_date", "property_type", "price"]
 
@@ -35,6 +36,16 @@ def load_addresses(sales: DataFrame, existing: DataFrame) -> DataFrame:
     ).drop("__known")
 
 
+def store(loaded: DataFrame, table: RangeTable) -> list[int]:
+    """Bring a table of addresses up to date with the rows of ``load_addresses`` that are not skipped, by address_key; the ranges that were rewritten.
+
+    Columns that the table lacks are left out; a row that is loaded again changes what it has a value for, so a second run changes nothing.
+    """
+    kept = set(table.read().columns)
+    rows = loaded.filter("action <> 'skipped'")
+    return table.upsert(rows.select(*(c for c in loaded.columns if c in kept)))
+
+
 def load_certificates(loaded: DataFrame, as_of: Column) -> DataFrame:
     """Certificate rows of loaded sales with a number or class: address_key, dpe_key, dpe_number, classes, date, construction_year.
 

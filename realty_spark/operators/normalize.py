@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from realty_spark.functions import numbers as N
@@ -23,13 +23,23 @@ def require(df: DataFrame, columns: list[str], aliases: dict[str, str] = ALIASES
     return df
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns, each reckoned once for a row whatever filters stand on it.
+
+    A filter on a plain column is pushed down together with a copy of its expression; none passes the explosion of an array of one.
+    """
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("__made")
+    return df.select(*(c for c in df.columns if c not in columns), made).select("*", "__made.*").drop("__made")
+
+
 def with_reason(raw: DataFrame) -> DataFrame:
     """Normalised sales, valid or not, with ``reason``: the first rule that a row breaks, or null.  Other columns stay."""
     df = require(raw, REQUIRED)
     for c in ("surface", "rooms", "property_url"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    df = df.withColumns(
+    df = once(
+        df,
         {
             "address_raw": T.clean_upper(F.col("address")),
             "city_name": T.clean_upper(F.col("city")),
@@ -39,7 +49,7 @@ def with_reason(raw: DataFrame) -> DataFrame:
             "sale_date": N.strict_date(F.col("sale_date")),
             "property_type": T.property_type(F.col("property_type")),
             "source_url": F.col("property_url"),
-        }
+        },
     ).drop("address", "city", "property_url")
     reason = F.when(F.col("address_raw") == "", "address").when(F.col("city_name") == "", "city").when(F.col("price") <= 0, "price").when(F.col("sale_date").isNull(), "date")
     return df.withColumn("reason", reason)

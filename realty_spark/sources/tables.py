@@ -29,7 +29,8 @@ def range_of(key: Column, bounds: list) -> Column:
 
 @dataclass
 class RangeTable:
-    """A folder with a subfolder for each range of ``key``.
+    """A folder with a subfolder for each range of ``by``, which is the key itself, or a column that never changes for a key, such as its city: a
+    run about a few cities touches theirs, though its keys may be hashes.
 
     A change reads the ranges of its keys, by partition pruning, and overwrites these alone: Spark writes them aside and moves them in when the job
     commits, so a change that fails before leaves the table as it was.  One that fails while they are moved is to be run again: changes
@@ -39,18 +40,19 @@ class RangeTable:
     spark: SparkSession
     path: str
     key: str
+    by: str | None = None
 
     @classmethod
-    def create(cls, df: DataFrame, path: str, key: str, ranges: int) -> RangeTable:
-        """A new table of the rows of ``df`` in about ``ranges`` ranges of equal size."""
-        ranges = min(ranges, MOST_RANGES)
-        drawn = df.select(F.col(key).alias("k")).filter("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(ranges * DRAWN)
+    def create(cls, df: DataFrame, path: str, key: str, ranges: int, by: str | None = None) -> RangeTable:
+        """A new table of the rows of ``df`` in about ``ranges`` ranges of equal numbers of keys, or of values of ``by``."""
+        ranges, by = min(ranges, MOST_RANGES), by or key
+        drawn = df.select(F.col(by).alias("k")).filter("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(ranges * DRAWN)
         keys = sorted(r.k for r in drawn.collect())
         bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-        table = cls(df.sparkSession, path, key)
-        stored = df.sparkSession.createDataFrame([(i, b) for i, b in enumerate(bounds)], f"i int, bound {df.schema[key].dataType.simpleString()}")
+        table = cls(df.sparkSession, path, key, by)
+        stored = df.sparkSession.createDataFrame([(i, b) for i, b in enumerate(bounds)], f"i int, bound {df.schema[by].dataType.simpleString()}")
         stored.coalesce(1).write.mode("overwrite").parquet(f"{path}/_bounds")
-        table._write(df.withColumn(_RANGE, range_of(F.col(key), bounds)))
+        table._write(df.withColumn(_RANGE, range_of(F.col(by), bounds)))
         return table
 
     def bounds(self) -> list:
@@ -69,14 +71,17 @@ class RangeTable:
         finally:
             self.spark.conf.set(_OVERWRITE, before)
 
+    def _range(self) -> Column:
+        return range_of(F.col(self.by or self.key), self.bounds())
+
     def touched(self, keys: DataFrame) -> list[int]:
-        """The ranges of some keys: as many numbers as the table has ranges at most."""
-        return sorted(r[0] for r in keys.select(range_of(F.col(self.key), self.bounds()).alias("r")).distinct().collect())
+        """The ranges of some rows: as many numbers as the table has ranges at most."""
+        return sorted(r[0] for r in keys.select(self._range().alias("r")).distinct().collect())
 
     def upsert(self, fresh: DataFrame) -> list[int]:
         """Bring the rows with the keys of ``fresh`` up to date and add those with new keys; the ranges that were rewritten.
 
-        ``fresh``: the key and some columns; a null value, like a column that is not there, leaves the old one.  Of rows that repeat a key the
+        ``fresh``: the key, ``by`` and some columns; a null value, like a column that is not there, leaves the old one.  Of rows that repeat a key the
         first in the order of all columns counts.  Null keys equal no other: their rows are added.
         """
         ranges = self.touched(fresh)
@@ -88,16 +93,16 @@ class RangeTable:
         new = known.unionByName(fresh.filter(F.col(self.key).isNull())).alias("n")
         both = old.alias("o").join(new, F.col(f"o.{self.key}") == F.col(f"n.{self.key}"), "full")
         rows = both.select(*((F.coalesce(f"n.{c}", f"o.{c}") if c in fresh.columns else F.col(f"o.{c}")).alias(c) for c in old.columns))
-        self._write(rows.withColumn(_RANGE, range_of(F.col(self.key), self.bounds())))
+        self._write(rows.withColumn(_RANGE, self._range()))
         return ranges
 
     def delete(self, keys: DataFrame) -> list[int]:
-        """Remove the rows with these keys; the ranges that were rewritten.  Null keys remove nothing."""
-        keys = keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()
+        """Remove the rows with these keys (and ``by``); the ranges that were rewritten.  Null keys remove nothing."""
+        keys = keys.select(*dict.fromkeys([self.key, self.by or self.key])).filter(F.col(self.key).isNotNull()).distinct()
         ranges = self.touched(keys)
         if not ranges:
             return []
-        left = self.read(ranges).join(keys, self.key, "left_anti").withColumn(_RANGE, range_of(F.col(self.key), self.bounds()))
+        left = self.read(ranges).join(keys, self.key, "left_anti").withColumn(_RANGE, self._range())
         filled = {r[0] for r in left.select(_RANGE).distinct().collect()}
         self._write(left)
         for r in set(ranges) - filled:  # Spark overwrites no range that gets no row

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from realty_spark.operators import cities
+from realty_spark.operators import cities, load
 from realty_spark.sources.tables import RangeTable, range_of
 
 
@@ -71,3 +71,25 @@ def test_conf_is_restored(spark, tmp_path):
 def test_range_of(spark, bounds):
     got = spark.range(-2, 45).select("id", range_of(F.col("id"), bounds).alias("r")).collect()
     assert all(x.r == sum(b <= x.id for b in bounds) for x in got)
+
+
+def test_store_touches_the_cities_of_a_run(spark, tmp_path):
+    """Keys are hashes all over; ranges are of cities, so that a run about two cities rewrites theirs."""
+    columns = "address_raw string, city_id int, sale_date date, property_type string, price int, source_url string, latitude double, longitude double, insee_code string"
+    made = "SELECT concat(id, ' A') AS address_raw, CAST(id % 40 AS INT) AS city_id, DATE'2020-01-01' AS sale_date, 'house' AS property_type, CAST(id AS INT) AS price, concat('u', id) AS source_url, 1D AS latitude, 2D AS longitude, '59001' AS insee_code FROM range(800)"
+    none = spark.createDataFrame([], "source_url string, address_key string")
+    kept = ["address_key", "city_id", "address_raw", "price", "source_url"]
+    first = load.load_addresses(spark.sql(made), none).select(kept)
+    path = str(tmp_path / "t")
+    table = RangeTable.create(first, path, "address_key", 8, by="city_id")
+    run = spark.createDataFrame([("3 A", 3, None, "house", 9, "u3", 1.0, 2.0, "59001"), ("5 X", 4, None, "house", 7, "new", 1.0, 2.0, "59001")], columns).withColumn("sale_date", F.to_date(F.lit("2021-01-01")))
+    loaded = load.load_addresses(run.unionByName(run.withColumn("price", F.lit(None).cast("int"))), table.read().select("source_url", "address_key"))
+    before = files(path)
+    assert load.store(loaded, table) == table.touched(run) and len(table.touched(run)) <= 2
+    assert {f.split("/")[0] for f in before ^ files(path)} == {f"key_range={k}" for k in table.touched(run)}
+    got = {r.source_url: r.price for r in table.read().collect()}
+    assert len(got) == 801 and got["u3"] == 9 and got["new"] == 7 and got["u4"] == 4
+    load.store(load.load_addresses(run, table.read().select("source_url", "address_key")), table)
+    assert {r.source_url: r.price for r in table.read().collect()} == got and table.read().count() == 801
+    assert table.delete(table.read().filter("source_url = 'new'").select("address_key", "city_id")) == table.touched(run.filter("city_id = 4"))
+    assert table.read().count() == 800
