@@ -48,8 +48,9 @@ def fold(text: Column) -> Column:
 
     Text that is ASCII already goes through untouched, and only text with a letter of several outside Latin is taken apart.
     """
-    forms = F.create_map(*(F.lit(x) for pair in _OTHER.items() for x in pair))
-    apart = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    at = lambda c: F.instr(F.lit("".join(_OTHER)), c)
+    form = lambda c: F.when((c != "") & (at(c) > 0), F.split_part(F.lit("\x00".join(_OTHER.values())), F.lit("\x00"), at(c))).otherwise(c)
+    apart = lambda t: F.array_join(F.transform(F.split(t, ""), form), "")
     out = F.when(text.rlike(_spans(list(_OTHER))), apart(text)).otherwise(text)
     out = F.translate(out, "".join(_ONE), "".join(_ONE.values()))
     for c, a in _LATIN.items():
