@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine of notices to templates, then inheritance from the nearest directory; DataFrame functions only.
 
-A file's notices are its lines that speak of a licence, and for a licence file its whole text.  Its paragraphs, first comments and,
-for a licence file, its whole text are held against licence texts and headers as well.  Equal notices are scored once.
+A file's notices are its lines, and for a licence file its whole text.  Its paragraphs, first comments and, for a licence file, its whole
+text are held against licence texts and headers as well.  What shares no telling term with a template (``telling_terms``) can't be close to
+one and is not scored; equal notices are scored once.
 A file without a licence of its own takes that of a licence file in its directory, else in the nearest one above;
 ancestors are joined by path, for each directory once.
 """
@@ -10,17 +11,18 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from realty_spark.llm.shared import Scratch
 
-#: Lines that are looked at.
-NOTICE = r"(?i)(licen[cs]e|copyright|all rights reserved|public domain)"
-#: Blocks that are looked at.
-WORDING = r"(?i)(licen[cs]e|public domain|redistribution and use|permission to use|permission is hereby granted)"
+#: Function words, parts of addresses and single characters, which tell nothing of a licence.
+STOP = set(
+    "the of and to in or is a this be for that with by any are as it on you may at an not under all no will have has if can from into use used such shall its these their must which when where whether "
+    "out without only your whom so was one do but either even other however nor neither otherwise non above way http https www org".split()
+) | set("0123456789abcdefghijklmnopqrstuvwxyz")
 #: What texts of other licences say as well.
 RESERVED = "proprietary"
 #: File names of licences for a directory.
@@ -120,6 +122,30 @@ def weights(templates: list[tuple[str, str]]) -> list[tuple[str, int, str, float
     return out
 
 
+def telling_terms(templates: list[tuple[str, str]], least: float) -> list[str]:
+    """Terms of which each text has one that has a score of ``least`` with a template, be it not by function words.
+
+    Of a template's other terms those of the greatest weight are taken until what is left, function words and all, is shorter than ``least``:
+    by Cauchy-Schwarz a text with none of them has a lower score.  Where function words alone are longer, all other terms are taken.
+    """
+    vectors, out = defaultdict(list), set()
+    for term, i, _, weight in weights(templates):
+        vectors[i].append((-weight, term))
+    for vector in vectors.values():
+        rest = 1.0
+        for weight, term in sorted(vector):
+            if rest < least * least - 1e-9:
+                break
+            if term not in STOP:
+                out.add(term)
+                rest -= weight * weight
+    return sorted(out)
+
+
+def _telling(text: Column, known: list[str]) -> Column:
+    return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, known)))
+
+
 def _values(spark, rows: list[tuple], names: str) -> DataFrame:
     """A small fixed table; Python literals of strings without quotes and of numbers are SQL literals too."""
     body = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
@@ -153,16 +179,16 @@ def scored(notices: DataFrame, templates: list[tuple[str, str]], least: float) -
     return best.select("digest", "b.license", "b.score").filter(F.col("score") >= least)
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """path, digest, notice: paragraphs that speak of a licence or of permission, the first lines of comments, and licence files."""
+def blocks(rows: DataFrame, known: list[str]) -> DataFrame:
+    """path, digest, notice: paragraphs, the first lines of comments, and licence files, as far as they have one of the terms ``known``."""
     lines = F.split("text", "\n")
     code = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False)
     head = F.array_join(F.when(code == 0, lines).otherwise(F.slice(lines, 1, F.greatest(code.cast("int") - 1, F.lit(0)))), "\n")
     whole = F.when(F.substring_index("path", "/", -1).rlike(LICENSE_FILE), F.col("text"))
     found = F.array_union(F.split("text", "\n(?:[^A-Za-z0-9\n]*\n)+"), F.array(head, whole))
     return (
-        rows.filter(F.col("text").rlike(WORDING))
-        .select("path", F.explode(F.filter(found, lambda x: x.rlike(WORDING))).alias("notice"))
+        rows.filter(_telling(F.col("text"), known))
+        .select("path", F.explode(F.filter(found, lambda x: _telling(x, known))).alias("notice"))
         .withColumn("digest", F.sha2("notice", 256))
     )
 
@@ -184,25 +210,26 @@ def license_scan(
     """One row per row of ``files``: path, own_license, own_score, license, origin (own, inherited, none), license_dir.
 
     A notice has the licence of its best template, ties going to the earlier one; a file that of its best notice, ties going to the
-    first name.  Blocks (paragraphs, the first lines of comments, a licence file as a whole) are scored against ``texts`` likewise; they
-    count where no line has a licence or only one that reserves all rights, as texts of other licences do too.  In a directory with several
+    first name.  Blocks (paragraphs, the first lines of comments, a licence file as a whole) are scored against ``texts`` likewise; of the best line and
+    the best block the higher score counts, then the line; a line that reserves all rights, as texts of other licences do too, counts last.  In a directory with several
     licence files the highest score counts, then the first name.  A null or empty text has no notice; rows that repeat
     a path are versions of one file with one answer, and so are all null paths, which lie in no directory.  An
     empty table gives an empty result; other columns are not read.
     """
     rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     name = F.substring_index("path", "/", -1)
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NOTICE))
+    known = telling_terms(templates, least)
+    lines = F.filter(F.split("text", "\n"), lambda x: _telling(x, known))
     notices = (
-        rows.filter(F.col("text").rlike(NOTICE))
+        rows.filter(_telling(F.col("text"), known))
         .select("path", F.explode(F.when(name.rlike(LICENSE_FILE), F.array_append(lines, F.col("text"))).otherwise(lines)).alias("notice"))
         .withColumn("digest", F.sha2("notice", 256))
     )
     scratch = Scratch(files.sparkSession, "licenses")
     notices = scratch.save(notices, "notices")
     by_line = _best(notices, templates, least)
-    by_text = _best(scratch.save(blocks(rows), "blocks"), texts, least).select(F.col("p").alias("q"), F.col("own_license").alias("of_text"), F.col("own_score").alias("text_score"))
-    of_line = F.col("own_license").isNotNull() & ((F.col("own_license") != RESERVED) | F.col("of_text").isNull())
+    by_text = _best(scratch.save(blocks(rows, telling_terms(texts, least)), "blocks"), texts, least).select(F.col("p").alias("q"), F.col("own_license").alias("of_text"), F.col("own_score").alias("text_score"))
+    of_line = F.col("own_license").isNotNull() & (F.col("of_text").isNull() | ((F.col("own_license") != RESERVED) & (F.col("own_score") >= F.col("text_score"))))
     own = by_line.join(by_text, F.col("p").eqNullSafe(F.col("q")), "full").select(
         F.coalesce("p", "q").alias("p"),
         F.when(of_line, F.col("own_license")).otherwise(F.col("of_text")).alias("own_license"),

@@ -173,20 +173,21 @@ scored_{of} AS (
 def license_sql() -> str:
     folder = "regexp_replace({}, '/?[^/]*$', '')"
     licence_file = f"regexp_matches(split_part(path, '/', -1), '{licenses.LICENSE_FILE}')"
-    lines = f"""SELECT path, notice FROM (SELECT path, unnest(ls) AS notice FROM lines UNION ALL SELECT path, text FROM lines WHERE {licence_file}) WHERE regexp_matches(notice, '{licenses.NOTICE}')"""
+    telling = lambda x, templates: f"list_has_any(string_split_regex(lower({x}), '[^a-z0-9]+'), {licenses.telling_terms(templates, licenses.LEAST_SCORE)})"
+    lines = f"""SELECT path, notice FROM (SELECT path, unnest(ls) AS notice FROM lines UNION ALL SELECT path, text FROM lines WHERE {licence_file}) WHERE {telling('notice', licenses.TEMPLATES)}"""
     code = f"coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '{licenses.COMMENT}')), false), 0)"
     blocks = rf"""SELECT path, notice FROM (SELECT path, unnest(string_split_regex(text, '\n(?:[^A-Za-z0-9\n]*\n)+')) AS notice FROM worded
       UNION ALL SELECT path, array_to_string(CASE WHEN {code} = 0 THEN ls ELSE ls[1:{code} - 1] END, chr(10)) FROM worded
-      UNION ALL SELECT path, text FROM worded WHERE {licence_file}) WHERE regexp_matches(notice, '{licenses.WORDING}')"""
+      UNION ALL SELECT path, text FROM worded WHERE {licence_file}) WHERE {telling('notice', licenses.TEXTS)}"""
     return rf"""
 WITH files AS (SELECT doc_id, text, {FILE_PATH} AS path FROM documents),
-lines AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE regexp_matches(text, '{licenses.NOTICE}')),
-worded AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE regexp_matches(text, '{licenses.WORDING}')),
+lines AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE {telling('text', licenses.TEMPLATES)}),
+worded AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM files WHERE {telling('text', licenses.TEXTS)}),
 {_scored_sql("line", lines, licenses.TEMPLATES)},
 {_scored_sql("text", blocks, licenses.TEXTS)},
 own AS (
-  SELECT path, CASE WHEN l.license <> '{licenses.RESERVED}' OR (l.license IS NOT NULL AND t.license IS NULL) THEN l.license ELSE t.license END AS own_license,
-         CASE WHEN l.license <> '{licenses.RESERVED}' OR (l.license IS NOT NULL AND t.license IS NULL) THEN l.score ELSE t.score END AS own_score
+  SELECT path, CASE WHEN l.license IS NOT NULL AND (t.license IS NULL OR (l.license <> '{licenses.RESERVED}' AND l.score >= t.score)) THEN l.license ELSE t.license END AS own_license,
+         CASE WHEN l.license IS NOT NULL AND (t.license IS NULL OR (l.license <> '{licenses.RESERVED}' AND l.score >= t.score)) THEN l.score ELSE t.score END AS own_score
   FROM best_line l FULL JOIN best_text t USING (path)
 ), held AS (
   SELECT {folder.format("path")} AS license_dir, own_license AS from_license FROM own WHERE {licence_file}

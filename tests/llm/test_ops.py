@@ -512,6 +512,33 @@ def test_license_query_inherits(spark, tmp_path):
     assert next(r for r in got.collect() if r.doc_id == 8).license == "GPL-3.0"
 
 
+@pytest.mark.parametrize("templates", [licenses.TEMPLATES, licenses.TEXTS])
+def test_no_notice_is_passed_over(templates):
+    """Whatever comes close to a template has a telling term, or function words alone."""
+    r, least = random.Random(2), licenses.LEAST_SCORE
+    idf, other = licenses.inverse_frequencies(templates)
+    known, vectors = set(licenses.telling_terms(templates, least)), collections.defaultdict(dict)
+    for term, i, _, weight in licenses.weights(templates):
+        vectors[i][term] = weight
+    close = 0
+    for _ in range(4000):
+        i = r.randrange(len(templates))
+        own = licenses.terms(templates[i][1])
+        text = [t for t in own if r.random() < 0.8 and (t not in known or r.random() < r.choice([0, 0.3, 1]))] + r.choices(["the", "zq", "of", *own], k=r.randint(0, 6))
+        x = {t: n * idf.get(t, other) for t, n in collections.Counter(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1
+        if max(sum(v * w.get(t, 0) for t, v in x.items()) / norm for w in vectors.values()) >= least:
+            close += 1
+            assert known & set(text) or set(text) <= licenses.STOP | {"zq"}, text
+    assert close > 300
+
+
+def test_notices_without_the_word_licence(spark):
+    rows = [("a/x", "code\n# Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction.\n"), ("a/y", "# Apache, Version 2.0\n# Licensed under the Apache, Version 2.0\n"), ("a/z", "the version of the file that was found")]
+    got = {x.path: (x.own_license, x.origin) for x in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/x"] == ("MIT", "own") and got["a/y"][0] == "Apache-2.0" and got["a/z"] == (None, "none")
+
+
 def test_license_texts(spark):
     L = licenses
     lines = lambda t, sign="": "\n".join(sign + " ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
