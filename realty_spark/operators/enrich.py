@@ -121,8 +121,9 @@ def similar(pairs: DataFrame, a: str, b: str, measure: str, least: float) -> Dat
     if measure != "ratio":
         return pairs.withColumn("similarity", F.round(levenshtein_similarity(F.col(a), F.col(b)), 6)).filter(F.col("similarity") >= least)
     x, y = F.length(a), F.length(b)
-    able = pairs.filter((2 * F.least(x, y) >= (least - 1e-6) * (x + y)) & (ratio_bound(F.col(a), F.col(b)) >= least - 1e-6))
+    able = pairs.filter(2 * F.least(x, y) >= (least - 1e-6) * (x + y))
     scored = able.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+    scored = scored.filter(ratio_bound(F.col("__a"), F.col("__b")) >= least - 1e-6)
     scored = scored.withColumn("similarity", F.round(ratio(F.col("__a"), F.col("__b")), 6)).filter(F.col("similarity") >= least)
     return able.join(scored, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b"))).drop("__a", "__b")
 
@@ -162,7 +163,7 @@ def link_certificates(
 ) -> DataFrame:
     """The nearest certificate of each sale at its location: street numbers at most 2 apart, at most ``metres`` away, addresses alike.
 
-    Sales: address_id, insee_code, address_raw, latitude, longitude.  Sales of one place (locations, number, text, point) are linked once, and
+    Sales: address_id, insee_code, address_raw, latitude, longitude.  Sales of one place (address, codes, point) are parsed and linked once, and
     certificates alike in all but their ids count once, as the first by number and id.  Places meet certificates by an equal join on (location,
     number, cell of the grid), a large city being as many keys as it has cells; keys with over ``most`` certificates are dealt in shares.
     Distance goes before text, which only a few pairs reach.  Equal distances go to the least number, then the least certificate id.
@@ -172,12 +173,14 @@ def link_certificates(
     none = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     s_addr, c_addr = T.parse_address(F.col("address_raw")), T.parse_address(F.col("adresse"))
     known = ["s_locs", "s_number", "s_text", "latitude", "longitude"]
-    left = sales.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(
-        "address_id", _locations(F.col("insee_code"), none(sales, "postal_code"), none(sales, "city_name"), fallback).alias("s_locs"), s_addr["number"].alias("s_number"),
-        T.match_form(F.col("address_raw")).alias("s_text"), "latitude", "longitude",
+    raw = [F.col("insee_code").alias("insee"), none(sales, "postal_code").alias("postal"), none(sales, "city_name").alias("city"), F.col("address_raw"), F.col("latitude"), F.col("longitude")]
+    left = sales.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("address_id", *raw)
+    own = left.columns[1:]
+    left = left.withColumn("place", F.md5(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in own))))
+    places = left.groupBy("place", *own).agg(F.count("*").alias("__n")).select(
+        "place", _locations(F.col("insee"), F.col("postal"), F.col("city"), fallback).alias("s_locs"), s_addr["number"].alias("s_number"), T.match_form(F.col("address_raw")).alias("s_text"), "latitude", "longitude"
     )
-    left = left.withColumn("place", F.md5(F.to_json(F.struct(*known))))
-    places = left.groupBy("place", *known).agg(F.count("*").alias("__n")).drop("__n").withColumn("num", T.street_digits(F.col("s_number")))
+    places = places.withColumn("num", T.street_digits(F.col("s_number")))
     point = T.geopoint(F.col("geopoint"))
     right = certificates.select(
         F.col("certificate_id"), "dpe_number", _locations(F.col("code_insee"), none(certificates, "code_postal"), none(certificates, "commune"), fallback).alias("c_locs"),
