@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from realty_spark.operators.dedup import first_by
 from realty_spark.sources.files import remove
@@ -52,6 +53,7 @@ class RangeTable:
         table = cls(df.sparkSession, path, key, by)
         stored = df.sparkSession.createDataFrame([(i, b) for i, b in enumerate(bounds)], f"i int, bound {df.schema[by].dataType.simpleString()}")
         stored.coalesce(1).write.mode("overwrite").parquet(f"{path}/_bounds")
+        df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/_schema")  # what a table of no rows is read by
         table._write(df.withColumn(_RANGE, range_of(F.col(by), bounds)))
         return table
 
@@ -60,7 +62,8 @@ class RangeTable:
 
     def read(self, ranges: list[int] | None = None) -> DataFrame:
         """All rows, or those of some ranges."""
-        df = self.spark.read.parquet(self.path)
+        schema = self.spark.read.parquet(f"{self.path}/_schema").schema.add(_RANGE, T.IntegerType())
+        df = self.spark.read.schema(schema).parquet(self.path)
         return (df.filter(F.col(_RANGE).isin(ranges)) if ranges is not None else df).drop(_RANGE)
 
     def _write(self, df: DataFrame) -> None:

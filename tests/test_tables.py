@@ -64,7 +64,9 @@ def test_conf_is_restored(spark, tmp_path):
     table = RangeTable.create(spark.range(10), str(tmp_path / "t"), "id", 1)
     assert table.bounds() == [] and spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
     empty = RangeTable.create(spark.range(10).limit(0), str(tmp_path / "e"), "id", 4)
-    assert empty.bounds() == []
+    assert empty.bounds() == [] and empty.read().columns == ["id"] and empty.read().count() == 0
+    assert table.delete(spark.range(10)) == [0] and table.read().count() == 0  # all rows gone
+    assert table.upsert(spark.range(3)) == [0] and sorted(r.id for r in table.read().collect()) == [0, 1, 2]
 
 
 @pytest.mark.parametrize("bounds", [[], [5], [1, 4, 6], list(range(0, 40, 3))])
