@@ -3,7 +3,8 @@
 1. Every text is normalised and keyed by a 64-bit hash; ids, lengths and keys go to a table.
 2. The directory has ``2 ** depth`` cells, one for each prefix of a key, and doubles until no cell holds more distinct keys than a
    bucket may.  A bucket is split only while it is overfull: cells whose keys fit in one bucket point at the same one.
-   The directory is a table in shared files and as deep as the data need.
+   The directory is a table in shared files.  Without a given capacity a bucket holds more keys where there are many, so that a
+   partition owns about ``BUCKETS`` of them; a given one makes the directory as deep as the data need.
 3. The texts go to the owner tasks of their buckets, which are ranges of keys.  The owner compares the bytes of texts with one key and chains those
    that differ.  A key with a fixed share of all rows is dealt in salted shares, which its owner compares again.
    The chains are written by bucket: the index.
