@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from realty_spark.functions import numbers as N
 
 OLDEST_DAYS, YOUNGEST_DAYS = 8 * 365, 6 * 365
+#: Ranks up to which Spark drops rows before the shuffle of a window (spark.sql.optimizer.windowGroupLimitThreshold by default).
+RANKED = 1000
 
 
 def due(clients: DataFrame, day: Column) -> DataFrame:
@@ -74,15 +76,33 @@ def with_weight(rows: DataFrame) -> DataFrame:
     return joined.withColumn("weight", F.col("__upto") - F.col("__place") + 1).drop("__c", "__d", "__upto", "__place")
 
 
+def _upper(rows: DataFrame) -> DataFrame:
+    """The rows of each client down to the level of keys that holds the last one wanted; ``rows`` have __key below 0.
+
+    Levels are eighths of an octave of the key.  Their counts merge before the shuffle, so a client is some hundred rows for its owner
+    however many sales it has; what stays is what is wanted and the rest of one level.
+    """
+    level = F.floor(8 * F.log2(-F.col("__key")))  # ascends from the keys next to 0, which win
+    counts = rows.groupBy("client_id", "wanted", level.alias("__level")).agg(F.count("*").alias("__k"))
+    before = Window.partitionBy("client_id", "wanted").orderBy("__level").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    last = counts.filter("__before < wanted").groupBy("client_id", "wanted").agg(F.max("__level").alias("__last"))
+    last = last.select(F.col("client_id").alias("__c"), F.col("wanted").alias("__w"), "__last")
+    found = rows.join(last, F.col("client_id").eqNullSafe(F.col("__c")) & (F.col("wanted") == F.col("__w")))
+    return found.filter(level <= F.col("__last")).drop("__c", "__w", "__last")
+
+
 def weighted_sample(rows: DataFrame, seed: int, most: int) -> DataFrame:
     """Up to ``wanted`` rows of each client without replacement, by weight (Efraimidis-Spirakis keys ln(u) / w).
 
     u depends on (seed, client, address) alone, so reruns and repartitioning draw the same.  ``most``: a bound of ``wanted`` that the ranking
-    can be cut by before the shuffle.
+    is cut by before the shuffle, so that a partition sends on at most that many rows of a client.  Spark cuts up to RANKED rows; beyond
+    that counts by level of the key tell which rows can be drawn.  Both draw the same.
     """
     u = N.uniform(F.lit(seed), F.col("client_id"), F.col("address_id"))
     w = Window.partitionBy("client_id").orderBy(F.desc("__key"), "address_id")
-    ranked = rows.withColumn("__key", F.ln(u) / F.col("weight")).withColumn("rn", F.row_number().over(w))
+    keyed = rows.withColumn("__key", F.ln(u) / F.col("weight"))
+    ranked = (_upper(keyed) if most > RANKED else keyed).withColumn("rn", F.row_number().over(w))
     return ranked.filter((F.col("rn") <= most) & (F.col("rn") <= F.col("wanted"))).drop("__key")
 
 

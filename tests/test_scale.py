@@ -1,4 +1,4 @@
-"""Prefix sums and places against sorting, streams that read no earlier output, exports that are run again, and inputs that are scanned once."""
+"""Prefix sums and places against sorting, weighted draws without whole groups, streams that read no earlier output, exports that are run again, and inputs that are scanned once."""
 
 import random
 import shutil
@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from realty_spark.operators import prefix, slices
+from realty_spark.operators import assign, prefix, slices
 from realty_spark.plans import pipeline
 from realty_spark.schemas import RAW_SALE
 from realty_spark.sources import files
@@ -123,3 +123,39 @@ def test_enrichment_scans_its_input_once(spark, tmp_path):
     assert {(x.stage, x.n_in, x.n_out, x.n_rejected) for x in out.stats.collect()} >= {("normalize", 30, 30, 0), ("resolve", 30, 30, 0), ("geocode", 30, 15, 15), ("certificates", 15, 15, 0), ("load", 15, 15, 0)}
     assert out.rows.count() == 15 and out.report.count() == 15 and out.certificates.count() == 3 and out.rows.filter("dpe_number = 'D1'").count() == 3
     assert passed.value == 30
+
+
+def offered(spark):
+    """One client with most of the rows, one with fewer than wanted, one who wants none, one without a number, and equal weights."""
+    rows = [(c, i, w, 1 + i % m) for c, n, w, m in ((1, 3000, 40, 3000), (2, 5, 40, 2), (3, 50, 0, 7), (4, 50, None, 7), (5, 400, 1, 1), (None, 60, 7, 60)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "client_id long, address_id long, wanted int, weight long").repartition(7)
+
+
+def drawn_by_sorting(df):
+    keyed = df.withColumn("key", F.ln(assign.N.uniform(F.lit(11), F.col("client_id"), F.col("address_id"))) / F.col("weight")).collect()
+    out = set()
+    for c in {r.client_id for r in keyed}:
+        own = sorted((r for r in keyed if r.client_id == c), key=lambda r: (-r.key, r.address_id))
+        out |= {(c, r.address_id, k) for k, r in enumerate(own, 1) if k <= (r.wanted or 0)}
+    return out
+
+
+@pytest.mark.parametrize("ranked", [1000, 0])
+def test_weighted_draws(spark, monkeypatch, ranked):
+    """Ranks cut by Spark and rows cut by levels of the keys draw what sorting each client draws."""
+    monkeypatch.setattr(assign, "RANKED", ranked)
+    rows, df = offered(spark)
+    got = [(r.client_id, r.address_id, r.rn) for r in assign.weighted_sample(df, 11, 40).collect()]
+    assert len(got) == len(set(got)) and set(got) == drawn_by_sorting(df)
+    assert assign.weighted_sample(df.limit(0), 11, 40).count() == 0
+
+
+def test_draws_send_few_rows(spark):
+    """Up to RANKED rows a partition ranks its own before the shuffle; beyond, levels leave little more than is wanted."""
+    rows, df = offered(spark)
+    plan = assign.weighted_sample(df, 11, 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit", plan.index("Exchange")) > plan.index("Exchange")
+    assert "Partial" in plan
+    keyed = df.withColumn("__key", F.ln(assign.N.uniform(F.lit(11), F.col("client_id"), F.col("address_id"))) / F.col("weight"))
+    left = {r.client_id: r["count"] for r in assign._upper(keyed).groupBy("client_id").count().collect()}
+    assert 40 <= left[1] <= 60 and left[2] == 5 and 1 <= left[5] <= 10 and 3 not in left and 4 not in left
