@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from realty_spark.llm.words import SPACE, U, mix, slices, utf8_column, word_hashes, word_spans
 
-#: Expected number of labelled documents that the field is fitted on; the only bound of the fit.
-SAMPLE = 2000
+#: Bounds of the fit: expected number of labelled documents, and lines with a word that one of them may have to be among them.
+SAMPLE, MOST_LINES = 2000, 2000
 BOILERPLATE, CONTENT = 0, 1
 BINS = 8
 FEATURES = ("words", "symbols", "digits", "capitals", "ending", "duplicate", "bars", "word length", "repeats", "exclamations", "place")
@@ -230,19 +230,24 @@ class _Sample:
         return loss / self.n, np.concatenate([unary.ravel(), pair.ravel()])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """Fit on about ``sample`` documents with a 0/1 quality in ``labels`` (doc_id, quality), drawn by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> LineField:
+    """Fit on about ``sample`` documents with a 0/1 quality in ``labels`` (doc_id, quality), drawn by a hash of the id.
+
+    Of contrary labels of one id the lower counts.  Documents with over ``most_lines`` lines with a word are not learnt from, as the driver
+    gets a byte for each line and feature; rows that repeat an id are each learnt from.
+    """
     rows = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality")
     n = rows.count()
     draw = F.pmod(F.xxhash64(F.lit("crf"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    chosen = F.broadcast(rows.filter(draw < sample / max(n, 1)).dropDuplicates(["doc_id"]))  # about ``sample`` rows
+    chosen = F.broadcast(rows.filter(draw < sample / max(n, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality")))  # about ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0):
                 x = lines_of(*utf8_column(batch.column(0)))
-                bins = [x.bins[a:b].tobytes() for a, b in zip(x.at, x.at[1:])]
-                yield pa.record_batch([pa.array(bins, pa.binary()), batch.column(1)], ["bins", "quality"])
+                few = np.diff(x.at) <= most_lines
+                bins = [x.bins[a:b].tobytes() for a, b, own in zip(x.at, x.at[1:], few) if own]
+                yield pa.record_batch([pa.array(bins, pa.binary()), batch.column(1).filter(pa.array(few))], ["bins", "quality"])
 
     got = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "quality").mapInArrow(run, "bins binary, quality int")
     return LineField.fit(
