@@ -1,7 +1,10 @@
 """The llm operators against brute force, and on nulls, empties, ties, repeats and clashing column names."""
 
 import collections
+import fractions
+import functools
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("realty_spark.llm")
 
 from realty_spark.llm import bpe, chunks, crf, exact_dedup, langid, licenses, minhash, packing, ppm, suffixes  # noqa: E402
+from realty_spark.llm import queries as llm_queries  # noqa: E402
 from realty_spark.llm.queries import VOCABULARY  # noqa: E402
 
 SPACE = "[\x20\x09-\x0d]"
@@ -259,6 +263,51 @@ def test_chunks(spark, monkeypatch, least_hot):
     assert got[25].n_removed > 200 and got[15].n_removed == 0
 
 
+def chunks_again(raw):
+    """Byte by byte: a chunk ends at 16 bytes or more where the five upper bits of the rolling hash are zero, and at 1024 bytes."""
+    h, start, out = 0, 0, []
+    for i, b in enumerate(raw, 1):
+        h = ((h << 1) + int(chunks._GEAR[b])) % 2**32
+        if i - start == 1024 or i - start >= 16 and h < 2**27:
+            out.append((start, i))
+            start = i
+    return out + [(start, len(raw))] * (start < len(raw))
+
+
+def passages_cut(rows):
+    """(text, n_bytes, n_removed, n_spans) by id: bytes of chunks seen before go where 96 or more of them follow each other."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        raw = (text or "").encode()
+        again = bytearray(len(raw))
+        for a, b in chunks_again(raw):
+            if raw[a:b] in seen:
+                again[a:b] = b"r" * (b - a)
+            seen.add(raw[a:b])
+        gone = []
+        for m in re.finditer(b"r+", bytes(again)):
+            a, b = m.span()
+            while a < b and 0x80 <= raw[a] < 0xC0:
+                a += 1
+            while a < b < len(raw) and 0x80 <= raw[b] < 0xC0:
+                b -= 1
+            if b - a >= 96:
+                gone.append((a, b))
+        kept = b"".join(bytes([c]) for k, c in enumerate(raw) if not any(a <= k < b for a, b in gone))
+        out[i] = (None if text is None else kept.decode(), len(raw), sum(b - a for a, b in gone), len(gone))
+    return out
+
+
+def test_chunk_query_is_brute_force(spark, tmp_path):
+    """Passages with letters of several bytes, in the middle, twice in one text, and cut short of the bound; whole tables."""
+    passage = " ".join(f"été{i}日本" for i in range(60))
+    rows = corpus() + [(200, "a " + passage + " b"), (201, "un " + passage + " deux " + passage), (202, passage[:30]), (203, "日" + passage[3:] * 2), (204, passage * 3)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_bytes, r.n_removed, r.n_spans) for r in llm_queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    want = passages_cut(rows)
+    assert got == want and want[201][3] >= 2 and sum(w[2] > 0 for w in want.values()) > 5
+
+
 def test_gear_is_rolling():
     raw = np.frombuffer(random.Random(1).randbytes(300), np.uint8)
     h, want = 0, []
@@ -394,6 +443,20 @@ def test_field_gradient():
         assert gradient[k] == pytest.approx(slope, abs=1e-7)
 
 
+def test_fit_of_contrary_labels_and_long_texts(spark):
+    """The lower of contrary labels counts, whatever the order of rows; texts with more lines than allowed are not learnt from."""
+    docs = [(i, "\n".join(["A plain sentence of words, which ends here."] * 5) if i % 2 else "BUY | NOW | 99\n" * 5) for i in range(40)]
+    labels = [(i, i % 2, 0) for i in range(40)]
+    fitted = lambda d, q, **k: crf.fit(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(q, "doc_id long, quality int, toxic int"), **k)
+    plain = fitted(docs, labels)
+    for extra in ([(1, 0, 0)], []):
+        one, two = fitted(docs, labels + extra), fitted(docs, (extra + labels)[::-1])
+        assert np.array_equal(one.unary, two.unary) and np.array_equal(one.pair, two.pair)
+        assert np.array_equal(one.unary, plain.unary) == (not extra)
+    long = fitted(docs + [(90, "word\n" * 60), (91, None)], labels + [(90, 1, 0), (91, 0, 0), (None, 1, 0), (3, None, 0)], most_lines=50)
+    assert np.allclose(long.unary, fitted(docs + [(91, None)], labels + [(91, 0, 0)]).unary)
+
+
 def test_linear_grouping():
     r = random.Random(4)
     for _ in range(500):
@@ -458,6 +521,34 @@ def test_packing_holds_targets(spark, monkeypatch):
     assert sum(r.length for r in merged) == 140 * 51 and {r.source for r in merged} == set("abc")
 
 
+def test_mixture_query_serves_token_by_token(spark, tmp_path, monkeypatch):
+    """The query against a queue served one token at a time: the next goes to the source that has the least for its weight."""
+    from tokenizers import Tokenizer
+
+    rows = [(i, None if i == 5 else f"word {i} " * (i % 90), None if i % 11 == 0 else f"s{i % 5}" if i % 3 else "hot") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("pack", "mixture"):
+        monkeypatch.setattr(llm_queries, name, functools.partial(getattr(packing, name), length=64, window=1024))
+    got = {(r.window, r.source): r.tokens for r in llm_queries.packing_mixture(spark, str(tmp_path)).collect()}
+    t, left = Tokenizer.from_file(VOCABULARY), collections.Counter()
+    for _, text, source in rows:
+        left[source] += len(t.encode(text or "", add_special_tokens=False).ids) + 1
+    assert {s: sum(n for (_, x), n in got.items() if x == s) for s in left} == left
+    weight = {s: 1 + zlib.crc32((s or "").encode()) % 4 for s in left}
+    heap, so_far, served = [(fractions.Fraction(1, 2 * weight[s]), s or "", s) for s in left], collections.Counter(), 0
+    heapq.heapify(heap)
+    windows = sum(left.values()) // 1024
+    assert windows > 10
+    for w in range(windows):
+        for _ in range(1024):
+            _, name, s = heapq.heappop(heap)
+            so_far[s] += 1
+            if so_far[s] < left[s]:
+                heapq.heappush(heap, (fractions.Fraction(2 * so_far[s] + 1, 2 * weight[s]), name, s))
+        assert sum(got.get((w, s), 0) for s in left) == 1024
+        assert all(abs(sum(got.get((v, s), 0) for v in range(w + 1)) - so_far[s]) <= 1 for s in left)
+
+
 def test_windows_hold_the_mixture():
     s = packing.Schedule([5000, 3000, 2000], [5000, 3000, 2000], window=100, length=20)
     for w in range(100):
