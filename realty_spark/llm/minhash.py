@@ -114,7 +114,8 @@ def _alike(pairs: DataFrame, least: int, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs u, v those whose full sets reach the similarity.
 
-    The text of v meets those of its partners in one task; a v with many partners is copied to several.
+    The text of v meets those of its partners in one task; a v with over ``BLOCK`` partners is copied to several.  Pairs look up those alone:
+    they are at most one in ``BLOCK`` of the pairs, so that Spark seldom has to deal the pairs by v.
     """
     parts = F.ceil(F.count("*") / BLOCK).cast("int")
     shares = pairs.groupBy("v").agg(parts.alias("shares"))
@@ -122,9 +123,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
         "v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("u"), "body"
     )
     around = (
-        pairs.join(shares, "v")
+        pairs.join(shares.filter("shares > 1"), "v", "left")
         .join(texts, F.col("u") == F.col("node"))
-        .select("v", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int").alias("share"), "u", "body")
+        .select("v", F.pmod(F.xxhash64("u"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"), "u", "body")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
