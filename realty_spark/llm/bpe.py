@@ -11,7 +11,8 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,16 @@ import regex
 from pyspark.sql import DataFrame
 
 from realty_spark.llm.shared import tune
-from realty_spark.llm.words import slices
+from realty_spark.llm.words import slices, utf8_column
 
 #: Entries after which a worker's table of words starts anew: some 80 MB.
 MAX_ENTRIES = 400_000
 #: The rank of pairs that are not merged.
 NONE = np.iinfo(np.int32).max
+#: Code points below this have their kind in a table; words with others, or with an apostrophe, are cut into pieces by the pattern.
+PLAIN = 0x250
+#: Words whose ids are gathered at once.
+GATHERED = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -46,9 +51,12 @@ class ForcedBoundaryBpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
+        self.width = 4 if decoding or len(self.tokens) > 1 << 16 else 2  # bytes of an id in the table of words
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.pieces_of = regex.compile(rf"\n|{pieces}")
         self.odd = regex.compile("[\x1c-\x1f]")
+        kinds = [3 if c == "'" else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 0 for c in map(chr, range(PLAIN))]
+        self.kinds = np.array([*kinds, 3], np.uint8)  # 1: letter, 2: digit, a piece of its own, 3: by the pattern, 0: all else
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         symbols = byte_symbols()
         self.inner = np.array([self.vocab[c] for c in symbols], np.int32)
@@ -115,16 +123,37 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x is not None]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of normalised words without white space; all their fragments are merged side by side."""
-        pieces = self.pieces_of.findall("\n".join(words))
-        raw = np.frombuffer(("\n".join([p for p in pieces if p != "\n"]) + "\n").encode(), np.uint8)
-        if len(raw) < 2:
-            return [np.empty(0, np.int32)] * len(words)
-        breaks = raw == 10
-        ends_piece = np.append(breaks[1:], False)  # the last byte of each piece
-        keep = ~breaks
-        body, last = raw[keep], ends_piece[keep]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of normalised words without white space, ``width`` bytes each."""
+        if not words:
+            return []
+        points = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), "<u4")
+        kinds, breaks = self.kinds[np.minimum(points, PLAIN)], points == 10
+        ends = np.flatnonzero(breaks)
+        odd = np.logical_or.reduceat(kinds == 3, np.concatenate([[0], ends[:-1] + 1]))
+        if odd.any():
+            by_pattern = iter(self._by_pattern([words[i] for i in np.flatnonzero(odd)]))
+            plain = iter(self.encode_words([words[i] for i in np.flatnonzero(~odd)]))
+            return [next(by_pattern if x else plain) for x in odd.tolist()]
+        last = np.append(breaks[1:] | (kinds[1:] != kinds[:-1]) | (kinds[:-1] == 2), True)
+        keep, at = ~breaks, np.cumsum(np.where(breaks, 0, np.where(points < 0x80, 1, 2)))
+        ends_piece = np.zeros(at[-1], bool)
+        ends_piece[at[last & keep] - 1] = True
+        return self._merged(np.frombuffer("".join(words).encode(), np.uint8), ends_piece, at[ends])
+
+    def _by_pattern(self, words: list[str]) -> list[bytes]:
+        """The same for words that need the pattern to be cut into pieces."""
+        pieces = [self.pieces_of.findall(w) for w in words]
+        sizes = np.array([len(p.encode()) for p in chain.from_iterable(pieces)], np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ends_piece = np.zeros(at[-1], bool)
+        ends_piece[at[1:] - 1] = True
+        return self._merged(np.frombuffer("".join(chain.from_iterable(pieces)).encode(), np.uint8), ends_piece, at[np.cumsum([len(p) for p in pieces])])
+
+    def _merged(self, body: np.ndarray, last: np.ndarray, word_ends: np.ndarray) -> list[bytes]:
+        """The ids of each word, from all bytes, whether they end a piece, and where words end; all fragments are merged side by side."""
+        if not len(body):
+            return [b""] * len(word_ends)
         ids = np.where(last, self.last[body], self.inner[body])
         cut = last.copy()
         cut[:-1] |= ~self.joined[body[:-1], body[1:]]
@@ -155,31 +184,26 @@ class ForcedBoundaryBpe:
             out[(at[some][:, None] + np.arange(rows.shape[1]))[full]] = rows[full]
         for i, got in long.items():
             out[at[i] : at[i + 1]] = got
-        # fragments -> pieces -> words
-        by_piece = at[np.concatenate([[0], np.flatnonzero(last[ends - 1]) + 1])]
-        n_pieces = np.zeros(len(words), np.int64)
-        is_break = np.fromiter((p == "\n" for p in pieces), bool, len(pieces))
-        np.add.at(n_pieces, np.cumsum(is_break)[~is_break], 1)
-        return np.split(out, by_piece[np.cumsum(n_pieces)[:-1]])
-
-    def learn(self, words: list[list[str]]) -> None:
-        """Put the words that the table lacks into it."""
-        all_ = set().union(*words)
-        new = all_.difference(self.ids)
+        by_word = (at[np.searchsorted(ends, word_ends, "right")] * self.width).tolist()
+        raw = out.astype(f"<u{self.width}").tobytes()
+        return [raw[a:b] for a, b in zip([0, *by_word], by_word)]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Put those of distinct words that the table lacks into it."""
+        new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > MAX_ENTRIES:
             self.ids.clear()
             self.shown.clear()
-            new = all_
+            new = list(words)
         for w in [w for w in new if w[0] == " "]:
-            self.ids[w], self.shown[w] = self.added[w[1:]].to_bytes(4, "little"), w[1:]
-            new.remove(w)
-        new = list(new)
+            self.ids[w], self.shown[w] = self.added[w[1:]].to_bytes(self.width, "little"), w[1:]
+        new = [w for w in new if w[0] != " "]
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
-            for w, ids in zip(some, self.encode_words(some)):
-                self.ids[w] = ids.tobytes()
-                if self.decoding:
-                    self.shown[w] = self.decode(ids.tolist())
+            got = self.encode_words(some)
+            self.ids.update(zip(some, got))
+            if self.decoding:
+                self.shown.update((w, self.decode(np.frombuffer(x, f"<u{self.width}").tolist())) for w, x in zip(some, got))
 
     def forget(self) -> None:
         """Empty the tables: a worker that has ended a task holds no memory that its next one, of any kind, may need."""
@@ -206,12 +230,33 @@ class ForcedBoundaryBpe:
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids of each text as little-endian unsigned 32-bit integers, and the decoded text."""
         words = [self.split(t) if t else [] for t in texts]
-        self.learn(words)
+        self.learn(set().union(*words))
         ids = [b"".join(map(self.ids.__getitem__, ws)) for ws in words]
-        if not self.decoding:
-            return [(x, "") for x in ids]
         return [(x, " ".join(filter(None, map(self.shown.__getitem__, ws)))) for x, ws in zip(ids, words)]
 
+    def encode_ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, ``width`` bytes each; words are looked up once a batch, and their ids gathered in numpy."""
+        words = [self.split(t) if t else [] for t in texts]
+        ends = np.cumsum([len(ws) for ws in words])
+        lines = "\n".join(chain(chain.from_iterable(words), [""])).encode()
+        del words
+        offsets = np.concatenate([[0], np.flatnonzero(np.frombuffer(lines, np.uint8) == 10) + 1])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(lines)]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        distinct = utf8_column(coded.dictionary)[0].tobytes().decode().split("\n")[:-1]
+        self.learn(distinct)
+        known = [self.ids[w] for w in distinct]
+        sizes = np.array([len(x) // self.width for x in known], np.int64)
+        pool, first = np.frombuffer(b"".join(known), f"<u{self.width}"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        raw = []
+        for i in range(0, len(codes), GATHERED):
+            own, size = codes[i : i + GATHERED], n[i : i + GATHERED]
+            shift = first[own] - (np.cumsum(size) - size)
+            raw.append(pool[np.arange(size.sum()) + np.repeat(shift, size)].tobytes())
+        whole, at = b"".join(raw), (np.concatenate([[0], np.cumsum(n)])[ends] * self.width).tolist()
+        return [whole[a:b] for a, b in zip([0, *at], at)]
+
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
         return " ".join([self.tokens[i] for i in ids])

@@ -115,11 +115,11 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, text_col: str, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary, False)
-        width = 2 if len(bpe.tokens) <= 1 << 16 else 4
+        width = bpe.width
         part, so_far, end = TaskContext.get().partitionId(), {}, end_id.to_bytes(width, "little")
         for batch in batches:
             for rows in slices(batch, 3, 2 << 20):
-                ids = [narrow(x, width) + end for x, _ in bpe.encode_batch(rows.column(3).to_pylist())]
+                ids = [x + end for x in bpe.encode_ids(rows.column(3).to_pylist())]
                 n, at = [len(x) // width for x in ids], []
                 for source, k in zip(rows.column(2).to_pylist(), n):
                     at.append(so_far.get(source, 0))
@@ -206,11 +206,6 @@ def mixture(pieces: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Da
     return pieces.groupBy(F.floor(F.col("sequence_id") / (window // length)).alias("window"), "source").agg(F.sum("length").alias("tokens"))
 
 
-def narrow(raw: bytes, width: int) -> bytes:
-    """Ids of 4 bytes as ``width`` bytes each."""
-    return raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-
-
 def wide(raw: bytes, width: int) -> bytes:
     """Ids of ``width`` bytes as 4 bytes each."""
     return raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()

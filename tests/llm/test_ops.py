@@ -479,6 +479,24 @@ def test_bpe_is_the_tokenizer(spark):
         assert got[i].decoded == t.decode(ids, skip_special_tokens=False)
 
 
+def test_ids_of_a_batch_are_gathered(monkeypatch):
+    """Ids by distinct words, two bytes each, against the library: words of all kinds, in parts, with a table of words that starts anew."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    texts = [None, "", "\n", "I'll 'S it's", "a1b22²x ªº µ_ʰ ɏ ɐ", "ΟΔΥΣΣΕΥΣ İ ﬁ é", "<|endoftext|>a <|startoftext|>", "日本 😀", "\x1ca\x85b", "word. word, word*** " * 50, "ab" * 900]
+    texts += ["".join(r.choice("aAbé'ßΣ0१!?<|> \n\x1c　́²ªɏɐ_") for _ in range(40)) for _ in range(200)] + [None]
+    ids = [x.ids for x in Tokenizer.from_file(VOCABULARY).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    coder = bpe.ForcedBoundaryBpe(VOCABULARY, False)
+    assert coder.width == 2
+    for gathered, entries in ((bpe.GATHERED, bpe.MAX_ENTRIES), (7, 1)):
+        monkeypatch.setattr(bpe, "GATHERED", gathered)
+        monkeypatch.setattr(bpe, "MAX_ENTRIES", entries)
+        assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode_ids(texts)] == ids
+        assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode_ids(texts[3:9])] == ids[3:9]
+    assert coder.encode_ids([None]) == [b""]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
