@@ -8,12 +8,15 @@ deficits run on across windows and partitions.
 
 Within a window the queues lie one after the other, and the windows end to end are cut into sequences; the
 last tokens fill sequences of powers of two, so no sequence needs padding.
+
+The lengths of few sources are known to every task.  Those of many are known to none: their tokens are then sorted by virtual time,
+which gives the same windows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -23,17 +26,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from realty_spark.llm.bpe import loaded
-from realty_spark.llm.shared import Scratch
+from realty_spark.llm.shared import Scratch, partitions
 from realty_spark.llm.words import slices
 
 LENGTH = 2048
 #: Tokens of a mixture window: 64 sequences.
 WINDOW = 64 * LENGTH
-#: With more sources than this, sources share so many queues by their hash; each counts with the weight of its queue.
+#: The driver and the tasks hold the lengths of so many sources; those of more are sorted by Spark, token by token, with the same result.
 MAX_SOURCES = 10_000
 #: Numbers of tokens that a worker's schedule remembers: boundaries times queues.
 REMEMBERED = 1 << 20
 STEP = 256
+#: Documents of many sources meet their runs by cells of so many tokens of a source.
+CELL = 64
+#: Tokens whose times a task reckons at once.
+TIMED = 1 << 16
 _ONE = 1 << 62
 
 
@@ -76,7 +83,7 @@ class Schedule:
         for _ in range(served - sum(took)):
             s = min(
                 (s for s in range(len(took)) if took[s] < self.lengths[s]),
-                key=lambda s: ((2 * took[s] + 1) * _ONE // self.weights[s], s),
+                key=lambda s: (-(-(2 * took[s] + 1) * _ONE // (2 * self.weights[s])), (2 * took[s] + 1) * _ONE // self.weights[s], s),
             )
             took[s] += 1
         return took
@@ -98,7 +105,11 @@ class Schedule:
 
     def pieces(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(sequence, offset there, offset in the document, length); no piece crosses a sequence."""
-        for at, done, left in self.places(queue, start, n):
+        return self.cut(self.places(queue, start, n))
+
+    def cut(self, places: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """The same for runs with known places in the packed stream."""
+        for at, done, left in places:
             while left:
                 if at < self.full:
                     sequence, begin, end = at // self.length, at // self.length * self.length, (at // self.length + 1) * self.length
@@ -110,29 +121,29 @@ class Schedule:
                 at, done, left = at + take, done + take, left - take
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int, text_col: str, id_col: str, source_col: str, queue: Column) -> DataFrame:
-    """doc_id, source, queue, part, at, n, ids: each text's ids, and where it begins among those of its queue in its task."""
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int, text_col: str, id_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, part, at, n, ids: each text's ids, and where it begins among those of its source in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary, False)
         width = bpe.width
         part, so_far, end = TaskContext.get().partitionId(), {}, end_id.to_bytes(width, "little")
         for batch in batches:
-            for rows in slices(batch, 3, 2 << 20):
-                ids = [x + end for x in bpe.encode_ids(rows.column(3).to_pylist())]
+            for rows in slices(batch, 2, 2 << 20):
+                ids = [x + end for x in bpe.encode_ids(rows.column(2).to_pylist())]
                 n, at = [len(x) // width for x in ids], []
-                for source, k in zip(rows.column(2).to_pylist(), n):
+                for source, k in zip(rows.column(1).to_pylist(), n):
                     at.append(so_far.get(source, 0))
                     so_far[source] = at[-1] + k
                 yield pa.record_batch(
-                    [rows.column(0), rows.column(1), rows.column(2), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "source", "queue", "part", "at", "n", "ids"],
+                    [rows.column(0), rows.column(1), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "source", "part", "at", "n", "ids"],
                 )
         bpe.forget()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), queue.alias("queue"), F.col(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, queue string, part int, at long, n long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, part int, at long, n long, ids binary")
 
 
 def pack(
@@ -149,36 +160,49 @@ def pack(
     """One row per piece: doc_id, source, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     ``targets``: a positive integer weight for each source, or a function of it; a source without one gets 1.  By default a source weighs
-    its number of tokens, so that every window has the mixture of the whole.  Over ``MAX_SOURCES`` sources share queues by hash, whose names are weighed.  A null source is a queue of its own.
+    its number of tokens, so that every window has the mixture of the whole.  A null source is a queue of its own.
     A null or empty text is its end id alone.  Rows that repeat an id are packed each for itself; null ids are
     carried; an empty table gives an empty result; other columns are not read.
 
-    Texts are tokenised once, into a table in the shared folder.  The driver gets one row per source.
+    Texts are tokenised once, into a table in the shared folder.  The driver gets one row per source, ``MAX_SOURCES`` and one at most;
+    of more sources Spark sorts a row for each token, to the same pieces.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    source = F.col(source_col).cast("string")
-    many = docs.select(source).distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES
-    queue = F.format_string("queue %d", F.pmod(F.xxhash64(source), F.lit(MAX_SOURCES))) if many else source
-    ids = scratch.save(tokenized(docs, vocabulary, end_id, text_col, id_col, source_col, queue), "ids")
-    sums = ids.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    by_part = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = scratch.save(sums.select("queue", "part", "n", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("base")), "bases")
-    queues = sorted(((r["queue"], r["n"]) for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda q: (q[0] is None, q[0] or ""))  # MAX_SOURCES rows and a null at most
-    lengths = [n for _, n in queues]
+    ids = scratch.save(tokenized(docs, vocabulary, end_id, text_col, id_col, source_col), "ids")
+    sums = ids.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = scratch.save(sums.select("source", "part", "n", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("base")), "bases")
+    sizes = bases.groupBy("source").agg(F.sum("n").alias("n"))
     weight = targets if callable(targets) else lambda s: targets.get(s, 1)
-    weights = [weight(s) for s, _ in queues] if targets else lengths
+    own = bases.select(F.col("source").alias("q"), F.col("part").alias("p"), "base")
+    placed = ids.join(own, F.col("source").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
+    found = sizes.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        total = bases.agg(F.sum("n")).first()[0]
+        sizes = sizes.withColumn("weight", F.udf(weight, "long")("source") if targets else F.col("n"))
+        rows = _sorted_places(scratch, placed, bases, sizes, window)
+        whole = Schedule([total], [1], window, length)
+        return _cut(rows, lambda n, places: whole.cut((p["at"], p["done"], p["n"]) for p in places))
+    queues = sorted(((r["source"], r["n"]) for r in found), key=lambda q: (q[0] is None, q[0] or ""))
+    lengths = [n for _, n in queues]
     number = {s: i for i, (s, _) in enumerate(queues)}
+    schedule = Schedule(lengths, [weight(s) for s, _ in queues] if targets else lengths, window, length)
+    rows = placed.select("doc_id", "source", "n", "ids", "source", (F.col("base") + F.col("at")).alias("start"))
+    return _cut(rows, lambda n, own, start: schedule.pieces(number[own], start, n))
+
+
+def _cut(rows: DataFrame, pieces: Callable[..., Iterator[tuple[int, int, int, int]]]) -> DataFrame:
+    """The pieces of rows of doc_id, source, n, ids and whatever else ``pieces`` goes by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Schedule(lengths, weights, window, length)
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
                 rows = batch.slice(i, STEP)
                 which, out, raws = [], [], []
-                for k, (own, base, at, n, raw) in enumerate(zip(*(rows.column(c).to_pylist() for c in range(2, 7)))):
+                for k, (n, raw, *own) in enumerate(zip(*(rows.column(c).to_pylist() for c in range(2, rows.num_columns)))):
                     width = len(raw) // n
-                    for sequence, offset, start, take in schedule.pieces(number[own], base + at, n):
+                    for sequence, offset, start, take in pieces(n, *own):
                         which.append(k)
                         out.append((start, take, n, sequence, offset))
                         raws.append(wide(raw[start * width : (start + take) * width], width))
@@ -191,14 +215,67 @@ def pack(
                     ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    placed = ids.alias("i").join(
-        bases.select(F.col("queue").alias("q"), F.col("part").alias("p"), "base"),
-        F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")),
-    )
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    return placed.select("doc_id", "source", "queue", "base", "at", "n", "ids").mapInArrow(
-        run, f"doc_id {kind}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    )
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def times(first: int, n: int, weight: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``Schedule`` orders tokens by, for ``n`` tokens of a queue: their virtual times, times 2, as a whole number and 62 binary places, with whether the unit begins after them."""
+    rest = 2 * np.arange(first, first + n, dtype=np.int64) + 1
+    rest, steps = (rest, (16, 16, 16, 14)) if weight < 1 << 46 else (rest.astype(object), (62,))
+    whole, rest, places = rest // weight, rest % weight, 0
+    for bits in steps:
+        rest = rest << bits
+        places, rest = places << bits | rest // weight, rest % weight
+    late = (places % 2 == 1) | (rest > 0)  # even and without a rest: it still belongs to the unit before
+    return whole.astype(np.int64), (2 * places + late).astype(np.int64)
+
+
+def _ranked(scratch: Scratch, rows: DataFrame, order: list[Column], keep: list[str], name: str) -> DataFrame:
+    """The columns ``keep`` of rows with their rank from 0: ranges are sorted in tasks, and each adds the sizes of those before it, one row a range."""
+    ranges = rows.repartitionByRange(partitions(scratch.spark), *order).sortWithinPartitions(*order)
+    nth = F.monotonically_increasing_id()
+    held = scratch.save(ranges.select(*keep, F.shiftright(nth, 33).alias("range"), nth.bitwiseAND((1 << 33) - 1).alias("nth")), name)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("range").agg(F.count("*").alias("size"))
+    bases = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ranked"))
+    return held.join(F.broadcast(bases), "range").select(*keep, (F.col("ranked") + F.col("nth")).alias("rank"))
+
+
+def _sorted_places(scratch: Scratch, placed: DataFrame, bases: DataFrame, sizes: DataFrame, window: int) -> DataFrame:
+    """doc_id, source, n, ids, places (at: in the packed stream, done: in the document, n) for any number of sources.
+
+    Tokens of all sources are ranked by their virtual times, ties by source; ``window`` ranks are a window, where the sources lie one after the other.
+    """
+
+    def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for queue, weight, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+                whole, places = times(first, n, weight)
+                yield pa.record_batch([pa.array(np.full(n, queue)), pa.array(np.arange(first, first + n)), pa.array(whole), pa.array(places)], ["queue", "k", "whole", "places"])
+
+    spark = scratch.spark
+    ranked = _ranked(scratch, sizes, [F.col("source").asc_nulls_last()], ["source", "weight"], "sources")
+    queues = ranked.select(F.col("source").alias("s"), "weight", F.col("rank").alias("queue"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    begin = F.explode(F.sequence("base", F.col("base") + F.col("n") - 1, F.lit(TIMED))).alias("first")
+    parts = bases.join(queues, same).select("queue", "weight", begin, (F.col("base") + F.col("n")).alias("end"))
+    parts = parts.select("queue", "weight", "first", F.least(F.lit(TIMED), F.col("end") - F.col("first")).alias("n")).repartition(partitions(spark), "queue", "first")
+    tokens = parts.mapInArrow(timed, "queue long, k long, whole long, places long")
+    order = _ranked(scratch, tokens, [F.col("whole"), F.col("places"), F.col("queue")], ["queue", "k"], "tokens")
+    runs = order.groupBy(F.expr(f"rank DIV {window}").alias("window"), "queue").agg(F.min("k").alias("first"), F.count("*").alias("took"))
+    before = Window.partitionBy("window").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("window") * window + F.coalesce(F.sum("took").over(before), F.lit(0))
+    cells = lambda first, n: F.explode(F.sequence(F.floor(first / CELL), F.floor((first + n - 1) / CELL)))
+    runs = runs.select("queue", "first", "took", at.alias("at")).withColumn("cell", cells(F.col("first"), F.col("took")))
+    start = (F.col("base") + F.col("at")).alias("start")
+    own = placed.join(queues, same).select("doc_id", "source", "queue", start, "n", "ids")
+    asked = own.select("queue", "start", "n").withColumn("cell", cells(F.col("start"), F.col("n")))
+    low, high = F.greatest("first", "start"), F.least(F.col("first") + F.col("took"), F.col("start") + F.col("n"))
+    met = asked.join(runs, ["queue", "cell"]).filter((low < high) & (F.floor(low / CELL) == F.col("cell")))
+    place = F.struct((F.col("at") + low - F.col("first")).alias("at"), (low - F.col("start")).alias("done"), (high - low).alias("n"))
+    places = met.groupBy("queue", "start").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    return own.join(places, ["queue", "start"]).select("doc_id", "source", "n", "ids", "places")
 
 
 def mixture(pieces: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:

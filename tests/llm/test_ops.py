@@ -8,6 +8,7 @@ import heapq
 import math
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -539,6 +540,29 @@ def test_packing_holds_targets(spark, monkeypatch):
     assert sum(r.length for r in merged) == 140 * 51 and {r.source for r in merged} == set("abc")
 
 
+def test_any_number_of_sources_keeps_its_queues(spark, monkeypatch):
+    """The pieces are the same whether the driver holds the sources or Spark sorts their tokens: nulls, equal sizes, weights of all kinds, repeated rows, one source apart."""
+    r = random.Random(8)
+    names = [None, "", "é", "b", "a", "Z", "\U0001f600", "\uffee"]
+    rows = [(i, None if i == 9 else "word " * (i % 5 * 9), names[i % 8]) for i in range(120)] + [(7, "x " * 700, "a"), (7, "x " * 700, "a"), (None, "y", "once")]
+    rows += [(1000 + i, "".join(r.choice("ab c") for _ in range(60)), f"s{r.randrange(9)}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    table = tempfile.mkdtemp() + "/documents"  # so that all calls read the same partitions
+    df.write.parquet(table)
+    df = spark.read.parquet(table)
+    for targets in (None, {None: 5, "": 2, "a": 3}, lambda s: (1 << 47) + 2 * len(s or "") if s != "b" else 1 << 40):
+        pieces = lambda: sorted(map(repr, packing.pack(df, VOCABULARY, targets=targets, length=64, window=256).collect()))  # noqa: E731, B023
+        few = pieces()
+        with monkeypatch.context() as m:
+            m.setattr(packing, "MAX_SOURCES", 3)
+            m.setattr(packing, "TIMED", 50)
+            assert pieces() == few
+    heavy = (1 << 31) - 1, (1 << 50) + 1, 3, 1 << 20
+    for w in heavy:
+        got = [a << 62 | b >> 1 for a, b in zip(*(x.tolist() for x in packing.times(5, 40, w)))]
+        assert got == [(2 * k + 1) * (1 << 62) // w for k in range(5, 45)]
+
+
 def test_mixture_query_serves_token_by_token(spark, tmp_path, monkeypatch):
     """The query against a queue served one token at a time: the next goes to the source that has the least for its weight."""
     from tokenizers import Tokenizer
