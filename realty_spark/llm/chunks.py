@@ -121,7 +121,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     added = ["n_bytes", "n_removed", "n_spans", "spans"]
     names = [c for c in docs.columns if c not in added]
     mark = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 31)).alias("mark")
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("doc_id"), mark, F.col(text_col).alias("body"))
+    rows = docs.select(F.struct(*(c for c in names if c != text_col)).alias("row"), F.col(id_col).alias("doc_id"), mark, F.col(text_col).alias("body"))
     chunks = chunked(rows)
     scratch = Scratch(docs.sparkSession, "chunks")
     owners = chunks.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"), F.count("*").alias("n"))
@@ -144,6 +144,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         got = [(t, []) if t is None or n is None else cut_out(t, np.asarray(n), least_run) for t, n in zip(texts, numbers)]
         return pd.DataFrame({"text": [g[0] for g in got], "spans": [[{"start": a, "end": b} for a, b in g[1]] for g in got]})
 
+    cleaned = cleaned.asNondeterministic()  # else a filter on its result is pushed below it, and each text is cut twice, by two workers of a task
     joined = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its")), "left")
     out = joined.select("row", F.octet_length(F.coalesce("body", F.lit(""))).cast("long").alias("n_bytes"), cleaned("body", "numbers").alias("r"))
     return out.select(

@@ -27,6 +27,8 @@ BLOCK = 2048
 
 #: Minima of the long signatures, by which the nodes of a bucket that are not yet in one component are compared.
 LONG = 1024
+#: Values of the functions that a worker holds at once.
+HELD = 1 << 18
 
 
 def hash_family(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -39,11 +41,12 @@ def hash_family(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
 def signatures(sets: np.ndarray, at: np.ndarray, n: int, seed: int = 20) -> np.ndarray:
     """Minima of ``n`` functions over each set; of empty sets the largest value."""
     a, b = hash_family(n, seed)
+    step = max(1, HELD // n)
     out = np.full((len(at) - 1, n), 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
         for i in range(len(at) - 1):
-            for j in range(at[i], at[i + 1], 2048):
-                s = sets[j : min(j + 2048, at[i + 1])]
+            for j in range(at[i], at[i + 1], step):
+                s = sets[j : min(j + step, at[i + 1])]
                 low = ((s[None, :] * a[:, None] + b[:, None]) >> U(32)).min(1).astype(np.uint32)
                 np.minimum(out[i], low, out=out[i])
     return out

@@ -77,10 +77,10 @@ def word_spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words by prefix sums of a polynomial, mixed with the length."""
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of words by prefix sums of a polynomial, mixed with the length; ``step``: bytes that are summed at once."""
     out = np.empty(len(starts), np.uint64)
-    step, i = 1 << 20, 0
+    i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             lo = starts[i]
@@ -102,7 +102,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
     """
     low = LOWER[raw]
     starts, ends, at = word_spans(low, offsets)
-    h = word_hashes(low, starts, ends)
+    h = word_hashes(low, starts, ends, 1 << 17)
     n_words = np.diff(at)
     with np.errstate(over="ignore"):
         acc = np.zeros(max(0, len(h) - k + 1), np.uint64)

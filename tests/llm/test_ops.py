@@ -309,6 +309,17 @@ def test_chunk_query_is_brute_force(spark, tmp_path):
     assert got == want and want[201][3] >= 2 and sum(w[2] > 0 for w in want.values()) > 5
 
 
+def test_stage_cuts_each_text_once(spark):
+    """A filter on the cut texts is not answered by a second evaluation below it, and texts are dealt once."""
+    import corpus_pipeline as P
+
+    docs = frame(spark, corpus(n=30)).select("doc_id", "text", "lang", "source", "n_chars")
+    for out in (P.substrings(spark, docs, ""), chunks.substring_dedup(docs)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [cleaned(") == 1
+        assert not re.search("struct\\([^)]*text, text#", plan)
+
+
 def test_gear_is_rolling():
     raw = np.frombuffer(random.Random(1).randbytes(300), np.uint8)
     h, want = 0, []
@@ -723,6 +734,39 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("n", [128, 1024])
+def test_signatures_hold_little(n):
+    import tracemalloc
+
+    from realty_spark.llm.words import shingle_sets
+
+    r = np.random.default_rng(4)
+    sets, at = np.sort(r.integers(0, 1 << 63, 7000, dtype=np.uint64)), np.array([0, 5000, 5000, 5001, 7000])
+    tracemalloc.start()
+    got = minhash.signatures(sets, at, n)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    a, b = minhash.hash_family(n)
+    for x, p, q in zip(got, at, at[1:]):
+        want = [min(((v * i + j) % 2**64 >> 32 for v in sets[p:q].tolist()), default=0xFFFFFFFF) for i, j in list(zip(a.tolist(), b.tolist()))[:8]]
+        assert x[:8].tolist() == want
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    raw = np.frombuffer(b"word and word " * 150_000, np.uint8)
+    shingle_sets(raw, np.array([0, len(raw)]))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
+def test_hashes_of_words_do_not_depend_on_the_step():
+    from realty_spark.llm.words import word_hashes, word_spans
+
+    raw = np.frombuffer(b" ".join(b"ab" * (i % 7) + b"c" * (i % 5) for i in range(400)) + b" " + b"x" * 900, np.uint8)
+    starts, ends, _ = word_spans(raw, np.array([0, len(raw)]))
+    whole = word_hashes(raw, starts, ends)
+    assert all((word_hashes(raw, starts, ends, step) == whole).all() for step in (1, 50, 700))
+
+
 def test_components(spark):
     import uuid
 
