@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from realty_spark.functions import numbers as N
 
 OLDEST_DAYS, YOUNGEST_DAYS = 8 * 365, 6 * 365
+#: Clients meet sales in blocks of 2 ** BLOCK_BITS places of a group's order and in shares of about SHARE clients, which bounds what meets under one key.
+BLOCK_BITS, SHARE = 12, 4096
 #: Ranks up to which Spark drops rows before the shuffle of a window (spark.sql.optimizer.windowGroupLimitThreshold by default).
 RANKED = 1000
 
@@ -48,32 +50,93 @@ def search(sales: DataFrame, city: str | None = None, types: list[str] | None =
     return sales
 
 
+def _old(sales: DataFrame, as_of: Column) -> DataFrame:
+    return sales.filter(F.col("sale_date").between(F.date_sub(as_of, OLDEST_DAYS), F.date_sub(as_of, YOUNGEST_DAYS)))
+
+
+def _cells(clients: DataFrame) -> DataFrame:
+    """(client_id, wanted, city_id, __type) without repeats; a null type is any, and then its city has no other."""
+    wish = clients.select("client_id", F.col("addresses_per_report").alias("wanted"), F.explode(F.array_distinct("chosen_cities")).alias("city_id"), "property_type_preferences")
+    wish = wish.filter("city_id IS NOT NULL").select("client_id", "wanted", "city_id", F.explode_outer("property_type_preferences").alias("__type"))
+    types = wish.groupBy("client_id", "wanted", "city_id").agg(F.bool_or(F.col("__type").isNull()).alias("__any"), F.collect_set("__type").alias("__types"))
+    return types.select("client_id", "wanted", "city_id", F.explode_outer(F.when(~F.col("__any"), F.col("__types"))).alias("__type"))
+
+
+def _in_cells(cells: DataFrame, sales: DataFrame, on: list[str] = []) -> DataFrame:
+    """``cells`` joined with the sales that lie in them (and agree in ``on``)."""
+    typed = cells.filter("__type IS NOT NULL").withColumnRenamed("__type", "property_type").join(sales, [*on, "city_id", "property_type"])
+    free = cells.filter("__type IS NULL").drop("__type").join(sales, [*on, "city_id"])
+    return typed.unionByName(free.select(typed.columns))
+
+
+def _placed(sales: DataFrame, clients: DataFrame, as_of: Column, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, placed, sizes): clients by group ``__g``; the old sales of each group with their place ``__r`` from 1, the newest, and its
+    ``__shares``; and the number of its sales ``__n``.
+
+    A group is what clients wish alike: all their cells if ``whole``, so that the place is a weight, else each cell.
+    """
+    one = F.struct("city_id", "__type")
+    cells = _cells(clients)
+    held = cells.groupBy("client_id", "wanted").agg(F.array_sort(F.collect_set(one)).alias("__cells")) if whole else cells.withColumn("__cells", F.array(one))
+    held = held.withColumn("__g", F.md5(F.to_json("__cells")))
+    groups = held.groupBy("__g").agg(F.first("__cells").alias("__cells"), F.ceil(F.count("*") / SHARE).cast("int").alias("__shares"))
+    rows = _in_cells(groups.select("__g", "__shares", F.inline("__cells")), _old(sales, as_of))
+    sizes = rows.groupBy("__g", "__shares").agg(F.count("*").alias("__n"))
+    return held.select("client_id", "wanted", "__g"), with_weight(rows, "__g", "__r"), sizes
+
+
+def _before(assigned: DataFrame, clients: DataFrame) -> DataFrame:
+    """What was assigned to these clients, without repeats."""
+    return assigned.select("client_id", "address_id").join(clients.select("client_id").distinct(), "client_id", "left_semi").distinct()
+
+
+def _spans(members: DataFrame, placed: DataFrame, sizes: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The places of its group that are left to a member, those of sales that it was assigned before being taken out: it has all between
+    ``__lo`` and ``__hi``, each ``__shift`` places lower than in the group; ``__left`` are its sales in all spans, of which the first begins at 0.
+    """
+    taken = _before(assigned, members).join(placed.select("__g", "address_id", "__r"), "address_id").join(members, ["client_id", "__g"])
+    own = Window.partitionBy("client_id", "wanted", "__g")
+    place = own.orderBy("__r")
+    edges = members.withColumn("__r", F.lit(0).cast("long")).unionByName(taken.select("client_id", "wanted", "__g", "__r"))
+    spans = edges.withColumns({"__next": F.lead("__r").over(place), "__shift": F.row_number().over(place) - 1, "__taken": F.count("*").over(own) - 1}).join(sizes, "__g")
+    return spans.select(
+        "client_id", "wanted", "__g", F.col("__r").alias("__lo"), F.coalesce("__next", F.col("__n") + 1).alias("__hi"), "__shift", (F.col("__n") - F.col("__taken")).alias("__left"), "__shares"
+    )
+
+
+def _met(spans: DataFrame, placed: DataFrame, likely: Column | None = None) -> DataFrame:
+    """Each member with each of its sales and its ``weight``, where ``likely``.  Shuffled are spans by block and sales by group, and none of the pairs."""
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    few = spans.filter(F.col("__hi") - F.col("__lo") > 1).withColumn("__block", F.explode(F.sequence(block(F.col("__lo") + 1), block(F.col("__hi") - 1))))
+    few = few.withColumn("__share", F.pmod(F.xxhash64("client_id", "wanted"), F.col("__shares")).cast("int")).drop("__shares")
+    many = placed.withColumns({"__block": block(F.col("__r")), "__share": F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))}).drop("__shares")
+    between = (F.col("__r") > F.col("__lo")) & (F.col("__r") < F.col("__hi"))
+    met = few.join(many, ["__g", "__block", "__share"]).filter(between if likely is None else between & likely)
+    return met.withColumn("weight", F.col("__r") - F.col("__shift")).drop("__g", "__block", "__share", "__lo", "__hi", "__r", "__shift")
+
+
 def eligible(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Column) -> DataFrame:
     """(client_id, wanted, sale columns): sales 6 to 8 years old in a chosen city and of a chosen type, not yet assigned to the client.
 
-    No chosen types is no restriction.  Clients meet sales by an equal join on (city, type) after the age window has cut the sales down.
+    No chosen types is no restriction.  Sales are placed in the order of their city and type, in which a client has all but those that it was assigned.
     """
-    old = sales.filter(F.col("sale_date").between(F.date_sub(as_of, OLDEST_DAYS), F.date_sub(as_of, YOUNGEST_DAYS)))
-    wish = clients.select("client_id", F.col("addresses_per_report").alias("wanted"), F.explode(F.array_distinct("chosen_cities")).alias("city_id"), "property_type_preferences")
-    wish = wish.select("client_id", "wanted", "city_id", F.explode_outer(F.array_distinct("property_type_preferences")).alias("__type"))
-    typed = wish.filter("__type IS NOT NULL").withColumnRenamed("__type", "property_type").join(old, ["city_id", "property_type"])
-    free = wish.filter("__type IS NULL").drop("__type").join(old, "city_id")
-    return typed.unionByName(free.select(typed.columns)).join(assigned.select("client_id", "address_id").distinct(), ["client_id", "address_id"], "left_anti")
+    members, placed, sizes = _placed(sales, clients, as_of, whole=False)
+    return _met(_spans(members, placed, sizes, assigned), placed).drop("weight", "__left")
 
 
-def with_weight(rows: DataFrame) -> DataFrame:
+def with_weight(rows: DataFrame, of: str = "client_id", name: str = "weight") -> DataFrame:
     """Linear weights: of a client's n rows the oldest has n and the newest 1.
 
     Days are counted first and summed up from the newest; a row's weight is that sum less its place within its day, so a
     client's rows are sorted by day and not as a whole.
     """
-    days = rows.groupBy("client_id", "sale_date").agg(F.count("*").alias("__k"))
-    newest = Window.partitionBy("client_id").orderBy(F.desc("sale_date")).rowsBetween(Window.unboundedPreceding, 0)
-    days = days.select(F.col("client_id").alias("__c"), F.col("sale_date").alias("__d"), F.sum("__k").over(newest).alias("__upto"))
-    place = F.row_number().over(Window.partitionBy("client_id", "sale_date").orderBy("address_id"))
+    days = rows.groupBy(of, "sale_date").agg(F.count("*").alias("__k"))
+    newest = Window.partitionBy(of).orderBy(F.desc("sale_date")).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select(F.col(of).alias("__c"), F.col("sale_date").alias("__d"), F.sum("__k").over(newest).alias("__upto"))
+    place = F.row_number().over(Window.partitionBy(of, "sale_date").orderBy("address_id"))
     placed = rows.withColumn("__place", place)
-    joined = placed.join(days, (F.col("client_id") == F.col("__c")) & F.col("sale_date").eqNullSafe(F.col("__d")))
-    return joined.withColumn("weight", F.col("__upto") - F.col("__place") + 1).drop("__c", "__d", "__upto", "__place")
+    joined = placed.join(days, (F.col(of) == F.col("__c")) & F.col("sale_date").eqNullSafe(F.col("__d")))
+    return joined.withColumn(name, F.col("__upto") - F.col("__place") + 1).drop("__c", "__d", "__upto", "__place")
 
 
 def _upper(rows: DataFrame) -> DataFrame:
