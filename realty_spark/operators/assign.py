@@ -124,6 +124,15 @@ def eligible(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: C
     return _met(_spans(members, placed, sizes, assigned), placed).drop("weight", "__left")
 
 
+def weighted(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Column) -> DataFrame:
+    """The rows of ``eligible`` with their linear weights: of a client's n rows the oldest has n and the newest 1.
+
+    Weights are places in the order of all clients with the same cities and types, less what was assigned to the client of newer sales.
+    """
+    members, placed, sizes = _placed(sales, clients, as_of, whole=True)
+    return _met(_spans(members, placed, sizes, assigned), placed).drop("__left")
+
+
 def with_weight(rows: DataFrame, of: str = "client_id", name: str = "weight") -> DataFrame:
     """Linear weights: of a client's n rows the oldest has n and the newest 1.
 

@@ -1,4 +1,4 @@
-"""Clients and their sales without a shuffle of the pairs: rows against brute force, and rows that are sent."""
+"""Clients and their sales without a shuffle of the pairs: rows and weights against brute force, and rows that are sent."""
 
 import datetime as dt
 import random
@@ -75,3 +75,19 @@ def test_eligible_sends_no_pairs(plain):
     """Before, every pair was sent to be held against what was assigned."""
     rows, most = sent(assign.eligible(*tables(plain)[3], as_of()))
     assert 0 < most < len(rows) / 2
+
+
+@pytest.mark.parametrize("bits, share", [(12, 4096), (3, 4)])
+def test_weights(spark, monkeypatch, bits, share):
+    monkeypatch.setattr(assign, "BLOCK_BITS", bits)
+    monkeypatch.setattr(assign, "SHARE", share)
+    sales, clients, assigned, made = tables(spark)
+    got = [(r.client_id, r.address_id, r.weight) for r in assign.weighted(*made, as_of()).collect()]
+    want = {(c, s[0], w) for c, (_, own) in pairs(sales, clients, assigned).items() for s, w in own}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_weights_send_no_pairs(plain):
+    """Places are those of wishes that clients share; before, each pair was placed and sent for itself."""
+    rows, most = sent(assign.weighted(*tables(plain, n_clients=400)[3], as_of()))
+    assert 0 < most < len(rows) / 2
