@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from realty_spark.functions import numbers as N
+from realty_spark.sources.files import shared_folder
 
 OLDEST_DAYS, YOUNGEST_DAYS = 8 * 365, 6 * 365
 #: Clients meet sales in blocks of 2 ** BLOCK_BITS places of a group's order and in shares of about SHARE clients, which bounds what meets under one key.
@@ -178,12 +179,63 @@ def weighted_sample(rows: DataFrame, seed: int, most: int) -> DataFrame:
     return ranked.filter((F.col("rn") <= most) & (F.col("rn") <= F.col("wanted"))).drop("__key")
 
 
-def assign(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Column, seed: int, count: int | None = None) -> DataFrame:
-    """New assignments of all given clients; ``count`` overrides the clients' own numbers."""
+def _bounded(spans: DataFrame, seed: int) -> DataFrame:
+    """Spans with what a row must reach to be drawn, in all likelihood: ``__rate``, below which -__key lies for some more rows than are wanted,
+    and ``__bar``, the least digits of u for that at the highest weight; null and '' where a good part of the rows is wanted.
+
+    1 - exp(-rate w) >= rate w - (rate w)^2 / 2, summed over the weights, gives the rate.
+    """
+    n, need = F.col("__left").cast("double"), F.least("wanted", "__left")
+    some = need + 7 * F.sqrt(need) + 30
+    s1, s2 = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
+    rate = F.when(some <= n / 4, 2 * some / (s1 + F.sqrt(s1 * s1 - 2 * s2 * some)))
+    least = F.greatest(F.floor(F.exp(-F.col("__rate") * n) * 4294967296.0) - 1, F.lit(0))
+    bar = F.coalesce(F.lpad(F.lower(F.hex(least)), 8, "0"), F.lit(""))
+    return spans.withColumn("__rate", rate).withColumns({"__bar": bar, "__salt": F.concat_ws("|", F.lit(seed).cast("string"), F.col("client_id").cast("string"))})
+
+
+def _likely(spans: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``_met`` above the bounds, with __key.  Digits are compared first, which few rows pass."""
+    own = F.concat("__salt", "__address")  # what N.uniform(seed, client, address) is made of, nulls left out
+    u = N.uniform(own)
+    above = F.col("__rate").isNull() | (F.ln(u) > -F.col("__rate") * (F.col("__r") - F.col("__shift")))
+    address = F.coalesce(F.concat(F.lit("|"), F.col("address_id").cast("string")), F.lit(""))
+    met = _met(spans, placed.withColumn("__address", address), (F.md5(own) >= F.col("__bar")) & above)
+    return met.withColumn("__key", F.ln(u) / F.col("weight")).drop("__rate", "__bar", "__salt", "__address", "__left")
+
+
+def _drawn(keyed: DataFrame) -> DataFrame:
+    w = Window.partitionBy("client_id", "wanted").orderBy(F.desc("__key"), "address_id")
+    return keyed.withColumn("rn", F.row_number().over(w)).filter("rn <= wanted").drop("__key")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def assign(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Column, seed: int, count: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """New assignments of all given clients, with ``columns`` of the sales, or all; ``count`` overrides the clients' own numbers.
+
+    Draws what ``weighted_sample`` draws of ``weighted``.  Each pair is looked at once, and those that can't win go where they are made.  What is drawn is
+    written to a new folder beside the checkpoints; clients who got too few for what they have are drawn again out of all their rows.
+    """
     if count is not None:
         clients = clients.withColumn("addresses_per_report", F.lit(count))
-    most = clients.agg(F.coalesce(F.max("addresses_per_report"), F.lit(0))).first()[0]
-    picked = weighted_sample(with_weight(eligible(sales, clients, assigned, as_of)), seed, most)
+    if columns is not None:
+        sales = sales.select(*dict.fromkeys(["address_id", "city_id", "property_type", "sale_date", *columns]))
+    members, placed, sizes = _placed(sales, clients.filter("addresses_per_report > 0"), as_of, whole=True)
+    folder = shared_folder(sales.sparkSession, "draws")
+    spans = _stored(_spans(members, placed, sizes, assigned), f"{folder}/spans")
+    picked = _stored(_drawn(_likely(_bounded(spans, seed), placed)), f"{folder}/drawn")
+    got = picked.groupBy(F.col("client_id").alias("__c"), F.col("wanted").alias("__w")).agg(F.count("*").alias("__got"))
+    same = F.col("client_id").eqNullSafe(F.col("__c")) & (F.col("wanted") == F.col("__w"))
+    short = spans.filter("__lo = 0").join(got, same, "left").filter(F.coalesce("__got", F.lit(0)) < F.least("wanted", "__left"))
+    short = short.select(F.col("client_id").alias("__c"), F.col("wanted").alias("__w"))
+    if not short.isEmpty():
+        u = N.uniform(F.lit(seed), F.col("client_id"), F.col("address_id"))
+        rest = _met(spans.join(short, same, "left_semi"), placed).drop("__left").withColumn("__key", F.ln(u) / F.col("weight"))
+        picked = picked.join(short, same, "left_anti").unionByName(_drawn(_upper(rest)))
     return picked.withColumns({"status": F.lit("new"), "send_date": as_of, "assignment_key": N.stable_id(F.col("client_id"), F.col("address_id"))})
 
 

@@ -1,6 +1,8 @@
-"""Clients and their sales without a shuffle of the pairs: rows and weights against brute force, and rows that are sent."""
+"""Clients and their sales without a shuffle of the pairs: rows, weights and draws against brute force, and rows that are sent."""
 
 import datetime as dt
+import hashlib
+import math
 import random
 
 import pytest
@@ -37,6 +39,15 @@ def pairs(sales, clients, assigned):
     return out
 
 
+def draws(want, seed):
+    out = set()
+    for c, (wanted, own) in want.items():
+        u = lambda s: (int(hashlib.md5("|".join(str(x) for x in (seed, c, s[0]) if x is not None).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        ranked = sorted(own, key=lambda x: (-math.log(u(x[0])) / x[1], x[0][0]))
+        out |= {(c, s[0], w, k) for k, (s, w) in enumerate(ranked[: wanted or 0], 1)}
+    return out
+
+
 @pytest.fixture
 def plain(spark):
     """Plans whose joins are all shuffled and whose exchanges can be looked at."""
@@ -91,3 +102,35 @@ def test_weights_send_no_pairs(plain):
     """Places are those of wishes that clients share; before, each pair was placed and sent for itself."""
     rows, most = sent(assign.weighted(*tables(plain, n_clients=400)[3], as_of()))
     assert 0 < most < len(rows) / 2
+
+
+@pytest.mark.parametrize("wanted, bits", [(3, 12), (3, 3), (40, 12), (5000, 12)])
+def test_draws(spark, monkeypatch, wanted, bits):
+    """Draws with bounds that few rows reach, and with all rows where most are wanted."""
+    monkeypatch.setattr(assign, "BLOCK_BITS", bits)
+    sales, clients, assigned, made = tables(spark, 4000, 30, wanted)
+    df = assign.assign(*made, as_of(), 11, columns=["price"])
+    got = [(r.client_id, r.address_id, r.weight, r.rn) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == draws(pairs(sales, clients, assigned), 11)
+    assert "price" in df.columns and df.filter("price <> address_id OR status <> 'new'").isEmpty()
+
+
+def test_draws_look_at_few_rows(spark):
+    """Of many rows those that can win are sent on: a few more than are wanted."""
+    sales, clients, assigned, made = tables(spark, 4000, 30)
+    members, placed, sizes = assign._placed(made[0], made[1].filter("addresses_per_report > 0"), as_of(), whole=True)
+    spans = assign._bounded(assign._spans(members, placed, sizes, made[2]), 11)
+    left = {r.client_id: r["count"] for r in assign._likely(spans, placed).groupBy("client_id").count().collect()}
+    for c, (wanted, own) in pairs(sales, clients, assigned).items():
+        if wanted and own:
+            assert min(wanted, len(own)) <= left[c] <= (90 if len(own) > 200 else len(own))
+
+
+def test_draws_below_the_bounds(spark):
+    """Sales without an id have one u a client, so that most clients have no row above the bounds: they are drawn again out of all rows."""
+    day = lambda i: dt.date(1995, 1, 10) + dt.timedelta(i)
+    sales = spark.createDataFrame([(None, 1, "land", day(i), i) for i in range(600)], SALE)
+    clients = spark.createDataFrame([(c, 3, [1], ["land"], "active", 1) for c in range(8)], CLIENT)
+    assigned = spark.createDataFrame([], "client_id long, address_id long")
+    got = sorted((r.client_id, r.rn, r.price) for r in assign.assign(sales, clients, assigned, as_of(), 11).collect())
+    assert got == [(c, k, k - 1) for c in range(8) for k in (1, 2, 3)]
