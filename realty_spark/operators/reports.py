@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from realty_spark.functions import text as T
 
+# The columns of sales that reports show.
+SHOWN = ["address_raw", "city_name", "price", "property_type", "surface", "rooms"]
+
 
 def client_summary(rows: DataFrame) -> DataFrame:
     """Per client: number of sales, total of the prices, and the total over the number, rounded down."""

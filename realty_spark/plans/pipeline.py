@@ -148,7 +148,7 @@ def ingest_pages(pages: DataFrame, **shape) -> DataFrame:
 
 
 def assign_and_report(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Column, seed: int) -> DataFrame:
-    return R.client_report(A.assign(sales, clients, assigned, as_of, seed))
+    return R.client_report(A.assign(sales, clients, assigned, as_of, seed, columns=R.SHOWN))
 
 
 def daily_run(sales: DataFrame, clients: DataFrame, assigned: DataFrame, jobs: DataFrame, as_of: Column, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
