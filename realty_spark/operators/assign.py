@@ -239,9 +239,24 @@ def assign(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Col
     return picked.withColumns({"status": F.lit("new"), "send_date": as_of, "assignment_key": N.stable_id(F.col("client_id"), F.col("address_id"))})
 
 
+def assigned_counts(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Column) -> DataFrame:
+    """(client_id, n_assigned): how many sales ``assign`` gives each client who gets any, without a draw: of sizes of cells, less what was assigned before."""
+    old, cells = _old(sales, as_of), _cells(clients.filter("addresses_per_report > 0"))
+    sizes = old.groupBy("city_id", "property_type").agg(F.count("*").alias("__n"))
+    gone = old.select("address_id", "city_id", "property_type").join(_before(assigned, cells), "address_id")
+    gone = _in_cells(cells, gone, ["client_id"]).withColumn("__n", F.lit(-1))
+    both = [x.select("client_id", "wanted", "__n") for x in (_in_cells(cells, sizes), gone)]
+    left = both[0].unionByName(both[1]).groupBy("client_id", "wanted").agg(F.least("wanted", F.sum("__n")).alias("__n"))
+    return left.filter("__n > 0").groupBy("client_id").agg(F.sum("__n").alias("n_assigned"))
+
+
 def insufficient(clients: DataFrame, picked: DataFrame, default: int = 10) -> DataFrame:
     """Clients who got fewer than they asked for."""
-    got = picked.groupBy("client_id").agg(F.count("*").alias("n_assigned"))
+    return too_few(clients, picked.groupBy("client_id").agg(F.count("*").alias("n_assigned")), default)
+
+
+def too_few(clients: DataFrame, got: DataFrame, default: int = 10) -> DataFrame:
+    """Clients who got fewer than they asked for, by (client_id, n_assigned)."""
     wanted = F.coalesce("addresses_per_report", F.lit(default))
     out = clients.select("client_id", wanted.alias("wanted")).join(got, "client_id", "left").withColumn("n_assigned", F.coalesce("n_assigned", F.lit(0)))
     return out.filter("n_assigned < wanted")

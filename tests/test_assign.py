@@ -1,4 +1,4 @@
-"""Clients and their sales without a shuffle of the pairs: rows, weights and draws against brute force, and rows that are sent."""
+"""Clients and their sales without a shuffle of the pairs: rows, weights, draws and counts against brute force, and rows that are sent."""
 
 import datetime as dt
 import hashlib
@@ -134,3 +134,17 @@ def test_draws_below_the_bounds(spark):
     assigned = spark.createDataFrame([], "client_id long, address_id long")
     got = sorted((r.client_id, r.rn, r.price) for r in assign.assign(sales, clients, assigned, as_of(), 11).collect())
     assert got == [(c, k, k - 1) for c in range(8) for k in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("wanted", [3, 70, 5000])
+def test_counts(spark, wanted):
+    sales, clients, assigned, made = tables(spark, 1500, 40, wanted)
+    got = {r.client_id: r.n_assigned for r in assign.assigned_counts(*made, as_of()).collect()}
+    assert got == {c: min(n, len(own)) for c, (n, own) in pairs(sales, clients, assigned).items() if n and own}
+
+
+def test_counts_make_no_pairs(plain):
+    """What is sent does not grow with clients times sales."""
+    sales, clients, assigned, made = tables(plain, 900, 400, 5000)
+    rows, most = sent(assign.assigned_counts(*made, as_of()))
+    assert 0 < most < sum(r.n_assigned for r in rows) / 4
