@@ -151,8 +151,19 @@ def assign_and_report(sales: DataFrame, clients: DataFrame, assigned: DataFrame,
     return R.client_report(A.assign(sales, clients, assigned, as_of, seed, columns=R.SHOWN))
 
 
+def daily_alerts(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Column) -> DataFrame:
+    """The clients due who get fewer sales than they ask for; nothing is drawn."""
+    due = A.due(clients, as_of)
+    return A.too_few(due, A.assigned_counts(sales, due, assigned, as_of))
+
+
+def daily_jobs(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Jobs that are due, after their retry."""
+    now = as_of.cast("timestamp")
+    return J.after_attempt(J.due_jobs(jobs, now), now)
+
+
 def daily_run(sales: DataFrame, clients: DataFrame, assigned: DataFrame, jobs: DataFrame, as_of: Column, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assignments of the clients due, alerts of too few, jobs after their retry)."""
-    due = A.due(clients, as_of)
-    picked = A.assign(sales, due, assigned, as_of, seed)
-    return picked, A.insufficient(due, picked), J.after_attempt(J.due_jobs(jobs, as_of.cast("timestamp")), as_of.cast("timestamp"))
+    picked = A.assign(sales, A.due(clients, as_of), assigned, as_of, seed)
+    return picked, daily_alerts(sales, clients, assigned, as_of), daily_jobs(jobs, as_of)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from realty_spark.operators import assign
+from realty_spark.plans import pipeline
 
 DAY = dt.date(2003, 1, 1)
 as_of = lambda: F.to_date(F.lit(str(DAY)))
@@ -148,3 +149,14 @@ def test_counts_make_no_pairs(plain):
     sales, clients, assigned, made = tables(plain, 900, 400, 5000)
     rows, most = sent(assign.assigned_counts(*made, as_of()))
     assert 0 < most < sum(r.n_assigned for r in rows) / 4
+
+
+def test_daily_alerts_are_counted(spark):
+    """Alerts and assignments of the day agree, and alerts are told without a draw."""
+    sales, clients, assigned, made = tables(spark, 900, 60, 70)
+    jobs = spark.createDataFrame([], "job_id long, status string, next_attempt timestamp, outcome boolean, error_message string, attempt_count int")
+    picked, alerts, _ = pipeline.daily_run(*made, jobs, as_of(), 11)
+    got = {(r.client_id, r.wanted, r.n_assigned) for r in alerts.collect() if r.client_id is not None}
+    assert got == {(r.client_id, r.wanted, r.n_assigned) for r in assign.insufficient(made[1], picked).collect() if r.client_id is not None} and got
+    only = {(r.client_id, r.wanted, r.n_assigned) for r in pipeline.daily_alerts(*made, as_of()).collect() if r.client_id is not None}
+    assert only == got
