@@ -163,7 +163,7 @@ def daily_jobs(jobs: DataFrame, as_of: Column) -> DataFrame:
     return J.after_attempt(J.due_jobs(jobs, now), now)
 
 
-def daily_run(sales: DataFrame, clients: DataFrame, assigned: DataFrame, jobs: DataFrame, as_of: Column, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assignments of the clients due, alerts of too few, jobs after their retry)."""
-    picked = A.assign(sales, A.due(clients, as_of), assigned, as_of, seed)
+def daily_run(sales: DataFrame, clients: DataFrame, assigned: DataFrame, jobs: DataFrame, as_of: Column, seed: int, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assignments of the clients due, with ``columns`` of the sales or all; alerts of too few; jobs after their retry)."""
+    picked = A.assign(sales, A.due(clients, as_of), assigned, as_of, seed, columns=columns)
     return picked, daily_alerts(sales, clients, assigned, as_of), daily_jobs(jobs, as_of)
