@@ -222,9 +222,9 @@ def assign(sales: DataFrame, clients: DataFrame, assigned: DataFrame, as_of: Col
     """
     if count is not None:
         clients = clients.withColumn("addresses_per_report", F.lit(count))
-    if columns is not None:
-        sales = sales.select(*dict.fromkeys(["address_id", "city_id", "property_type", "sale_date", *columns]))
     members, placed, sizes = _placed(sales, clients.filter("addresses_per_report > 0"), as_of, whole=True)
+    if columns is not None:
+        placed = placed.select("__g", "__shares", "__r", *dict.fromkeys(["address_id", *columns]))
     folder = shared_folder(sales.sparkSession, "draws")
     spans = _stored(_spans(members, placed, sizes, assigned), f"{folder}/spans")
     picked = _stored(_drawn(_likely(_bounded(spans, seed), placed)), f"{folder}/drawn")
